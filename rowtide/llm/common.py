@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,3 +76,8 @@ def _lengths(column):
     import pyarrow.compute as pc
 
     return pc.binary_length(column).to_pylist()
+
+
+def shape_with(df: DataFrame, more: str) -> T.StructType:
+    """The schema of ``df`` followed by the fields in the DDL string ``more``."""
+    return T.StructType([*df.schema.fields, *T._parse_datatype_string(more).fields])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm import mixing, quality_rules, sharding
-from rowtide.llm.common import documents
+from rowtide.llm import decontaminate, language_id, line_templates, mixing, quality_model, quality_rules, sharding, simhash, token_count, warc
+from rowtide.llm.common import documents, shared_dir
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +42,63 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op4_feistel_shards)}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    said = language_id.predict(docs.select("doc_id", "text"), language_id.learn(docs))
+    return said.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_templates.drop_templates(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select(
+        "doc_id", "n_lines", "n_dropped", F.length("clean_text").cast("long").alias("clean_chars"), F.sha2("clean_text", 256).alias("clean_sha256")
+    )
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    said = quality_model.score(docs, model)
+    return said.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    done = token_count.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), str(public_tokenizers.path(TOKENIZER)))
+    return done.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = [(r.path, r.bytes) for r in warc.write_archives(pages, folder).collect()]
+    rows = warc.read_archives(spark, manifest, folder, id_type=dict(pages.dtypes)["page_id"])
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_quality_rules,
+        op3_language_id,
+        op4_feistel_shards,
+        op5_line_templates,
+        op6_simhash,
+        op7_quality_model,
+        op8_token_count,
+        op9_decontaminate,
+        op10_warc,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
