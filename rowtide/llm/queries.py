@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rowtide.llm import decontaminate, language_id, line_templates, mixing, quality_model, quality_rules, sharding, simhash, token_count, warc
 from rowtide.llm.common import documents, shared_dir
 
@@ -99,6 +100,8 @@ QUERIES = {
         op9_decontaminate,
         op10_warc,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
