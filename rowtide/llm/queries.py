@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rowtide.llm import decontaminate, language_id, line_templates, mixing, quality_model, quality_rules, sharding, simhash, token_count, warc
+from rowtide.llm import decontaminate, language_id, line_templates, mixing, oracle, quality_model, quality_rules, sharding, simhash, token_count, warc
 from rowtide.llm.common import documents, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -102,6 +102,4 @@ QUERIES = {
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLE_SQL: dict[str, str] = {}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+ORACLE_SQL = oracle.ORACLE_SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
