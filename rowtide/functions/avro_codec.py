@@ -11,10 +11,11 @@ import struct
 from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rowtide.functions.text import date_text, decimal_text, timestamp_text
 
@@ -174,28 +175,17 @@ def _travelling(c: Column, kind: T.DataType) -> Column:
     return c
 
 
-def _plain(v: Any, kind: T.DataType) -> Any:
-    """pandas turns nulls of numeric columns into NaN; the encoder gets lists and None."""
-    if v is None or (not isinstance(kind, T.ArrayType) and v is pd.NA):
-        return None
-    return list(v) if isinstance(kind, T.ArrayType) else v
-
-
 def avro_payload(df: DataFrame, schema_json: str, columns: list[str] | None = None) -> Column:
     """The rows' Avro bytes."""
     fields = [df.schema[c] for c in (columns or df.columns)]
     known = {f["name"] for f in json.loads(schema_json)["fields"]}
     fields = [f for f in fields if f.name in known]
     write = writer(json.loads(schema_json))
-    # Values go as one struct whose numbers are wrapped in arrays, so that nulls stay apart from NaN.
-    sent = [F.array(_travelling(F.col(f"`{f.name}`"), f.dataType)).alias(f.name) for f in fields]
-    kinds = {f.name: f.dataType for f in fields}
+    sent = [_travelling(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]
 
-    @F.pandas_udf("binary")
-    def run(rows: pd.DataFrame) -> pd.Series:
-        columns = {c: [_plain(v[0], kinds[c]) for v in rows[c]] for c in rows.columns}
-        names = list(columns)
-        return pd.Series([write(dict(zip(names, values))) for values in zip(*columns.values())], dtype=object)
+    @F.arrow_udf("binary")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([write(r) for r in rows.to_pylist()], pa.binary())
 
     return run(F.struct(*sent))
 
@@ -216,9 +206,11 @@ def avro_decoded(payload: Column, schema_json: str) -> Column:
     read = reader(json.loads(schema_json))
     kind = decoded_type(schema_json)
 
-    @F.udf(kind, useArrow=True)
-    def run(data: bytes):
-        return None if data is None else read(bytes(data), 0)[0]
+    shape = to_arrow_type(kind)
+
+    @F.arrow_udf(kind)
+    def run(data: pa.Array) -> pa.Array:
+        return pa.array([None if d is None else read(d, 0)[0] for d in data.to_pylist()], shape)
 
     return run(payload)
 

@@ -12,12 +12,11 @@ from abc import ABC, abstractmethod
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from rowtide.model import EARLIEST, Position, TableRef
 
 #: One row a position; a shard value is told apart by its type, so 1,2 as text and as numbers differ.
-SCHEMA = T._parse_datatype_string(
+SCHEMA = (
     "database string not null, catalog string not null, `schema` string not null, `table` string not null,"
     "shard_type string not null, shard_value string not null, last_seen timestamp_ntz not null, last_key string"
 )

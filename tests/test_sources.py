@@ -1,0 +1,148 @@
+import datetime as dt
+import decimal
+
+import pytest
+from pyspark.sql import types as T
+
+from rowtide.model import EARLIEST, Position, TableRef
+from rowtide.operators import changesets, gauges
+from rowtide.model import TableSpec
+from rowtide.sources import catalog, types
+from rowtide.sources.positions import FilePositionStore, MemoryPositionStore, shard_key, split_shards
+
+REF, OTHER = TableRef("db", "t"), TableRef("db", "u")
+T0, T1 = dt.datetime(2024, 1, 1, 0, 0, 0, 1), dt.datetime(2024, 1, 2)
+
+
+@pytest.fixture(params=["memory", "file"])
+def store(request, tmp_path):
+    make = MemoryPositionStore if request.param == "memory" else lambda **o: FilePositionStore(str(tmp_path / "p.json"), **o)
+    return make(start="earliest")
+
+
+def test_positions(store):
+    assert store.get(REF) == EARLIEST
+    assert store.set(REF, Position(T0, (1, "x"))) and not store.set(REF, Position(T0, (1, "x")))
+    assert store.set(REF, Position(T0, (2, "a"))) and store.set(REF, Position(T0)) and store.set(REF, Position(T1, (0, "")))
+    with pytest.raises(ValueError):
+        store.set(REF, Position(T0))
+    assert store.get(REF) == Position(T1, (0, "")) and store.get(OTHER) == EARLIEST
+    store.set(REF, Position(T0), shard=5)
+    assert store.get(REF, 5) == Position(T0) and store.get(REF, "5") == EARLIEST
+    store.reset(REF, [5])
+    assert store.get(REF, 5) == EARLIEST and store.get(REF) == Position(T1, (0, ""))
+    store.reset(REF)
+    assert store.set(REF, Position(T0))
+
+
+def test_start_positions():
+    now = dt.datetime(2030, 1, 1)
+    s = MemoryPositionStore(start="now", clock=lambda: now)
+    assert s.get(REF) == Position(now)
+    s.clock = lambda: now + dt.timedelta(1)
+    assert s.get(REF) == Position(now)  # the first answer is kept
+    assert MemoryPositionStore(start=T0).get(REF) == Position(T0)
+
+
+def test_file_store(tmp_path, spark):
+    path = str(tmp_path / "p.json")
+    with pytest.raises(FileNotFoundError):
+        FilePositionStore(path, create=False)
+    s = FilePositionStore(path)
+    for key in [(b"\x00",), (dt.date(2020, 1, 1),), (decimal.Decimal("1.50"),), (T0,), (True,), (None,)]:
+        s.reset(REF)
+        s.set(REF, Position(T1, key))
+        assert FilePositionStore(path).get(REF) == Position(T1, key)
+    assert s.frame(spark).count() == 1
+    (tmp_path / "bad.json").write_text('[["x"]]')
+    with pytest.raises(ValueError):
+        FilePositionStore(str(tmp_path / "bad.json"))
+
+
+def test_shard_keys():
+    assert shard_key((1, 2)) != shard_key("1,2") and shard_key([1, 2]) != shard_key([2, 1])
+    assert shard_key(True) != shard_key("true") and shard_key(["a"])[1] == "YQ=="
+    assert split_shards([1, None, 2, 1]) == [1, 2] and split_shards("a") == ["a"] and split_shards(None) == []
+
+
+def test_types():
+    for name in ("BOOL", "INT64", "FLOAT64", "NUMERIC", "STRING(MAX)", "BYTES(24)", "DATE", "TIMESTAMP", "ARRAY<STRING(100)>", "ARRAY<NUMERIC>"):
+        assert types.type_name(types.spark_type(name)) == types.bare(name)
+    f = types.field("j", "JSON")
+    assert types.type_name(f.dataType, f.metadata) == "JSON" and not types.key_type_allowed(f.dataType, f.metadata)
+    assert not types.key_type_allowed(T.ArrayType(T.LongType()))
+    for bad in ("STRUCT<INT64>", "ARRAY<ARRAY<INT64>>"):
+        with pytest.raises(TypeError):
+            types.spark_type(bad)
+
+
+def test_selection_and_catalog(spark):
+    with pytest.raises(ValueError):
+        catalog.Selection()
+    with pytest.raises(ValueError):
+        catalog.Selection(included=("a",), excluded=("b",))
+    empty = spark.createDataFrame([], "catalog string, schema string, `table` string")
+    with pytest.raises(catalog.TableNotFound):
+        catalog.required(empty, catalog.Selection.include("x"))
+    with pytest.raises(catalog.TableNotFound):
+        catalog.required(empty, catalog.Selection.all_tables())
+    one = spark.createDataFrame([("", "", "x")], empty.schema)
+    assert catalog.required(one, catalog.Selection.include("x")) == [TableRef("", "x")]
+
+
+def test_commit_column(spark):
+    def frame(*flags):
+        fields = [T.StructField("id", T.LongType()), T.StructField("plain", T.TimestampNTZType())]
+        fields += [types.field(n, "TIMESTAMP", commit_ts=True) for n in flags]
+        return spark.createDataFrame([], T.StructType(fields))
+
+    assert catalog.commit_column(frame("c1", "c2")) == "c1" and catalog.commit_column(frame("c1", "c2"), "c2") == "c2"
+    with pytest.raises(catalog.TableNotFound):
+        catalog.commit_column(frame())
+    with pytest.raises(catalog.TableNotFound):
+        catalog.commit_column(frame("c1"), "missing")
+    assert catalog.spec_of(frame("c1"), REF, ("id",)).order == ["c1", "id"]
+    assert TableRef("d", "t", "c", "s").identifier == "`c`.`s`.`t`" and REF.full_name == "db/`t`"
+
+
+def test_change_sets(spark, tmp_path):
+    sets, data, other = (str(tmp_path / n) for n in ("sets", "data", "other"))
+    ticks = iter([dt.datetime(2024, 1, 1, h) for h in range(9)])
+    w = changesets.ChangeSetWriter(spark, sets, clock=lambda: next(ticks))
+    rows = lambda *ids: spark.createDataFrame([(i, f"n{i}") for i in ids], "id long, name string")
+    first = w.write(data, rows(1, 2, 3))
+    with w.transaction("own") as t:
+        t.buffer(data, rows(4))
+        t.buffer(other, rows(9))
+    with pytest.raises(RuntimeError), w.transaction() as t:
+        t.buffer(data, rows(77))
+        raise RuntimeError
+    tries = []
+
+    def flaky(t):
+        tries.append(t.id)
+        t.buffer(data, rows(5))
+        if len(tries) < 2:
+            raise OSError
+
+    third = w.run(flaky)
+    assert tries == [third, third]
+    w.plain_write(data, rows(8).selectExpr("*", "'unknown' AS change_set_id"))
+    spec = TableSpec(TableRef("db", "sets"), "commit_timestamp", ("change_set_id",))
+    read = spark.read.parquet
+    seen = changesets.changed_rows(read(sets), spec, read(data), "change_set_id").orderBy("_commit_ts", "id").collect()
+    assert [(r.id, r._commit_ts.hour, r.change_set_id) for r in seen] == [(1, 0, first), (2, 0, first), (3, 0, first), (4, 1, "own"), (5, 2, third)]
+    later = changesets.changed_rows(read(sets), spec, read(data), "change_set_id", Position(dt.datetime(2024, 1, 1, 0)), limit=1)
+    assert [r.id for r in later.collect()] == [4]
+
+
+def test_upsert_and_gauges(spark):
+    old = spark.createDataFrame([(1, "a", T0), (2, "b", T0)], "id long, n string, ts timestamp_ntz")
+    new = changesets.upsert(old, spark.createDataFrame([(2, "c"), (3, "d")], "id long, n string"), ["id"], "ts", T1)
+    assert {(r.id, r.n, r.ts) for r in new.collect()} == {(1, "a", T0), (2, "c", T1), (3, "d", T1)}
+    from pyspark.sql import functions as F
+
+    now = F.lit(T1).cast("timestamp_ntz")
+    assert gauges.max_poll_latency(old, "ts", now, 1, 2) == 0 and gauges.max_poll_latency(old, "ts", now, 2, 2) == 86399
+    assert gauges.position_state(new, "ts").first() == (T1, 2)
+    assert [len(p) for p in gauges.divide_shards(range(37), 4)] == [10, 9, 9, 9] and sum(gauges.divide_shards([1, 2, 3], 5), []) == [1, 2, 3]
