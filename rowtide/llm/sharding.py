@@ -89,7 +89,7 @@ def number_rows(docs: DataFrame, hot_rows: int = 50_000, bucket_rows: int = 20_0
         one = keyed.join(hot.select(H1, H2), [H1, H2], "left_semi").groupBy(H1, H2).agg(F.first(F.struct(*values)).alias("row"))
         pieces = one.join(hot, [H1, H2]).withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / piece) - 1))).repartition("k", H1)
         last = F.least(F.col("c"), (F.col("k") + 1) * piece) - 1
-        again = pieces.withColumn(NUMBER, F.explode(F.sequence(F.col("k") * piece, last)) + F.col("first"))
+        again = pieces.withColumn("at", F.explode(F.sequence(F.col("k") * piece, last))).withColumn(NUMBER, F.col("at") + F.col("first"))
         numbered = numbered.unionByName(again.select("row.*", NUMBER))
     return numbered, n
 
