@@ -16,8 +16,8 @@ travel, and each document gets back the list of places it loses.
 
 Defined results: null and empty texts have no lines with tokens and lose none (null
 stays null); lines without tokens are never dropped; a line repeated in one document
-counts once; rows of equal doc_id and text lose the same lines and count as one
-document; an empty table gives an empty one.  Input columns named like an output
+counts once; documents of equal texts count as one, so a line is not recurring
+just because its document was copied, and they lose the same lines; an empty table gives an empty one.  Input columns named like an output
 column are replaced by it; others are carried along.
 """
 
@@ -67,13 +67,11 @@ def recurring(source: DataFrame, least_docs: int, depth: int, least_tokens: int,
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_batches(batch, "text"):
-                out: dict[int, int] = {}
-                for t in part.column("text").to_pylist():
-                    for x in {x for _, _, x in parsed(t, depth, least_tokens)}:
-                        out[x] = out.get(x, 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], ["leaf", "n"])
+                texts = dict(zip(part.column(KEY).to_pylist(), part.column("text").to_pylist()))
+                out = [(k, x) for k, t in texts.items() for x in {x for _, _, x in parsed(t, depth, least_tokens)}]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], [KEY, "leaf"])
 
-    counts = source.select("text").mapInArrow(leaves, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    counts = source.mapInArrow(leaves, f"{KEY} long, leaf long").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
     common = cut(counts.where(F.col("n") >= least_docs).select("leaf"))
     # A first sieve of at most ``slots`` bits; what passes it is checked exactly in the join.
     passed = common.select(F.pmod("leaf", F.lit(slots)).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
@@ -86,7 +84,8 @@ def recurring(source: DataFrame, least_docs: int, depth: int, least_tokens: int,
         for batch in batches:
             for part in text_batches(batch, "text", 2 << 20):
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for key, t in zip(part.column(KEY).to_pylist(), part.column("text").to_pylist()):
+                texts = dict(zip(part.column(KEY).to_pylist(), part.column("text").to_pylist()))
+                for key, t in texts.items():
                     own: dict[int, tuple] = {}
                     for place, toks, x in parsed(t, depth, least_tokens):
                         if wanted[x % slots]:
@@ -101,9 +100,10 @@ def recurring(source: DataFrame, least_docs: int, depth: int, least_tokens: int,
                 )
 
     found = source.mapInArrow(lines, f"{KEY} long, leaf long, line long, places array<int>, toks array<long>")
-    found = cut(found.join(common, "leaf", "left_semi"))
+    one = found.join(common, "leaf", "left_semi").groupBy(KEY, "leaf", "line").agg(F.first("places").alias("places"), F.first("toks").alias("toks"))
+    found = cut(one)
 
-    distinct = found.groupBy("leaf", "line").agg(F.countDistinct(KEY).alias("n"), F.first("toks").alias("toks"))
+    distinct = found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("toks").alias("toks"))
     each = distinct.select("leaf", "line", "n", F.size("toks").alias("width"), F.posexplode("toks").alias("pos", "tok"))
     frequent = each.groupBy("leaf", "pos", "tok").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least_docs).select("leaf", "pos", "tok", F.lit(True).alias("constant"))
     marked = each.join(frequent, ["leaf", "pos", "tok"], "left")
@@ -112,8 +112,8 @@ def recurring(source: DataFrame, least_docs: int, depth: int, least_tokens: int,
     shapes = shapes.where(F.size("fixed") * 2 >= F.col("width")).select("leaf", "line", "n", F.xxhash64("leaf", "fixed").alias("template"))
     repeated = shapes.groupBy("template").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least_docs).select("template")
     dropped = shapes.join(repeated, "template", "left_semi").select("leaf", "line")
-    lost = found.join(dropped, ["leaf", "line"], "left_semi").select(KEY, "places").distinct()
-    return lost.groupBy(KEY).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("__lt_places"))
+    lost = found.join(dropped, ["leaf", "line"], "left_semi").select(KEY, "places")
+    return lost.groupBy(KEY).agg(F.flatten(F.collect_list("places")).alias("__lt_places"))
 
 
 def drop_templates(docs: DataFrame, least_docs: int = 8, depth: int = 3, least_tokens: int = 3, slots: int = 1 << 20) -> DataFrame:
@@ -122,7 +122,7 @@ def drop_templates(docs: DataFrame, least_docs: int = 8, depth: int = 3, least_t
     ``least_tokens``: shorter lines are left alone.
     """
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "clean_text")]
-    keyed = docs.select(*[f"`{c}`" for c in kept]).withColumn(KEY, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    keyed = docs.select(*[f"`{c}`" for c in kept]).withColumn(KEY, F.xxhash64("text"))
     lost = recurring(keyed.select(KEY, "text"), least_docs, depth, least_tokens, slots)
     joined = keyed.join(lost, KEY, "left").drop(KEY)
 

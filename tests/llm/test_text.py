@@ -179,14 +179,14 @@ def test_line_templates(spark, edge, nothing):
     assert {r.n_dropped for r in line_templates.drop_templates(docs, least_docs=13).collect()} == {0}
     rows = line_templates.drop_templates(edge, least_docs=2).collect()
     assert len(rows) == edge.count() and all((r.clean_text is None) == (r.text is None) for r in rows)
-    same = [r for r in rows if r.doc_id == 0]
-    assert len({(r.n_dropped, r.clean_text) for r in same}) == 1 and same[0].n_dropped == 1  # documents 0 and 1 share their line
+    assert {r.n_dropped for r in rows if r.doc_id in (0, 1)} == {0}  # one text, however often it is repeated
     assert line_templates.drop_templates(nothing).count() == 0
 
 
 def test_exact_repeats_are_found_whole(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    seen = collections.Counter(x for r in docs.collect() for x in set((r.text or "").split("\n")) if len(x.split()) >= 3)
+    texts = {r.text or "" for r in docs.collect()}
+    seen = collections.Counter(x for t in texts for x in set(t.split("\n")) if len(x.split()) >= 3)
     often = {x for x, n in seen.items() if n >= 8}
     for r in line_templates.drop_templates(docs, least_docs=8).collect():
         assert not often & set((r.clean_text or "").split("\n"))
