@@ -22,7 +22,11 @@ written to the shared folder.
 
 For shingle similarity (``near_copies``) points also carry the number of distinct
 shingles and 16 four-bit minima: only points of about equal sizes meet, and a pair
-needs enough equal minima beside the few differing bits.
+needs enough equal minima beside the few differing bits.  Here an anchor gives out a
+maximum spanning forest of its links by equal minima, real pairs again no more than
+its points; each pair is then checked with 256 one-byte minima of both texts.  (The
+forest of all pairs lies within the union of the anchors' forests, and cutting its
+weak edges leaves the components of the strong ones.)
 
 Defined results: null, empty and wordless texts have fingerprint 0 and are linked
 like any other; fewer words than a shingle are one shingle; repeated rows each get
@@ -64,8 +68,19 @@ def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[low:high], ends[low + k - 1 : high + k - 1])], np.uint64)
 
 
-def fingerprint(text: str | None, words: int = 3, sketch: bool = False) -> tuple[int, int, int]:
-    """Fingerprint, and if asked for 16 four-bit minima and the number of distinct shingles."""
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def minima(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least hash of each of 2^bits ranges of sorted hashes, mixed, and whether there is one."""
+    slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+    firsts = np.searchsorted(slot, np.arange(1 << bits))
+    full = firsts < np.append(firsts[1:], len(h))
+    return h[np.minimum(firsts, len(h) - 1)] * MIX, full
+
+
+def fingerprint(text: str | None, words: int = 3, sketch: bool = False) -> tuple[int, int, int, bytes]:
+    """Fingerprint, and if asked for 16 four-bit minima, the number of distinct shingles, and 256 bytes of minima."""
     votes, n, parts = np.zeros(64, np.int64), 0, []
     for h in shingle_hashes(text, words):
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -74,29 +89,29 @@ def fingerprint(text: str | None, words: int = 3, sketch: bool = False) -> tuple
             parts.append(h)
     fp = int(np.packbits(2 * votes > n).view(np.uint64)[0])
     if not sketch or not n:
-        return fp, 0, 0
+        return fp, 0, 0, b""
     h = np.unique(np.concatenate(parts))
-    slot = (h >> np.uint64(60)).astype(np.int64)
-    firsts = np.searchsorted(slot, np.arange(16))
-    full = firsts < np.append(firsts[1:], len(h))
-    # h is sorted, so the first hash of each of 16 ranges is its minimum; four mixed bits of it are kept.
-    least = np.where(full, h[np.minimum(firsts, len(h) - 1)] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60), np.uint64(0))
-    return fp, int((least << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(dtype=np.uint64)), len(h)
+    few, full = minima(h, 4)
+    few = np.where(full, few >> np.uint64(60), np.uint64(0))
+    many, full = minima(h, 8)
+    wide = np.where(full, (many >> np.uint64(40)) % np.uint64(255) + np.uint64(1), np.uint64(0))
+    return fp, int((few << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(dtype=np.uint64)), len(h), wide.astype(np.uint8).tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = 3, sketch: bool = False) -> DataFrame:
-    """doc_id, th (a hash of the text), fp, sketch and size of every row of ``docs``."""
+    """doc_id, th (a hash of the text), fp, sketch, size and wide (256 minima) of every row of ``docs``."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_batches(batch, "text"):
-                found = np.array([fingerprint(t, words, sketch) for t in part.column("text").to_pylist()], np.uint64).reshape(-1, 3)
-                columns = [pa.array(found[:, i].copy().view(np.int64)) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), *columns], ["doc_id", "th", "fp", "sketch", "size"])
+                found = [fingerprint(t, words, sketch) for t in part.column("text").to_pylist()]
+                numbers = np.array([f[:3] for f in found], np.uint64).reshape(-1, 3)
+                columns = [*(pa.array(numbers[:, i].copy().view(np.int64)) for i in range(3)), pa.array([f[3] for f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), *columns], ["doc_id", "th", "fp", "sketch", "size", "wide"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long, sketch long, size long")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long, sketch long, size long, wide binary")
 
 
 # --- anchors ---------------------------------------------------------------------
@@ -196,11 +211,41 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Indices of the edges of a maximum spanning forest over nodes 0 to n-1."""
+    label, kept = np.arange(n), []
+    for w in np.unique(weight)[::-1]:
+        e = np.flatnonzero(weight == w)
+        while True:
+            la, lb = label[a[e]], label[b[e]]
+            apart = la != lb
+            e, la, lb = e[apart], la[apart], lb[apart]
+            if not len(e):
+                break
+            first = np.full(n, len(a))  # each part's first edge out, in one order for all, so no cycle can close
+            np.minimum.at(first, la, e)
+            np.minimum.at(first, lb, e)
+            chosen = np.unique(first[first < len(a)])
+            kept.append(chosen)
+            label = stars(n, label[a[chosen]], label[b[chosen]])[label]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
 def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars, as pairs of fingerprints, of the links between homes and replicas.
+    """Pairs of fingerprints that span the links between homes and replicas.
 
-    Both are (cell, fp, sketch) arrays.
+    Both are (cell, fp, sketch) arrays.  Without ``least_equal`` the pairs are stars,
+    with it the links of a maximum spanning forest.
     """
+
+    def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+        if least_equal:
+            keep = forest(len(points), a, b, weight)
+            return a[keep], b[keep], weight[keep]
+        root = stars(len(points), a, b)
+        a = np.flatnonzero(root != np.arange(len(points)))
+        return a, root[a], np.zeros(len(a), np.int8)
+
     order = np.argsort(home[0], kind="stable")
     cell, fp, sketch = (x[order] for x in home)
     low, high = (np.searchsorted(cell, visit[0], side=s) for s in ("left", "right"))
@@ -209,6 +254,7 @@ def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple
     ends, at = np.cumsum(n), 0
     points = np.unique(np.concatenate([fp, visit[1][live]]))
     a = b = np.zeros(0, np.int64)
+    weight = np.zeros(0, np.int8)
     while at < len(live):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
         first, many, v = low[live[at:to]], n[at:to], live[at:to]
@@ -220,20 +266,20 @@ def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple
             away = np.bitwise_count(fp[x] ^ visit[1][y])
             ok = (away <= max_bits) & (away > 0)
             x, y = x[ok], y[ok]
+            equal = np.zeros(len(x), np.int8)
             if least_equal and len(x):
                 other = sketch[x] ^ visit[2][y]
-                equal = sum(((other >> np.uint64(4 * k)) & np.uint64(15)) == 0 for k in range(16))
-                x, y = x[equal >= least_equal], y[equal >= least_equal]
+                equal = sum((((other >> np.uint64(4 * k)) & np.uint64(15)) == 0).astype(np.int8) for k in range(16))
+                ok = equal >= least_equal
+                x, y, equal = x[ok], y[ok], equal[ok]
             a = np.concatenate([a, np.searchsorted(points, fp[x])])
             b = np.concatenate([b, np.searchsorted(points, visit[1][y])])
+            weight = np.concatenate([weight, equal])
             if len(a) > PAIRS:
-                root = stars(len(points), a, b)
-                a = np.flatnonzero(root != np.arange(len(points)))
-                b = root[a]
+                a, b, weight = spanning(a, b, weight)
         at = to
-    root = stars(len(points), a, b)
-    a = np.flatnonzero(root != np.arange(len(points)))
-    return points[a], points[root[a]]
+    a, b, _ = spanning(a, b, weight)
+    return points[a], points[b]
 
 
 def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, hot_points: int = 500_000, keys: int = 4096) -> DataFrame:
@@ -254,6 +300,7 @@ def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool =
                 total += np.bincount(key_of(cover.homes(fp, size)[1]), minlength=keys)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(keys)), pa.array(total)], ["k", "n"])
 
+    points = points.select("fp", "sketch", "size")
     counts = points.mapInArrow(census, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > hot_points).collect()
     split = np.ones(keys, np.int64)
     for r in counts:
@@ -333,30 +380,48 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def grouped(rows: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, **options) -> DataFrame:
+def verified(edges: DataFrame, points: DataFrame, least: float) -> DataFrame:
+    """Edges whose ends share at least ``least`` of the minima that either of them has."""
+    wide = points.select("fp", "wide")
+    both = edges.distinct().join(wide.select(F.col("fp").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("fp").alias("b"), F.col("wide").alias("wb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("wa", "wb"))
+            same, either = ((x == y) & (x > 0)).sum(axis=1), ((x > 0) | (y > 0)).sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(same >= least * either))
+
+    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+
+
+def grouped(rows: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, least: float = 0.0, **options) -> DataFrame:
     """(fp, root) of every distinct fingerprint in ``rows``; linked ones share their root."""
-    points = cut(rows.groupBy("fp").agg(F.min(F.struct("size", "sketch")).alias("s")).select("fp", "s.sketch", "s.size"))
-    found = components(links(points, max_bits, least_equal, sized, **options))
+    more = ["wide"] if least else []
+    points = cut(rows.groupBy("fp").agg(F.min(F.struct("size", "sketch", *more)).alias("s")).select("fp", "s.sketch", "s.size", *[f"s.{c}" for c in more]))
+    edges = links(points, max_bits, least_equal, sized, **options)
+    found = components(verified(edges, points, least) if least else edges)
     return points.join(found, points.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, **options) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the least doc_id that can be reached over links."""
-    rows = cut(fingerprints(docs, words))
+    rows = cut(fingerprints(docs, words).drop("wide"))
     groups = grouped(rows, max_bits, **options)
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("first")).join(groups, "fp")
     names = least.join(least.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, words: int = 5, max_bits: int = 11, least_equal: int = 10, **options) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, max_bits: int = 11, least_equal: int = 10, least: float = 0.78, **options) -> DataFrame:
     """One row of each group of near copies: the one with the least doc_id (nulls last).
 
     Texts with a shingle similarity of 0.8 differ in about 10 of 64 bits and share
     about 13 of the 16 minima; see the README for how many of such pairs are found.
+    ``least`` is for the estimate from 256 minima, whose deviation is 0.025.
     """
     rows = cut(fingerprints(docs, words, sketch=True))
-    groups = grouped(rows, max_bits, least_equal, sized=True, **options)
+    groups = grouped(rows, max_bits, least_equal, sized=True, least=least, **options)
+    rows = rows.drop("wide")
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "fp")).alias("w")
     firsts = rows.groupBy("fp").agg(pick).join(groups, "fp")
     winners = cut(firsts.groupBy("root").agg(F.min("w").alias("w")).select("w.doc_id", "w.th"))

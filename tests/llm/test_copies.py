@@ -88,6 +88,16 @@ def test_links_of_points(spark, hot_points, pairs, monkeypatch):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_maximum_spanning_forest():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 0), (5, 4), (40, 200), (60, 40)):
+        a, b, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(10, 17, m).astype(np.int8)
+        kept = simhash.forest(n, a, b, w)
+        assert len(set(kept.tolist())) == len(kept) <= max(0, n - 1)
+        for least in range(10, 17):  # cutting weak edges leaves the components of the strong ones
+            assert (simhash.stars(n, a[w >= least], b[w >= least]) == simhash.stars(n, *(x[kept][w[kept] >= least] for x in (a, b)))).all()
+
+
 def test_slices_of_pairs(monkeypatch):
     monkeypatch.setattr(simhash, "PAIRS", 7)
     fp = np.array([1 << i for i in range(40)] + [0], np.uint64)
@@ -135,8 +145,14 @@ def test_near_copies(spark, edge, nothing):
             rows.append((len(rows), " ".join(w)))
         groups.append(own)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    left = sorted(r.doc_id for r in simhash.near_copies(docs).collect())
-    assert all(g[0] in left for g in groups) and len(left) <= len(groups) + 2
+    left = {r.doc_id for r in simhash.near_copies(docs).collect()}
+    assert all(g[0] in left for g in groups)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    for g in groups:
+        for i in g:
+            near = max(alike(i, j) for j in g if j != i)
+            assert near >= 0.7 if i not in left else all(alike(i, j) < 0.86 for j in g if j in left and j != i)
     kept = simhash.near_copies(edge).collect()
     texts = [r.text for r in kept]
     assert len(texts) == len(set(texts)) and sum(not (t or "").split() for t in texts) == 1
