@@ -282,8 +282,11 @@ def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple
     return points[a], points[b]
 
 
-def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, hot_points: int = 500_000, keys: int = 4096) -> DataFrame:
-    """Edges (a, b) that connect what is within ``max_bits``; ``points`` has distinct fp, sketch, size."""
+def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, accept_bits: int = 0, hot_points: int = 500_000, keys: int = 4096) -> DataFrame:
+    """Edges (a, b) that connect what is within ``max_bits``; ``points`` has distinct fp, sketch, size.
+
+    Pairs up to ``accept_bits`` apart, if that is more, are taken too where they meet.
+    """
 
     def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         fp, sketch, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "sketch", "size"))
@@ -340,7 +343,7 @@ def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool =
             sketch = np.frombuffer(b"".join(rows[2][i] for i in own), np.uint64)
             return cell, fp, sketch if least_equal else fp
 
-        a, b = compare(side(1), side(0), max_bits, least_equal)
+        a, b = compare(side(1), side(0), max(max_bits, accept_bits), least_equal)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     sent = points.mapInArrow(spread, "k long, chunk long, home int, cell binary, fp binary, sketch binary")
@@ -412,15 +415,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, **option
     return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, words: int = 5, max_bits: int = 11, least_equal: int = 10, least: float = 0.78, **options) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, max_bits: int = 11, least_equal: int = 10, accept_bits: int = 20, least: float = 0.78, **options) -> DataFrame:
     """One row of each group of near copies: the one with the least doc_id (nulls last).
 
     Texts with a shingle similarity of 0.8 differ in about 10 of 64 bits and share
     about 13 of the 16 minima; see the README for how many of such pairs are found.
+    All pairs within ``max_bits`` meet, and many of those up to ``accept_bits``.
     ``least`` is for the estimate from 256 minima, whose deviation is 0.025.
     """
     rows = cut(fingerprints(docs, words, sketch=True))
-    groups = grouped(rows, max_bits, least_equal, sized=True, least=least, **options)
+    groups = grouped(rows, max_bits, least_equal, sized=True, least=least, accept_bits=accept_bits, **options)
     rows = rows.drop("wide")
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "fp")).alias("w")
     firsts = rows.groupBy("fp").agg(pick).join(groups, "fp")
