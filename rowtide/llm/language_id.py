@@ -1,8 +1,11 @@
 """Language identification by compression against per-language dictionaries.
 
-For every language a zstandard raw-content dictionary is filled with whole lower-
-cased training texts (at most ``max_texts`` of at most ``max_text_bytes`` each, up
-to ``dict_bytes``: the documented bounds of the sample).  A text is cut into chunks
+For every language a zstandard raw-content dictionary is filled with training texts
+(at most ``max_texts`` of at most ``max_text_bytes`` each, up to ``dict_bytes``: the
+documented bounds of the sample).  Lines that the samples of two languages share, such
+as notices, and repeated lines tell nothing and are left out.  Texts and dictionaries
+are lower-cased and keep letters only, so marks and digits do not count as language.
+A text is cut into chunks
 of CHUNK bytes, all of them encoded with every dictionary; the language with the
 smallest sum is predicted.  ``accepted`` is false where the runner-up is nearer
 than ``least_margin``: there the prediction should not be relied on.
@@ -31,6 +34,13 @@ from rowtide.llm.common import shape_with, text_batches
 
 CHUNK = 4096
 LETTER = regex.compile(r"\p{L}")
+OTHER = regex.compile(r"[^\p{L}]+")
+LEVEL = 9
+
+
+def folded(text: str) -> bytes:
+    """Lower case, with a space for whatever is no letter."""
+    return OTHER.sub(" ", text.lower()).encode()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -50,11 +60,21 @@ def learn(docs: DataFrame, dict_bytes: int = 98_304, max_texts: int = 96, max_te
         .limit(max_texts * max_languages + 1)
     )
     rows = usable.select("doc_id", "lang", "text").join(F.broadcast(ranked), "doc_id").where(size.between(200, max_text_bytes)).collect()
+    rows.sort(key=lambda r: (r.lang, r.k, r.text))
+    owners: dict[str, set[str]] = {}
+    for r in rows:
+        for line in r.text.split("\n"):
+            owners.setdefault(line, set()).add(r.lang)
     found: dict[str, bytes] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.k, r.text)):
+    for r in rows:
+        own = []
+        for line in r.text.split("\n"):
+            if len(owners[line]) == 1:
+                own.append(line)
+                owners[line] = set()  # once is enough
         have = found.get(r.lang, b"")
         if len(have) < dict_bytes:
-            found[r.lang] = have + r.text.lower().encode() + b"\n"
+            found[r.lang] = have + folded("\n".join(own)) + b" "
     if len(found) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     return {lang: found[lang][:dict_bytes] for lang in sorted(found)}
@@ -63,7 +83,7 @@ def learn(docs: DataFrame, dict_bytes: int = 98_304, max_texts: int = 96, max_te
 class Judge:
     """Compressors for all languages, made once in each Python worker."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 3):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
         self.langs = sorted(dictionaries)
         self.by = []
         for lang in self.langs:
@@ -75,7 +95,7 @@ class Judge:
         """Language, score and margin (the runner-up's excess over the best)."""
         if text is None or not self.langs or not LETTER.search(text):
             return "und", 0.0, 0.0
-        data = text.lower().encode()
+        data = folded(text)
         chunks = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
         sizes = [sum(len(c.compress(x)) for x in chunks) for c in self.by]
         best = min(sizes)
