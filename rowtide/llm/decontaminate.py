@@ -179,11 +179,12 @@ class Segment:
         return np.cumsum(change[:-1]) > 0, exact, close
 
 
-INDEX = "doc_ids array<{id}>, block int, lengths binary, terms binary, counts binary, places binary"
+INDEX = "doc_ids array<{id}>, lengths binary, parts array<struct<terms: binary, counts: binary, places: binary>>"
+PART = ("terms", "counts", "places")
 
 
 def segments(batches: Iterator[pa.RecordBatch], blocks: list[Block]) -> Iterator[tuple]:
-    """(rows of the batch, block number, postings) for pieces of the input of a bounded size."""
+    """(rows of the batch, lengths, postings for each block) for pieces of the input of a bounded size."""
     for batch in batches:
         texts = batch.column("text").to_pylist()
         low = size = 0
@@ -191,22 +192,23 @@ def segments(batches: Iterator[pa.RecordBatch], blocks: list[Block]) -> Iterator
             more = len(texts[i] or "") if i < len(texts) else 0
             if i > low and (i == len(texts) or size + more > SEGMENT_BYTES):
                 lists = [word_list(t) for t in texts[low:i]]
-                for b, block in enumerate(blocks):
-                    yield batch.slice(low, i - low), b, Segment.postings(lists, block.terms)
+                found = [Segment.postings(lists, block.terms) for block in blocks]
+                yield batch.slice(low, i - low), found[0][0], [f[1:] for f in found]
                 low, size = i, 0
             size += more
 
 
 def build_index(docs: DataFrame, blocks) -> DataFrame:
-    """The index as rows, one for each segment and block of test items; ``blocks`` is a broadcast list."""
+    """The index as rows, one for each segment, whole in itself; ``blocks`` is a broadcast list."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, b, parts in segments(batches, blocks.value):
+        part = pa.list_(pa.struct([(p, pa.binary()) for p in PART]))
+        for rows, lengths, found in segments(batches, blocks.value):
             ids = rows.column("doc_id")
+            packed = [[{p: x.tobytes() for p, x in zip(PART, f)} for f in found]]
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)],
-                ["doc_ids", "block", "lengths", "terms", "counts", "places"],
+                [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([lengths.tobytes()], pa.binary()), pa.array(packed, part)], ["doc_ids", "lengths", "parts"]
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, INDEX.format(id=kind))
@@ -228,15 +230,13 @@ def summary(lengths, hit_at, starts, names: list[set[str]], near: list[set[str]]
     ]
 
 
-def search_blocks(found: list[tuple[tuple, Block]], slack: int, least: float) -> list[pa.Array]:
+def search_blocks(lengths: np.ndarray, found: list[tuple], blocks: list[Block], slack: int, least: float) -> list[pa.Array]:
     """Results of one segment's documents over all blocks of test items."""
-    hit_at, names, near, segment = None, None, None, None
-    for parts, block in found:
-        segment = Segment(*parts, len(block.terms))
+    hit_at, names, near = None, [set() for _ in lengths], [set() for _ in lengths]
+    for parts, block in zip(found, blocks):
+        segment = Segment(lengths, *parts, len(block.terms))
         at, exact, close = segment.search(block, slack, least)
         hit_at = at if hit_at is None else hit_at | at
-        names = names or [set() for _ in exact]
-        near = near or [set() for _ in exact]
         for into, sets in ((names, exact), (near, close)):
             for mine, new in zip(into, sets):
                 mine.update(block.items[k] for k in new if block.items[k] is not None)
@@ -244,21 +244,16 @@ def search_blocks(found: list[tuple[tuple, Block]], slack: int, least: float) ->
 
 
 def search(index: DataFrame, blocks, slack: int = 0, least: float = 0.8) -> DataFrame:
-    """One row for each indexed document."""
+    """One row for each indexed document; ``blocks`` are those the index was built with."""
     kind = dict(index.dtypes)["doc_ids"][len("array<") : -1]
-    parts = ("lengths", "terms", "counts", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: list = []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                b = row.column("block")[0].as_py()
-                have.append((tuple(np.frombuffer(row.column(p)[0].as_buffer(), np.int32) for p in parts), blocks.value[b]))
-                if b == len(blocks.value) - 1:
-                    ids = row.column("doc_ids").flatten()
-                    yield pa.RecordBatch.from_arrays([ids, *search_blocks(have, slack, least)], names_of(RESULT))
-                    have = []
+                lengths = np.frombuffer(row.column("lengths")[0].as_buffer(), np.int32)
+                found = [tuple(np.frombuffer(p[x].as_buffer(), np.int32) for x in PART) for p in row.column("parts")[0]]
+                yield pa.RecordBatch.from_arrays([row.column("doc_ids").flatten(), *search_blocks(lengths, found, blocks.value, slack, least)], names_of(RESULT))
 
     return index.mapInArrow(run, RESULT.format(id=kind))
 
@@ -282,12 +277,8 @@ def flag(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int =
     rows = docs.select(*[f"`{c}`" for c in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: list = []
-        for part, b, parts in segments(batches, shared.value):
-            have.append((parts, shared.value[b]))
-            if b == len(shared.value) - 1:
-                hit = search_blocks(have, 0, 1.0)[names_of(RESULT).index("contaminated") - 1]
-                yield pa.RecordBatch.from_arrays([*part.columns, hit], [*part.schema.names, "contaminated"])
-                have = []
+        for part, lengths, found in segments(batches, shared.value):
+            hit = search_blocks(lengths, found, shared.value, 0, 1.0)[names_of(RESULT).index("contaminated") - 1]
+            yield pa.RecordBatch.from_arrays([*part.columns, hit], [*part.schema.names, "contaminated"])
 
     return rows.mapInArrow(run, shape_with(rows, "contaminated boolean"))

@@ -133,7 +133,9 @@ def by_hand(texts, items, n=10):
 
 
 @pytest.mark.parametrize("block_words, candidates", [(10**6, 1 << 21), (15, 3)])
-def test_decontamination(spark, edge, nothing, block_words, candidates, monkeypatch):
+def test_decontamination(spark, edge, nothing, block_words, candidates, monkeypatch, tmp_path):
+    monkeypatch.setattr(decontaminate, "CANDIDATES", candidates)
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 200 if candidates == 3 else 6 << 20)
     passage = " ".join(f"w{i}" for i in range(25))
     items = [(1, passage), (12, "short item"), (2, "Ünï cödé"), (3, None), (4, "..."), (None, "one two"), (5, passage), (6, "the the the"), (7, "a b " * 10)]
     texts = [passage, passage.upper() + ". " + passage, " ".join(passage.split()[3:13]), " ".join(passage.split()[3:12]), "ünï cödé, ÜNÏ cödé", "the the the the", "a b " * 30, "Short-Item!", "w24 " + passage]
@@ -143,6 +145,10 @@ def test_decontamination(spark, edge, nothing, block_words, candidates, monkeypa
     all_texts = [r.text for r in docs.collect()]
     want = sorted(by_hand(all_texts, items))
     assert sorted(tuple(r)[1:6] for r in rows) == want
+    blocks = spark.sparkContext.broadcast(decontaminate.blocks_of(bench, 10, block_words))
+    where = str(tmp_path / "index")
+    decontaminate.build_index(docs, blocks).repartition(5).write.parquet(where)  # a stored index gives the same
+    assert sorted(tuple(r)[1:6] for r in decontaminate.search(spark.read.parquet(where), blocks).collect()) == want
     flagged = decontaminate.flag(edge.drop("x"), bench, block_words=block_words).collect()
     assert sorted(r.contaminated for r in flagged) == sorted(x[4] for x in by_hand([r.text for r in edge.collect()], items))
     assert decontaminate.decontaminate(nothing, bench).count() == 0 == decontaminate.flag(nothing, bench).count()
