@@ -11,6 +11,7 @@ import datetime as dt
 import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from enum import Enum
 from typing import Any
 
@@ -148,6 +149,7 @@ class TableWatcher(Service):
         self.callbacks: list[BatchCallback] = []
         self.metrics = {"last_poll_had_changes": False, "rows": 0, "polls": 0, "last_poll_s": 0.0}
         self.position = EARLIEST
+        self.last_statement: str | None = None
 
     def on_batch(self, callback: BatchCallback) -> TableWatcher:
         self._must_be_new()
@@ -171,6 +173,7 @@ class TableWatcher(Service):
 
     def poll_once(self) -> bool:
         began, shard = time.monotonic(), self.shard_of()
+        self.last_statement = f"{self.spec.ref.full_name} after {self.position}, {shard or 'no shard'}, limit {self.limit}"
         rows = planned_poll(self.table(), self.spec, self.position, shard, self.limit, self.metrics["last_poll_had_changes"], self.clock(), self.fallback_seconds)
         batch = rows.persist()
         try:
@@ -214,19 +217,24 @@ class ChangeSetWatcher(TableWatcher):
 
 
 class DatabaseWatcher(Service):
-    """Watches several tables in turn; the first failure stops all of them."""
+    """Watches several tables; the first failure stops all of them.
 
-    def __init__(self, watchers: list[TableWatcher], interval: float = 1.0):
+    Tables are polled in turn, or ``parallel`` at a time, each as jobs of its own: the
+    order of events holds within a table, not between tables.
+    """
+
+    def __init__(self, watchers: list[TableWatcher], interval: float = 1.0, parallel: int = 1):
         super().__init__(interval)
+        self.parallel = parallel
         if not watchers:
             raise TableNotFound("no table is left to watch")
         self.watchers = watchers
 
     @classmethod
-    def over(cls, tables: dict[str, tuple[Callable[[], DataFrame], TableSpec]], interval: float = 1.0, shards: dict[str, Shard] | None = None, shard: Shard | None = None, **options) -> DatabaseWatcher:
+    def over(cls, tables: dict[str, tuple[Callable[[], DataFrame], TableSpec]], interval: float = 1.0, shards: dict[str, Shard] | None = None, shard: Shard | None = None, parallel: int = 1, **options) -> DatabaseWatcher:
         """One watcher a table; ``shards`` overrides ``shard`` by table name."""
         made = [TableWatcher(t, spec, shard=(shards or {}).get(name, shard), interval=interval, **options) for name, (t, spec) in tables.items()]
-        return cls(made, interval)
+        return cls(made, interval, parallel)
 
     def on_batch(self, callback: BatchCallback) -> DatabaseWatcher:
         self._must_be_new()
@@ -245,7 +253,10 @@ class DatabaseWatcher(Service):
             w.prepare()
 
     def poll_once(self) -> bool:
-        return any([w.poll_once() for w in self.watchers])
+        if self.parallel == 1:
+            return any([w.poll_once() for w in self.watchers])
+        with ThreadPoolExecutor(self.parallel) as pool:
+            return any(list(pool.map(lambda w: w.poll_once(), self.watchers)))
 
 
 def ticking(spark: SparkSession, service: Service, interval: str = "1 second", checkpoint: str | None = None):

@@ -130,15 +130,17 @@ def test_missing_table_or_column_fails_while_starting(spark):
     assert gone.state is State.FAILED and gone.failed_from is State.STARTING
 
 
-def test_several_tables(spark):
+@pytest.mark.parametrize("parallel", [1, 2])
+def test_several_tables(spark, parallel):
     a, b = Table(spark, "a"), Table(spark, "b")
     a.commit(1, (1, "x"), (2, "y"))
     b.commit(2, (7, "z"), shard="other")
     store = MemoryPositionStore(start="earliest")
-    w = DatabaseWatcher.over({"a": (a, a.spec), "b": (b, b.spec)}, shards={"b": FixedShard("shard", "other")}, positions=store)
+    w = DatabaseWatcher.over({"a": (a, a.spec), "b": (b, b.spec)}, shards={"b": FixedShard("shard", "other")}, parallel=parallel, positions=store)
     seen = collect(w)
     w.run_available()
-    assert [s[:2] for s in seen] == [("a", 1), ("a", 2), ("b", 7)]
+    assert sorted(s[:2] for s in seen) == [("a", 1), ("a", 2), ("b", 7)]
+    assert all("limit 10000" in x.last_statement for x in w.watchers)
     assert store.get(b.spec.ref, "other") == Position(T0 + dt.timedelta(hours=2), (7,))
     with pytest.raises(TableNotFound):
         DatabaseWatcher([])
