@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rowtide.llm import decontaminate, mixing, quality_model, sharding, simhash
-from rowtide.llm.common import DOCUMENT_COLUMNS, shared_dir
+from rowtide.llm.common import DOCUMENT_COLUMNS, remove, shared_dir
 
 SHARDS = 16
 ORACLE_SQL = None
@@ -55,10 +55,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage's result is written to the shared folder and reread."""
+    """The rows of the last stage; each stage's result is written to the shared folder and reread.
+
+    A stage's table is deleted when the next one stands; the last is the caller's.
+    """
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

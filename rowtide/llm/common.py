@@ -81,3 +81,9 @@ def _lengths(column):
 def shape_with(df: DataFrame, more: str) -> T.StructType:
     """The schema of ``df`` followed by the fields in the DDL string ``more``."""
     return T.StructType([*df.schema.fields, *T._parse_datatype_string(more).fields])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by whatever file system its path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
