@@ -56,7 +56,8 @@ class Position:
         if self.ts != other.ts:
             return self.ts < other.ts
         # No key stands for the end of the commit.
-        return other.key is None or (self.key is not None and tuple(self.key) <= tuple(other.key))
+        nulls_first = lambda key: [(v is not None, v) for v in key]
+        return other.key is None or (self.key is not None and nulls_first(self.key) <= nulls_first(other.key))
 
 
 #: Reads a table from its first row; rows without a commit timestamp are never seen.

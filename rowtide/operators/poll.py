@@ -32,12 +32,15 @@ def after(df: DataFrame, spec: TableSpec, position: Position) -> Column:
     at = typed(df, spec.commit_ts, position.ts)
     if position.key is None:
         return ts > at
-    # (pk1 > k1) or (pk1 = k1 and pk2 > k2) or ...
-    beyond = reduce(
-        lambda rest, pair: (F.col(pair[0]) > typed(df, pair[0], pair[1])) | ((F.col(pair[0]) == typed(df, pair[0], pair[1])) & rest),
-        reversed(list(zip(spec.primary_key, position.key))),
-        F.lit(False),
-    )
+    # (pk1 > k1) or (pk1 = k1 and pk2 > k2) or ...; nulls come first, as they sort.
+    def beyond_from(rest: Column, pair: tuple) -> Column:
+        name, value = pair
+        c = F.col(name)
+        if value is None:
+            return c.isNotNull() | rest
+        return (c > typed(df, name, value)) | ((c == typed(df, name, value)) & rest)
+
+    beyond = reduce(beyond_from, reversed(list(zip(spec.primary_key, position.key))), F.lit(False))
     return (ts >= at) & ((ts > at) | beyond)
 
 

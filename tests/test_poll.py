@@ -53,6 +53,14 @@ def seen_position(seen):
     return seen[-1][0], seen[-1][1:3]
 
 
+@pytest.mark.parametrize("limit", [1, 3, 100])
+def test_null_keys_within_a_commit(spark, limit):
+    rows = [(T0, a, b, "x") for a in (None, False, True) for b in (None, 1, 2)] + [(T0 + dt.timedelta(1), None, None, "y")]
+    df = spark.createDataFrame(rows[::-1], "ts timestamp_ntz, a boolean, b int, s string")
+    assert drained(df, limit) == rows
+    assert Position(T0, (None, 1)) <= Position(T0, (False, None)) and not Position(T0, (False, None)) <= Position(T0, (None, 1))
+
+
 def test_drain_orders_with_real_ties(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_orderdate")
     spec = TableSpec(TableRef("db", "orders"), "o_orderdate", ("o_orderkey",))
