@@ -206,11 +206,15 @@ def place(rows: DataFrame, plan: DataFrame, seed: int = 11) -> DataFrame:
     return joined.withColumn("copies", copies).withColumn("places", F.transform(F.filter("passes", lambda p: p["e"] < F.col("copies")), one))
 
 
-def mix(docs: DataFrame, shards: int = 16, seed: int = 11, **options) -> DataFrame:
+def mix(docs: DataFrame, shards: int = 16, seed: int = 11, part_rows: int = 2000, **options) -> DataFrame:
     """The mixed rows: every column of ``docs`` plus ``mix_shard`` and ``mix_copy``, each shard shuffled."""
     kept = [c for c in docs.columns if c.lower() not in ("mix_shard", "mix_copy")]
-    _, plan = plan_mix(docs, shards=shards, seed=seed, **options)
+    table, plan = plan_mix(docs, shards=shards, seed=seed, **options)
+    parts = max(1, -(-table.count() // (shards * part_rows)))
     whole = docs.select("doc_id", "text", "source", F.struct(*[f"`{c}`" for c in kept]).alias("__mix_row"))
     rows = place(slim(whole, seed).drop("text", "doc_id"), plan, seed)
     each = rows.select("__mix_row", F.explode("places").alias("p")).select("__mix_row.*", F.col("p.shard").alias("mix_shard"), F.col("p.copy").alias("mix_copy"), F.col("p.rank").alias("__mix_rank"))
-    return each.repartition("mix_shard").sortWithinPartitions("mix_shard", "__mix_rank").drop("__mix_rank")
+    # A shard is dealt out in ``parts`` stretches of its order, so it may be larger than a task.
+    stretch = F.floor(F.shiftrightunsigned("__mix_rank", 1) / F.lit(2.0**63 / parts))
+    dealt = each.withColumn("__mix_part", stretch).repartition("mix_shard", "__mix_part")
+    return dealt.sortWithinPartitions("mix_shard", "__mix_part", "__mix_rank").drop("__mix_part", "__mix_rank")
