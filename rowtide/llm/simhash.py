@@ -282,10 +282,12 @@ def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple
     return points[a], points[b]
 
 
-def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, accept_bits: int = 0, hot_points: int = 500_000, keys: int = 4096) -> DataFrame:
+def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, accept_bits: int = 0, hot_points: int = 500_000, group_rows: int = 1 << 20) -> DataFrame:
     """Edges (a, b) that connect what is within ``max_bits``; ``points`` has distinct fp, sketch, size.
 
     Pairs up to ``accept_bits`` apart, if that is more, are taken too where they meet.
+    Anchors are hashed to as many groups as give each about ``group_rows`` replicas (some
+    20 MB): the fewer groups a point is in, the fewer edges span what it is linked to.
     """
 
     def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -304,6 +306,7 @@ def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool =
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(keys)), pa.array(total)], ["k", "n"])
 
     points = points.select("fp", "sketch", "size")
+    keys = max(16, -(-points.count() * (61 if max_bits <= 2 else 216) // group_rows))
     counts = points.mapInArrow(census, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > hot_points).collect()
     split = np.ones(keys, np.int64)
     for r in counts:
@@ -312,8 +315,8 @@ def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool =
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover = Cover(max_bits, sized)
         for batch in batches:
-            for at in range(0, batch.num_rows, 10_000):
-                fp, sketch, size = arrays(batch.slice(at, 10_000))
+            for at in range(0, batch.num_rows, 4000):
+                fp, sketch, size = arrays(batch.slice(at, 4000))
                 out = []
                 for home, (row, cell) in ((1, cover.homes(fp, size)), (0, cover.replicas(fp, size))):
                     key = key_of(cell)

@@ -79,7 +79,7 @@ def test_links_of_points(spark, hot_points, pairs, monkeypatch):
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(s, 0, 0) for s in signed], "fp long, sketch long, size long")
-    found = {r.fp: r.root for r in simhash.grouped(df, 2, hot_points=hot_points, keys=64).collect()}
+    found = {r.fp: r.root for r in simhash.grouped(df, 2, hot_points=hot_points, group_rows=100).collect()}
     want = slow_groups(fps, fps, 2)
     ours = collections.defaultdict(set)
     theirs = collections.defaultdict(set)
