@@ -89,7 +89,7 @@ def fingerprint(text: str | None, words: int = 3, sketch: bool = False) -> tuple
             parts.append(h)
     fp = int(np.packbits(2 * votes > n).view(np.uint64)[0])
     if not sketch or not n:
-        return fp, 0, 0, b""
+        return fp, 0, 0, bytes(256) if sketch else b""
     h = np.unique(np.concatenate(parts))
     few, full = minima(h, 4)
     few = np.where(full, few >> np.uint64(60), np.uint64(0))

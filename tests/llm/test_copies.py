@@ -160,6 +160,13 @@ def test_near_copies(spark, edge, nothing):
     assert simhash.near_copies(nothing).count() == 0
 
 
+def test_wordless_text_beside_a_short_one(spark):
+    texts = (f"w{i}" for i in range(2_000_000))
+    zero = next(t for t in texts if (lambda f: f.bit_count() <= 20 and any(f >> k & m == 0 for k, m in ((0, 0x7FFFFF), (23, 0x7FFFFF), (46, 0x3FFFF))))(simhash.fingerprint(t, 5, True)[0]))
+    docs = spark.createDataFrame([(0, None), (1, zero), (2, " ")], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.near_copies(docs).collect()} == {0, 1}
+
+
 # --- WARC --------------------------------------------------------------------------
 
 
