@@ -20,7 +20,9 @@ homes is split into chunks (its replicas go to each).  Stars are joined into
 components by alternating large-star and small-star steps over DataFrames, each
 written to the shared folder.
 
-For shingle similarity (``near_copies``) points also carry the number of distinct
+For shingle similarity (``near_copies``) a point is a set of shingles, named by a
+hash of it; each shingle votes once, however often a text repeats it.  Points of equal
+fingerprints are linked like any other, and carry the number of
 shingles and 16 four-bit minima: only points of about equal sizes meet, and a pair
 needs enough equal minima beside the few differing bits.  Here an anchor gives out a
 maximum spanning forest of its links by equal minima, real pairs again no more than
@@ -79,27 +81,33 @@ def minima(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return h[np.minimum(firsts, len(h) - 1)] * MIX, full
 
 
-def fingerprint(text: str | None, words: int = 3, sketch: bool = False) -> tuple[int, int, int, bytes]:
-    """Fingerprint, and if asked for 16 four-bit minima, the number of distinct shingles, and 256 bytes of minima."""
-    votes, n, parts = np.zeros(64, np.int64), 0, []
-    for h in shingle_hashes(text, words):
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        n += len(h)
-        if sketch:
-            parts.append(h)
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
+def fingerprint(text: str | None, words: int = 3, sketch: bool = False) -> tuple[int, int, int, int, bytes]:
+    """Fingerprint and node (the same); with ``sketch`` both of the set of shingles, and that set's 16 four-bit minima, size and 256 bytes of minima."""
+    votes, n = np.zeros(64, np.int64), 0
+    h = shingle_set(text, words) if sketch else None
+    for part in (h[i : i + PART] for i in range(0, len(h), PART)) if sketch else shingle_hashes(text, words):
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(part)
     fp = int(np.packbits(2 * votes > n).view(np.uint64)[0])
-    if not sketch or not n:
-        return fp, 0, 0, bytes(256) if sketch else b""
-    h = np.unique(np.concatenate(parts))
+    if not sketch:
+        return fp, fp, 0, 0, b""
+    node = xxhash.xxh64_intdigest(h.tobytes(), SEED)
+    if not n:
+        return fp, node, 0, 0, bytes(256)
     few, full = minima(h, 4)
     few = np.where(full, few >> np.uint64(60), np.uint64(0))
     many, full = minima(h, 8)
     wide = np.where(full, (many >> np.uint64(40)) % np.uint64(255) + np.uint64(1), np.uint64(0))
-    return fp, int((few << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(dtype=np.uint64)), len(h), wide.astype(np.uint8).tobytes()
+    return fp, node, int((few << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(dtype=np.uint64)), len(h), wide.astype(np.uint8).tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = 3, sketch: bool = False) -> DataFrame:
-    """doc_id, th (a hash of the text), fp, sketch, size and wide (256 minima) of every row of ``docs``."""
+    """doc_id, th (a hash of the text), fp, node (names the point), sketch, size and wide (256 minima) of every row of ``docs``."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
 
@@ -107,11 +115,11 @@ def fingerprints(docs: DataFrame, words: int = 3, sketch: bool = False) -> DataF
         for batch in batches:
             for part in text_batches(batch, "text"):
                 found = [fingerprint(t, words, sketch) for t in part.column("text").to_pylist()]
-                numbers = np.array([f[:3] for f in found], np.uint64).reshape(-1, 3)
-                columns = [*(pa.array(numbers[:, i].copy().view(np.int64)) for i in range(3)), pa.array([f[3] for f in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), *columns], ["doc_id", "th", "fp", "sketch", "size", "wide"])
+                numbers = np.array([f[:4] for f in found], np.uint64).reshape(-1, 4)
+                columns = [*(pa.array(numbers[:, i].copy().view(np.int64)) for i in range(4)), pa.array([f[4] for f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), *columns], ["doc_id", "th", "fp", "node", "sketch", "size", "wide"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long, sketch long, size long, wide binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long, node long, sketch long, size long, wide binary")
 
 
 # --- anchors ---------------------------------------------------------------------
@@ -232,9 +240,9 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarr
 
 
 def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of fingerprints that span the links between homes and replicas.
+    """Pairs of nodes that span the links between homes and replicas.
 
-    Both are (cell, fp, sketch) arrays.  Without ``least_equal`` the pairs are stars,
+    Both are (cell, fp, sketch, node) arrays; without the last, nodes are fingerprints.  Without ``least_equal`` the pairs are stars,
     with it the links of a maximum spanning forest.
     """
 
@@ -247,12 +255,13 @@ def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple
         return a, root[a], np.zeros(len(a), np.int8)
 
     order = np.argsort(home[0], kind="stable")
-    cell, fp, sketch = (x[order] for x in home)
+    cell, fp, sketch, *_ = (x[order] for x in home)
+    mine, other = home[3][order] if len(home) > 3 else fp, visit[3] if len(visit) > 3 else visit[1]
     low, high = (np.searchsorted(cell, visit[0], side=s) for s in ("left", "right"))
     live = np.flatnonzero(high > low)
     n = (high - low)[live]
     ends, at = np.cumsum(n), 0
-    points = np.unique(np.concatenate([fp, visit[1][live]]))
+    points = np.unique(np.concatenate([mine, other[live]]))
     a = b = np.zeros(0, np.int64)
     weight = np.zeros(0, np.int8)
     while at < len(live):
@@ -264,16 +273,16 @@ def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple
             y = np.repeat(v, m)
             x = np.repeat(first + skip, m) + np.arange(len(y)) - np.repeat(np.cumsum(m) - m, m)
             away = np.bitwise_count(fp[x] ^ visit[1][y])
-            ok = (away <= max_bits) & (away > 0)
+            ok = (away <= max_bits) & (mine[x] != other[y])
             x, y = x[ok], y[ok]
             equal = np.zeros(len(x), np.int8)
             if least_equal and len(x):
-                other = sketch[x] ^ visit[2][y]
-                equal = sum((((other >> np.uint64(4 * k)) & np.uint64(15)) == 0).astype(np.int8) for k in range(16))
+                change = sketch[x] ^ visit[2][y]
+                equal = sum((((change >> np.uint64(4 * k)) & np.uint64(15)) == 0).astype(np.int8) for k in range(16))
                 ok = equal >= least_equal
                 x, y, equal = x[ok], y[ok], equal[ok]
-            a = np.concatenate([a, np.searchsorted(points, fp[x])])
-            b = np.concatenate([b, np.searchsorted(points, visit[1][y])])
+            a = np.concatenate([a, np.searchsorted(points, mine[x])])
+            b = np.concatenate([b, np.searchsorted(points, other[y])])
             weight = np.concatenate([weight, equal])
             if len(a) > PAIRS:
                 a, b, weight = spanning(a, b, weight)
@@ -283,16 +292,18 @@ def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple
 
 
 def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, accept_bits: int = 0, hot_points: int = 500_000, group_rows: int = 1 << 20) -> DataFrame:
-    """Edges (a, b) that connect what is within ``max_bits``; ``points`` has distinct fp, sketch, size.
+    """Edges (a, b) that connect what is within ``max_bits``; ``points`` has fp, sketch, size and distinct nodes.
 
     Pairs up to ``accept_bits`` apart, if that is more, are taken too where they meet.
     Anchors are hashed to as many groups as give each about ``group_rows`` replicas (some
     20 MB): the fewer groups a point is in, the fewer edges span what it is linked to.
     """
 
-    def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        fp, sketch, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "sketch", "size"))
-        return fp.view(np.uint64), sketch.view(np.uint64), size
+    more = ("sketch", "node") if least_equal else ()
+
+    def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        size, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "fp", *more))
+        return size, *(x.view(np.uint64) for x in rest)
 
     def key_of(cell: np.ndarray) -> np.ndarray:
         return ((cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % keys
@@ -300,12 +311,12 @@ def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool =
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover, total = Cover(max_bits, sized), np.zeros(keys, np.int64)
         for batch in batches:
-            fp, _, size = arrays(batch)
+            size, fp, *_ = arrays(batch)
             if len(fp):
                 total += np.bincount(key_of(cover.homes(fp, size)[1]), minlength=keys)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(keys)), pa.array(total)], ["k", "n"])
 
-    points = points.select("fp", "sketch", "size")
+    points = points.select("size", "fp", *more)
     keys = max(16, -(-points.count() * (61 if max_bits <= 2 else 216) // group_rows))
     counts = points.mapInArrow(census, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > hot_points).collect()
     split = np.ones(keys, np.int64)
@@ -316,7 +327,7 @@ def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool =
         cover = Cover(max_bits, sized)
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
-                fp, sketch, size = arrays(batch.slice(at, 4000))
+                size, fp, *rest = arrays(batch.slice(at, 4000))
                 out = []
                 for home, (row, cell) in ((1, cover.homes(fp, size)), (0, cover.replicas(fp, size))):
                     key = key_of(cell)
@@ -331,25 +342,23 @@ def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool =
                     edge = np.flatnonzero(np.diff(key, prepend=-1) | np.diff(chunk, prepend=-1))
                     for low, high in zip(edge, np.append(edge[1:], len(key))):
                         r = row[low:high]
-                        out.append((int(key[low]), int(chunk[low]), home, cell[low:high].tobytes(), fp[r].tobytes(), sketch[r].tobytes() if least_equal else b""))
+                        out.append((int(key[low]), int(chunk[low]), home, cell[low:high].tobytes(), *(x[r].tobytes() for x in (fp, *rest))))
                 if out:
-                    types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["k", "chunk", "home", "cell", "fp", "sketch"])
+                    types = (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * (2 + len(more)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["k", "chunk", "home", "cell", "fp", *more])
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        home, rows = table.column("home").to_pylist(), [table.column(c).to_pylist() for c in ("cell", "fp", "sketch")]
+        home, rows = table.column("home").to_pylist(), [table.column(c).to_pylist() for c in ("cell", "fp", *more)]
 
         def side(want: int) -> tuple[np.ndarray, ...]:
             own = [i for i, h in enumerate(home) if h == want]
-            fp = np.frombuffer(b"".join(rows[1][i] for i in own), np.uint64)
-            cell = np.frombuffer(b"".join(rows[0][i] for i in own), np.int32)
-            sketch = np.frombuffer(b"".join(rows[2][i] for i in own), np.uint64)
-            return cell, fp, sketch if least_equal else fp
+            cell, fp, *rest = (np.frombuffer(b"".join(x[i] for i in own), np.uint64 if k else np.int32) for k, x in enumerate(rows))
+            return cell, fp, *(rest or [fp])
 
         a, b = compare(side(1), side(0), max(max_bits, accept_bits), least_equal)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    sent = points.mapInArrow(spread, "k long, chunk long, home int, cell binary, fp binary, sketch binary")
+    sent = points.mapInArrow(spread, "k long, chunk long, home int, cell binary, fp binary" + "".join(f", {c} binary" for c in more))
     return sent.groupBy("k", "chunk").applyInArrow(meet, "a long, b long")
 
 
@@ -388,8 +397,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def verified(edges: DataFrame, points: DataFrame, least: float) -> DataFrame:
     """Edges whose ends share at least ``least`` of the minima that either of them has."""
-    wide = points.select("fp", "wide")
-    both = edges.distinct().join(wide.select(F.col("fp").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("fp").alias("b"), F.col("wide").alias("wb")), "b")
+    wide = points.select("node", "wide")
+    both = edges.distinct().join(wide.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,18 +409,18 @@ def verified(edges: DataFrame, points: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
-def grouped(rows: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, least: float = 0.0, **options) -> DataFrame:
-    """(fp, root) of every distinct fingerprint in ``rows``; linked ones share their root."""
-    more = ["wide"] if least else []
-    points = cut(rows.groupBy("fp").agg(F.min(F.struct("size", "sketch", *more)).alias("s")).select("fp", "s.sketch", "s.size", *[f"s.{c}" for c in more]))
+def grouped(rows: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, least: float = 0.0, key: str = "fp", **options) -> DataFrame:
+    """(key, root) of every distinct ``key`` (fp or node) in ``rows``; linked ones share their root."""
+    own = ["size", "sketch", *(["fp", "wide"] if least else [])]
+    points = cut(rows.groupBy(key).agg(F.min(F.struct(*own)).alias("s")).select(key, *[f"s.{c}" for c in own]))
     edges = links(points, max_bits, least_equal, sized, **options)
     found = components(verified(edges, points, least) if least else edges)
-    return points.join(found, points.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return points.join(found.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("root", key).alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, **options) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the least doc_id that can be reached over links."""
-    rows = cut(fingerprints(docs, words).drop("wide"))
+    rows = cut(fingerprints(docs, words).drop("node", "wide"))
     groups = grouped(rows, max_bits, **options)
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("first")).join(groups, "fp")
     names = least.join(least.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
@@ -427,10 +436,10 @@ def near_copies(docs: DataFrame, words: int = 5, max_bits: int = 11, least_equal
     ``least`` is for the estimate from 256 minima, whose deviation is 0.025.
     """
     rows = cut(fingerprints(docs, words, sketch=True))
-    groups = grouped(rows, max_bits, least_equal, sized=True, least=least, accept_bits=accept_bits, **options)
+    groups = grouped(rows, max_bits, least_equal, sized=True, least=least, key="node", accept_bits=accept_bits, **options)
     rows = rows.drop("wide")
-    pick = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "fp")).alias("w")
-    firsts = rows.groupBy("fp").agg(pick).join(groups, "fp")
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "node")).alias("w")
+    firsts = rows.groupBy("node").agg(pick).join(groups, "node")
     winners = cut(firsts.groupBy("root").agg(F.min("w").alias("w")).select("w.doc_id", "w.th"))
     w = winners.select(F.col("doc_id").alias("__w_id"), F.col("th").alias("__w_th"))
     keyed = docs.withColumn("__w_text", F.xxhash64("text"))

@@ -167,6 +167,16 @@ def test_wordless_text_beside_a_short_one(spark):
     assert {r.doc_id for r in simhash.near_copies(docs).collect()} == {0, 1}
 
 
+def test_texts_ruled_by_one_shingle(spark):
+    make = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    dashes = " ".join("-" * 400)
+    block = make("x", 60)
+    texts = [f"{dashes} {make('a', 90)}", f"{dashes} {make('b', 90)}", f"{make('c', 60)} {block}", " ".join([make("c", 60)] + [block] * 10)]
+    assert simhash.fingerprint(texts[0], 5)[0] == simhash.fingerprint(texts[1], 5)[0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.near_copies(docs).collect()} == {0, 1, 2}  # unlike ones stay, the repeated block is a copy
+
+
 # --- WARC --------------------------------------------------------------------------
 
 
