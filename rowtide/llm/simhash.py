@@ -25,10 +25,11 @@ hash of it; each shingle votes once, however often a text repeats it.  Points of
 fingerprints are linked like any other, and carry the number of
 shingles and 16 four-bit minima: only points of about equal sizes meet, and a pair
 needs enough equal minima beside the few differing bits.  Here an anchor gives out a
-maximum spanning forest of its links by equal minima, real pairs again no more than
-its points; each pair is then checked with 256 one-byte minima of both texts.  (The
-forest of all pairs lies within the union of the anchors' forests, and cutting its
-weak edges leaves the components of the strong ones.)
+maximum spanning forest of its links by equal minima, no more pairs than points, and
+each pair is checked.  As the check is another measure than the forest's weight, a
+second pass takes the points that had links beside the forest and checks all of those
+that lie between different components of the first; so the result is the components
+of all links that pass the check.
 
 Defined results: null, empty and wordless texts have fingerprint 0 and are linked
 like any other; fewer words than a shingle are one shingle; repeated rows each get
@@ -239,16 +240,25 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarr
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
-def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple[np.ndarray, np.ndarray]:
+def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes that span the links between homes and replicas.
 
-    Both are (cell, fp, sketch, node) arrays; without the last, nodes are fingerprints.  Without ``least_equal`` the pairs are stars,
-    with it the links of a maximum spanning forest.
+    Both are (cell, fp, sketch, node, label) arrays; without node, nodes are fingerprints.
+    Without ``least_equal`` the pairs are stars, with it the links of a maximum spanning
+    forest, and (a, a) for every node with links beside it.  With ``apart`` all links
+    between nodes of different labels are given.
     """
 
     def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
         if least_equal:
+            first = np.unique(np.minimum(a, b) * len(points) + np.maximum(a, b), return_index=True)[1]  # many anchors give the same pair
+            a, b, weight = a[first], b[first], weight[first]
+            if apart:
+                return a, b, weight
             keep = forest(len(points), a, b, weight)
+            left = np.ones(len(a), bool)
+            left[keep] = False
+            open_[a[left]] = open_[b[left]] = True
             return a[keep], b[keep], weight[keep]
         root = stars(len(points), a, b)
         a = np.flatnonzero(root != np.arange(len(points)))
@@ -256,6 +266,7 @@ def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple
 
     order = np.argsort(home[0], kind="stable")
     cell, fp, sketch, *_ = (x[order] for x in home)
+    labels = home[4][order] if apart else None
     mine, other = home[3][order] if len(home) > 3 else fp, visit[3] if len(visit) > 3 else visit[1]
     low, high = (np.searchsorted(cell, visit[0], side=s) for s in ("left", "right"))
     live = np.flatnonzero(high > low)
@@ -264,6 +275,7 @@ def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple
     points = np.unique(np.concatenate([mine, other[live]]))
     a = b = np.zeros(0, np.int64)
     weight = np.zeros(0, np.int8)
+    open_, full = np.zeros(len(points), bool), PAIRS
     while at < len(live):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
         first, many, v = low[live[at:to]], n[at:to], live[at:to]
@@ -274,6 +286,8 @@ def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple
             x = np.repeat(first + skip, m) + np.arange(len(y)) - np.repeat(np.cumsum(m) - m, m)
             away = np.bitwise_count(fp[x] ^ visit[1][y])
             ok = (away <= max_bits) & (mine[x] != other[y])
+            if apart:
+                ok &= labels[x] != visit[4][y]
             x, y = x[ok], y[ok]
             equal = np.zeros(len(x), np.int8)
             if least_equal and len(x):
@@ -284,22 +298,24 @@ def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple
             a = np.concatenate([a, np.searchsorted(points, mine[x])])
             b = np.concatenate([b, np.searchsorted(points, other[y])])
             weight = np.concatenate([weight, equal])
-            if len(a) > PAIRS:
+            if len(a) > full:
                 a, b, weight = spanning(a, b, weight)
+                full = max(PAIRS, 2 * len(a))
         at = to
     a, b, _ = spanning(a, b, weight)
-    return points[a], points[b]
+    return points[np.append(a, np.flatnonzero(open_))], points[np.append(b, np.flatnonzero(open_))]
 
 
-def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, accept_bits: int = 0, hot_points: int = 500_000, group_rows: int = 1 << 20) -> DataFrame:
+def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, accept_bits: int = 0, hot_points: int = 500_000, group_rows: int = 1 << 20, apart: bool = False) -> DataFrame:
     """Edges (a, b) that connect what is within ``max_bits``; ``points`` has fp, sketch, size and distinct nodes.
 
+    With ``apart`` (``points`` then has label): all pairs between labels; see ``compare``.
     Pairs up to ``accept_bits`` apart, if that is more, are taken too where they meet.
     Anchors are hashed to as many groups as give each about ``group_rows`` replicas (some
     20 MB): the fewer groups a point is in, the fewer edges span what it is linked to.
     """
 
-    more = ("sketch", "node") if least_equal else ()
+    more = ("sketch", "node", *(["label"] if apart else [])) if least_equal else ()
 
     def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         size, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "fp", *more))
@@ -355,7 +371,7 @@ def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool =
             cell, fp, *rest = (np.frombuffer(b"".join(x[i] for i in own), np.uint64 if k else np.int32) for k, x in enumerate(rows))
             return cell, fp, *(rest or [fp])
 
-        a, b = compare(side(1), side(0), max(max_bits, accept_bits), least_equal)
+        a, b = compare(side(1), side(0), max(max_bits, accept_bits), least_equal, apart)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     sent = points.mapInArrow(spread, "k long, chunk long, home int, cell binary, fp binary" + "".join(f", {c} binary" for c in more))
@@ -414,7 +430,15 @@ def grouped(rows: DataFrame, max_bits: int, least_equal: int = 0, sized: bool =
     own = ["size", "sketch", *(["fp", "wide"] if least else [])]
     points = cut(rows.groupBy(key).agg(F.min(F.struct(*own)).alias("s")).select(key, *[f"s.{c}" for c in own]))
     edges = links(points, max_bits, least_equal, sized, **options)
-    found = components(verified(edges, points, least) if least else edges)
+    if least:
+        edges = cut(edges.distinct())
+        found = components(verified(edges.where("a <> b"), points, least))
+        # What the forest left out is checked as well, wherever it would join what is not joined yet.
+        left = points.join(edges.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").join(found, "node", "left")
+        left = cut(left.withColumn("label", F.coalesce("root", "node")))
+        rest = verified(links(left, max_bits, least_equal, sized, apart=True, **options), points, least)
+        edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest)
+    found = components(edges)
     return points.join(found.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("root", key).alias("root"))
 
 

@@ -177,6 +177,17 @@ def test_texts_ruled_by_one_shingle(spark):
     assert {r.doc_id for r in simhash.near_copies(docs).collect()} == {0, 1, 2}  # unlike ones stay, the repeated block is a copy
 
 
+def test_links_beside_the_forest_are_checked(spark):
+    """a and b are copies, and both resemble c more by the forest's weight, less by the check."""
+    even = lambda n: sum(7 << 4 * k for k in range(n)) & ((1 << 64) - 1)
+    sketch = {"c": 0, "a": even(2), "b": even(2) << 8}  # a-c and b-c share 14 of 16, a-b 12
+    wide = {"c": [1] * 256, "a": [1] * 180 + [2] * 76, "b": [1] * 180 + [2] * 70 + [3] * 6}
+    rows = [(i, 1 << i, (s if s < 1 << 63 else s - (1 << 64)), 300, bytes(wide[k])) for i, (k, s) in enumerate(sketch.items())]
+    df = spark.createDataFrame(rows, "node long, fp long, sketch long, size long, wide binary")
+    found = {r.node: r.root for r in simhash.grouped(df, 11, 10, sized=True, least=0.78, key="node").collect()}
+    assert found == {0: 0, 1: 1, 2: 1}
+
+
 # --- WARC --------------------------------------------------------------------------
 
 
