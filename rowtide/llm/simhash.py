@@ -24,9 +24,10 @@ For shingle similarity (``near_copies``) a point is a set of shingles, named by
 hash of it; each shingle votes once, however often a text repeats it.  Points of equal
 fingerprints are linked like any other, and carry the number of
 shingles and 16 four-bit minima: only points of about equal sizes meet, and a pair
-needs enough equal minima beside the few differing bits.  Here an anchor gives out a
+needs some equal minima beside the few differing bits.  Here an anchor gives out a
 maximum spanning forest of its links by equal minima, no more pairs than points, and
-each pair is checked.  As the check is another measure than the forest's weight, a
+each pair is checked: by 256 one-byte minima first, and what they leave by the sets of
+shingles themselves, which alone decide.  As the check is another measure than the forest's weight, a
 second pass takes the points that had links beside the forest and checks all of those
 that lie between different components of the first; so the result is the components
 of all links that pass the check.
@@ -39,10 +40,11 @@ an empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -425,18 +427,66 @@ def verified(edges: DataFrame, points: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
-def grouped(rows: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, least: float = 0.0, key: str = "fp", **options) -> DataFrame:
-    """(key, root) of every distinct ``key`` (fp or node) in ``rows``; linked ones share their root."""
+SIEVE = 1 << 23
+
+
+def exact(edges: DataFrame, docs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """Edges whose ends' texts have a shingle similarity of ``least``; ``rows`` names the texts of nodes."""
+    edges = cut(edges.distinct())
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    one = cut(rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("w")).select("node", "w.th", F.col("w.doc_id").alias("w_id")))
+    # A first sieve, so that few other texts travel; what passes it is checked in the join.
+    sieve = np.zeros(SIEVE, bool)
+    slots = one.select(F.pmod("th", F.lit(SIEVE)).cast("int").alias("slot")).distinct()
+    sieve[slots.toPandas()["slot"].to_numpy(np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(sieve))
+
+    @F.pandas_udf("boolean")
+    def wanted(th: pd.Series) -> pd.Series:
+        slot = th.to_numpy() % SIEVE
+        return pd.Series((shared.value[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool))
+
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where(wanted("th"))
+    texts = texts.join(one.withColumnRenamed("th", "w_th"), (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_batches(batch, "text"):
+                sets = [shingle_set(t, words).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    sets = cut(texts.mapInArrow(cut_up, "node long, shingles binary").dropDuplicates(["node"]))
+    a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                same = int((both[1:] == both[:-1]).sum())
+                keep.append(same >= least * (len(both) - same) and same > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return edges.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def grouped(rows: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, least: float = 0.0, key: str = "fp", check: Callable[[DataFrame], DataFrame] = lambda e: e, **options) -> DataFrame:
+    """(key, root) of every distinct ``key`` (fp or node) in ``rows``; linked ones share their root.
+
+    With ``least``, links need that share of equal minima and have to pass ``check``.
+    """
     own = ["size", "sketch", *(["fp", "wide"] if least else [])]
     points = cut(rows.groupBy(key).agg(F.min(F.struct(*own)).alias("s")).select(key, *[f"s.{c}" for c in own]))
     edges = links(points, max_bits, least_equal, sized, **options)
     if least:
         edges = cut(edges.distinct())
-        found = components(verified(edges.where("a <> b"), points, least))
+        found = cut(components(check(verified(edges.where("a <> b"), points, least))))
         # What the forest left out is checked as well, wherever it would join what is not joined yet.
         left = points.join(edges.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").join(found, "node", "left")
         left = cut(left.withColumn("label", F.coalesce("root", "node")))
-        rest = verified(links(left, max_bits, least_equal, sized, apart=True, **options), points, least)
+        rest = check(verified(links(left, max_bits, least_equal, sized, apart=True, **options), points, least))
         edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest)
     found = components(edges)
     return points.join(found.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("root", key).alias("root"))
@@ -451,16 +501,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, **option
     return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, words: int = 5, max_bits: int = 11, least_equal: int = 10, accept_bits: int = 20, least: float = 0.78, **options) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, max_bits: int = 11, least_equal: int = 7, accept_bits: int = 20, least: float = 0.8, **options) -> DataFrame:
     """One row of each group of near copies: the one with the least doc_id (nulls last).
 
-    Texts with a shingle similarity of 0.8 differ in about 10 of 64 bits and share
-    about 13 of the 16 minima; see the README for how many of such pairs are found.
-    All pairs within ``max_bits`` meet, and many of those up to ``accept_bits``.
-    ``least`` is for the estimate from 256 minima, whose deviation is 0.025.
+    Texts are linked if their shingle similarity is ``least`` or more, by their shingles.
+    What comes to that check: texts of 0.8 differ in about 10 of 64 bits; all pairs within
+    ``max_bits`` meet, and many of those up to ``accept_bits`` (see the README for how many).
+    Of those that meet, ``least_equal`` of 16 minima (lost at 0.8: 1 in 7,000) and an
+    estimate from 256 minima of ``least`` - 0.1 (four deviations) only leave out the far ones.
     """
     rows = cut(fingerprints(docs, words, sketch=True))
-    groups = grouped(rows, max_bits, least_equal, sized=True, least=least, key="node", accept_bits=accept_bits, **options)
+    own = docs.select("doc_id", "text")
+    check = lambda edges: exact(edges, own, rows, words, least)
+    groups = grouped(rows, max_bits, least_equal, sized=True, least=least - 0.1, key="node", check=check, accept_bits=accept_bits, **options)
     rows = rows.drop("wide")
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "node")).alias("w")
     firsts = rows.groupBy("node").agg(pick).join(groups, "node")

@@ -188,6 +188,27 @@ def test_links_beside_the_forest_are_checked(spark):
     assert found == {0: 0, 1: 1, 2: 1}
 
 
+def test_near_copies_against_brute_force(spark):
+    """Pairs of similarities about 0.8: those that meet are linked just from 0.8 on."""
+    rng, texts = random.Random(11), []
+    for _ in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(244)]
+        cut = rng.choice([22, 24, 25, 26, 27, 28, 29, 30, 31, 33, 36, 40])  # new words at the end: 240 - cut of 240 + cut shingles are shared
+        texts += [" ".join(base), " ".join(base[:-cut] + [f"v{rng.randrange(10**6)}" for _ in range(cut)])]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    fps = [simhash.fingerprint(t, 5, True)[0] for t in texts]
+    left = {r.doc_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    near = lost = 0
+    for i in range(0, len(texts), 2):
+        same = len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1])
+        assert i in left
+        if same < 0.8:
+            assert i + 1 in left
+        elif (fps[i] ^ fps[i + 1]).bit_count() <= 11:
+            near, lost = near + 1, lost + (i + 1 in left)
+    assert near > 20 and lost == 0
+
+
 # --- WARC --------------------------------------------------------------------------
 
 
