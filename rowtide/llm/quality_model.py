@@ -31,16 +31,26 @@ from rowtide.llm.common import shape_with, text_batches
 BUCKETS = 1 << 16
 GRAMS = (3, 4)
 MEMO = 300_000
+#: Bytes from which a word is long: taken in slices, of so many letters, and not kept in the memo.
+LONG = 400
+SLICE = 4096
+
+
+def slices(word: bytes, buckets: int = BUCKETS) -> Iterator[list[int]]:
+    """``features`` in lists of a bounded size."""
+    found = [zlib.crc32(word) % buckets]
+    letters = f"<{word.decode('utf-8', 'ignore')}>"
+    for low in range(0, len(letters), SLICE):
+        for n in GRAMS:
+            for i in range(low, min(low + SLICE, len(letters) - n + 1)):
+                found.append(zlib.crc32(letters[i : i + n].encode(), n) % buckets)
+        yield found
+        found = []
 
 
 def features(word: bytes, buckets: int = BUCKETS) -> list[int]:
     """Buckets of a word and of its character n-grams."""
-    found = [zlib.crc32(word) % buckets]
-    letters = f"<{word[:400].decode('utf-8', 'ignore')}>" if len(word) <= 400 else ""
-    for n in GRAMS:
-        for i in range(len(letters) - n + 1):
-            found.append(zlib.crc32(letters[i : i + n].encode(), n) % buckets)
-    return found
+    return [f for part in slices(word, buckets) for f in part]
 
 
 def counted(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -48,11 +58,14 @@ def counted(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
     seen: dict[bytes, int] = {}
     for w in (text or "").encode().split():
         seen[w] = seen.get(w, 0) + 1
-    ids = [(f, n) for w, n in seen.items() for f in features(w, buckets)]
-    if not ids:
+    if not seen:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    flat = np.array(ids, dtype=np.int64)
-    total = np.bincount(flat[:, 0], weights=flat[:, 1], minlength=0)
+    ids = [(f, n) for w, n in seen.items() if len(w) <= LONG for f in features(w, buckets)]
+    flat = np.array(ids, dtype=np.int64).reshape(-1, 2)
+    total = np.bincount(flat[:, 0], weights=flat[:, 1], minlength=buckets)
+    for w, n in seen.items():
+        for part in slices(w, buckets) if len(w) > LONG else ():
+            np.add.at(total, part, n)
     where = np.flatnonzero(total)
     return where.astype(np.int32), (total[where] / total.sum()).astype(np.float32)
 
@@ -91,6 +104,9 @@ class Memo(dict):
         self.weights = weights
 
     def __missing__(self, word: bytes) -> tuple[float, int]:
+        if len(word) > LONG:
+            parts = [(float(self.weights[ids].sum()), len(ids)) for ids in slices(word, len(self.weights))]
+            return sum(s for s, _ in parts), sum(n for _, n in parts)
         if len(self) >= MEMO:
             self.clear()
         ids = features(word, len(self.weights))

@@ -196,3 +196,16 @@ def test_exact_repeats_are_found_whole(spark, sf):
     often = {x for x, n in seen.items() if n >= 8}
     for r in line_templates.drop_templates(docs, least_docs=8).collect():
         assert not often & set((r.clean_text or "").split("\n"))
+
+
+def test_long_words_are_scored_whole():
+    word = ("naïve" * 3000 + "end").encode()
+    letters = f"<{word.decode()}>"
+    want = [zlib.crc32(word) % (1 << 16)] + [zlib.crc32(letters[i : i + n].encode(), n) % (1 << 16) for n in (3, 4) for i in range(len(letters) - n + 1)]
+    assert sorted(quality_model.features(word)) == sorted(want)
+    ids, share = quality_model.counted(f"a {word.decode()} {word.decode()}")
+    assert set(want) <= set(ids.tolist()) and abs(share.sum() - 1) < 1e-5
+    weights = np.random.default_rng(1).normal(size=1 << 16).astype(np.float32)
+    memo = quality_model.Memo(weights)
+    total, n = memo[word]
+    assert n == len(want) and abs(total - weights[want].sum(dtype=float)) < 0.1 and word not in memo
