@@ -2,7 +2,9 @@
 
 For every language a zstandard raw-content dictionary is filled with training texts
 (at most ``max_texts`` of at most ``max_text_bytes`` each, up to ``dict_bytes``: the
-documented bounds of the sample).  Lines that the samples of two languages share, such
+documented bounds of the sample).  Texts of 200 to ``max_text_bytes`` bytes come first;
+where a language has fewer than ``max_texts`` of them, shorter ones and the first
+``max_text_bytes`` characters of longer ones fill the sample up.  Lines that the samples of two languages share, such
 as notices, and repeated lines tell nothing and are left out.  Texts and dictionaries
 are lower-cased and keep letters only, so marks and digits do not count as language.
 A text is cut into chunks
@@ -50,16 +52,17 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, dict_bytes: int = 98_304, max_texts: int = 96, max_text_bytes: int = 8192, max_languages: int = 512) -> dict[str, bytes]:
     """Raw dictionary content by language."""
     size = F.octet_length("text")
-    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    fits = size.between(200, max_text_bytes)
+    usable = docs.where((size > 0) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     ranked = (
-        usable.where(size.between(200, max_text_bytes))
-        .select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-        .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+        usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), (~fits).alias("other"))
+        .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("other", "h", "doc_id")))
         .where(F.col("k") <= max_texts)
-        .select("doc_id", "k")
+        .select("doc_id", "k", "other")
         .limit(max_texts * max_languages + 1)
     )
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(ranked), "doc_id").where(size.between(200, max_text_bytes)).collect()
+    slim = usable.select("doc_id", "lang", F.substring("text", 1, max_text_bytes).alias("text"), (~fits).alias("other"))
+    rows = slim.join(F.broadcast(ranked), ["doc_id", "other"]).collect()
     rows.sort(key=lambda r: (r.lang, r.k, r.text))
     owners: dict[str, set[str]] = {}
     for r in rows:

@@ -209,3 +209,9 @@ def test_long_words_are_scored_whole():
     memo = quality_model.Memo(weights)
     total, n = memo[word]
     assert n == len(want) and abs(total - weights[want].sum(dtype=float)) < 0.1 and word not in memo
+
+
+def test_languages_of_short_or_long_texts_alone_are_learnt(spark):
+    rows = [(i, f"kurzer satz nummer {chr(97 + i % 26)}{chr(97 + i // 26)}", "de") for i in range(60)] + [(100 + i, f"palabra{chr(97 + i)} larga " * 900, "es") for i in range(20)]
+    found = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(found) == {"de", "es"} and b"kurzer" in found["de"] and b"larga" in found["es"]
