@@ -4,7 +4,7 @@ import json
 from pathlib import Path
 
 import pytest
-from conftest import ROOT, SF
+from where import ROOT, SF
 
 from rowtide import app
 from rowtide.config import Config

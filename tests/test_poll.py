@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import SF
+from where import SF
 
 from rowtide.model import EARLIEST, Position, TableRef, TableSpec
 from rowtide.operators import poll

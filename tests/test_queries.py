@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SF
+from where import SF
 
 import __spark_entry__ as entry
 
