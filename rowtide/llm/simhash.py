@@ -15,32 +15,32 @@ radius 3, so every 23-bit string has exactly one code word within 3: its home).
 At an anchor, points at home are compared with all replicas, by all 64 bits; so
 every pair within ``max_bits`` is found, and no other.  An anchor gives out a
 spanning star of what it links, not its pairs, so a group of copies costs one edge
-each.  Anchors travel in blobs for many points; a key with more than ``hot_points``
-homes is split into chunks (its replicas go to each).  Stars are joined into
-components by alternating large-star and small-star steps over DataFrames, each
-written to the shared folder.
+each.  Anchors travel in blobs for many points; where a key has very many homes or
+replicas, both are split into parts and every two parts meet in a task of their own.
+Stars are joined into components by alternating large-star and small-star steps over
+DataFrames, each written to the shared folder.
 
 For shingle similarity (``near_copies``) a point is a set of shingles, named by a
 hash of it; each shingle votes once, however often a text repeats it.  Points of equal
-fingerprints are linked like any other, and carry the number of
-shingles and 16 four-bit minima: only points of about equal sizes meet, and a pair
-needs some equal minima beside the few differing bits.  Here an anchor gives out a
-maximum spanning forest of its links by equal minima, no more pairs than points, and
-each pair is checked: by 256 one-byte minima first, and what they leave by the sets of
-shingles themselves, which alone decide.  As the check is another measure than the forest's weight, a
-second pass takes the points that had links beside the forest and checks all of those
-that lie between different components of the first; so the result is the components
-of all links that pass the check.
+fingerprints are linked like any other, and carry the number of shingles and 16
+four-bit minima: only points of about equal sizes meet, and a pair needs some equal
+minima beside the few differing bits.  Components of these loose links hold whatever
+can be linked; within each of them the sets of shingles decide (``exact``), all
+against all in memory, in blocks where a component is large.  A component of m texts
+so costs m^2 comparisons (a nanosecond a shingle) but gives out m edges at most.
 
 Defined results: null, empty and wordless texts have fingerprint 0 and are linked
-like any other; fewer words than a shingle are one shingle; repeated rows each get
+like any other (by ``near_copies`` with each other alone); fewer words than a shingle
+are one shingle; a very long text is hashed whole, in slices; repeated rows each get
 their component; null ids are never a component's name (null if it has no other);
-an empty table gives an empty one.
+``near_duplicates`` returns its own three columns whatever else the input has, and
+``near_copies`` the input's columns, which may have any name but those that start
+with ``__w_``; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -89,8 +89,8 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
 
 
-def fingerprint(text: str | None, words: int = 3, sketch: bool = False) -> tuple[int, int, int, int, bytes]:
-    """Fingerprint and node (the same); with ``sketch`` both of the set of shingles, and that set's 16 four-bit minima, size and 256 bytes of minima."""
+def fingerprint(text: str | None, words: int = 3, sketch: bool = False) -> tuple[int, int, int, int]:
+    """Fingerprint and node (the same); with ``sketch`` both of the set of shingles, and that set's 16 four-bit minima and size."""
     votes, n = np.zeros(64, np.int64), 0
     h = shingle_set(text, words) if sketch else None
     for part in (h[i : i + PART] for i in range(0, len(h), PART)) if sketch else shingle_hashes(text, words):
@@ -98,19 +98,15 @@ def fingerprint(text: str | None, words: int = 3, sketch: bool = False) -> tuple
         n += len(part)
     fp = int(np.packbits(2 * votes > n).view(np.uint64)[0])
     if not sketch:
-        return fp, fp, 0, 0, b""
+        return fp, fp, 0, 0
     node = xxhash.xxh64_intdigest(h.tobytes(), SEED)
-    if not n:
-        return fp, node, 0, 0, bytes(256)
-    few, full = minima(h, 4)
+    few, full = minima(h, 4) if n else (np.zeros(16, np.uint64), np.zeros(16, bool))
     few = np.where(full, few >> np.uint64(60), np.uint64(0))
-    many, full = minima(h, 8)
-    wide = np.where(full, (many >> np.uint64(40)) % np.uint64(255) + np.uint64(1), np.uint64(0))
-    return fp, node, int((few << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(dtype=np.uint64)), len(h), wide.astype(np.uint8).tobytes()
+    return fp, node, int((few << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(dtype=np.uint64)), len(h)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, sketch: bool = False) -> DataFrame:
-    """doc_id, th (a hash of the text), fp, node (names the point), sketch, size and wide (256 minima) of every row of ``docs``."""
+    """doc_id, th (a hash of the text), fp, node (names the point), sketch and size of every row of ``docs``."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
 
@@ -118,11 +114,11 @@ def fingerprints(docs: DataFrame, words: int = 3, sketch: bool = False) -> DataF
         for batch in batches:
             for part in text_batches(batch, "text"):
                 found = [fingerprint(t, words, sketch) for t in part.column("text").to_pylist()]
-                numbers = np.array([f[:4] for f in found], np.uint64).reshape(-1, 4)
-                columns = [*(pa.array(numbers[:, i].copy().view(np.int64)) for i in range(4)), pa.array([f[4] for f in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), *columns], ["doc_id", "th", "fp", "node", "sketch", "size", "wide"])
+                numbers = np.array(found, np.uint64).reshape(-1, 4)
+                columns = [pa.array(numbers[:, i].copy().view(np.int64)) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), *columns], ["doc_id", "th", "fp", "node", "sketch", "size"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long, node long, sketch long, size long, wide binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long, node long, sketch long, size long")
 
 
 # --- anchors ---------------------------------------------------------------------
@@ -222,53 +218,19 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Indices of the edges of a maximum spanning forest over nodes 0 to n-1."""
-    label, kept = np.arange(n), []
-    for w in np.unique(weight)[::-1]:
-        e = np.flatnonzero(weight == w)
-        while True:
-            la, lb = label[a[e]], label[b[e]]
-            apart = la != lb
-            e, la, lb = e[apart], la[apart], lb[apart]
-            if not len(e):
-                break
-            first = np.full(n, len(a))  # each part's first edge out, in one order for all, so no cycle can close
-            np.minimum.at(first, la, e)
-            np.minimum.at(first, lb, e)
-            chosen = np.unique(first[first < len(a)])
-            kept.append(chosen)
-            label = stars(n, label[a[chosen]], label[b[chosen]])[label]
-    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
-
-
-def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes that span the links between homes and replicas.
-
-    Both are (cell, fp, sketch, node, label) arrays; without node, nodes are fingerprints.
-    Without ``least_equal`` the pairs are stars, with it the links of a maximum spanning
-    forest, and (a, a) for every node with links beside it.  With ``apart`` all links
-    between nodes of different labels are given.
+def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes, (node, least node of its component), that span the links between homes and replicas.
+
+    Both are (cell, fp, sketch, node) arrays; without node, nodes are fingerprints.
     """
 
-    def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
-        if least_equal:
-            first = np.unique(np.minimum(a, b) * len(points) + np.maximum(a, b), return_index=True)[1]  # many anchors give the same pair
-            a, b, weight = a[first], b[first], weight[first]
-            if apart:
-                return a, b, weight
-            keep = forest(len(points), a, b, weight)
-            left = np.ones(len(a), bool)
-            left[keep] = False
-            open_[a[left]] = open_[b[left]] = True
-            return a[keep], b[keep], weight[keep]
+    def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = stars(len(points), a, b)
         a = np.flatnonzero(root != np.arange(len(points)))
-        return a, root[a], np.zeros(len(a), np.int8)
+        return a, root[a]
 
     order = np.argsort(home[0], kind="stable")
     cell, fp, sketch, *_ = (x[order] for x in home)
-    labels = home[4][order] if apart else None
     mine, other = home[3][order] if len(home) > 3 else fp, visit[3] if len(visit) > 3 else visit[1]
     low, high = (np.searchsorted(cell, visit[0], side=s) for s in ("left", "right"))
     live = np.flatnonzero(high > low)
@@ -276,8 +238,7 @@ def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int, apart: b
     ends, at = np.cumsum(n), 0
     points = np.unique(np.concatenate([mine, other[live]]))
     a = b = np.zeros(0, np.int64)
-    weight = np.zeros(0, np.int8)
-    open_, full = np.zeros(len(points), bool), PAIRS
+    full = PAIRS
     while at < len(live):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
         first, many, v = low[live[at:to]], n[at:to], live[at:to]
@@ -286,38 +247,32 @@ def compare(home: tuple, visit: tuple, max_bits: int, least_equal: int, apart: b
             m = np.clip(many - skip, 0, PAIRS)
             y = np.repeat(v, m)
             x = np.repeat(first + skip, m) + np.arange(len(y)) - np.repeat(np.cumsum(m) - m, m)
-            away = np.bitwise_count(fp[x] ^ visit[1][y])
-            ok = (away <= max_bits) & (mine[x] != other[y])
-            if apart:
-                ok &= labels[x] != visit[4][y]
+            ok = (np.bitwise_count(fp[x] ^ visit[1][y]) <= max_bits) & (mine[x] != other[y])
             x, y = x[ok], y[ok]
-            equal = np.zeros(len(x), np.int8)
             if least_equal and len(x):
                 change = sketch[x] ^ visit[2][y]
-                equal = sum((((change >> np.uint64(4 * k)) & np.uint64(15)) == 0).astype(np.int8) for k in range(16))
-                ok = equal >= least_equal
-                x, y, equal = x[ok], y[ok], equal[ok]
+                ok = sum((((change >> np.uint64(4 * k)) & np.uint64(15)) == 0).astype(np.int8) for k in range(16)) >= least_equal
+                x, y = x[ok], y[ok]
             a = np.concatenate([a, np.searchsorted(points, mine[x])])
             b = np.concatenate([b, np.searchsorted(points, other[y])])
-            weight = np.concatenate([weight, equal])
             if len(a) > full:
-                a, b, weight = spanning(a, b, weight)
+                a, b = spanning(a, b)
                 full = max(PAIRS, 2 * len(a))
         at = to
-    a, b, _ = spanning(a, b, weight)
-    return points[np.append(a, np.flatnonzero(open_))], points[np.append(b, np.flatnonzero(open_))]
+    a, b = spanning(a, b)
+    return points[a], points[b]
 
 
-def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, accept_bits: int = 0, hot_points: int = 500_000, group_rows: int = 1 << 20, apart: bool = False) -> DataFrame:
+def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, accept_bits: int = 0, hot_points: int = 500_000, group_rows: int = 1 << 20) -> DataFrame:
     """Edges (a, b) that connect what is within ``max_bits``; ``points`` has fp, sketch, size and distinct nodes.
 
-    With ``apart`` (``points`` then has label): all pairs between labels; see ``compare``.
     Pairs up to ``accept_bits`` apart, if that is more, are taken too where they meet.
     Anchors are hashed to as many groups as give each about ``group_rows`` replicas (some
     20 MB): the fewer groups a point is in, the fewer edges span what it is linked to.
+    Where a group has more than ``hot_points`` homes, or eight times as many replicas,
+    both are split, and every part of the homes meets every part of the replicas.
     """
-
-    more = ("sketch", "node", *(["label"] if apart else [])) if least_equal else ()
+    more = ("sketch", "node") if least_equal else ()
 
     def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         size, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "fp", *more))
@@ -327,19 +282,21 @@ def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool =
         return ((cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % keys
 
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cover, total = Cover(max_bits, sized), np.zeros(keys, np.int64)
+        cover, homes, visits = Cover(max_bits, sized), np.zeros(keys, np.int64), np.zeros(keys, np.int64)
         for batch in batches:
-            size, fp, *_ = arrays(batch)
-            if len(fp):
-                total += np.bincount(key_of(cover.homes(fp, size)[1]), minlength=keys)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(keys)), pa.array(total)], ["k", "n"])
+            for at in range(0, batch.num_rows, 4000):
+                size, fp, *_ = arrays(batch.slice(at, 4000))
+                homes += np.bincount(key_of(cover.homes(fp, size)[1]), minlength=keys)
+                visits += np.bincount(key_of(cover.replicas(fp, size)[1]), minlength=keys)
+        k = np.flatnonzero(homes + visits)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(homes[k]), pa.array(visits[k])], ["k", "homes", "visits"])
 
     points = points.select("size", "fp", *more)
     keys = max(16, -(-points.count() * (61 if max_bits <= 2 else 216) // group_rows))
-    counts = points.mapInArrow(census, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > hot_points).collect()
-    split = np.ones(keys, np.int64)
-    for r in counts:
-        split[r.k] = -(-r.n // hot_points)
+    counts = points.mapInArrow(census, "k long, homes long, visits long").groupBy("k").agg(F.sum("homes").alias("homes"), F.sum("visits").alias("visits"))
+    split = np.ones((2, keys), np.int64)  # parts of the replicas and of the homes
+    for r in counts.where((F.col("homes") > hot_points) | (F.col("visits") > 8 * hot_points)).collect():
+        split[:, r.k] = -(-r.visits // (8 * hot_points)) or 1, -(-r.homes // hot_points) or 1
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover = Cover(max_bits, sized)
@@ -349,12 +306,12 @@ def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool =
                 out = []
                 for home, (row, cell) in ((1, cover.homes(fp, size)), (0, cover.replicas(fp, size))):
                     key = key_of(cell)
-                    if home:
-                        chunk = (fp[row] % np.uint64(1_000_003)).astype(np.int64) % split[key]
-                    else:
-                        n = split[key]
-                        chunk = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                        row, cell, key = np.repeat(row, n), np.repeat(cell, n), np.repeat(key, n)
+                    # A part of one's own kind, and all parts of the other's.
+                    part = (fp[row] % np.uint64(1_000_003)).astype(np.int64) % split[home][key]
+                    n = split[1 - home][key]
+                    every = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    row, cell, key, part = (np.repeat(x, n) for x in (row, cell, key, part))
+                    chunk = part * split[0][key] + every if home else every * split[0][key] + part
                     order = np.lexsort((chunk, key))
                     row, cell, key, chunk = row[order], cell[order], key[order], chunk[order]
                     edge = np.flatnonzero(np.diff(key, prepend=-1) | np.diff(chunk, prepend=-1))
@@ -373,7 +330,7 @@ def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool =
             cell, fp, *rest = (np.frombuffer(b"".join(x[i] for i in own), np.uint64 if k else np.int32) for k, x in enumerate(rows))
             return cell, fp, *(rest or [fp])
 
-        a, b = compare(side(1), side(0), max(max_bits, accept_bits), least_equal, apart)
+        a, b = compare(side(1), side(0), max(max_bits, accept_bits), least_equal)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     sent = points.mapInArrow(spread, "k long, chunk long, home int, cell binary, fp binary" + "".join(f", {c} binary" for c in more))
@@ -413,89 +370,111 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def verified(edges: DataFrame, points: DataFrame, least: float) -> DataFrame:
-    """Edges whose ends share at least ``least`` of the minima that either of them has."""
-    wide = points.select("node", "wide")
-    both = edges.distinct().join(wide.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("wa", "wb"))
-            same, either = ((x == y) & (x > 0)).sum(axis=1), ((x > 0) | (y > 0)).sum(axis=1)
-            yield batch.select(["a", "b"]).filter(pa.array(same >= least * either))
-
-    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
-
-
 SIEVE = 1 << 23
 
 
-def exact(edges: DataFrame, docs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
-    """Edges whose ends' texts have a shingle similarity of ``least``; ``rows`` names the texts of nodes."""
-    edges = cut(edges.distinct())
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    one = cut(rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("w")).select("node", "w.th", F.col("w.doc_id").alias("w_id")))
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``wanted`` (th and w_id name a row of ``docs``) with the text in place of the two."""
     # A first sieve, so that few other texts travel; what passes it is checked in the join.
     sieve = np.zeros(SIEVE, bool)
-    slots = one.select(F.pmod("th", F.lit(SIEVE)).cast("int").alias("slot")).distinct()
+    slots = wanted.select(F.pmod("th", F.lit(SIEVE)).cast("int").alias("slot")).distinct()
     sieve[slots.toPandas()["slot"].to_numpy(np.int64)] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(sieve))
 
     @F.pandas_udf("boolean")
-    def wanted(th: pd.Series) -> pd.Series:
+    def passes(th: pd.Series) -> pd.Series:
         slot = th.to_numpy() % SIEVE
         return pd.Series((shared.value[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool))
 
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where(wanted("th"))
-    texts = texts.join(one.withColumnRenamed("th", "w_th"), (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where(passes("th"))
+    own = wanted.withColumnRenamed("th", "w_th")
+    return texts.join(own, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).drop("doc_id", "th", "w_th", "w_id")
+
+
+def alike(x: list[np.ndarray], y: list[np.ndarray] | None, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js) where x[i] and the y[j] (without y: later x) share ``least`` of their elements; all are sorted sets."""
+    every = x + (y or [])
+    flat = np.unique(np.concatenate(every), return_inverse=True)[1].astype(np.int32)
+    size = np.array([len(s) for s in every])
+    first = np.cumsum(size) - size
+    # The others in order of size, so that those of about equal size are one stretch.
+    others = np.arange(len(x), len(every)) if y is not None else np.arange(len(x))
+    others = others[np.argsort(size[others], kind="stable")]
+    sizes = size[others]
+    starts = np.cumsum(sizes) - sizes
+    beside = np.concatenate([flat[first[j] : first[j] + size[j]] for j in others])
+    there = np.zeros(int(flat.max()) + 1, np.uint8)
+    for i in range(len(x)):
+        low, high = np.searchsorted(sizes, size[i] * least - 1e-6), np.searchsorted(sizes, size[i] / least + 1e-6, side="right")
+        if low >= high:
+            continue
+        own = flat[first[i] : first[i] + size[i]]
+        there[own] = 1
+        part = there[beside[starts[low] : starts[high - 1] + sizes[high - 1]]]
+        same = np.add.reduceat(part, starts[low:high] - starts[low], dtype=np.int64)
+        there[own] = 0
+        near = others[low:high][same + 1e-9 >= least * (size[i] + sizes[low:high] - same)]
+        yield i, near - len(x) if y is not None else near[near > i]
+
+
+def exact(groups: DataFrame, docs: DataFrame, words: int, least: float, block: int = 500_000) -> DataFrame:
+    """Edges that span all links, of a shingle similarity of ``least``, within each group.
+
+    ``groups`` has node, root, size and th and doc_id of a text.  A group of more
+    than ``block`` shingles is cut into blocks, and each pair of blocks is one task's
+    work; small groups share tasks.  So no task holds more than two blocks of shingles (or
+    two texts), and what comes out of it are fewer edges than it has texts.
+    """
+    sizes = cut(groups.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("w")).where("n > 1 and w > 0"))
+    small = sizes.where(F.col("w") <= block).agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    blocks = F.ceil(F.col("w") / block).cast("int")
+    members = groups.where("size > 0").join(sizes, "root").select("node", "root", blocks.alias("blocks"), "th", F.col("doc_id").alias("w_id"))
+    texts = texts_of(cut(members), docs)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_batches(batch, "text"):
                 sets = [shingle_set(t, words).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
-
-    sets = cut(texts.mapInArrow(cut_up, "node long, shingles binary").dropDuplicates(["node"]))
-    a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(same >= least * (len(both) - same) and same > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return edges.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def grouped(rows: DataFrame, max_bits: int, least_equal: int = 0, sized: bool = False, least: float = 0.0, key: str = "fp", check: Callable[[DataFrame], DataFrame] = lambda e: e, **options) -> DataFrame:
-    """(key, root) of every distinct ``key`` (fp or node) in ``rows``; linked ones share their root.
-
-    With ``least``, links need that share of equal minima and have to pass ``check``.
-    """
-    own = ["size", "sketch", *(["fp", "wide"] if least else [])]
-    points = cut(rows.groupBy(key).agg(F.min(F.struct(*own)).alias("s")).select(key, *[f"s.{c}" for c in own]))
-    edges = links(points, max_bits, least_equal, sized, **options)
-    if least:
-        edges = cut(edges.distinct())
-        found = cut(components(check(verified(edges.where("a <> b"), points, least))))
-        # What the forest left out is checked as well, wherever it would join what is not joined yet.
-        left = points.join(edges.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").join(found, "node", "left")
-        left = cut(left.withColumn("label", F.coalesce("root", "node")))
-        rest = check(verified(links(left, max_bits, least_equal, sized, apart=True, **options), points, least))
-        edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "root", "blocks")), pa.array(sets, pa.binary())], ["node", "root", "blocks", "shingles"])
+
+    sets = texts.mapInArrow(cut_up, "node long, root long, blocks int, shingles binary")
+    mine, all_blocks = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    sets = sets.withColumn("mine", mine).withColumn("other", F.explode(all_blocks))
+    bucket = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(max(1, -(-small // block))))).otherwise(F.col("root"))
+    dealt = sets.select("node", "root", "shingles", "mine", "blocks", bucket.alias("bucket"), F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+
+    def check(key: tuple, table: pa.Table) -> pa.Table:
+        low, high = key[2].as_py(), key[3].as_py()
+        names = [table.column(c).to_pylist() for c in ("node", "root", "mine")]
+        own: dict[int, tuple[dict, dict]] = {}
+        for node, root, mine, s in zip(*names, table.column("shingles")):
+            own.setdefault(root, ({}, {}))[mine != low][node] = np.frombuffer(s.as_buffer(), np.uint64)
+        a: list[int] = []
+        b: list[int] = []
+        for x, y in own.values():
+            nodes = np.array([*x, *y], np.int64)
+            if low == high and len(x) > 1 or x and y:
+                found = [(np.full(len(js), i), js + (len(x) if y else 0)) for i, js in alike([*x.values()], [*y.values()] if low != high else None, least)]
+                root = stars(len(nodes), *(np.concatenate(v) for v in zip(*found))) if found else np.arange(len(nodes))
+                away = np.flatnonzero(root != np.arange(len(nodes)))
+                a += nodes[away].tolist()
+                b += nodes[root[away]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("bucket", "blocks", "low", "high").applyInArrow(check, "a long, b long")
+
+
+def grouped(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, root) of every point; those that ``edges`` connect share their root."""
     found = components(edges)
     return points.join(found.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("root", key).alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, **options) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the least doc_id that can be reached over links."""
-    rows = cut(fingerprints(docs, words).drop("node", "wide"))
-    groups = grouped(rows, max_bits, **options)
+    rows = cut(fingerprints(docs, words).select("doc_id", "fp", "sketch", "size"))
+    points = cut(rows.select("fp", "sketch", "size").distinct())
+    groups = grouped(points, links(points, max_bits, **options), "fp")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("first")).join(groups, "fp")
     names = least.join(least.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -506,21 +485,24 @@ def near_copies(docs: DataFrame, words: int = 5, max_bits: int = 11, least_equal
 
     Texts are linked if their shingle similarity is ``least`` or more, by their shingles.
     What comes to that check: texts of 0.8 differ in about 10 of 64 bits; all pairs within
-    ``max_bits`` meet, and many of those up to ``accept_bits`` (see the README for how many).
-    Of those that meet, ``least_equal`` of 16 minima (lost at 0.8: 1 in 7,000) and an
-    estimate from 256 minima of ``least`` - 0.1 (four deviations) only leave out the far ones.
+    ``max_bits`` meet, and most of those up to ``accept_bits`` (see the README for how many).
+    Of those that meet, ``least_equal`` of 16 minima (lost at 0.8: 1 in 7,000) only leave
+    out the far ones.
     """
     rows = cut(fingerprints(docs, words, sketch=True))
-    own = docs.select("doc_id", "text")
-    check = lambda edges: exact(edges, own, rows, words, least)
-    groups = grouped(rows, max_bits, least_equal, sized=True, least=least - 0.1, key="node", check=check, accept_bits=accept_bits, **options)
-    rows = rows.drop("wide")
-    pick = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "node")).alias("w")
-    firsts = rows.groupBy("node").agg(pick).join(groups, "node")
-    winners = cut(firsts.groupBy("root").agg(F.min("w").alias("w")).select("w.doc_id", "w.th"))
-    w = winners.select(F.col("doc_id").alias("__w_id"), F.col("th").alias("__w_th"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "fp", "sketch", "size"))
+    points = cut(rows.groupBy("node").agg(first.alias("s")).select("node", "s.*"))
+    loose = grouped(points, links(points, max_bits, least_equal, sized=True, accept_bits=accept_bits, **options), "node")
+    edges = exact(cut(points.join(loose, "node")), docs, words, least)
+    firsts = points.join(grouped(points, edges, "node"), "node")
+    winners = firsts.groupBy("root").agg(F.min(F.struct("n", "doc_id", "th")).alias("w"))
+    winners = cut(winners.select(F.col("w.doc_id").alias("__w_id"), F.col("w.th").alias("__w_th")))
+    named = lambda th, doc_id: th.eqNullSafe(F.col("__w_th")) & doc_id.eqNullSafe(F.col("__w_id"))
     keyed = docs.withColumn("__w_text", F.xxhash64("text"))
-    kept = keyed.join(w, keyed["__w_text"].eqNullSafe(w["__w_th"]) & keyed["doc_id"].eqNullSafe(w["__w_id"]), "left_semi").drop("__w_text")
-    same = rows.join(winners.withColumnRenamed("doc_id", "w_id").withColumnRenamed("th", "w_th"), F.col("th").eqNullSafe(F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
-    # Rows alike in id and text can't be told apart by the winner's name; where there are any, one stays.
-    return kept if same.count() == winners.count() else kept.dropDuplicates(["doc_id", "text"])
+    kept = keyed.join(winners, named(keyed["__w_text"], keyed["doc_id"]), "left_semi")
+    if rows.join(winners, named(rows["th"], rows["doc_id"]), "left_semi").count() == winners.count():
+        return kept.drop("__w_text")
+    # Rows alike in id and text can't be told apart by the winner's name: the one whose columns hash least stays.
+    values = [F.col(f"`{c}`") for c in docs.columns]
+    one = F.min_by(F.struct(*values), F.struct(F.xxhash64(*values), F.xxhash64(*[v.isNull() for v in values], *values)))
+    return kept.groupBy("doc_id", "__w_text").agg(one.alias("__row")).select("__row.*")

@@ -79,7 +79,8 @@ def test_links_of_points(spark, hot_points, pairs, monkeypatch):
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(s, 0, 0) for s in signed], "fp long, sketch long, size long")
-    found = {r.fp: r.root for r in simhash.grouped(df, 2, hot_points=hot_points, group_rows=100).collect()}
+    edges = simhash.links(df, 2, hot_points=hot_points, group_rows=100)
+    found = {r.fp: r.root for r in simhash.grouped(df, edges, "fp").collect()}
     want = slow_groups(fps, fps, 2)
     ours = collections.defaultdict(set)
     theirs = collections.defaultdict(set)
@@ -89,16 +90,6 @@ def test_links_of_points(spark, hot_points, pairs, monkeypatch):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
-def test_maximum_spanning_forest():
-    rng = np.random.default_rng(2)
-    for n, m in ((1, 0), (5, 4), (40, 200), (60, 40)):
-        a, b, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(10, 17, m).astype(np.int8)
-        kept = simhash.forest(n, a, b, w)
-        assert len(set(kept.tolist())) == len(kept) <= max(0, n - 1)
-        for least in range(10, 17):  # cutting weak edges leaves the components of the strong ones
-            assert (simhash.stars(n, a[w >= least], b[w >= least]) == simhash.stars(n, *(x[kept][w[kept] >= least] for x in (a, b)))).all()
-
-
 def test_slices_of_pairs(monkeypatch):
     monkeypatch.setattr(simhash, "PAIRS", 7)
     fp = np.array([1 << i for i in range(40)] + [0], np.uint64)
@@ -177,15 +168,41 @@ def test_texts_ruled_by_one_shingle(spark):
     assert {r.doc_id for r in simhash.near_copies(docs).collect()} == {0, 1, 2}  # unlike ones stay, the repeated block is a copy
 
 
-def test_links_beside_the_forest_are_checked(spark):
-    """a and b are copies, and both resemble c more by the forest's weight, less by the check."""
-    even = lambda n: sum(7 << 4 * k for k in range(n)) & ((1 << 64) - 1)
-    sketch = {"c": 0, "a": even(2), "b": even(2) << 8}  # a-c and b-c share 14 of 16, a-b 12
-    wide = {"c": [1] * 256, "a": [1] * 180 + [2] * 76, "b": [1] * 180 + [2] * 70 + [3] * 6}
-    rows = [(i, 1 << i, (s if s < 1 << 63 else s - (1 << 64)), 300, bytes(wide[k])) for i, (k, s) in enumerate(sketch.items())]
-    df = spark.createDataFrame(rows, "node long, fp long, sketch long, size long, wide binary")
-    found = {r.node: r.root for r in simhash.grouped(df, 11, 10, sized=True, least=0.78, key="node").collect()}
-    assert found == {0: 0, 1: 1, 2: 1}
+def test_alike_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 1, 2, 30, 30, 40, 40, 45, 90, 90, 400, 5)] + [np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64)]
+    like = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    for least in (0.3, 0.5, 0.8):
+        want = {(i, j) for j in range(len(sets)) for i in range(j) if like(sets[i], sets[j]) >= least}
+        assert {(i, int(j)) for i, js in simhash.alike(sets, None, least) for j in js} == want
+        got = {(i, int(j) + 6) for i, js in simhash.alike(sets[:6], sets[6:], least) for j in js}
+        assert got == {(i, j) for i, j in want if i < 6 <= j}
+
+
+@pytest.mark.parametrize("block", [500_000, 900, 20])
+def test_exact_links_in_blocks(spark, block):
+    """Groups of any size, in one task or in blocks, against all pairs."""
+    rng, texts = random.Random(block), []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(rng.randrange(30, 90))]
+        for _ in range(rng.choice([1, 2, 5, 20])):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append((g, " ".join(w)))
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in texts]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    rows = simhash.fingerprints(docs, 5, True).collect()
+    groups = spark.createDataFrame([(r.doc_id, texts[r.doc_id][0], r.size, r.th, r.doc_id) for r in rows], "node long, root long, size long, th long, doc_id long")
+    points = groups.select("node")
+    found = {r.node: r.root for r in simhash.grouped(points, simhash.exact(groups, docs, 5, 0.8, block), "node").collect()}
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                if texts[i][0] == texts[j][0] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    label[i] = min(label[i], label[j])
+    assert len({(found[i], label[i]) for i in found}) == len(set(label)) == len(set(found.values()))
 
 
 def test_near_copies_against_brute_force(spark):
