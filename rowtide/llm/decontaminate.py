@@ -1,40 +1,49 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is split by documents: a segment holds some whole documents and, for
-every benchmark term in them, the sorted list of its positions.  ``build_index``
-gives segments as rows, to be stored or searched at once; no shuffle is needed.  A
-search takes every window of the test items, starts from the postings of its rarest
-term in the segment, and intersects the offset-adjusted lists of the other terms,
-rarest first.  What is left after all terms is an exact phrase match.  With
-``slack`` a second pass finds proximity matches: enough of the window's terms, each
-within ``slack`` words of its place.
-
-The test set travels to the executors in blocks of at most ``block_words`` words;
-each block is searched against every segment, so its size bounds the broadcast,
-whatever the size of the whole set.
+The index is split by documents: a segment holds some whole documents and, for every
+term in them, the sorted list of its positions.  ``build_index`` gives segments as rows
+that know nothing of any test set, to be stored or searched at once; no shuffle is
+needed.  A search takes every window of the test items, starts from the postings of its
+rarest term in the segment, and intersects the offset-adjusted lists of the other
+terms, rarest first.  What is left after all terms is an exact phrase match.  With
+``slack`` a second pass finds proximity matches: places where at least ``least`` of the
+window's terms lie within ``slack`` words of where the window has them.  It starts from
+the postings of the rarest terms, as many as can't all be missing, and leaves a place
+as soon as too many terms are missing there.
+
+The test set is read in blocks of at most ``block_words`` words (and one item).  The
+driver holds one block at a time, and executors get one at a time: where there are
+several, each one's findings are written to the shared folder before the next is built.
+So a block's size bounds the broadcast, whatever the size of the whole set.
 
 Defined results: null and empty texts have no words and no hits; an item without
 words has no window; an item of fewer than ``n`` words is one window; repeated
 items and documents each get their own results; items with a null id are searched,
-hit words, but are not named; empty tables give no hits.
+hit words, but are not named; very long texts are a segment each; empty tables give no
+hits.  ``decontaminate`` returns its own columns whatever else the input has; ``flag``
+keeps the input's, and replaces one named ``contaminated``.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rowtide.llm.common import shape_with
+from rowtide.llm.common import cut, shape_with
 
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 SEGMENT_BYTES = 6 << 20
-CANDIDATES = 1 << 21
+CANDIDATES = 1 << 19
+SLACK, LEAST = 2, 0.8
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -46,7 +55,7 @@ class Block:
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], n: int):
         self.terms = {t: i for i, t in enumerate(sorted({w for _, ws in items for w in ws}))}
-        self.items = [i for i, _ in items]
+        self.n, self.items = n, [i for i, _ in items]
         found: dict[tuple[int, ...], list[int]] = {}
         for k, (_, ws) in enumerate(items):
             ids = [self.terms[w] for w in ws]
@@ -62,67 +71,55 @@ class Block:
             self.groups.append((np.array(own, np.int32), starts, np.array([k for o in owners for k in o], np.int64)))
 
 
-def blocks_of(benchmark: DataFrame, n: int, block_words: int) -> list[Block]:
-    """The test set, cut into blocks, each built as its rows pass through the driver."""
-    out, items, total = [], [], 0
+def blocks_of(benchmark: DataFrame, n: int, block_words: int) -> Iterator[Block]:
+    """The test set in blocks, each built as its rows pass through the driver; one without items if there are none."""
+    items, total, some = [], 0, False
     for r in benchmark.selectExpr("cast(item_id as string) as item_id", "text").toLocalIterator():
         ws = word_list(r.text)
+        if ws and items and total + len(ws) > block_words:
+            yield Block(items, n)
+            items, total, some = [], 0, True
         if ws:
             items.append((r.item_id, ws))
             total += len(ws)
-        if total >= block_words:
-            out.append(Block(items, n))
-            items, total = [], 0
-    return [*out, Block(items, n)] if items else out
+    if items or not some:
+        yield Block(items, n)
+
+
+def postings(word_lists: list[list[bytes]]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Words of each document, the terms, how often each one stands there, and where, in running numbers."""
+    lengths = np.array([len(w) for w in word_lists], np.int32)
+    ids = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(word_lists)))}
+    flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(word_lists)), np.int32, int(lengths.sum()))
+    return lengths, [*ids], np.bincount(flat, minlength=len(ids)).astype(np.int32), np.argsort(flat, kind="stable").astype(np.int32)
 
 
 class Segment:
-    """Postings of one block's terms in some documents.
+    """Postings of some documents, those terms numbered that a block has.
 
-    Documents follow each other with a gap of one position, so that no phrase
-    reaches from one into the next.
+    Documents follow each other at such a distance that no match reaches from one into the next.
     """
 
-    def __init__(self, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, places: np.ndarray, n_terms: int):
+    def __init__(self, lengths: np.ndarray, terms: list[bytes], counts: np.ndarray, places: np.ndarray, block: Block, slack: int = 0):
+        gap = block.n + 4 * slack
         self.lengths = lengths.astype(np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths + 1)])
-        self.places = places
-        self.df = np.zeros(n_terms, np.int64)
-        self.df[terms] = counts
-        self.first = np.concatenate([[0], np.cumsum(self.df)])
-        self.at = np.full(self.starts[-1] + 1, -1, np.int32)
-        self.at[places] = np.repeat(terms, counts)
-
-    @staticmethod
-    def postings(word_lists: list[list[bytes]], terms: dict[bytes, int]) -> tuple[np.ndarray, ...]:
-        lengths = np.array([len(w) for w in word_lists], np.int32)
-        ids = np.full(int(lengths.sum()) + len(lengths) + 1, -1, np.int32)
-        at = 0
-        for w in word_lists:
-            ids[at : at + len(w)] = np.fromiter(map(terms.get, w, repeat(-1)), np.int32, len(w))
-            at += len(w) + 1
-        there = np.flatnonzero(ids >= 0)
-        order = there[np.argsort(ids[there], kind="stable")].astype(np.int32)
-        found, counts = np.unique(ids[order], return_counts=True)
-        return lengths, found.astype(np.int32), counts.astype(np.int32), order
+        self.starts = np.cumsum(self.lengths + gap) - self.lengths
+        self.places = places + np.repeat(np.arange(1, len(lengths) + 1) * gap, self.lengths)[places]
+        names = np.array([block.terms.get(t, -1) for t in terms], np.int64)
+        known = names >= 0
+        self.df, self.first = np.zeros((2, len(block.terms)), np.int64)
+        self.df[names[known]] = counts[known]
+        self.first[names[known]] = (np.cumsum(counts, dtype=np.int64) - counts)[known]
+        self.at = np.full(int(self.lengths.sum()) + (len(lengths) + 1) * gap + 1, -1, np.int32)
+        self.at[self.places[np.repeat(known, counts)]] = np.repeat(names[known], counts[known])
 
     def phrases(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window, start) of every exact occurrence."""
         df = self.df[windows]
         live = np.flatnonzero(df.min(axis=1) > 0)
         order = np.argsort(df[live], axis=1, kind="stable")
-        many = df[live, order[:, 0]] if len(live) else df[:0, 0]
-        ends = np.cumsum(many)
-        low = 0
-        while low < len(live):
-            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CANDIDATES, side="right")))
-            part, n = slice(low, high), many[low:high]
-            k = np.repeat(np.arange(low, high), n)
-            within = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-            w, rare = live[k], order[k, 0]
-            start = self.places[self.first[windows[w, rare]] + within] - rare
-            ok = (start >= 0) & (start + windows.shape[1] < len(self.at))
-            k, w, start = k[ok], w[ok], start[ok]
+        for k, place in self.occurrences(windows[live], order[:, :1]):
+            w, start = live[k], place - order[k, 0]
             for j in range(1, windows.shape[1]):
                 o = order[k, j]
                 ok = self.at[start + o] == windows[w, o]
@@ -131,154 +128,197 @@ class Segment:
                     break
             if len(k):
                 yield w, start
-            low = high
+
+    def occurrences(self, windows: np.ndarray, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, place) for every posting of the terms ``windows[row, which[row]]``, a bounded number at once."""
+        for j in range(which.shape[1]):
+            terms = windows[np.arange(len(windows)), which[:, j]]
+            many = self.df[terms]
+            ends = np.cumsum(many)
+            for low in range(0, int(ends[-1]) if len(ends) else 0, CANDIDATES):
+                x = np.arange(low, min(low + CANDIDATES, int(ends[-1])))
+                k = np.searchsorted(ends, x, side="right")
+                yield k, self.places[self.first[terms[k]] + x - (ends[k] - many[k])]
 
     def near(self, windows: np.ndarray, slack: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window, start) where at least ``least`` of the terms lie within ``slack`` of their places."""
-        n, span = windows.shape[1], len(self.at)
-        keys = np.repeat(np.arange(len(self.df)), self.df) * span + self.places
+        n = windows.shape[1]
+        need = int(np.ceil(least * n - 1e-9))
         df = self.df[windows]
-        # One of the terms that must be present is among the first n - need + 1 by rarity.
-        need = int(np.ceil(least * n))
-        ranks = np.argsort(np.where(df > 0, df, np.iinfo(np.int64).max), axis=1, kind="stable")
         live = np.flatnonzero((df > 0).sum(axis=1) >= need)
+        rank = np.argsort(np.where(df > 0, df, np.iinfo(np.int64).max), axis=1, kind="stable")[live]
+        there = np.append(self.at, -1)
+        # One of the terms that must be present is among the first n - need + 1 by rarity.
         for j in range(n - need + 1):
-            for low in range(0, len(live), 4096):
-                w = live[low : low + 4096]
-                o = ranks[w, j]
-                many = df[w, o]
-                k = np.repeat(np.arange(len(w)), many)
-                within = np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many)
-                for c in range(0, len(k), CANDIDATES // 8):
-                    kk = k[c : c + CANDIDATES // 8]
-                    ww = w[kk]
-                    start = self.places[self.first[windows[ww, o[kk]]] + within[c : c + CANDIDATES // 8]] - o[kk]
-                    hits = np.zeros(len(kk), np.int32)
-                    for x in range(n):
-                        key = windows[ww, x] * span + start + x
-                        i = np.searchsorted(keys, key - slack)
-                        hits += (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] <= key + slack)
-                    ok = hits >= need
-                    if ok.any():
-                        yield ww[ok], np.clip(start[ok], 0, span - 2)
-
-    def search(self, block: Block, slack: int = 0, least: float = 0.8) -> tuple[np.ndarray, list[set[int]], list[set[int]]]:
+            some = df[live, rank[:, j]] > 0
+            for k, place in self.occurrences(windows[live[some]], rank[some, j : j + 1]):
+                k = np.flatnonzero(some)[k]
+                place = place - rank[k, j]
+                for wide, shifts in ((2 * slack, (0,)), (slack, range(-slack, slack + 1))):
+                    # First whatever may match a start within ``slack`` of this one, then each of these starts.
+                    k, start = np.tile(k, len(shifts)), np.concatenate([place + d for d in shifts])
+                    missing = np.zeros(len(k), np.int8)
+                    for o in range(n):
+                        x = rank[k, o]
+                        want, at = windows[live[k], x], start + x
+                        found = np.zeros(len(k), bool)
+                        for d in range(-wide, wide + 1):
+                            found |= there[np.clip(at + d, -1, len(there) - 1)] == want
+                        missing += ~found
+                        ok = missing <= n - need
+                        k, start, missing = k[ok], start[ok], missing[ok]
+                    place = start
+                if len(k):
+                    yield live[k], place
+
+    def search(self, block: Block, slack: int = 0, least: float = LEAST) -> tuple[np.ndarray, list[set[int]], list[set[int]]]:
         """Hit positions, and for each document the items with exact and with near matches."""
         change = np.zeros(len(self.at) + 1, np.int64)
         exact = [set() for _ in self.lengths]
         close = [set() for _ in self.lengths]
+        # A near match may begin before its document's first word.
+        edges = self.starts - block.n - slack
         for windows, firsts, owners in block.groups:
             for found, into in ((self.phrases(windows), exact), (self.near(windows, slack, least) if slack else (), close)):
                 for w, start in found:
                     if into is exact:
                         np.add.at(change, start, 1)
                         np.add.at(change, start + windows.shape[1], -1)
-                    doc = np.searchsorted(self.starts, start, side="right") - 1
+                    doc = np.searchsorted(edges, start, side="right") - 1
                     for d, k in np.unique(np.stack([doc, w], axis=1), axis=0):
                         into[d].update(owners[firsts[k] : firsts[k + 1]].tolist())
-        return np.cumsum(change[:-1]) > 0, exact, close
+        hit = np.cumsum(change[:-1]) > 0
+        own = np.repeat(self.starts - (np.cumsum(self.lengths) - self.lengths), self.lengths) + np.arange(int(self.lengths.sum()))
+        return hit[own], exact, close
 
 
-INDEX = "doc_ids array<{id}>, lengths binary, parts array<struct<terms: binary, counts: binary, places: binary>>"
-PART = ("terms", "counts", "places")
+INDEX = "doc_ids array<{id}>, lengths binary, terms binary, counts binary, places binary"
+FOUND = INDEX.split(", terms")[0] + ", hits binary, items array<array<string>>, near array<array<string>>"
+RESULT = "doc_id {id}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long"
 
 
-def segments(batches: Iterator[pa.RecordBatch], blocks: list[Block]) -> Iterator[tuple]:
-    """(rows of the batch, lengths, postings for each block) for pieces of the input of a bounded size."""
+def names_of(shape: str) -> list[str]:
+    return [x.split()[0] for x in shape.split(", ")]
+
+
+def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple]]:
+    """(rows of the batch, their postings) for pieces of the input of a bounded size."""
     for batch in batches:
         texts = batch.column("text").to_pylist()
         low = size = 0
         for i in range(len(texts) + 1):
             more = len(texts[i] or "") if i < len(texts) else 0
             if i > low and (i == len(texts) or size + more > SEGMENT_BYTES):
-                lists = [word_list(t) for t in texts[low:i]]
-                found = [Segment.postings(lists, block.terms) for block in blocks]
-                yield batch.slice(low, i - low), found[0][0], [f[1:] for f in found]
+                yield batch.slice(low, i - low), postings([word_list(t) for t in texts[low:i]])
                 low, size = i, 0
             size += more
 
 
-def build_index(docs: DataFrame, blocks) -> DataFrame:
-    """The index as rows, one for each segment, whole in itself; ``blocks`` is a broadcast list."""
+def build_index(docs: DataFrame) -> DataFrame:
+    """The index as rows, one for each segment, whole in itself; it serves any test set."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.list_(pa.struct([(p, pa.binary()) for p in PART]))
-        for rows, lengths, found in segments(batches, blocks.value):
+        for rows, (lengths, terms, counts, places) in segments(batches):
             ids = rows.column("doc_id")
-            packed = [[{p: x.tobytes() for p, x in zip(PART, f)} for f in found]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([lengths.tobytes()], pa.binary()), pa.array(packed, part)], ["doc_ids", "lengths", "parts"]
-            )
+            packed = [pa.array([x], pa.binary()) for x in (lengths.tobytes(), b" ".join(terms), counts.tobytes(), places.tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *packed], names_of(INDEX))
 
     return docs.select("doc_id", "text").mapInArrow(run, INDEX.format(id=kind))
 
 
-RESULT = "doc_id {id}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long"
+def looked_up(row: pa.RecordBatch, block: Block, slack: int, least: float) -> tuple[np.ndarray, np.ndarray, list[set[str]], list[set[str]]]:
+    """Words of each of one index row's documents, which of them are hit, and the names of items found."""
+    raw = [row.column(c)[0].as_buffer() for c in names_of(INDEX)[1:]]
+    lengths, counts, places = (np.frombuffer(raw[i], np.int32) for i in (0, 2, 3))
+    hit, *found = Segment(lengths, raw[1].to_pybytes().split(), counts, places, block, slack).search(block, slack, least)
+    return lengths, hit, *([{block.items[k] for k in s if block.items[k] is not None} for s in sets] for sets in found)
 
 
-def summary(lengths, hit_at, starts, names: list[set[str]], near: list[set[str]]) -> list[pa.Array]:
-    hits = np.add.reduceat(hit_at.astype(np.int64), starts[:-1]) if len(lengths) else np.zeros(0, np.int64)
-    digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]
-    return [
-        pa.array(lengths, pa.int64()),
-        pa.array(hits, pa.int64()),
-        pa.array([len(x) for x in names], pa.int64()),
-        pa.array(digest, pa.string()),
-        pa.array(hits > 0, pa.bool_()),
-        pa.array([len(x) for x in near], pa.int64()),
-    ]
-
-
-def search_blocks(lengths: np.ndarray, found: list[tuple], blocks: list[Block], slack: int, least: float) -> list[pa.Array]:
-    """Results of one segment's documents over all blocks of test items."""
-    hit_at, names, near = None, [set() for _ in lengths], [set() for _ in lengths]
-    for parts, block in zip(found, blocks):
-        segment = Segment(lengths, *parts, len(block.terms))
-        at, exact, close = segment.search(block, slack, least)
-        hit_at = at if hit_at is None else hit_at | at
-        for into, sets in ((names, exact), (near, close)):
-            for mine, new in zip(into, sets):
-                mine.update(block.items[k] for k in new if block.items[k] is not None)
-    return summary(segment.lengths, hit_at, segment.starts, names, near)
-
-
-def search(index: DataFrame, blocks, slack: int = 0, least: float = 0.8) -> DataFrame:
-    """One row for each indexed document; ``blocks`` are those the index was built with."""
-    kind = dict(index.dtypes)["doc_ids"][len("array<") : -1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                lengths = np.frombuffer(row.column("lengths")[0].as_buffer(), np.int32)
-                found = [tuple(np.frombuffer(p[x].as_buffer(), np.int32) for x in PART) for p in row.column("parts")[0]]
-                yield pa.RecordBatch.from_arrays([row.column("doc_ids").flatten(), *search_blocks(lengths, found, blocks.value, slack, least)], names_of(RESULT))
+def hits_of(lengths: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Hit words of each document."""
+    upto, ends = np.concatenate([[0], np.cumsum(hit)]), np.cumsum(lengths)
+    return upto[ends] - upto[ends - lengths]
 
-    return index.mapInArrow(run, RESULT.format(id=kind))
 
-
-def names_of(shape: str) -> list[str]:
-    return [x.split()[0] for x in shape.split(",")]
+def summary(lengths: np.ndarray, hit: np.ndarray, names: list[set[str]], near: list[set[str]]) -> list[pa.Array]:
+    """The columns of RESULT after the first."""
+    hits = hits_of(lengths, hit)
+    digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]
+    count = lambda sets: pa.array([len(x) for x in sets], pa.int64())
+    return [pa.array(lengths, pa.int64()), pa.array(hits, pa.int64()), count(names), pa.array(digest, pa.string()), pa.array(hits > 0, pa.bool_()), count(near)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = 5_000_000, slack: int = 0) -> DataFrame:
-    """Per document its words, hit words, and items found; see RESULT."""
-    blocks = blocks_of(benchmark, n, block_words) or [Block([(None, [b"\x00"])], n)]
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)
-    return search(build_index(docs, shared), shared, slack)
+def search(index: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = 5_000_000, slack: int = SLACK, least: float = LEAST) -> DataFrame:
+    """One row for each indexed document, with what of ``benchmark`` is found in it; see RESULT."""
+    kind = dict(index.dtypes)["doc_ids"][len("array<") : -1]
+    context = index.sparkSession.sparkContext
+
+    def each(shared: Broadcast, give):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1)
+                    yield give(row, looked_up(row, shared.value, slack, least))
+
+        return run
+
+    def result(row: pa.RecordBatch, found: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([row.column("doc_ids").flatten(), *summary(*found)], names_of(RESULT))
+
+    def partly(row: pa.RecordBatch, found: tuple) -> pa.RecordBatch:
+        _, hit, names, near = found
+        lists = pa.list_(pa.list_(pa.string()))
+        more = [pa.array([np.packbits(hit).tobytes()], pa.binary()), *(pa.array([[sorted(x) for x in sets]], lists) for sets in (names, near))]
+        return pa.RecordBatch.from_arrays([row.column("segment"), row.column("doc_ids"), row.column("lengths"), *more], ["segment", *names_of(FOUND)])
+
+    def merged(table: pa.Table) -> pa.Table:
+        rows = [b.slice(i, 1) for b in table.combine_chunks().to_batches() for i in range(b.num_rows)]
+        lengths = np.frombuffer(rows[0].column("lengths")[0].as_buffer(), np.int32)
+        hits = [np.unpackbits(np.frombuffer(r.column("hits")[0].as_buffer(), np.uint8), count=int(lengths.sum())).view(bool) for r in rows]
+        sets = [[set().union(*(x or () for x in own)) for own in zip(*(r.column(c)[0].as_py() for r in rows))] for c in ("items", "near")]
+        return pa.Table.from_batches([result(rows[0], (lengths, reduce(np.logical_or, hits), *sets))])
+
+    blocks = blocks_of(benchmark, n, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return index.mapInArrow(each(context.broadcast(first), result), RESULT.format(id=kind))
+    index = cut(index.withColumn("segment", F.monotonically_increasing_id()))
+    found = []
+    for block in chain([first, second], blocks):
+        shared = context.broadcast(block)
+        found.append(cut(index.mapInArrow(each(shared, partly), f"segment long, {FOUND.format(id=kind)}")))
+        shared.unpersist()
+    return reduce(DataFrame.union, found).groupBy("segment").applyInArrow(merged, RESULT.format(id=kind))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """Per document its words, hit words, and items found exactly and nearly; see RESULT."""
+    return search(build_index(docs), benchmark, **options)
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = 5_000_000) -> DataFrame:
-    """Every row of ``docs``, with ``contaminated``; index and search stay in one task."""
-    blocks = blocks_of(benchmark, n, block_words) or [Block([(None, [b"\x00"])], n)]
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+    """Every row of ``docs``, with ``contaminated`` (by exact matches); index and search stay in one task."""
     kept = [c for c in docs.columns if c.lower() != "contaminated"]
-    rows = docs.select(*[f"`{c}`" for c in kept])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, lengths, found in segments(batches, shared.value):
-            hit = search_blocks(lengths, found, shared.value, 0, 1.0)[names_of(RESULT).index("contaminated") - 1]
-            yield pa.RecordBatch.from_arrays([*part.columns, hit], [*part.schema.names, "contaminated"])
-
-    return rows.mapInArrow(run, shape_with(rows, "contaminated boolean"))
+    rows = docs.select(*[f"`{c}`" for c in kept]).withColumn("contaminated", F.lit(False))
+
+    def by(shared: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = shared.value
+            for part, (lengths, terms, counts, places) in segments(batches):
+                hit, *_ = Segment(lengths, terms, counts, places, block).search(block)
+                now = (hits_of(lengths, hit) > 0) | part.column("contaminated").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(now, pa.bool_())], part.schema.names)
+
+        return run
+
+    context, shape = docs.sparkSession.sparkContext, shape_with(rows.drop("contaminated"), "contaminated boolean")
+    blocks = blocks_of(benchmark, n, block_words)
+    block = next(blocks)
+    while block is not None:
+        shared, block = context.broadcast(block), next(blocks, None)
+        rows = rows.mapInArrow(by(shared), shape)
+        if block is not None:
+            rows = cut(rows)
+            shared.unpersist()
+    return rows

@@ -132,23 +132,43 @@ def by_hand(texts, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("block_words, candidates", [(10**6, 1 << 21), (15, 3)])
+def near_by_hand(text, items, slack, n=10, least=0.8):
+    w = ITEM_WORD.findall((text or "").translate(LOWER))
+    places = collections.defaultdict(set)
+    for p, x in enumerate(w):
+        places[x] |= set(range(p - slack, p + slack + 1))
+    found = set()
+    for k, t in items:
+        own = ITEM_WORD.findall((t or "").translate(LOWER))
+        for i in range(max(1, len(own) - n + 1) if own and k is not None else 0):
+            window = own[i : i + n]
+            need = -(-len(window) * 8 // 10)
+            if any(sum(s + x in places[term] for x, term in enumerate(window)) >= need for s in range(-n, len(w) + n)):
+                found.add(k)
+    return len(found)
+
+
+@pytest.mark.parametrize("block_words, candidates", [(10**6, 1 << 19), (15, 3)])
 def test_decontamination(spark, edge, nothing, block_words, candidates, monkeypatch, tmp_path):
     monkeypatch.setattr(decontaminate, "CANDIDATES", candidates)
     monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 200 if candidates == 3 else 6 << 20)
     passage = " ".join(f"w{i}" for i in range(25))
     items = [(1, passage), (12, "short item"), (2, "Ünï cödé"), (3, None), (4, "..."), (None, "one two"), (5, passage), (6, "the the the"), (7, "a b " * 10)]
     texts = [passage, passage.upper() + ". " + passage, " ".join(passage.split()[3:13]), " ".join(passage.split()[3:12]), "ünï cödé, ÜNÏ cödé", "the the the the", "a b " * 30, "Short-Item!", "w24 " + passage]
+    texts += [" ".join(passage.split()[4:12]), "w2 w1 w0 w5 w4 w3 w7 w6 w9 w8", "item of a short"]
     docs = edge.select("doc_id", "text", "extra").union(spark.createDataFrame([(900 + i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, extra string"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = decontaminate.decontaminate(docs, bench, block_words=block_words).collect()
     all_texts = [r.text for r in docs.collect()]
-    want = sorted(by_hand(all_texts, items))
-    assert sorted(tuple(r)[1:6] for r in rows) == want
-    blocks = spark.sparkContext.broadcast(decontaminate.blocks_of(bench, 10, block_words))
+    want = sorted((*x, near_by_hand(t, items, 2) if len(t or "") < 5000 else 0) for t, x in zip(all_texts, by_hand(all_texts, items)))
+    assert sorted(tuple(r)[1:] for r in rows) == want and max(x[-1] for x in want) > 1
     where = str(tmp_path / "index")
-    decontaminate.build_index(docs, blocks).repartition(5).write.parquet(where)  # a stored index gives the same
-    assert sorted(tuple(r)[1:6] for r in decontaminate.search(spark.read.parquet(where), blocks).collect()) == want
+    decontaminate.build_index(docs).repartition(5).write.parquet(where)  # a stored index gives the same, and serves other test sets
+    index = spark.read.parquet(where)
+    assert sorted(tuple(r)[1:] for r in decontaminate.search(index, bench, block_words=block_words).collect()) == want
+    other = [(1, "w3 w4 w5")]
+    rows = decontaminate.search(index, spark.createDataFrame(other, "item_id long, text string"), slack=0).collect()
+    assert sorted(tuple(r)[1:6] for r in rows) == sorted(by_hand(all_texts, other))
     flagged = decontaminate.flag(edge.drop("x"), bench, block_words=block_words).collect()
     assert sorted(r.contaminated for r in flagged) == sorted(x[4] for x in by_hand([r.text for r in edge.collect()], items))
     assert decontaminate.decontaminate(nothing, bench).count() == 0 == decontaminate.flag(nothing, bench).count()
@@ -159,7 +179,7 @@ def test_small_candidate_batches(monkeypatch):
     monkeypatch.setattr(decontaminate, "CANDIDATES", 8)
     words = [b"a", b"b", b"c"] * 40
     block = decontaminate.Block([("i", [b"a", b"b", b"c", b"a"]), ("j", [b"c", b"c"])], 3)
-    s = decontaminate.Segment(*decontaminate.Segment.postings([words, [], words[:2]], block.terms), len(block.terms))
+    s = decontaminate.Segment(*decontaminate.postings([words, [], words[:2]]), block)
     hit, exact, _ = s.search(block)
     assert exact == [{0}, set(), set()] and hit[:120].all() and not hit[120:].any()
 
@@ -168,8 +188,28 @@ def test_proximity(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     texts = [item, item.replace("gamma", "gamma very"), item.replace("delta", "x"), "kappa iota theta eta zeta epsilon delta gamma beta alpha", "alpha beta"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    rows = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), slack=1).orderBy("doc_id").collect()
-    assert [r.n_items for r in rows] == [1, 0, 0, 0, 0] and [r.n_near_items for r in rows] == [1, 1, 1, 0, 0]
+    for slack, want in ((1, [1, 1, 1, 0, 0]), (0, [0] * 5)):
+        rows = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), slack=slack).orderBy("doc_id").collect()
+        assert [r.n_items for r in rows] == [1, 0, 0, 0, 0] and [r.n_near_items for r in rows] == want
+
+
+@pytest.mark.parametrize("slack, least", [(1, 0.8), (2, 0.8), (3, 0.6), (2, 1.0)])
+def test_proximity_against_brute_force(slack, least):
+    rng = np.random.default_rng(slack)
+    lists = [[b"t%d" % i for i in rng.zipf(1.5, n) % 40] for n in (0, 3, 60, 200, 9, 90)]
+    items = [("i%d" % k, [b"t%d" % i for i in rng.zipf(1.5, n) % 45]) for k, n in enumerate((1, 2, 5, 8, 12, 20))]
+    items += [("j", lists[3][50:53] + [b"?"] + lists[3][53:60]), ("k", lists[2][20:24] + lists[2][26:32])]
+    block = decontaminate.Block(items, 10)
+    _, _, near = decontaminate.Segment(*decontaminate.postings(lists), block, slack).search(block, slack, least)
+    for d, w in enumerate(lists):
+        want = set()
+        for k, (_, own) in enumerate(items):
+            for i in range(max(1, len(own) - 9)):
+                window = own[i : i + 10]
+                for s in range(-15, len(w) + 15):
+                    if sum(any(0 <= p < len(w) and w[p] == t for p in range(s + x - slack, s + x + slack + 1)) for x, t in enumerate(window)) >= least * len(window) - 1e-9:
+                        want.add(k)
+        assert near[d] == want
 
 
 # --- line templates ----------------------------------------------------------------
