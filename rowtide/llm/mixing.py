@@ -7,214 +7,301 @@
    once more those whose hash lies under a threshold.  Thresholds are set for four
    size classes from long to short texts, each making up for what the longer ones
    missed, so a source misses its target by half a short text at most (if it has
-   short ones).  A source's hash range is cut into blocks of about ``block_rows``
-   documents; blocks times passes are the exact quota of the source.
+   short ones).  A threshold is found bits by bits, from sums over at most 1,024 hash
+   ranges a source, so a hot source is no more work for a task than any other.  A
+   source's hash range is cut into blocks of about ``block_rows`` documents; blocks
+   times passes are the exact quota of the source.
 3. Splitting tree.  The output shards are halved again and again; at each node the
    number of each source's blocks that goes left is drawn from the multivariate
    hypergeometric distribution, so rows and columns of the table (source, shard)
-   add up exactly.
+   add up exactly.  With more than ``bucket_sources`` sources the driver draws for
+   buckets of sources, and a task draws for the sources of a bucket, given its share.
 4. Blocks.  Within a source and pass the blocks are permuted; shard j draws the
    positions that follow those of shard j-1.  So shards are disjoint and every
    place is a function of the document's hash.
 5. Rows are shuffled within their shard by a hash of document and pass.
 
-Driver memory: one row for each source (at most ``max_sources``, else an error)
-and one number for each source and shard.  The documents are read once into a slim
-table (no texts) in the shared folder, and once more for the result.
+Rows alike in every column are one group with a count from the start, and a threshold
+may take any number of them; they are made again as rows when places are known.
+
+Driver memory: one row of numbers for each bucket of sources and shard.  The documents
+are read once into a slim table (no texts) in the shared folder, and once more for the
+result.  The plan, one row a source, is broadcast up to BROADCAST_SOURCES sources and
+joined beyond.  The drawing takes up to BLOCKS_MOST blocks, so 10^8 sources.
 
 Defined results: a null source is a source of its own and sorts last; a null text
-has size 0; a source whose texts are all empty has target 0 and is not taken;
-equal documents (same id and text) share their fate; an empty table gives an empty
-one.  Input columns named like an output column are replaced by it.
+has size 0; a source whose texts are all empty has target 0 and is not taken; a very
+long text counts by its words, like any other; an empty table gives an empty one.
+Input columns named like an output column are replaced by it.
 """
 
 from __future__ import annotations
 
 import math
-from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rowtide.llm.common import WORD, cut
 
 #: Least sizes, in words, of the size classes after the first.
 CLASSES = (4096, 512, 64)
-H = "__mix_h"
-BLOCKS_MOST = 1 << 28
-
-
-def targets(sizes: list[int], weights: list[float], total: int, cap: int = 3) -> list[Fraction]:
-    """Shares of ``total`` by weight, none above ``cap`` times its size."""
-    out: dict[int, Fraction] = {}
-    open_, left = list(range(len(sizes))), Fraction(total)
-    while open_:
-        weight = sum(Fraction(weights[i]) for i in open_)
-        share = {i: left * Fraction(weights[i]) / weight for i in open_}
-        full = [i for i in open_ if share[i] > cap * sizes[i]]
-        if not full:
-            return [(out | share)[i] for i in range(len(sizes))]
-        for i in full:
-            out[i] = Fraction(cap * sizes[i])
-            left -= out[i]
-        open_ = [i for i in open_ if i not in out]
-    return [out[i] for i in range(len(sizes))]
-
-
-def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
-    """Table (source, shard) of block counts; rows add up to ``quotas``, columns are even."""
-    table = np.zeros((len(quotas), shards), dtype=np.int64)
-    todo = [(0, shards, np.asarray(quotas, dtype=np.int64))]
+H, COPY, ROW = "__mix_h", "__mix_c", "__mix_row"
+ALL = (1 << 63) - 1
+LEVEL_BITS = 10
+BLOCKS_MOST = 1 << 29
+BROADCAST_SOURCES = 20_000
+HOT_ROWS = 50_000
+
+# --- targets and quotas ------------------------------------------------------------
+
+
+def by_source(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    """Inner join by source, null being a source; ``sources`` has one row for each."""
+    own = sources.withColumnRenamed("source", "__mix_source")
+    return rows.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("__mix_source"))).drop("__mix_source")
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``idx``, their place by code points, null last."""
+    by = F.col("source").asc_nulls_last()
+    parts = cut(sources.repartitionByRange(64, by).withColumn("pid", F.spark_partition_id()))
+    counts = dict(parts.groupBy("pid").count().collect())
+    before, at = {}, 0
+    for pid in sorted(counts):
+        before[pid], at = at, at + counts[pid]
+    first = F.get(F.array(*[F.lit(before.get(p, 0)).cast("long") for p in range(max(before, default=0) + 1)]), F.col("pid"))
+    return parts.withColumn("idx", F.row_number().over(Window.partitionBy("pid").orderBy(by)) - 1 + first).drop("pid")
+
+
+def level(sources: DataFrame, total: float, cap: int) -> float:
+    """The words for a weight of 1 at which shares, none above ``cap`` times its source, add up to ``total``."""
+    full = F.col("source_size") * cap < F.col("weight") * F.lit(0.0)
+    now = 0.0
+    while True:
+        r = sources.agg(F.sum(F.when(full, F.col("source_size") * cap)).alias("cut"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if not r.open:
+            return math.inf
+        new = (total - (r.cut or 0)) / r.open
+        if new <= now * (1 + 1e-12):
+            return now
+        now = new
+        full = F.col("source_size") * cap < F.col("weight") * F.lit(now)
+
+
+def nearest(rows: DataFrame, due: DataFrame, few: bool) -> DataFrame:
+    """(source, edge, take, got): the groups under hash ``edge`` and ``take`` rows of the one at it, ``got`` words in all.
+
+    ``due`` has (source, quota), less than the source has words in ``rows``.
+    """
+    have, shift = due.select("source", "quota", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before")), 63
+    within = lambda: by_source(rows, have, few).where(F.shiftright(H, shift) == F.col("prefix"))
+    words = F.col("size") * F.col("n")
+    hit = (F.col("upto") - F.col("w") < F.col("quota")) & (F.col("quota") <= F.col("upto"))
+    while shift:
+        low = max(0, shift - LEVEL_BITS)
+        bins = within().groupBy("source", F.shiftright(H, low).alias("b")).agg(F.sum(words).alias("w"), F.count("*").alias("c"), F.max("quota").alias("quota"), F.max("before").alias("before"))
+        upto = F.col("before") + F.sum("w").over(Window.partitionBy("source").orderBy("b"))
+        have = cut(bins.withColumn("upto", upto).where(hit).select("source", "quota", F.col("b").alias("prefix"), (F.col("upto") - F.col("w")).alias("before"), "c"))
+        most = have.agg(F.max("c")).first()[0] or 0
+        have, shift = have.drop("c"), low
+        if most <= 1 << LEVEL_BITS:
+            break
+    order = Window.partitionBy("source").orderBy(H, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    near = within().withColumn("w", words).withColumn("upto", F.col("before") + F.sum("w").over(order)).where(hit)
+    take = F.round((F.col("quota") - (F.col("upto") - F.col("w"))) / F.col("size")).cast("long")
+    return near.select("source", F.col(H).alias("edge"), take.alias("take"), (F.col("upto") - F.col("w") + take * F.col("size")).alias("got"))
+
+
+def thresholds(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    """``sources`` with edges and takes, one for each size class: what the part pass takes of a source."""
+    none = F.array().cast("array<long>")
+    state = sources.withColumns({"edges": none, "takes": none, "taken": F.lit(0).cast("long"), "seen": F.lit(0).cast("long")})
+    for c in range(len(CLASSES) + 1):
+        w = F.get("w", F.lit(c))
+        state = state.withColumn("seen", F.col("seen") + w)
+        due = F.when((F.col("part") > 0) & (w > 0), F.col("part") * F.col("seen") / F.col("source_size") - F.col("taken")).otherwise(0.0)
+        state = cut(state.withColumn("due", due))
+        whole, some = (w > 0) & (F.col("due") >= w), (w > 0) & (F.col("due") > 0) & (F.col("due") < w)
+        wanted = state.where(some).select("source", F.col("due").alias("quota"))
+        if wanted.isEmpty():
+            edge = take = got = F.lit(None).cast("long")
+        else:
+            found = nearest(rows.where(F.col("cls") == c), wanted, few).withColumnRenamed("source", "__mix_source")
+            state = state.join(F.broadcast(found) if few else found, F.col("source").eqNullSafe(F.col("__mix_source")), "left").drop("__mix_source")
+            edge, take, got = F.col("edge"), F.col("take"), F.col("got")
+        state = state.withColumns(
+            {
+                "edges": F.array_append("edges", F.when(whole, F.lit(ALL)).otherwise(F.coalesce(edge, F.lit(-1).cast("long")))),
+                "takes": F.array_append("takes", F.when(whole, F.lit(ALL)).otherwise(F.coalesce(take, F.lit(0).cast("long")))),
+                "taken": F.col("taken") + F.when(whole, w).otherwise(F.coalesce(got, F.lit(0).cast("long"))),
+            }
+        ).select(*sources.columns, "edges", "takes", "taken", "seen")
+    return cut(state.drop("taken", "seen"))
+
+
+# --- splitting tree ----------------------------------------------------------------
+
+
+def even_columns(total: int, shards: int) -> list[int]:
+    """``total`` dealt out by halving the shards again and again."""
+    if shards == 1:
+        return [total]
+    left = total * (shards // 2) // shards
+    return even_columns(left, shards // 2) + even_columns(total - left, shards - shards // 2)
+
+
+def split_quotas(quotas: list[int], columns: list[int], seed: list[int]) -> np.ndarray:
+    """Table (source, shard) of block counts whose rows add up to ``quotas`` and columns to ``columns``."""
+    table = np.zeros((len(quotas), len(columns)), dtype=np.int64)
+    todo = [(0, len(columns), np.asarray(quotas, dtype=np.int64))]
     while todo:
         low, high, have = todo.pop()
         if high - low == 1:
             table[:, low] = have
             continue
         middle = (low + high) // 2
-        draw = int(have.sum()) * (middle - low) // (high - low)
-        rng = np.random.default_rng([seed, low, high])
+        draw = sum(columns[low:middle])
+        rng = np.random.default_rng([*seed, low, high])
         left = rng.multivariate_hypergeometric(have, draw, method="marginals") if draw else np.zeros_like(have)
         todo += [(low, middle, left), (middle, high, have - left)]
     return table
 
 
-def slim(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size, size class and a 63-bit hash of every document."""
-    body = F.coalesce(F.col("text"), F.lit(""))
-    size = F.regexp_count(body, F.lit(WORD)).cast("long")
+PLAN = (
+    "source string, source_size long, target double, full int, edges array<long>, takes array<long>, shift int,"
+    "passes array<struct<e:int,start:long,size:long,a:long,b:long>>, bounds array<long>"
+)
+
+
+def planned(sources: DataFrame, shards: int, seed: int, bucket_sources: int) -> DataFrame:
+    """One row a source; see PLAN.  ``sources`` has idx, bits and the like."""
+    top = F.array_max("edges")
+    part = F.when(top >= 0, F.expr("shiftright(array_max(edges), shift)") + 1).otherwise(F.lit(0).cast("long"))
+    whole = F.expr("shiftleft(1L, 63 - shift)")
+    sources = cut(sources.withColumns({"whole": whole, "rest": part, "bucket": F.floor(F.col("idx") / bucket_sources)}))
+    shares = dict(sources.groupBy("bucket").agg(F.sum(F.col("whole") * F.col("full") + F.col("rest"))).collect())
+    order = sorted(shares)
+    columns = dict(zip(order, split_quotas([shares[b] for b in order], even_columns(sum(shares.values()), shards), [seed]).tolist()))
+
+    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        passes = [[int(w)] * int(f) + [int(r)] * (r > 0) for w, f, r in zip(rows["whole"], rows["full"], rows["rest"])]
+        bounds = split_quotas([sum(p) for p in passes], columns[key[0]], [seed, 1, int(key[0])]).cumsum(axis=1)
+        spread = []
+        for i, own in zip(rows["idx"], passes):
+            rng, start, out = np.random.default_rng([seed, 2, int(i)]), 0, []
+            for e, size in enumerate(own):
+                a = next(int(x) for x in rng.integers(1, size + 1, 1000) if math.gcd(int(x), size) == 1)
+                out.append({"e": e, "start": start, "size": size, "a": a, "b": int(rng.integers(0, size))})
+                start += size
+            spread.append(out)
+        return rows.assign(passes=spread, bounds=bounds.tolist())[[x.split()[0] for x in PLAN.split(",") if " " in x]]
+
+    return sources.groupBy("bucket").applyInPandas(draw, PLAN)
+
+
+# --- documents ---------------------------------------------------------------------
+
+
+def slim(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """doc_id, source, size, size class and a 63-bit hash of every row; nothing of the texts."""
+    values = [F.col(f"`{c}`") for c in docs.columns]
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[v.isNull() for v in values], *values), 1)
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select("doc_id", "source", size.alias("size"), h.alias(H), *more)
     cls = F.lit(len(CLASSES))
     for k, least in reversed(list(enumerate(CLASSES))):
         cls = F.when(F.col("size") > least, F.lit(k)).otherwise(cls)
-    return docs.withColumns(
-        {"size": size, H: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", "text"), 1)}
-    ).withColumn("cls", cls)
+    return rows.withColumn("cls", cls)
 
 
-def _thresholds(rows: DataFrame, stats: dict[tuple[int, int], int], wanted: list[Fraction], n: int) -> list[list[int]]:
-    """For each source and class the largest hash that the part pass takes; -1 for none."""
-    spark, m = rows.sparkSession, len(wanted)
-    bits = max(0, math.ceil(math.log2(max(1, n / 4096))))
-    out, taken, seen = [[-1] * (len(CLASSES) + 1) for _ in range(m)], [0] * m, [0] * m
-    whole = [sum(stats.get((s, c), 0) for c in range(len(CLASSES) + 1)) for s in range(m)]
-    for c in range(len(CLASSES) + 1):
-        quota = []
-        for s in range(m):
-            seen[s] += stats.get((s, c), 0)
-            due = wanted[s] * seen[s] / whole[s] - taken[s] if wanted[s] > 0 else Fraction(0)
-            if due >= stats.get((s, c), 0) > 0:
-                out[s][c] = (1 << 63) - 1
-                taken[s] += stats[s, c]
-            elif due > 0 and stats.get((s, c), 0):
-                quota.append((s, float(due)))
-        if not quota:
-            continue
-        due = F.broadcast(spark.createDataFrame(quota, "sid int, quota double"))
-        own = rows.where(F.col("cls") == c).select("sid", "size", H, F.shiftright(H, 63 - bits).alias("b")).join(due, "sid")
-        blocks = own.groupBy("sid", "b").agg(F.sum("size").alias("w"), F.first("quota").alias("quota"))
-        upto = F.sum("w").over(Window.partitionBy("sid").orderBy("b"))
-        edge = blocks.withColumn("before", upto - F.col("w")).where("before < quota and quota <= before + w")
-        rank = Window.partitionBy("sid").orderBy(H)
-        near = (
-            own.join(F.broadcast(edge.select("sid", "b", "before")), ["sid", "b"])
-            .withColumn("upto", F.col("before") + F.sum("size").over(rank))
-            .groupBy("sid")
-            .agg(
-                F.min(F.struct(F.abs(F.col("upto") - F.col("quota")).alias("off"), F.col(H).alias("h"), "upto")).alias("best"),
-                F.first("before").alias("before"),
-                F.first("quota").alias("quota"),
-                F.first("b").alias("b"),
-            )
-            .collect()
-        )
-        for r in near:
-            if r.quota - r.before <= r.best.off:
-                out[r.sid][c], got = (r.b << (63 - bits)) - 1, r.before
-            else:
-                out[r.sid][c], got = r.best.h, r.best.upto
-            taken[r.sid] += int(got)
-    return out
+def each_copy(groups: DataFrame, hot: bool) -> DataFrame:
+    """A row for each of the ``n`` rows of a group, numbered in COPY; those of a hot one come from many tasks."""
+    if hot:
+        pieces = groups.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / HOT_ROWS)))).repartition(H, "k")
+    else:
+        pieces = groups.withColumn("k", F.lit(0))
+    last = F.least(F.col("n"), (F.col("k") + 1) * HOT_ROWS) - 1
+    return pieces.withColumn(COPY, F.explode(F.sequence((F.col("k") * HOT_ROWS).cast("long"), last.cast("long")))).drop("k", "n")
 
 
 def plan_mix(
     docs: DataFrame,
-    weights=None,
+    weight: Column | None = None,
     total_share: float = 1.0,
     cap: int = 3,
     shards: int = 16,
     block_rows: int = 64,
     seed: int = 11,
-    max_sources: int = 10_000,
+    bucket_sources: int = 5_000,
 ) -> tuple[DataFrame, DataFrame]:
-    """The slim table of all documents, and per source its words, target and block plan.
+    """The slim table of all groups of equal documents (``n`` of them), and per source its words, target and block plan.
 
-    ``weights`` maps a list of sources, sorted, to their weights; by default they
-    weigh 1, 2, 3, 1, 2, 3 and so on.
+    ``weight`` is an expression over ``source`` and ``idx``, the source's place in order;
+    by default sources weigh 1, 2, 3, 1, 2, 3 and so on.
     """
-    spark = docs.sparkSession
-    table = cut(slim(docs.select("doc_id", "source", "text"), seed).drop("text"))
-    per = table.groupBy("source", "cls").agg(F.sum("size").alias("w"), F.count("*").alias("n")).limit(max_sources * 4 + 4).collect()
-    names = sorted({r.source for r in per}, key=lambda s: (s is None, s or ""))
-    if len(names) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    sid = {s: i for i, s in enumerate(names)}
-    stats = {(sid[r.source], r.cls): r.w for r in per}
-    sizes = [sum(r.w for r in per if r.source == s) for s in names]
-    counts = [sum(r.n for r in per if r.source == s) for s in names]
-    weigh = weights(names) if weights else [1 + i % 3 for i in range(len(names))]
-    goal = targets(sizes, weigh, int(total_share * sum(sizes)), cap) if sum(sizes) else [Fraction(0)] * len(names)
-    full = [int(t // s) if s else 0 for t, s in zip(goal, sizes)]
-    part = [t - f * s for t, f, s in zip(goal, full, sizes)]
-
-    ids = F.broadcast(spark.createDataFrame([(s, i) for s, i in sid.items()], "source string, sid int"))
-    rows = table.join(ids, table.source.eqNullSafe(ids.source)).select("sid", "size", "cls", H)
-    edges = _thresholds(rows, stats, part, sum(counts))
-
-    per_block = max(block_rows, -(-sum(counts) * (cap + 1) // BLOCKS_MOST))
-    bits = [max(math.ceil(math.log2(max(1, n / per_block))), math.ceil(math.log2(8 * shards))) for n in counts]
-    passes = [[1 << b] * f + [(max(e) >> (63 - b)) + 1] * (max(e) >= 0) for b, f, e in zip(bits, full, edges)]
-    bounds = split_quotas([sum(p) for p in passes], shards, seed).cumsum(axis=1)
-    plan, rng = [], np.random.default_rng(seed)
-    for i, s in enumerate(names):
-        spread, start = [], 0
-        for e, size in enumerate(passes[i]):
-            a = next(int(x) for x in rng.integers(1, size + 1, 1000) if math.gcd(int(x), size) == 1)
-            spread.append((e, start, size, a, int(rng.integers(0, size))))
-            start += size
-        plan.append((s, sizes[i], float(goal[i]), full[i], edges[i], 63 - bits[i], spread, [int(x) for x in bounds[i]]))
-    shape = T._parse_datatype_string(
-        "source string, source_size long, target double, full int, edges array<long>, shift int,"
-        "passes array<struct<e:int,start:long,size:long,a:long,b:long>>, bounds array<long>"
-    )
-    return table, spark.createDataFrame(plan, shape)
+    table = cut(slim(docs, seed).groupBy("doc_id", "source", "size", "cls", H).agg(F.count("*").alias("n")))
+    words = [F.coalesce(F.sum(F.when(F.col("cls") == c, F.col("size") * F.col("n"))), F.lit(0).cast("long")) for c in range(len(CLASSES) + 1)]
+    per = table.groupBy("source").agg(F.array(*words).alias("w"), F.sum("n").alias("rows"))
+    sources = numbered(per).withColumn("source_size", F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x))
+    sources = cut(sources.withColumn("weight", (F.lit(1) + F.col("idx") % 3 if weight is None else weight).cast("double")))
+    n_sources, n_words, n_rows = sources.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    few = n_sources <= BROADCAST_SOURCES
+    size, share = F.col("source_size"), F.col("weight") * F.lit(level(sources, int(total_share * n_words), cap))
+    target = F.when((size == 0) | (share > size * cap), (size * cap).cast("double")).otherwise(share)
+    sources = sources.withColumn("target", target).withColumn("full", F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("int"))
+    sources = thresholds(table, sources.withColumn("part", F.col("target") - F.col("full") * size), few)
+
+    per_block = max(block_rows, -(-n_rows * (cap + 1) // (BLOCKS_MOST // 2)))
+    least_bits = min(math.ceil(math.log2(8 * shards)), max(0, int(math.log2(BLOCKS_MOST / 2 / (max(1, n_sources) * (cap + 1))))))
+    bits = F.greatest(F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("rows") / per_block))), F.lit(least_bits))
+    return table, cut(planned(sources.withColumn("shift", (63 - bits).cast("int")), shards, seed, bucket_sources))
 
 
 def place(rows: DataFrame, plan: DataFrame, seed: int = 11) -> DataFrame:
-    """``rows`` of the slim shape with ``copies`` and ``places``, an array of (pass, shard, rank)."""
-    plan = F.broadcast(plan.withColumnRenamed("source", "__mix_source"))
-    joined = rows.join(plan, rows.source.eqNullSafe(F.col("__mix_source"))).drop("__mix_source")
-    copies = F.col("full") + (F.col(H) <= F.get("edges", F.col("cls"))).cast("int")
+    """Slim rows, numbered in COPY within their group, with ``copies`` and ``places``, an array of (pass, shard, rank)."""
+    joined = by_source(rows, plan, plan.count() <= BROADCAST_SOURCES)
+    edge, take = F.get("edges", F.col("cls")), F.get("takes", F.col("cls"))
+    taken = (F.col(H) < edge) | ((F.col(H) == edge) & (F.col(COPY) < take))
+    own = F.when(F.col(COPY) == 0, F.col(H)).otherwise(F.shiftrightunsigned(F.xxhash64(H, COPY), 1))
 
     def one(p):
-        # The shift differs by source; dividing by a power of two is exact and exact in SQL too.
-        block = F.expr(f"shiftright({H}, shift)")
-        position = p["start"] + F.pmod(block * p["a"] + p["b"], p["size"])
+        # The shift differs by source.
+        position = p["start"] + F.pmod(F.expr("shiftright(__mix_own, shift)") * p["a"] + p["b"], p["size"])
         shard = F.size(F.filter("bounds", lambda x: x <= position))
-        return F.struct(p["e"].alias("copy"), shard.alias("shard"), F.xxhash64(F.lit(seed), H, p["e"]).alias("rank"))
+        return F.struct(p["e"].alias("copy"), shard.alias("shard"), F.xxhash64(F.lit(seed), "__mix_own", p["e"]).alias("rank"))
+
+    joined = joined.withColumns({"copies": F.col("full") + taken.cast("int"), "__mix_own": own})
+    return joined.withColumn("places", F.transform(F.filter("passes", lambda p: p["e"] < F.col("copies")), one)).drop("__mix_own")
+
 
-    return joined.withColumn("copies", copies).withColumn("places", F.transform(F.filter("passes", lambda p: p["e"] < F.col("copies")), one))
+def placed(table: DataFrame, plan: DataFrame, seed: int = 11) -> DataFrame:
+    """``place`` for every row that the slim ``table`` stands for."""
+    return place(each_copy(table, (table.agg(F.max("n")).first()[0] or 0) > HOT_ROWS), plan, seed)
 
 
 def mix(docs: DataFrame, shards: int = 16, seed: int = 11, part_rows: int = 2000, **options) -> DataFrame:
     """The mixed rows: every column of ``docs`` plus ``mix_shard`` and ``mix_copy``, each shard shuffled."""
-    kept = [c for c in docs.columns if c.lower() not in ("mix_shard", "mix_copy")]
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("mix_shard", "mix_copy")])
     table, plan = plan_mix(docs, shards=shards, seed=seed, **options)
-    parts = max(1, -(-table.count() // (shards * part_rows)))
-    whole = docs.select("doc_id", "text", "source", F.struct(*[f"`{c}`" for c in kept]).alias("__mix_row"))
-    rows = place(slim(whole, seed).drop("text", "doc_id"), plan, seed)
-    each = rows.select("__mix_row", F.explode("places").alias("p")).select("__mix_row.*", F.col("p.shard").alias("mix_shard"), F.col("p.copy").alias("mix_copy"), F.col("p.rank").alias("__mix_rank"))
+    n, most = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    rows = slim(docs, seed, F.struct(*[f"`{c}`" for c in docs.columns]).alias(ROW))
+    single = rows
+    if most > 1:
+        repeated = table.where("n > 1").select(H, "n")
+        one = rows.join(repeated, H).groupBy(H).agg(*[F.first(c).alias(c) for c in ("source", "size", "cls", "n", ROW)])
+        rest = each_copy(one, most > HOT_ROWS)
+        single = rows.join(repeated, H, "left_anti")
+    rows = single.select("source", "size", "cls", H, ROW, F.lit(0).cast("long").alias(COPY))
+    if most > 1:
+        rows = rows.unionByName(rest)
+    taken = place(rows, plan, seed).select(ROW, F.explode("places").alias("p"))
+    each = taken.select(f"{ROW}.*", F.col("p.shard").alias("mix_shard"), F.col("p.copy").alias("mix_copy"), F.col("p.rank").alias("__mix_rank"))
     # A shard is dealt out in ``parts`` stretches of its order, so it may be larger than a task.
+    parts = max(1, -(-n // (shards * part_rows)))
     stretch = F.floor(F.shiftrightunsigned("__mix_rank", 1) / F.lit(2.0**63 / parts))
     dealt = each.withColumn("__mix_part", stretch).repartition("mix_shard", "__mix_part")
     return dealt.sortWithinPartitions("mix_shard", "__mix_part", "__mix_rank").drop("__mix_part", "__mix_rank")

@@ -16,8 +16,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, plan = mixing.plan_mix(documents(spark, sf_dir))
-    placed = mixing.place(table, plan)
-    return placed.select(
+    return mixing.placed(table, plan).select(
         "doc_id",
         "size",
         "source_size",
