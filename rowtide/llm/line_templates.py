@@ -8,17 +8,25 @@ variable field.  What remains is the line's template.  A template found in
 ``least_docs`` documents or more, with at least half its tokens constant, is
 recurring, and all its lines are dropped from the documents.
 
-Counts stand for the whole corpus.  Leaves with too few documents are dropped before
-their tokens are looked at, equal lines are one row with a document count before
-places are counted, and every count is combined before its shuffle, so a hot leaf,
-line or template is spread over all tasks.  Line texts stay in place: only hashes
-travel, and each document gets back the list of places it loses.
+A line of ``long_tokens`` tokens or more that is found unchanged in two documents or
+more is no coincidence, so it needs no ``least_docs``: it is dropped from all of them
+but one (the one whose text has the least hash).
+
+Counts stand for the whole corpus.  A first pass counts the documents of each leaf and
+each long line; a sieve of them on the executors keeps lines in place that can't
+recur, and what it lets through in vain is dropped by the counts that follow.  Equal
+lines are one row with a document count before places are counted, and every count is
+combined before its shuffle.  Counts are written before they are joined with the rows
+they judge, so that Spark splits the join of a hot template, line, text or of all null
+texts over tasks.  Only hashes of lines travel, and each document gets back the list of
+places it loses.
 
 Defined results: null and empty texts have no lines with tokens and lose none (null
 stays null); lines without tokens are never dropped; a line repeated in one document
 counts once; documents of equal texts count as one, so a line is not recurring
-just because its document was copied, and they lose the same lines; an empty table gives an empty one.  Input columns named like an output
-column are replaced by it; others are carried along.
+just because its document was copied, and they lose the same lines; a very long text
+is parsed whole, by itself; an empty table gives an empty one.  Input columns named
+like an output column are replaced by it; others are carried along.
 """
 
 from __future__ import annotations
@@ -53,27 +61,39 @@ def leaf(t: list[bytes], depth: int) -> int:
     return digest(b"%d " % len(t) + b" ".join(t[:depth]))
 
 
-def parsed(text: str | None, depth: int, least_tokens: int) -> Iterator[tuple[int, list[bytes], int]]:
-    """(place, tokens, leaf) of every line with enough tokens."""
+def parsed(text: str | None, depth: int) -> Iterator[tuple[int, bytes, list[bytes], int]]:
+    """(place, line, tokens, leaf) of every line with tokens."""
     for place, line in enumerate((text or "").encode().split(b"\n")):
         t = tokens(line)
-        if len(t) >= least_tokens:
-            yield place, t, leaf(t, depth)
+        if t:
+            yield place, line, t, leaf(t, depth)
 
 
-def recurring(source: DataFrame, least_docs: int, depth: int, least_tokens: int, slots: int) -> DataFrame:
-    """(KEY, places): what each document loses.  ``source`` has KEY and text."""
+TEMPLATE, EXACT = 0, 1
+FOUND = f"{KEY} long, kind int, leaf long, line long, places array<int>, toks array<long>"
 
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def recurring(source: DataFrame, least_docs: int, depth: int, long_tokens: int, slots: int) -> DataFrame:
+    """(KEY, __lt_places): what each document loses.  ``source`` has KEY and text."""
+
+    def texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict[int, str | None]]:
         for batch in batches:
-            for part in text_batches(batch, "text"):
-                texts = dict(zip(part.column(KEY).to_pylist(), part.column("text").to_pylist()))
-                out = [(k, x) for k, t in texts.items() for x in {x for _, _, x in parsed(t, depth, least_tokens)}]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], [KEY, "leaf"])
+            for part in text_batches(batch, "text", most):
+                yield dict(zip(part.column(KEY).to_pylist(), part.column("text").to_pylist()))
 
-    counts = source.mapInArrow(leaves, f"{KEY} long, leaf long").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
-    common = cut(counts.where(F.col("n") >= least_docs).select("leaf"))
-    # A first sieve of at most ``slots`` bits; what passes it is checked exactly in the join.
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in texts(batches, 8 << 20):
+            out = []
+            for key, text in own.items():
+                seen = {(TEMPLATE, x) for _, _, _, x in parsed(text, depth)}
+                seen |= {(EXACT, digest(line)) for _, line, t, _ in parsed(text, depth) if len(t) >= long_tokens}
+                out += [(key, *x) for x in seen]
+            columns = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], [KEY, "kind", "leaf"])
+
+    counts = source.mapInArrow(leaves, f"{KEY} long, kind int, leaf long").distinct().groupBy("kind", "leaf").agg(F.count("*").alias("n"), F.min(KEY).alias("first"))
+    common = cut(counts.where(F.col("n") >= F.when(F.col("kind") == EXACT, 2).otherwise(least_docs)))
+    # At most ``slots`` bits.
     passed = common.select(F.pmod("leaf", F.lit(slots)).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
     sieve = np.zeros(slots, bool)
     sieve[passed] = True
@@ -81,49 +101,45 @@ def recurring(source: DataFrame, least_docs: int, depth: int, least_tokens: int,
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shared.value, count=slots).view(bool)
-        for batch in batches:
-            for part in text_batches(batch, "text", 2 << 20):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                texts = dict(zip(part.column(KEY).to_pylist(), part.column("text").to_pylist()))
-                for key, t in texts.items():
-                    own: dict[int, tuple] = {}
-                    for place, toks, x in parsed(t, depth, least_tokens):
-                        if wanted[x % slots]:
-                            line = digest(b" ".join(toks))
-                            own.setdefault(line, (x, toks, []))[2].append(place)
-                    for line, (x, toks, places) in own.items():
-                        for into, v in zip(out, (key, x, line, places, [digest(w) for w in toks])):
-                            into.append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.list_(pa.int64()))],
-                    [KEY, "leaf", "line", "places", "toks"],
-                )
-
-    found = source.mapInArrow(lines, f"{KEY} long, leaf long, line long, places array<int>, toks array<long>")
-    one = found.join(common, "leaf", "left_semi").groupBy(KEY, "leaf", "line").agg(F.first("places").alias("places"), F.first("toks").alias("toks"))
-    found = cut(one)
-
-    distinct = found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("toks").alias("toks"))
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        for some in texts(batches, 2 << 20):
+            out: list[tuple] = []
+            for key, t in some.items():
+                own: dict[tuple, tuple] = {}
+                for place, line, toks, x in parsed(t, depth):
+                    if wanted[x % slots]:
+                        own.setdefault((TEMPLATE, x, digest(b" ".join(toks))), ([], toks))[0].append(place)
+                    if len(toks) >= long_tokens and wanted[(raw := digest(line)) % slots]:
+                        own.setdefault((EXACT, raw, raw), ([], ()))[0].append(place)
+                out += [(key, *k, places, [digest(w) for w in toks]) for k, (places, toks) in own.items()]
+            columns = zip(*out) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [KEY, "kind", "leaf", "line", "places", "toks"])
+
+    by = (KEY, "kind", "leaf", "line")
+    found = cut(source.mapInArrow(lines, FOUND).groupBy(*by).agg(F.first("places").alias("places"), F.first("toks").alias("toks")))
+
+    templates = found.where(F.col("kind") == TEMPLATE)
+    distinct = cut(templates.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("toks").alias("toks")))
     each = distinct.select("leaf", "line", "n", F.size("toks").alias("width"), F.posexplode("toks").alias("pos", "tok"))
-    frequent = each.groupBy("leaf", "pos", "tok").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least_docs).select("leaf", "pos", "tok", F.lit(True).alias("constant"))
-    marked = each.join(frequent, ["leaf", "pos", "tok"], "left")
-    field = F.when(F.col("constant"), F.struct("pos", "tok"))  # collect_list leaves the nulls of variable fields out
-    shapes = marked.groupBy("leaf", "line", "n", "width").agg(F.sort_array(F.collect_list(field)).alias("fixed"))
-    shapes = shapes.where(F.size("fixed") * 2 >= F.col("width")).select("leaf", "line", "n", F.xxhash64("leaf", "fixed").alias("template"))
-    repeated = shapes.groupBy("template").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least_docs).select("template")
-    dropped = shapes.join(repeated, "template", "left_semi").select("leaf", "line")
-    lost = found.join(dropped, ["leaf", "line"], "left_semi").select(KEY, "places")
-    return lost.groupBy(KEY).agg(F.flatten(F.collect_list("places")).alias("__lt_places"))
-
-
-def drop_templates(docs: DataFrame, least_docs: int = 8, depth: int = 3, least_tokens: int = 3, slots: int = 1 << 20) -> DataFrame:
-    """``docs`` with ``n_lines`` (those with tokens), ``n_dropped`` and ``clean_text``.
-
-    ``least_tokens``: shorter lines are left alone.
-    """
+    tokened = each.where(F.col("tok") != digest(WILD))
+    frequent = cut(tokened.groupBy("leaf", "pos", "tok").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least_docs).select("leaf", "pos", "tok"))
+    constant = tokened.join(frequent, ["leaf", "pos", "tok"], "left_semi")
+    shapes = constant.groupBy("leaf", "line", "n", "width").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("fixed"))
+    shapes = cut(shapes.where(F.size("fixed") * 2 >= F.col("width")).select("leaf", "line", "n", F.xxhash64("leaf", "fixed").alias("template")))
+    repeated = cut(shapes.groupBy("template").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least_docs).select("template"))
+    dropped = cut(shapes.join(repeated, "template", "left_semi").select("leaf", "line"))
+    lost = templates.join(dropped, ["leaf", "line"], "left_semi").select(KEY, "places")
+
+    copied = common.where(F.col("kind") == EXACT).select(F.col("leaf").alias("line"), "first")
+    twice = found.where(F.col("kind") == EXACT).join(copied, "line").where(F.col(KEY) != F.col("first")).select(KEY, "places")
+    return lost.union(twice).groupBy(KEY).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("__lt_places"))
+
+
+def drop_templates(docs: DataFrame, least_docs: int = 8, depth: int = 3, long_tokens: int = 50, slots: int = 1 << 20) -> DataFrame:
+    """``docs`` with ``n_lines`` (those with tokens), ``n_dropped`` and ``clean_text``."""
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "clean_text")]
     keyed = docs.select(*[f"`{c}`" for c in kept]).withColumn(KEY, F.xxhash64("text"))
-    lost = recurring(keyed.select(KEY, "text"), least_docs, depth, least_tokens, slots)
+    lost = cut(recurring(keyed.select(KEY, "text"), least_docs, depth, long_tokens, slots))
     joined = keyed.join(lost, KEY, "left").drop(KEY)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from rowtide.llm import decontaminate, language_id, line_templates, queries, quality_model, token_count
@@ -229,13 +230,56 @@ def test_line_templates(spark, edge, nothing):
     assert line_templates.drop_templates(nothing).count() == 0
 
 
-def test_exact_repeats_are_found_whole(spark, sf):
+def slow_templates(texts, least, depth, long):
+    """Places that each distinct text loses, by a plain tree of dictionaries."""
+    leaves = collections.defaultdict(lambda: collections.defaultdict(set))  # shape -> masked line -> texts
+    exact = collections.defaultdict(set)
+    lines = {t: [(i, x, [("<*>" if re.search("[0-9]", w) else w) for w in re.findall(r"[^ \t\r\x0b\x0c]+", x)]) for i, x in enumerate(t.split("\n"))] for t in texts}
+    for t, own in lines.items():
+        for _, x, w in own:
+            if w:
+                leaves[len(w), *w[:depth]][tuple(w)].add(t)
+            if len(w) >= long:
+                exact[x].add(t)
+    drop = set()
+    for shape, found in leaves.items():
+        docs = collections.Counter()
+        for w, where in found.items():
+            for p, tok in enumerate(w):
+                docs[p, tok] += len(where)
+        template = lambda w: tuple((p, tok) for p, tok in enumerate(w) if tok != "<*>" and docs[p, tok] >= least)
+        total = collections.Counter()
+        for w, where in found.items():
+            total[template(w)] += len(where)
+        drop |= {w for w in found if total[template(w)] >= least and 2 * len(template(w)) >= len(w)}
+    first = {x: min(where, key=text_hash) for x, where in exact.items() if len(where) > 1}
+    return {t: {i for i, x, w in own if tuple(w) in drop or x in first and first[x] != t} for t, own in lines.items()}
+
+
+def text_hash(t):
+    n = xxhash.xxh64_intdigest(t.encode(), 42)
+    return n - (1 << 64) if n >> 63 else n
+
+
+@pytest.mark.parametrize("least, depth, slots", [(3, 3, 1 << 20), (2, 1, 7)])
+def test_line_templates_against_a_plain_tree(spark, sf, least, depth, slots):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    texts = {r.text or "" for r in docs.collect()}
-    seen = collections.Counter(x for t in texts for x in set(t.split("\n")) if len(x.split()) >= 3)
-    often = {x for x, n in seen.items() if n >= 8}
-    for r in line_templates.drop_templates(docs, least_docs=8).collect():
-        assert not often & set((r.clean_text or "").split("\n"))
+    rng = np.random.default_rng(least)
+    made = ["\n".join(["user %d said hello to %s at noon" % (rng.integers(9), "abcdefgh"[rng.integers(8)]), "Home", "1 2 3", " ".join("w%s" % "xyz"[i % 3] * (i % 4 + 1) for i in range(60 + int(rng.integers(2))))][: int(rng.integers(1, 5))]) for _ in range(30)]
+    docs = docs.union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(made)], "doc_id long, text string"))
+    want = slow_templates({r.text or "" for r in docs.collect()}, least, depth, 50)
+    rows = line_templates.drop_templates(docs, least_docs=least, depth=depth, slots=slots).collect()
+    assert sum(r.n_dropped > 0 for r in rows) > 20
+    for r in rows:
+        gone = want[r.text or ""]
+        assert r.n_dropped == len(gone) and (r.clean_text or "") == "\n".join(x for i, x in enumerate((r.text or "").split("\n")) if i not in gone)
+
+
+def test_op5(spark, sf):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = slow_templates(set(docs.values()), 8, 3, 50)
+    rows = queries.QUERIES["op5_line_templates"](spark, sf).collect()
+    assert {r.doc_id: r.n_dropped for r in rows} == {d: len(want[t]) for d, t in docs.items()} and any(want.values())
 
 
 def test_long_words_are_scored_whole():
