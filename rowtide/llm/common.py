@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,13 +20,18 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, made ready for checkpoints.
 
-    It is the one the session names in ``spark.checkpoint.dir``; only where that
-    is unset (a local test) a temporary folder is used instead.
+    It is the one the session names in ``spark.checkpoint.dir``.  Where that is unset,
+    a local session, whose executors are on this machine, gets a temporary folder; on a
+    cluster it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not named:
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+        named = context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
@@ -78,6 +86,28 @@ def _lengths(column):
     return pc.binary_length(column).to_pylist()
 
 
+def sieve(keys: DataFrame, column: str, bits: int = 26) -> Callable[[Column], Column]:
+    """A function of a long column: false only if the value is not in ``column`` of ``keys``.
+
+    2^bits bits, by hash, whatever the number of keys; so it only saves work, and what
+    passes has to be joined.
+    """
+    slots = 1 << bits
+    held = keys.select(F.pmod(F.xxhash64(column), F.lit(slots)).alias("slot"))
+    rows = held.groupBy(F.shiftright("slot", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits")).collect()
+    whole = np.zeros((max(1, slots >> 15), 4096), np.uint8)
+    for r in rows:
+        whole[r.k] = np.frombuffer(r.bits, np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+
+    @F.pandas_udf("boolean")
+    def among(slot: pd.Series) -> pd.Series:
+        at = slot.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    return lambda value: among(F.pmod(F.xxhash64(value), F.lit(slots)))
+
+
 def shape_with(df: DataFrame, more: str) -> T.StructType:
     """The schema of ``df`` followed by the fields in the DDL string ``more``."""
     return T.StructType([*df.schema.fields, *T._parse_datatype_string(more).fields])

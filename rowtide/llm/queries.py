@@ -80,8 +80,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    manifest = [(r.path, r.bytes) for r in warc.write_archives(pages, folder).collect()]
-    rows = warc.read_archives(spark, manifest, folder, id_type=dict(pages.dtypes)["page_id"])
+    rows = warc.read_archives(warc.write_archives(pages, folder), folder, id_type=dict(pages.dtypes)["page_id"])
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -44,13 +44,12 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import cut, text_batches
+from rowtide.llm.common import cut, sieve, text_batches
 
 SEED = 42
 PART = 1 << 16
@@ -370,23 +369,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-SIEVE = 1 << 23
-
-
 def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """``wanted`` (th and w_id name a row of ``docs``) with the text in place of the two."""
-    # A first sieve, so that few other texts travel; what passes it is checked in the join.
-    sieve = np.zeros(SIEVE, bool)
-    slots = wanted.select(F.pmod("th", F.lit(SIEVE)).cast("int").alias("slot")).distinct()
-    sieve[slots.toPandas()["slot"].to_numpy(np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(sieve))
-
-    @F.pandas_udf("boolean")
-    def passes(th: pd.Series) -> pd.Series:
-        slot = th.to_numpy() % SIEVE
-        return pd.Series((shared.value[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool))
-
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where(passes("th"))
+    passes = sieve(wanted, "th")  # so that few other texts travel
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where(passes(F.col("th")))
     own = wanted.withColumnRenamed("th", "w_th")
     return texts.join(own, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).drop("doc_id", "th", "w_th", "w_id")
 

@@ -11,11 +11,15 @@ Files are reached through ``pyarrow.fs`` by URI, so the folder must be one that
 executors see.  A file is written under a name of its own attempt and then renamed,
 so retried and speculative tasks leave one whole copy; the manifest holds the files
 of successful attempts.  Equal payloads of at least ``least_bytes`` are stored once:
-the record with the smallest page_id is the response, others revisit it.
+the record with the smallest page_id is the response, others revisit it.  Payloads
+that can't repeat are written where they are read; only those whose digest passes a
+sieve of repeated digests meet their response's page_id in a join.
 
 Defined results: a null html is an empty payload; rows with equal payload and the
 same smallest page_id are all responses; a null page_id is kept as null and never
-referred to; an empty table gives no archive and no rows.
+referred to; page_ids and urls may be any strings and come back as they were; a very
+long page is one record, held in memory by itself; an empty table gives no archive and
+no rows.  Columns other than page_id, url and html are left out.
 """
 
 from __future__ import annotations
@@ -28,9 +32,11 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowtide.llm.common import cut, sieve
+
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 CHUNK = 1 << 20
@@ -41,8 +47,9 @@ PAGE = "page_id {id}, payload_bytes long, payload_digest string, record_type str
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
-    """One gzip member with a response, or with a revisit of ``refers_to``."""
+    """One gzip member with a response, or with a revisit of ``refers_to``; ids and the url are kept quoted as well."""
     revisit = refers_to is not None
+    quoted = lambda x: quote(str(x), safe="") if x is not None else None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}/{digest}/{url}")
@@ -53,11 +60,11 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
         "WARC-Target-URI": quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url is not None else None,
         "WARC-Payload-Digest": f"sha256:{digest}",
         "Content-Type": "application/http; msgtype=response",
-        "X-Page-Id": page_id,
+        "X-Page-Id": quoted(page_id),
         "X-Payload-Length": len(payload),
-        "X-Target-Quoted": quote(url, safe="") if url is not None else None,
+        "X-Target-Quoted": quoted(url),
         "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None,
-        "X-Refers-To-Page-Id": refers_to,
+        "X-Refers-To-Page-Id": quoted(refers_to),
         "Content-Length": len(block),
     }
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None)
@@ -85,26 +92,23 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def with_references(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """page_id, url, html and, for repeated payloads, the page that holds the response.
-
-    Digests are grouped with counts taken before the shuffle; only payloads that do
-    repeat meet their rows again, in a join whose hot digests Spark splits.
-    """
+    """page_id, url, html, digest and, for repeated payloads, the page that holds the response."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
-    first = (
-        rows.where((F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull())
-        .groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
-    joined = rows.join(first, "digest", "left")
+    large = F.octet_length("html") >= least_bytes
+    first = rows.where(large & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    # Written before the join, so that Spark can split the join of a hot digest.
+    first = cut(first.where("n > 1").drop("n"))
+    repeated = sieve(first, "digest")
+    marked = rows.withColumn("repeats", large & repeated(F.col("digest")))
+    joined = marked.where("repeats").join(first, "digest", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    found = joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    alone = marked.where(~F.col("repeats")).select("page_id", "url", "html", "digest", F.lit(None).cast(dict(pages.dtypes)["page_id"]).alias("refers_to"))
+    return alone.union(found)
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100) -> DataFrame:
-    """Writes the archives and returns their manifest (path, bytes); runs when that is read."""
+    """Writes the archives and returns their manifest (path, bytes), itself written to the shared folder."""
     rows = with_references(pages, least_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100) -> Dat
             system.move(f"{last}.open", last)
             yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([size], pa.int64())], ["path", "bytes"])
 
-    return rows.mapInArrow(run, "path string, bytes long")
+    return cut(rows.mapInArrow(run, "path string, bytes long"))
 
 
 # --- reading -------------------------------------------------------------------
@@ -203,13 +207,15 @@ def read_range(file, size: int, start: int, end: int) -> Iterator[bytes]:
             raise ValueError(f"no record at byte {at}")
 
 
-def read_archives(spark: SparkSession, manifest: list[tuple[str, int]], folder: str, split_bytes: int = 8 << 20, id_type: str = "bigint") -> DataFrame:
-    """The records of the archives; see PAGE.  A revisit has its payload's size and digest, and no html."""
-    ranges = [(p, n, at, min(at + split_bytes, n)) for p, n in manifest for at in range(0, n, split_bytes)]
-    shape = "path string, size long, low long, high long"
-    tasks = spark.createDataFrame(ranges, shape)
-    if ranges:
-        tasks = tasks.repartition(len(ranges))
+def read_archives(manifest: DataFrame, folder: str, split_bytes: int = 8 << 20, id_type: str = "bigint", most_tasks: int = 50_000) -> DataFrame:
+    """The records of the archives in ``manifest``; see PAGE.  A revisit has its payload's size and digest, and no html.
+
+    Every range of ``split_bytes`` is a row of a table, and a task's work up to ``most_tasks`` of them.
+    """
+    starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))
+    ranges = manifest.where("bytes > 0").select("path", F.col("bytes").alias("size"), F.explode(starts).alias("low"))
+    ranges = ranges.withColumn("high", F.least(F.col("low") + split_bytes, "size"))
+    tasks = ranges.repartition(max(1, min(most_tasks, ranges.count())))
     cast = int if id_type in ("bigint", "int") else str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +249,7 @@ def page(data: bytes, cast=int) -> tuple:
     digest = fields["warc-payload-digest"].removeprefix("sha256:")
     if not revisit and hashlib.sha256(payload).hexdigest() != digest:
         raise ValueError("payload and digest differ")
-    ids = [cast(fields[k]) if k in fields else None for k in ("x-page-id", "x-refers-to-page-id")]
+    ids = [cast(unquote(fields[k])) if k in fields else None for k in ("x-page-id", "x-refers-to-page-id")]
     url = unquote(fields["x-target-quoted"]) if "x-target-quoted" in fields else None
     size = int(fields["x-payload-length"]) if revisit else len(payload)
     return ids[0], size, digest, fields["warc-type"], ids[1], url, None if revisit else payload.decode()

@@ -9,7 +9,8 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from rowtide.llm import decontaminate, queries, simhash, warc
+from pyspark.sql import functions as F
+from rowtide.llm import common, decontaminate, queries, simhash, warc
 
 
 def slow_fingerprint(text, k=3):
@@ -230,8 +231,7 @@ def test_near_copies_against_brute_force(spark):
 
 
 def written(spark, pages, folder, split=1 << 23):
-    manifest = [(r.path, r.bytes) for r in warc.write_archives(pages, folder).collect()]
-    return warc.read_archives(spark, manifest, folder, split, dict(pages.dtypes)["page_id"]).collect()
+    return warc.read_archives(warc.write_archives(pages, folder), folder, split, dict(pages.dtypes)["page_id"]).collect()
 
 
 @pytest.mark.parametrize("split", [97, 1000, 1 << 23])
@@ -251,6 +251,24 @@ def test_warc_round_trip(spark, tmp_path, split):
         assert (r.record_type, r.refers_to, r.html) == (("revisit", first, None) if copy else ("response", None, h or ""))
 
 
+def test_warc_ids_of_any_text(spark, tmp_path):
+    body = "same body " * 20
+    rows = [(" a ", "u", body), ("b\r\nX-Refers-To-Page-Id: c", None, "short"), ("ü%41", "http://x/?a=%20 b", body), ("", "", body), (None, None, None)]
+    pages = spark.createDataFrame([(*r, "mine") for r in rows], "page_id string, url string, html string, payload_digest string")
+    got = {(r.page_id, r.url): (r.html, r.refers_to) for r in written(spark, pages, str(tmp_path))}
+    assert got == {(p, u): (None, "") if h == body and p != "" else (h or "", None) for p, u, h in rows}
+
+
+def test_sieve(spark):
+    held = spark.range(0, 3000, 7).withColumn("s", F.concat(F.lit("k"), "id"))
+    for bits in (15, 18, 26):
+        for column in ("id", "s"):
+            among = common.sieve(held, column, bits)
+            rows = spark.range(3000).withColumn("s", F.concat(F.lit("k"), "id")).select("id", among(F.col(column)).alias("x")).collect()
+            assert all(r.x for r in rows if r.id % 7 == 0) and sum(r.x for r in rows) < 3000 / 7 + 100 * (bits < 20) + 3
+    assert not any(r[0] for r in spark.range(50).select(common.sieve(held.limit(0), "id")(F.col("id"))).collect())
+
+
 def test_warc_empty_and_damaged(spark, tmp_path):
     assert written(spark, spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path)) == []
     good = warc.record(1, "u", b"abc", hashlib.sha256(b"abc").hexdigest(), None)
