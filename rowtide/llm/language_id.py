@@ -16,9 +16,11 @@ Only chunk sizes matter, so a text of any length needs memory for itself alone.
 Dictionaries are broadcast: languages times ``dict_bytes``, at most
 ``max_languages`` of them (else an error).
 
-Defined results: null or letterless texts are ``und`` with score 0; ties go to the
-first language in order; without training rows everything is ``und``; rows without
-lang or doc_id are predicted but never learnt from.
+Defined results: null, empty or letterless texts are ``und`` with score 0; ties go to
+the first language in order; without training rows everything is ``und``; rows without
+lang or doc_id are predicted but never learnt from; of repeated texts of a language one
+is learnt from, and equal texts get equal answers; an empty table gives an empty one.
+Input columns named like an output column are replaced by it; others are carried along.
 """
 
 from __future__ import annotations
@@ -52,18 +54,19 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, dict_bytes: int = 98_304, max_texts: int = 96, max_text_bytes: int = 8192, max_languages: int = 512) -> dict[str, bytes]:
     """Raw dictionary content by language."""
     size = F.octet_length("text")
-    fits = size.between(200, max_text_bytes)
     usable = docs.where((size > 0) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    keyed = usable.select("lang", F.xxhash64("text").alias("h"), (~size.between(200, max_text_bytes)).alias("other"), F.substring("text", 1, max_text_bytes).alias("text"))
+    # Repeated texts are one before they are ranked, and again when their text is fetched: no more travels than is ranked.
     ranked = (
-        usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), (~fits).alias("other"))
-        .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("other", "h", "doc_id")))
+        keyed.groupBy("lang", "h", "other")
+        .count()
+        .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("other", "h")))
         .where(F.col("k") <= max_texts)
-        .select("doc_id", "k", "other")
+        .select("lang", "h", "k")
         .limit(max_texts * max_languages + 1)
     )
-    slim = usable.select("doc_id", "lang", F.substring("text", 1, max_text_bytes).alias("text"), (~fits).alias("other"))
-    rows = slim.join(F.broadcast(ranked), ["doc_id", "other"]).collect()
-    rows.sort(key=lambda r: (r.lang, r.k, r.text))
+    rows = keyed.join(F.broadcast(ranked), ["lang", "h"]).groupBy("lang", "h", "k").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r.lang, r.k))
     owners: dict[str, set[str]] = {}
     for r in rows:
         for line in r.text.split("\n"):

@@ -12,8 +12,11 @@ get ``buckets`` floats (256 kB), and keep what a word adds in a bounded memo.
 
 Defined results: a null or empty text has no features and gets the bias alone;
 without labelled rows all scores are 0.5; a null label is no label; of repeated
-labels of a document the least counts; rows with a null doc_id are scored but never
-learnt from.  Labels, lang, source and doc_id are no inputs of a score.
+labels of a document the least counts, of repeated rows of a labelled document the one
+whose text has the least hash; rows with a null doc_id are scored but never learnt
+from; equal texts get equal scores; a very long text is scored whole; an empty table
+gives an empty one.  Input columns named like an output column are replaced by it,
+others are carried along.  Labels, lang, source and doc_id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -136,7 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, **options) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_train)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "label")
+    kind = dict(docs.dtypes)["doc_id"]
+    own = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    # Repeats of a document are combined where they are read.
+    rows = own.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,8 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, **options) ->
                     ["doc_id", "label", "ids", "share"],
                 )
 
-    found = rows.mapInArrow(featurise, "doc_id bigint, label int, ids binary, share binary").toPandas()
-    found = found.sort_values(["doc_id", "label"], kind="stable").drop_duplicates(["doc_id", "ids"])
+    found = rows.mapInArrow(featurise, f"doc_id {kind}, label int, ids binary, share binary").toPandas().sort_values("doc_id")
     sample = [(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32), int(y > 0)) for i, s, y in zip(found["ids"], found["share"], found["label"]) if i]
     return train(sample, **options)
 

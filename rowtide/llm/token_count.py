@@ -9,14 +9,19 @@ library's merges, each distinct string once (a bounded memo).
 The expression is used for texts whose characters are all in a range where
 normalisation is known to be lower-casing alone (FAST).  Any other text, and any
 that holds a special string such as ``<|endoftext|>``, is encoded by the library
-as a whole, so counts equal the library's for every text.
-
-Defined results: a null text counts as empty (0 bytes, 0 tokens).  The table that
-is broadcast is bounded by the vocabulary.  Same-named input columns are replaced.
+as a whole, so counts equal the library's for every text.  The expression is that of
+tokenizers which normalise and cut as STEPS says; for any other file nothing counts as
+proven, and the library encodes every text.
+
+Defined results: a null text counts as empty (0 bytes, 0 tokens); equal texts count
+alike; a very long text is counted whole; an empty table gives an empty one.  The table
+that is broadcast is bounded by the vocabulary.  Same-named input columns are replaced,
+others are carried along.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,10 +36,30 @@ from rowtide.llm.common import shape_with, text_batches
 FAST = regex.compile("[\\t-\\r -~¡-įı-ɏ–—‘-”…€]*")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 MEMO = 500_000
+#: What FAST and PIECE stand for, in the words of a tokenizer file.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def known(path: str) -> bool:
+    """True if the file normalises and cuts texts as STEPS, and ends words with ``</w>``."""
+    with open(path, encoding="utf-8") as file:
+        about = json.load(file)
+    return all(about.get(k) == v for k, v in STEPS.items()) and about["model"].get("end_of_word_suffix") == "</w>"
 
 
 def proven(path: str) -> dict[str, int]:
-    """The strings, as pre-tokens, that the tokenizer encodes alone as exactly one token."""
+    """The strings, as pre-tokens, that the tokenizer encodes alone as exactly one token; none if PIECE is not how it cuts."""
+    if not known(path):
+        return {}
     tokenizer = Tokenizer.from_file(path)
     back = {byte: chr(byte) for byte in [*range(33, 127), *range(161, 173), *range(174, 256)]}
     back |= {byte: chr(256 + i) for i, byte in enumerate(b for b in range(256) if b not in back)}
@@ -58,6 +83,8 @@ class Counter(dict):
     def __init__(self, table: dict[str, int], path: str):
         super().__init__(table)
         self.table, self.tokenizer = table, Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: str) -> int:
@@ -73,7 +100,7 @@ class Counter(dict):
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if not FAST.fullmatch(text) or any(s in text for s in self.special):
+        if not self.table or not FAST.fullmatch(text) or any(s in text for s in self.special):
             return self.whole(text)
         return sum(map(self.__getitem__, PIECE.findall(text.lower())))
 

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from tokenizers import Tokenizer
 
 from rowtide.llm import decontaminate, language_id, line_templates, queries, quality_model, token_count
@@ -42,9 +43,77 @@ def test_language_edges(spark, edge, nothing, sf):
         language_id.learn(docs, max_languages=1)
 
 
+def test_op3_is_the_least_of_plain_sizes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    learnt = language_id.learn(docs)
+    plain = lambda data, lang: len(zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(learnt[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False).compress(data))
+    for r in queries.QUERIES["op3_language_id"](spark, sf).where("doc_id % 9 = 0").collect():
+        letters = "".join(c if c.isalpha() else " " for c in (texts[r.doc_id] or "").lower())
+        if not letters.split():
+            assert r.lang_pred == "und" and r.score == 0
+            continue
+        data = re.sub(" +", " ", letters).encode()
+        sizes = {lang: sum(plain(data[i : i + 4096], lang) for i in range(0, len(data), 4096)) for lang in learnt}
+        assert r.lang_pred == min(sorted(sizes), key=sizes.get)
+
+
+def test_repeated_texts_are_learnt_once(spark):
+    known = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(known, "immer derselbe text mit worten " * 9, "de")] * 300 + [(i, f"{w} eigener satz " * 20, "de") for i, w in enumerate(["eins", "zwei", "drei", "vier"] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = language_id.learn(docs, max_texts=5)
+    assert all(w in learnt["de"] for w in (b"eins", b"zwei", b"drei", b"vier", b"immer"))
+
+
 # --- classifier --------------------------------------------------------------------
 
 
+def test_op7_against_a_plain_network(spark, sf):
+    """Features by hand, the same steps of descent without shortcuts, scores as a softmax over the mean vector."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    n = 1 << 16
+
+    def share_of(text):
+        v = np.zeros(n)
+        for w in (text or "").encode().split():
+            v[zlib.crc32(w) % n] += 1
+            letters = f"<{w.decode('utf-8', 'ignore')}>"
+            for g in (3, 4):
+                for i in range(len(letters) - g + 1):
+                    v[zlib.crc32(letters[i : i + g].encode(), g) % n] += 1
+        return v / v.sum() if v.sum() else v
+
+    sample = sorted((r.doc_id, r.quality) for r in labels if r.quality is not None and r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 5)
+    sample = [(share_of(docs[d]), y) for d, y in sample if (docs[d] or "").split()]
+    epochs, rng = min(100, max(8, 24_000 // len(sample))), np.random.default_rng(5)
+    vectors, top, bias = rng.uniform(-1 / 16, 1 / 16, (n, 16)), np.zeros((16, 2)), np.zeros(2)
+    for e in range(epochs):
+        for k, i in enumerate(rng.permutation(len(sample))):
+            share, y = sample[i]
+            lr = 0.5 * (1 - (e * len(sample) + k) / (epochs * len(sample)))
+            there = np.flatnonzero(share)
+            hidden = share[there] @ vectors[there]
+            p = np.exp(hidden @ top + bias)
+            p = p / p.sum() - np.eye(2)[y]
+            step = top @ p
+            top -= lr * np.outer(hidden, p)
+            bias -= lr * 0.1 * p
+            vectors[there] -= (lr * 20 * share[there])[:, None] * step
+    for r in queries.QUERIES["op7_quality_model"](spark, sf).collect():
+        z = (share_of(docs[r.doc_id]) @ vectors) @ top + bias
+        assert abs(r.score - 1 / (1 + np.exp(z[0] - z[1]))) < 0.02, r.doc_id
+
+
+def test_classifier_with_text_ids_and_repeats(spark):
+    a, c = [x for x in ("a b", "b", "c", "d e", "f") if zlib.crc32(x.encode()) % 5][:2]
+    docs = spark.createDataFrame([(a, "good text here")] * 500 + [(c, "### bad"), ("new", "good again here")], "doc_id string, text string").repartition(4)
+    labels = spark.createDataFrame([(a, 1), (c, 0)], "doc_id string, quality int")
+    rows = {r.doc_id: r.score for r in quality_model.score(docs, quality_model.fit(docs, labels)).collect()}
+    assert rows[a] > 0.5 > rows[c] and rows["new"] > 0.5
+
+
 def test_classifier_held_out(spark, sf):
     sf = sf.replace("0.001", "0.01")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -95,6 +164,20 @@ def test_tokens_equal_the_library(spark, edge, nothing):
     assert token_count.count_tokens(nothing, PATH).count() == 0
 
 
+def test_op8_over_documents(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.QUERIES["op8_token_count"](spark, sf).collect()
+    want = dict(zip(texts, (len(e.ids) for e in Tokenizer.from_file(PATH).encode_batch(list(texts.values()), add_special_tokens=False))))
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in rows} == {d: (len(t.encode()), want[d], want[d] > 2048) for d, t in texts.items()}
+
+
+def test_other_tokenizers_are_left_to_the_library(spark, edge):
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(path)
+    rows = token_count.count_tokens(edge.union(edge.limit(0)).select("text"), path).collect()
+    assert token_count.known(PATH) and token_count.proven(path) == {} and all(r.n_tokens == len(tok.encode(r.text or "", add_special_tokens=False).ids) for r in rows)
+
+
 def test_proof():
     tok, table = Tokenizer.from_file(PATH), token_count.proven(PATH)
     assert len(table) > 30_000 and all(len(tok.encode(s, add_special_tokens=False).ids) == 1 for s in list(table)[::37])
