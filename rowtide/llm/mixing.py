@@ -7,7 +7,7 @@
    once more those whose hash lies under a threshold.  Thresholds are set for four
    size classes from long to short texts, each making up for what the longer ones
    missed, so a source misses its target by half a short text at most (if it has
-   short ones).  A threshold is found bits by bits, from sums over at most 1,024 hash
+   short ones).  A threshold is found bits by bits, from sums over at most 256 hash
    ranges a source, so a hot source is no more work for a task than any other.  A
    source's hash range is cut into blocks of about ``block_rows`` documents; blocks
    times passes are the exact quota of the source.
@@ -50,7 +50,7 @@ from rowtide.llm.common import WORD, cut
 CLASSES = (4096, 512, 64)
 H, COPY, ROW = "__mix_h", "__mix_c", "__mix_row"
 ALL = (1 << 63) - 1
-LEVEL_BITS = 10
+LEVEL_BITS = 8
 BLOCKS_MOST = 1 << 29
 BROADCAST_SOURCES = 20_000
 HOT_ROWS = 50_000
