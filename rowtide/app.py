@@ -10,47 +10,45 @@ from __future__ import annotations
 import json
 import signal
 import sys
-from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from rowtide.config import PREFIX, Config, read_properties
 from rowtide.functions.codecs import load
-from rowtide.model import TableRef, TableSpec
-from rowtide.sources.catalog import TableNotFound, commit_column
-from rowtide.sources.positions import FilePositionStore, MemoryPositionStore, PositionStore
+from rowtide.model import TableRef
+from rowtide.sources.catalog import Catalog
+from rowtide.sources.positions import PositionStore, TablePositionStore
 from rowtide.streaming.envelope import TopicFolder
 from rowtide.streaming.publisher import Publisher
 from rowtide.streaming.watcher import DatabaseWatcher
 
 
-def described(spark: SparkSession, config: Config) -> dict[str, dict]:
-    return json.loads("\n".join(r.value for r in spark.read.text(f"{config.source_path}/tables.json").collect()))
+def described(spark: SparkSession, config: Config) -> Catalog:
+    """What ``tables.json`` says, as frames of metadata."""
+    known = json.loads("\n".join(r.value for r in spark.read.text(f"{config.source_path}/tables.json").collect()))
+    keys = {n: about.get("primary_key", []) for n, about in known.items()}
+    frame = lambda rows, shape: spark.createDataFrame(rows, f"catalog string, schema string, table string{shape}")
+    return Catalog(
+        frame([("", "", n) for n in known], ""),
+        frame([("", "", n, about["commit_ts"], True, 1) for n, about in known.items() if about.get("commit_ts")], ", column string, commit_ts boolean, ordinal int"),
+        frame([("", "", n, "PRIMARY_KEY", "PRIMARY_KEY") for n in known], ", index string, kind string"),
+        frame([("", "", n, "PRIMARY_KEY", c, i) for n, key in keys.items() for i, c in enumerate(key)], ", index string, column string, ordinal int"),
+        config.database,
+    )
 
 
-def tables(spark: SparkSession, config: Config) -> dict[str, tuple[Callable[[], DataFrame], TableSpec]]:
-    """The selected tables; those without a commit timestamp column are left out of "all", and an error if named."""
-    known, chosen = described(spark, config), config.selection
-    missing = [n for n in chosen.included if n not in known or not known[n].get("commit_ts")]
-    if missing:
-        raise TableNotFound(", ".join(missing))
-    found = {}
-    for name, about in known.items():
-        if not about.get("commit_ts") or name in chosen.excluded or (chosen.included and name not in chosen.included):
-            continue
-
-        def opened(path: str = f"{config.source_path}/{name}.parquet") -> DataFrame:
-            return spark.read.parquet(path)
-
-        column = commit_column(opened(), about["commit_ts"])
-        found[name] = (opened, TableSpec(TableRef(config.database, name), column, tuple(about["primary_key"])))
-    if not found:
-        raise TableNotFound("no table is left to watch")
-    return found
+def opened(spark: SparkSession, config: Config, ref: TableRef) -> DataFrame:
+    return spark.read.parquet(f"{config.source_path}/{ref.table}.parquet")
 
 
 def publisher(spark: SparkSession, config: Config, positions: PositionStore | None = None) -> Publisher:
-    watcher = DatabaseWatcher.over(tables(spark, config), config.poll_interval, positions=positions or MemoryPositionStore("now"))
+    """Publishes the selected tables; those without a commit timestamp column are left out of "all", and an error if named.
+
+    Positions are kept in a table in the folder of topics unless another store is given.
+    """
+    positions = positions or TablePositionStore(spark, config.topics_path, "now", table="_positions")
+    watcher = DatabaseWatcher.selected(described(spark, config), config.selection, partial(opened, spark, config), interval=config.poll_interval, positions=positions)
     topics = TopicFolder(config.topics_path, config.create_topics)
     return Publisher(watcher, topics, config.topic_format, lambda: load(config.converter), config.project, config.instance)
 
@@ -60,7 +58,7 @@ def main(args: list[str], overrides: dict[str, str] | None = None) -> None:
     config = Config.read(properties, overrides)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     kept = properties.get(f"{PREFIX}positions.path")
-    running = publisher(spark, config, FilePositionStore(kept) if kept else None).start()
+    running = publisher(spark, config, TablePositionStore(spark, kept) if kept else None).start()
     signal.signal(signal.SIGTERM, lambda *_: running.watcher.stop())
     try:
         running.watcher.wait()

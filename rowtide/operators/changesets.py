@@ -11,8 +11,9 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.model import EARLIEST, Position, TableSpec
@@ -20,6 +21,8 @@ from rowtide.operators import poll
 from rowtide.operators.shards import Shard
 
 COMMIT_TS = "_commit_ts"
+#: Ids of change sets, some 50 bytes each.
+BROADCAST_SETS = 100_000
 
 
 def changed_rows(
@@ -37,8 +40,14 @@ def changed_rows(
     set rewrote shows up for the later one alone; ids of any type can be joined.
     """
     ours = poll.poll(change_sets, sets, position, shard, limit) if limit else poll.changes(change_sets, sets, position, shard)
-    picked = ours.select(F.col(sets.primary_key[0]).alias("__set_id"), F.col(sets.commit_ts).alias(COMMIT_TS))
-    return data.join(picked, F.col(data_id) == F.col("__set_id"), "inner").drop("__set_id")
+    return with_sets(data, data_id, ours, sets, limit)
+
+
+def with_sets(data: DataFrame, data_id: str, sets: DataFrame, spec: TableSpec, most: int | None) -> DataFrame:
+    """Rows of ``data`` that belong to ``sets``, which are broadcast if they are known to be few."""
+    picked = sets.select(F.col(spec.primary_key[0]).alias("__set_id"), F.col(spec.commit_ts).alias(COMMIT_TS))
+    small = F.broadcast(picked) if most and most <= BROADCAST_SETS else picked
+    return data.join(small, F.col(data_id) == F.col("__set_id"), "inner").drop("__set_id")
 
 
 def uuid_id() -> str:
@@ -109,6 +118,14 @@ class _Transaction:
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], ts: str, now: dt.datetime) -> DataFrame:
-    """``table`` after an insert-or-update of ``rows``, all stamped with one ``now``."""
-    stamped = rows.withColumn(ts, F.lit(now).cast(table.schema[ts].dataType))
-    return table.join(stamped.select(*keys), keys, "left_anti").select(*table.columns).unionByName(stamped, allowMissingColumns=True)
+    """``table`` after an insert-or-update of ``rows``, all stamped with one ``now``.
+
+    Of several rows of a key the one with the largest values wins; a null in a key equals
+    another null.
+    """
+    values = [F.col(f"`{c}`") for c in rows.columns if c != ts]
+    one = rows.groupBy(*keys).agg(F.max(F.struct(*values)).alias("__row")).select("__row.*")
+    stamped = one.withColumn(ts, F.lit(now).cast(table.schema[ts].dataType))
+    new = stamped.select(*[F.col(f"`{k}`").alias(f"__new_{k}") for k in keys])
+    same = reduce(Column.__and__, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__new_{k}`")) for k in keys])
+    return table.join(new, same, "left_anti").select(*table.columns).unionByName(stamped, allowMissingColumns=True)

@@ -22,8 +22,13 @@ def max_poll_latency(positions: DataFrame, last_seen: str, now: Column, with_cha
 
 def position_state(batch: DataFrame, ts: str) -> DataFrame:
     """Latest commit timestamp of a poll, and how many rows share it."""
-    top = batch.agg(F.max(ts).alias("last_ts"))
-    return batch.join(F.broadcast(top), F.col(ts) == F.col("last_ts")).groupBy("last_ts").agg(F.count("*").alias("ties"))
+    each = batch.where(F.col(ts).isNotNull()).groupBy(F.col(ts).alias("last_ts")).agg(F.count("*").alias("ties"))
+    return each.orderBy(F.desc("last_ts")).limit(1)
+
+
+def latest_positions(rows: DataFrame, shard: str, ts: str) -> DataFrame:
+    """For each shard value its latest commit timestamp, and how many rows there are."""
+    return rows.groupBy(shard).agg(F.max(ts).alias("last_ts"), F.count("*").alias("n"))
 
 
 def cpu_use(stats: DataFrame, seconds: str, executions: str) -> DataFrame:

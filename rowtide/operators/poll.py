@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rowtide.model import EARLIEST, Position, TableSpec
 from rowtide.operators.shards import Shard, ShardList
+from rowtide.sources.shared import held
 
 DEFAULT_LIMIT = 10_000
 
@@ -111,7 +112,7 @@ def drain(
     """
     while True:
         table = df() if callable(df) else df
-        batch = poll(table, spec, position, shard, limit).persist()
+        batch = held(poll(table, spec, position, shard, limit))
         try:
             end, n = last_position(batch, spec)
             if end is None:

@@ -8,6 +8,7 @@ them.  A plain DataFrame's own schema serves too (``commit_column``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -87,6 +88,44 @@ def column_schema(columns: DataFrame, table: str) -> DataFrame:
     return columns.where(F.col("table") == table).select("column", "type", "nullable", "ordinal").orderBy("ordinal")
 
 
+@dataclass(frozen=True)
+class Catalog:
+    """The four frames of metadata of one database."""
+
+    tables: DataFrame
+    columns: DataFrame
+    indexes: DataFrame
+    index_columns: DataFrame
+    database: str = ""
+
+    def refs(self, found: DataFrame, selection: Selection) -> list[TableRef]:
+        return [TableRef(self.database, r.table, r.catalog, r.schema) for r in required(found, selection)]
+
+    def change_set_refs(self, selection: Selection, id_column: str, set_table: str) -> list[TableRef]:
+        return self.refs(change_set_tables(self.tables, self.columns, selection, id_column, set_table), selection)
+
+    def specs(self, selection: Selection, commit_ts_of: Callable[[TableRef], str | None] | None = None) -> list[TableSpec]:
+        """The selected tables with their key and commit timestamp column.
+
+        The column is the first one flagged as such, or what ``commit_ts_of`` names.
+        """
+        refs = self.refs(commit_ts_tables(self.tables, self.columns, selection), selection)
+        first: dict[tuple, str] = {}
+        for r in self.columns.where("commit_ts").select(*NAME, "column").orderBy("ordinal").collect():
+            first.setdefault((r["catalog"] or "", r["schema"] or "", r["table"]), r["column"])
+        keys: dict[tuple, list[str]] = {}
+        for r in primary_key(self.indexes, self.index_columns).collect():
+            keys.setdefault((r["catalog"] or "", r["schema"] or "", r["table"]), []).append(r["column"])
+        made = []
+        for ref in refs:
+            at = (ref.catalog, ref.schema, ref.table)
+            if at not in keys:
+                raise TableNotFound(f"{ref.full_name} has no primary key")
+            column = (commit_ts_of(ref) if commit_ts_of else None) or first[at]
+            made.append(TableSpec(ref, column, tuple(keys[at])))
+        return made
+
+
 def commit_column(df: DataFrame, chosen: str | None = None) -> str:
     """The chosen column, or the first one flagged in the schema's metadata."""
     if chosen is not None:

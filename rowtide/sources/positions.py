@@ -5,15 +5,23 @@ from __future__ import annotations
 import base64
 import datetime as dt
 import decimal
+import fcntl
+import hashlib
 import json
 import os
 import tempfile
+import threading
 from abc import ABC, abstractmethod
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowtide.model import EARLIEST, Position, TableRef
+from rowtide.sources.catalog import TableNotFound
+from rowtide.sources.shared import Folder
 
 #: One row a position; a shard value is told apart by its type, so 1,2 as text and as numbers differ.
 SCHEMA = (
@@ -53,40 +61,49 @@ def split_shards(value: Any) -> list:
 
 
 class PositionStore(ABC):
-    """``start``: the position of what has none yet; ``"now"``, ``"earliest"`` or a timestamp."""
+    """``start``: the position of what has none yet; ``"now"``, ``"earliest"`` or a timestamp.
+
+    A store may be used by several threads.  ``_read`` gives a position and its version,
+    and ``_write`` is refused if the version is not the last any more, so that writers in
+    other processes are not undone either; what they wrote is then looked at again.
+    """
 
     def __init__(self, start: Any = "now", clock=lambda: dt.datetime.now(dt.UTC).replace(tzinfo=None)):
-        self.start, self.clock = start, clock
+        self.start, self.clock, self.lock = start, clock, threading.RLock()
 
     def get(self, table: TableRef, shard: Any = None) -> Position:
-        found = self._read(table, shard_key(shard))
-        if found is not None:
-            return found
         first = EARLIEST if self.start == "earliest" else Position(self.clock() if self.start == "now" else self.start)
-        if first.ts is not None:
-            self._write(table, shard_key(shard), first)
-        return first
+        with self.lock:
+            while True:
+                found, version = self._read(table, shard_key(shard))
+                if found is not None:
+                    return found
+                if first.ts is None or self._write(table, shard_key(shard), first, version):
+                    return first
 
     def set(self, table: TableRef, position: Position, shard: Any = None) -> bool:
         """Stores a position that has advanced; refuses to go back."""
-        old = self._read(table, shard_key(shard))
-        if old == position:
-            return False
-        if old is not None and not old <= position:
-            raise ValueError(f"position of {table.full_name} would go back from {old} to {position}")
-        self._write(table, shard_key(shard), position)
-        return True
+        with self.lock:
+            while True:
+                old, version = self._read(table, shard_key(shard))
+                if old == position:
+                    return False
+                if old is not None and not old <= position:
+                    raise ValueError(f"position of {table.full_name} would go back from {old} to {position}")
+                if self._write(table, shard_key(shard), position, version):
+                    return True
 
     def reset(self, table: TableRef, shards: list | None = None) -> None:
         """Forgets the positions of some shard values, or of the unsharded table."""
-        for s in shards if shards is not None else [None]:
-            self._delete(table, shard_key(s))
+        with self.lock:
+            for s in shards if shards is not None else [None]:
+                self._delete(table, shard_key(s))
 
     @abstractmethod
-    def _read(self, table: TableRef, shard: tuple[str, str]) -> Position | None: ...
+    def _read(self, table: TableRef, shard: tuple[str, str]) -> tuple[Position | None, int]: ...
 
     @abstractmethod
-    def _write(self, table: TableRef, shard: tuple[str, str], position: Position) -> None: ...
+    def _write(self, table: TableRef, shard: tuple[str, str], position: Position, version: int) -> bool: ...
 
     @abstractmethod
     def _delete(self, table: TableRef, shard: tuple[str, str]) -> None: ...
@@ -98,10 +115,11 @@ class MemoryPositionStore(PositionStore):
         self.rows: dict = {}
 
     def _read(self, table, shard):
-        return self.rows.get((table, shard))
+        return self.rows.get((table, shard)), 0
 
-    def _write(self, table, shard, position):
+    def _write(self, table, shard, position, version):
         self.rows[table, shard] = position
+        return True
 
     def _delete(self, table, shard):
         self.rows.pop((table, shard), None)
@@ -125,8 +143,97 @@ def _unpack(p: list) -> Any:
     return by[kind](v) if kind in by else v
 
 
+#: Fields of a stored position, their names unless others are chosen, and their types.
+FIELDS = {
+    "database": "string",
+    "catalog": "string",
+    "schema": "string",
+    "table": "string",
+    "shard_type": "string",
+    "shard_value": "string",
+    "last_seen": "timestamp_ntz",
+    "last_key": "string",
+}
+
+
+class TablePositionStore(PositionStore):
+    """A table of positions in a folder of shared storage, as Spark reads and writes it.
+
+    Any number of drivers may use it, one after the other or at once.  Each position is a
+    folder of versions, one JSON row each; the next version is made by renaming a whole
+    file to a name that must be free, so of two writers one is refused and looks again.
+    ``columns`` renames fields of FIELDS.  ``create`` allows the table to be made; one
+    that is there must have these columns and types.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, start: Any = "now", create: bool = True, table: str = "positions", columns: dict[str, str] | None = None, **options):
+        super().__init__(start, **options)
+        self.spark, self.columns = spark, {f: (columns or {}).get(f, f) for f in FIELDS}
+        self.folder = Folder(spark, f"{path}/{table}")
+        if not self.folder.exists("_columns.json"):
+            if not create:
+                raise TableNotFound(f"no table of positions at {self.folder.path}")
+            self.folder.make()
+            self.folder.create("_columns.json", json.dumps(self._shape()))
+        self.verify()
+
+    def _shape(self) -> dict[str, str]:
+        return {self.columns[f]: kind for f, kind in FIELDS.items()}
+
+    def verify(self) -> None:
+        """Raises if the table has not the columns that positions need."""
+        there = json.loads(self.folder.read("_columns.json"))
+        for name, kind in self._shape().items():
+            if there.get(name) != kind:
+                raise ValueError(f"{self.folder.path}: column {name} should be {kind} and is {there.get(name, 'missing')}")
+
+    @staticmethod
+    def _name(table: TableRef, shard: tuple[str, str]) -> str:
+        whole = json.dumps([table.database, table.catalog, table.schema, table.table, *shard])
+        return f"at={hashlib.sha256(whole.encode()).hexdigest()}"
+
+    def _read(self, table, shard):
+        name = self._name(table, shard)
+        versions = [n for n in self.folder.names(name) if not n.startswith(".")]
+        if not versions:
+            return None, 0
+        row = json.loads(self.folder.read(f"{name}/{versions[-1]}"))
+        key = row.get(self.columns["last_key"])
+        ts = _unpack(row["packed_ts"])
+        return Position(ts, None if key is None else tuple(map(_unpack, json.loads(key)))), int(versions[-1].split(".")[0])
+
+    def _write(self, table, shard, position, version):
+        name = self._name(table, shard)
+        seen = position.ts.isoformat() if isinstance(position.ts, (dt.datetime, dt.date)) else None
+        values = (table.database, table.catalog, table.schema, table.table, *shard, seen, None if position.key is None else json.dumps([_pack(v) for v in position.key]))
+        row = dict(zip(self.columns.values(), values)) | {"packed_ts": _pack(position.ts), "version": version + 1}
+        if not self.folder.create(f"{name}/{version + 1:012d}.json", json.dumps(row)):
+            return False
+        for old in self.folder.names(name):
+            if not old.startswith(".") and int(old.split(".")[0]) < version:
+                self.folder.delete(f"{name}/{old}")
+        return True
+
+    def _delete(self, table, shard):
+        self.folder.delete(self._name(table, shard))
+
+    def frame(self) -> DataFrame:
+        """The stored positions as a DataFrame, for gauges and joins."""
+        names = self.columns.values()
+        shape = ", ".join(f"`{n}` string" for n in names) + ", version long"
+        if not any(n.startswith("at=") for n in self.folder.names()):
+            return self.spark.createDataFrame([], ", ".join(f"`{n}` {k}" for n, k in self._shape().items()))
+        rows = self.spark.read.schema(shape).json(f"{self.folder.path}/at=*")
+        key = [F.col(f"`{n}`") for n in list(names)[:6]]
+        last = rows.groupBy(*key).agg(F.max_by(F.struct(*[F.col(f"`{n}`") for n in list(names)[6:]]), "version").alias("last")).select(*key, "last.*")
+        return last.select(*[F.col(f"`{n}`").cast(k).alias(n) for n, k in self._shape().items()])
+
+
 class FilePositionStore(PositionStore):
-    """A JSON file on the driver, replaced as a whole; ``create`` allows a first one to be made."""
+    """A JSON file on the driver, replaced as a whole; ``create`` allows a first one to be made.
+
+    It serves one driver that keeps its disk; see TablePositionStore for others.
+    """
 
     def __init__(self, path: str, start: Any = "now", create: bool = True, **options):
         super().__init__(start, **options)
@@ -156,22 +263,41 @@ class FilePositionStore(PositionStore):
             os.fsync(f.fileno())
         os.replace(name, self.path)
 
+    @contextmanager
+    def _alone(self) -> Iterator[None]:
+        """Keeps other processes of this machine from writing."""
+        with open(f"{self.path}.lock", "w") as file:
+            fcntl.flock(file, fcntl.LOCK_EX)
+            yield
+
     @staticmethod
     def _key(table, shard):
         return [[table.database, table.catalog, table.schema, table.table], list(shard)]
 
-    def _read(self, table, shard):
-        for row in self._load():
-            if row[:2] == self._key(table, shard):
-                return Position(_unpack(row[2]), None if row[3] is None else tuple(map(_unpack, row[3])))
-        return None
+    @staticmethod
+    def _version(row: list | None) -> int:
+        return 0 if row is None else hash(json.dumps(row))
+
+    def _row(self, table, shard) -> list | None:
+        return next((row for row in self._load() if row[:2] == self._key(table, shard)), None)
 
-    def _write(self, table, shard, position):
-        rows = [r for r in self._load() if r[:2] != self._key(table, shard)]
-        self._save([*rows, [*self._key(table, shard), _pack(position.ts), None if position.key is None else [_pack(v) for v in position.key]]])
+    def _read(self, table, shard):
+        row = self._row(table, shard)
+        if row is None:
+            return None, 0
+        return Position(_unpack(row[2]), None if row[3] is None else tuple(map(_unpack, row[3]))), self._version(row)
+
+    def _write(self, table, shard, position, version):
+        with self._alone():
+            if self._version(self._row(table, shard)) != version:
+                return False
+            rows = [r for r in self._load() if r[:2] != self._key(table, shard)]
+            self._save([*rows, [*self._key(table, shard), _pack(position.ts), None if position.key is None else [_pack(v) for v in position.key]]])
+        return True
 
     def _delete(self, table, shard):
-        self._save([r for r in self._load() if r[:2] != self._key(table, shard)])
+        with self._alone():
+            self._save([r for r in self._load() if r[:2] != self._key(table, shard)])
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """The stored positions as a DataFrame, for gauges."""

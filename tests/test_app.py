@@ -9,7 +9,7 @@ from where import ROOT, SF
 from rowtide import app
 from rowtide.config import Config
 from rowtide.sources.catalog import TableNotFound
-from rowtide.sources.positions import MemoryPositionStore
+from rowtide.sources.positions import MemoryPositionStore, TablePositionStore
 
 SINCE = dt.datetime(1998, 7, 1)
 
@@ -37,10 +37,21 @@ def test_publishes_what_is_selected(spark, source):
 
 
 def test_unsuitable_tables(spark, source):
-    assert set(app.tables(spark, config(source))) == {"orders", "events"}
+    assert {w.spec.ref.table for w in app.publisher(spark, config(source)).parts} == {"orders", "events"}
     for names in ("nation", "orders,absent"):
         with pytest.raises(TableNotFound):
-            app.tables(spark, config(source, **{"source.includedTables": names}))
+            app.publisher(spark, config(source, **{"source.includedTables": names}))
+
+
+def test_a_new_driver_goes_on_where_the_last_ended(spark, source):
+    only = {"source.includedTables": "orders"}
+    store = lambda: TablePositionStore(spark, str(source / "kept"), SINCE)
+    first = app.publisher(spark, config(source, **only), store())
+    first.run_available()
+    n = first.topics.read(spark, "db-orders").count()
+    again = app.publisher(spark, config(source, **only), store())
+    again.run_available()
+    assert again.topics.read(spark, "db-orders").count() == n > 0
 
 
 def test_samples(spark, tmp_path, capsys):

@@ -1,5 +1,6 @@
 import datetime as dt
 import decimal
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import types as T
@@ -8,16 +9,51 @@ from rowtide.model import EARLIEST, Position, TableRef
 from rowtide.operators import changesets, gauges
 from rowtide.model import TableSpec
 from rowtide.sources import catalog, types
-from rowtide.sources.positions import FilePositionStore, MemoryPositionStore, shard_key, split_shards
+from rowtide.sources.positions import FilePositionStore, MemoryPositionStore, TablePositionStore, shard_key, split_shards
 
 REF, OTHER = TableRef("db", "t"), TableRef("db", "u")
 T0, T1 = dt.datetime(2024, 1, 1, 0, 0, 0, 1), dt.datetime(2024, 1, 2)
 
 
-@pytest.fixture(params=["memory", "file"])
-def store(request, tmp_path):
-    make = MemoryPositionStore if request.param == "memory" else lambda **o: FilePositionStore(str(tmp_path / "p.json"), **o)
-    return make(start="earliest")
+@pytest.fixture(params=["memory", "file", "table"])
+def store(request, tmp_path, spark):
+    make = {"memory": MemoryPositionStore, "file": lambda **o: FilePositionStore(str(tmp_path / "p.json"), **o), "table": lambda **o: TablePositionStore(spark, str(tmp_path), **o)}
+    return make[request.param](start="earliest")
+
+
+def test_parallel_positions(store):
+    """Threads that advance tables of their own don't undo each other."""
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: [store.set(TableRef("db", f"t{k}"), Position(T0 + dt.timedelta(hours=h))) for h in range(12)], range(4)))
+    assert {store.get(TableRef("db", f"t{k}")) for k in range(4)} == {Position(T0 + dt.timedelta(hours=11))}
+
+
+def test_position_table(tmp_path, spark):
+    path = str(tmp_path / "p")
+    with pytest.raises(catalog.TableNotFound):
+        TablePositionStore(spark, path, create=False)
+    names = {"table": "TABLE_NAME", "last_seen": "LAST_SEEN"}
+    s = TablePositionStore(spark, path, "earliest", table="polled", columns=names)
+    assert s.frame().count() == 0
+    for key in [(b"\x00",), (dt.date(2020, 1, 1),), (decimal.Decimal("1.50"),), (T0,), (True,), (None,), None]:
+        s.reset(REF)
+        s.set(REF, Position(T1, key))
+        assert TablePositionStore(spark, path, table="polled", columns=names).get(REF) == Position(T1, key)
+    for h in range(4):
+        s.set(OTHER, Position(T1 + dt.timedelta(hours=h)), shard=["a", "b"])
+    assert {(r.TABLE_NAME, r.shard_value, r.LAST_SEEN) for r in s.frame().collect()} == {("t", "", T1), ("u", "YQ==,Yg==", T1 + dt.timedelta(hours=3))}
+    with pytest.raises(ValueError):
+        TablePositionStore(spark, path, table="polled")  # other column names
+
+
+def test_a_stale_writer_is_refused(tmp_path, spark):
+    for one, two in ([TablePositionStore(spark, str(tmp_path / "p"), "earliest") for _ in range(2)], [FilePositionStore(str(tmp_path / "p.json"), "earliest") for _ in range(2)]):
+        one.set(REF, Position(T0))
+        _, version = one._read(REF, ("none", ""))
+        assert two.set(REF, Position(T1, (5,)))
+        assert not one._write(REF, ("none", ""), Position(T1, (1,)), version) and one.get(REF) == Position(T1, (5,))
+        with pytest.raises(ValueError):
+            one.set(REF, Position(T1, (1,)))
 
 
 def test_positions(store):
@@ -140,6 +176,9 @@ def test_upsert_and_gauges(spark):
     old = spark.createDataFrame([(1, "a", T0), (2, "b", T0)], "id long, n string, ts timestamp_ntz")
     new = changesets.upsert(old, spark.createDataFrame([(2, "c"), (3, "d")], "id long, n string"), ["id"], "ts", T1)
     assert {(r.id, r.n, r.ts) for r in new.collect()} == {(1, "a", T0), (2, "c", T1), (3, "d", T1)}
+    nulls = old.union(spark.createDataFrame([(None, "z", T0)], old.schema))
+    new2 = changesets.upsert(nulls, spark.createDataFrame([(None, "y"), (2, "c"), (2, "e")], "id long, n string"), ["id"], "ts", T1)
+    assert sorted((r.id or 0, r.n) for r in new2.collect()) == [(0, "y"), (1, "a"), (2, "e")]
     from pyspark.sql import functions as F
 
     now = F.lit(T1).cast("timestamp_ntz")
