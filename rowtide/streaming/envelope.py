@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rowtide.functions.text import timestamp_text
 from rowtide.model import TableRef
+from rowtide.sources.shared import held
 
 PLACEHOLDERS = ("project", "instance", "database", "catalog", "schema", "table")
 
@@ -36,10 +38,10 @@ def attributes(ref: TableRef, ts: Column) -> Column:
     return F.create_map(*known, F.lit("Timestamp"), timestamp_text(ts))
 
 
-def envelope(df: DataFrame, ref: TableRef, ts: str, converter: Any, topic: str, columns: list[str] | None = None) -> DataFrame:
-    """topic, value, attributes of every changed row."""
+def envelope(df: DataFrame, ref: TableRef, ts: str, converter: Any, topic: str, columns: list[str] | None = None, keep: Sequence[Column] = ()) -> DataFrame:
+    """topic, value, attributes and what is to be kept of every changed row."""
     columns = columns or df.columns
-    return df.select(F.lit(topic).alias("topic"), converter.encode(df, columns).alias("value"), attributes(ref, F.col(ts)).alias("attributes"))
+    return df.select(F.lit(topic).alias("topic"), converter.encode(df, columns).alias("value"), attributes(ref, F.col(ts)).alias("attributes"), *keep)
 
 
 class TopicNotFound(LookupError):
@@ -69,10 +71,15 @@ class TopicFolder:
         where = spark._jvm.org.apache.hadoop.fs.Path(self.folder(topic))
         where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
 
-    def publish(self, messages: DataFrame, topic: str) -> None:
+    def publish(self, messages: DataFrame, topic: str, told: Sequence[str] = ()) -> DataFrame | None:
+        """Appends messages to a topic; with ``told``, gives their ids and these columns."""
         if not self.exists(messages, topic):
             raise TopicNotFound(topic)
-        messages.drop("topic").withColumn("message_id", F.uuid()).write.mode("append").parquet(self.folder(topic))
+        sent = messages.withColumn("message_id", F.uuid())
+        # Ids are made once, so that what is told is what was written.
+        sent = held(sent) if told else sent
+        sent.select("value", "attributes", "message_id").write.mode("append").parquet(self.folder(topic))
+        return sent.select(*told, "message_id") if told else None
 
     def read(self, spark: Any, topic: str) -> DataFrame:
         return spark.read.schema("value binary, attributes map<string,string>, message_id string").parquet(self.folder(topic))

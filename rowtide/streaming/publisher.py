@@ -6,6 +6,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rowtide.functions.avro_codec import AvroConverter
 from rowtide.model import TableRef
@@ -35,8 +36,10 @@ class Publisher:
         self.watcher, self.topics, self.template, self.converter = watcher, topics, template, converter
         self.project, self.instance = project, instance
         self.converters: dict[TableRef, Any] = {}
-        self.on_success: list[Callable[[TableRef, int], None]] = []
-        self.on_failure: list[Callable[[TableRef, Exception], None]] = []
+        #: Get (table, commit timestamp, message id) of every message that is published.
+        self.on_success: list[Callable[[TableRef, Any, str], None]] = []
+        #: Get (table, commit timestamp, error) of every change whose batch could not be published.
+        self.on_failure: list[Callable[[TableRef, Any, Exception], None]] = []
         self.parts = watcher.watchers if isinstance(watcher, DatabaseWatcher) else [watcher]
         watcher.on_batch(self._publish)
         prepare = watcher.prepare
@@ -58,14 +61,19 @@ class Publisher:
             self.converters[ref] = made = self.converter()
             if hasattr(made, "start"):
                 made.start(batch, columns, ref.table)
+        messages = envelope(batch, ref, ts, self.converters[ref], self.topic(ref), columns, keep=[F.col(ts).alias("__ts")])
         try:
-            self.topics.publish(envelope(batch, ref, ts, self.converters[ref], self.topic(ref), columns), self.topic(ref))
+            sent = self.topics.publish(messages, self.topic(ref), told=["__ts"] if self.on_success else [])
         except Exception as error:
-            for told in self.on_failure:
-                told(ref, error)
+            if self.on_failure:
+                for row in batch.select(ts).toLocalIterator():
+                    for told in self.on_failure:
+                        told(ref, row[0], error)
             raise
-        for told in self.on_success:
-            told(ref, 1)
+        # At most a batch of them, one partition at a time.
+        for row in sent.toLocalIterator() if sent is not None else ():
+            for told in self.on_success:
+                told(ref, row["__ts"], row["message_id"])
 
     def start(self) -> Publisher:
         self.watcher.start()

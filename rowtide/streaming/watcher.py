@@ -13,17 +13,18 @@ import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from enum import Enum
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rowtide.model import EARLIEST, TableRef, TableSpec
 from rowtide.operators import changesets, poll
 from rowtide.operators.shards import NoFilter, Shard
 from rowtide.plans.choose import FALLBACK_SECONDS, planned_poll
-from rowtide.sources.catalog import TableNotFound
+from rowtide.sources.catalog import Catalog, Selection, TableNotFound
 from rowtide.sources.positions import MemoryPositionStore, PositionStore
+from rowtide.sources.shared import held
 
 
 class State(Enum):
@@ -175,7 +176,7 @@ class TableWatcher(Service):
         began, shard = time.monotonic(), self.shard_of()
         self.last_statement = f"{self.spec.ref.full_name} after {self.position}, {shard or 'no shard'}, limit {self.limit}"
         rows = planned_poll(self.table(), self.spec, self.position, shard, self.limit, self.metrics["last_poll_had_changes"], self.clock(), self.fallback_seconds)
-        batch = rows.persist()
+        batch = held(rows)
         try:
             end, n = poll.last_position(batch, self.spec)
             if n:
@@ -210,8 +211,7 @@ class ChangeSetWatcher(TableWatcher):
             raise TableNotFound(f"{self.ref.full_name} has no column {self.data_id}")
 
     def deliver(self, batch: DataFrame, end: Any) -> None:
-        picked = batch.select(F.col(self.spec.primary_key[0]).alias("__set_id"), F.col(self.spec.commit_ts).alias(changesets.COMMIT_TS))
-        rows = self.data().join(picked, F.col(self.data_id) == F.col("__set_id")).drop("__set_id").orderBy(changesets.COMMIT_TS, self.data_id)
+        rows = changesets.with_sets(self.data(), self.data_id, batch, self.spec, self.limit).orderBy(changesets.COMMIT_TS, self.data_id)
         for callback in self.callbacks:
             callback(self.ref, rows, end)
 
@@ -236,6 +236,42 @@ class DatabaseWatcher(Service):
         made = [TableWatcher(t, spec, shard=(shards or {}).get(name, shard), interval=interval, **options) for name, (t, spec) in tables.items()]
         return cls(made, interval, parallel)
 
+    @classmethod
+    def selected(cls, catalog: Catalog, selection: Selection, opened: Callable[[TableRef], DataFrame], commit_ts_of: Callable[[TableRef], str | None] | None = None, **options) -> DatabaseWatcher:
+        """Watches the tables of ``selection`` that have a commit timestamp; see Catalog.specs and ``over``."""
+        specs = catalog.specs(selection, commit_ts_of)
+        return cls.over({s.ref.table: (partial(opened, s.ref), s) for s in specs}, **options)
+
+    @classmethod
+    def over_change_sets(
+        cls,
+        catalog: Catalog,
+        selection: Selection,
+        opened: Callable[[TableRef], DataFrame],
+        sets: TableSpec,
+        data_id: str = "change_set_id",
+        interval: float = 1.0,
+        parallel: int = 1,
+        **options,
+    ) -> DatabaseWatcher:
+        """Watches the tables of ``selection`` that carry the id of a change set, each through the table ``sets``."""
+        refs = catalog.change_set_refs(selection, data_id, sets.ref.table)
+        made = [ChangeSetWatcher(partial(opened, sets.ref), sets, partial(opened, ref), ref, data_id, interval=interval, **options) for ref in refs]
+        return cls(made, interval, parallel)
+
+    def _become(self, state: State) -> None:
+        """Tables share the state of the whole; one that has failed keeps its error."""
+        super()._become(state)
+        for w in self.watchers:
+            w._become(State.TERMINATED if state is State.FAILED and w.error is None else state)
+
+    def _poll(self, w: TableWatcher) -> bool:
+        try:
+            return w.poll_once()
+        except BaseException as error:
+            w.error, w.failed_from = error, w.state
+            raise
+
     def on_batch(self, callback: BatchCallback) -> DatabaseWatcher:
         self._must_be_new()
         for w in self.watchers:
@@ -254,9 +290,9 @@ class DatabaseWatcher(Service):
 
     def poll_once(self) -> bool:
         if self.parallel == 1:
-            return any([w.poll_once() for w in self.watchers])
+            return any([self._poll(w) for w in self.watchers])
         with ThreadPoolExecutor(self.parallel) as pool:
-            return any(list(pool.map(lambda w: w.poll_once(), self.watchers)))
+            return any(list(pool.map(self._poll, self.watchers)))
 
 
 def ticking(spark: SparkSession, service: Service, interval: str = "1 second", checkpoint: str | None = None):
@@ -267,12 +303,20 @@ def ticking(spark: SparkSession, service: Service, interval: str = "1 second", c
     """
     service._must_be_new()
     service._become(State.STARTING)
-    service.prepare()
+    try:
+        service.prepare()
+    except BaseException as error:
+        service._fail(error)
+        raise
     service._become(State.RUNNING)
 
     def run(_: DataFrame, __: int) -> None:
-        while service.poll_once():
-            pass
+        try:
+            while not service._stop.is_set() and service.poll_once():
+                pass
+        except BaseException as error:
+            service._fail(error)
+            raise
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     query = ticks.writeStream.foreachBatch(run).trigger(processingTime=interval)

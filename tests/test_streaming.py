@@ -10,7 +10,7 @@ from rowtide.functions.avro_codec import AvroConverter
 from rowtide.functions.json_codec import JsonConverter
 from rowtide.model import Position, TableRef, TableSpec
 from rowtide.operators.shards import FixedShard, ShardList
-from rowtide.sources.catalog import TableNotFound
+from rowtide.sources.catalog import Catalog, Selection, TableNotFound
 from rowtide.sources.positions import FilePositionStore, MemoryPositionStore
 from rowtide.streaming.envelope import TopicFolder, TopicNotFound, subscribe, to_archive, topic_name, write_archive
 from rowtide.streaming.publisher import Publisher
@@ -167,10 +167,11 @@ def test_publish_subscribe(spark, tmp_path, converter):
     topics.create = True
     p = Publisher(TableWatcher(t, t.spec, MemoryPositionStore(start="earliest"), limit=1), topics, template, converter)
     told = []
-    p.on_success.append(lambda ref, n: told.append(ref.table))
+    p.on_success.append(lambda ref, ts, message_id: told.append((ref.table, ts, message_id)))
     p.run_available()
     topic = topic_name(template, t.spec.ref)
-    assert topic == "projects/p/topics/db-singers" and told == ["singers"] * 2
+    sent = {r.message_id for r in topics.read(spark, topic).collect()}
+    assert topic == "projects/p/topics/db-singers" and [x[:2] for x in told] == [("singers", T0 + dt.timedelta(hours=1))] * 2 and {x[2] for x in told} == sent
     made = p.converters[t.spec.ref]
     got = subscribe(topics.read(spark, topic), made, made.json if converter is AvroConverter else t().schema).orderBy("id").collect()
     assert [(r.id, r.name, r.ts, r._database, r._table) for r in got] == [(1, "a", "2024-01-01T01:00:00Z", "db", "singers"), (2, None, "2024-01-01T01:00:00Z", "db", "singers")]
@@ -185,11 +186,75 @@ def test_publish_failure_stops_the_watcher(spark, tmp_path):
     store = MemoryPositionStore(start="earliest")
     p = Publisher(TableWatcher(t, t.spec, store), topics, "%table%", JsonConverter)
     told = []
-    p.on_failure.append(lambda ref, error: told.append(type(error)))
-    topics.publish = lambda *a: (_ for _ in ()).throw(TopicNotFound("gone"))
+    p.on_failure.append(lambda ref, ts, error: told.append((ts, type(error))))
+    topics.publish = lambda *a, **b: (_ for _ in ()).throw(TopicNotFound("gone"))
     with pytest.raises(TopicNotFound):
         p.run_available()
-    assert told == [TopicNotFound] and p.watcher.state is State.FAILED and store.get(t.spec.ref).ts is None
+    assert told == [(T0 + dt.timedelta(hours=1), TopicNotFound)] and p.watcher.state is State.FAILED and store.get(t.spec.ref).ts is None
+
+
+def metadata(spark, names, id_tables=()):
+    frame = lambda rows, shape: spark.createDataFrame(rows, f"catalog string, schema string, table string{shape}")
+    columns = [("", "", n, c, c == "ts" or c == "other", i) for n in names for i, c in enumerate(("id", "ts", "other"))] + [("", "", n, "change_set_id", False, 9) for n in id_tables]
+    return Catalog(
+        frame([("", "", n) for n in {*names, *id_tables}], ""),
+        frame(columns, ", column string, commit_ts boolean, ordinal int"),
+        frame([("", "", n, "PRIMARY_KEY", "PRIMARY_KEY") for n in names], ", index string, kind string"),
+        frame([("", "", n, "PRIMARY_KEY", "id", 1) for n in names], ", index string, column string, ordinal int"),
+        "db",
+    )
+
+
+def test_watchers_from_a_selection(spark):
+    tables = {n: Table(spark, n) for n in ("a", "b", "c")}
+    for h, t in enumerate(tables.values()):
+        t.commit(h, (h, "x"))
+    opened = lambda ref: tables[ref.table]().withColumn("other", F.col("ts") + F.expr("interval 5 hours"))
+    w = DatabaseWatcher.selected(metadata(spark, [*tables]), Selection.all_tables().but("c"), opened, lambda ref: "other" if ref.table == "b" else None, positions=MemoryPositionStore(start="earliest"))
+    seen = collect(w)
+    assert {x.spec.ref: x.spec.order for x in w.watchers} == {TableRef("db", "a"): ["ts", "id"], TableRef("db", "b"): ["other", "id"]}
+    w.run_available()
+    assert sorted(seen) == [("a", 0, "x", 0), ("b", 1, "x", 6)] and {x.state for x in w.watchers} == {State.TERMINATED}
+    with pytest.raises(TableNotFound):
+        DatabaseWatcher.selected(metadata(spark, ["a"]), Selection.include("a", "z"), opened)
+
+
+def test_change_set_watchers_from_a_selection(spark):
+    sets = Table(spark, "sets")
+    sets.commit(3, (7, "w"), (8, "w"))
+    data = {n: spark.createDataFrame([(i, f"{n}{i}", 7 + i % 2) for i in range(4)], "id long, name string, change_set_id long") for n in ("d", "e")}
+    opened = lambda ref: sets() if ref.table == "sets" else data[ref.table]
+    w = DatabaseWatcher.over_change_sets(metadata(spark, ["sets"], ["sets", "d", "e"]), Selection.all_tables(), opened, sets.spec, positions=MemoryPositionStore(start="earliest"))
+    seen = collect(w)
+    w.run_available()
+    assert sorted(seen) == [(n, i, f"{n}{i}", 3) for n in ("d", "e") for i in range(4)]
+    again = DatabaseWatcher.over_change_sets(metadata(spark, ["sets"], ["sets", "d"]), Selection.all_tables(), opened, sets.spec, positions=w.watchers[0].positions)
+    more = collect(again)
+    again.run_available()
+    assert more == []
+
+
+def test_one_table_fails(spark):
+    good, bad = Table(spark, "good"), Table(spark, "bad")
+    good.commit(1, (1, "a")), bad.commit(1, (1, "a"))
+    w = DatabaseWatcher.over({"good": (good, good.spec), "bad": (bad, bad.spec)}, positions=MemoryPositionStore(start="earliest"))
+    w.on_batch(lambda ref, batch, end: (_ for _ in ()).throw(OSError("down")) if ref.table == "bad" else None)
+    with pytest.raises(OSError):
+        w.run_available()
+    assert [x.state for x in (w, *w.watchers)] == [State.FAILED, State.TERMINATED, State.FAILED] and isinstance(w.watchers[1].error, OSError)
+    with pytest.raises(RuntimeError):
+        w.watchers[0].on_row(print)
+
+
+def test_failing_tick(spark):
+    t = Table(spark)
+    t.commit(1, (1, "a"))
+    w = TableWatcher(t, t.spec, MemoryPositionStore(start="earliest"))
+    w.on_batch(lambda *a: (_ for _ in ()).throw(OSError("down")))
+    query = ticking(spark, w)
+    with pytest.raises(Exception):
+        query.awaitTermination(60)
+    assert w.state is State.FAILED and isinstance(w.error, OSError)
 
 
 def test_archive(spark, tmp_path, monkeypatch):
