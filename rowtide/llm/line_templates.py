@@ -85,8 +85,11 @@ def recurring(source: DataFrame, least_docs: int, depth: int, long_tokens: int,
         for own in texts(batches, 8 << 20):
             out = []
             for key, text in own.items():
-                seen = {(TEMPLATE, x) for _, _, _, x in parsed(text, depth)}
-                seen |= {(EXACT, digest(line)) for _, line, t, _ in parsed(text, depth) if len(t) >= long_tokens}
+                seen = set()
+                for _, line, t, x in parsed(text, depth):
+                    seen.add((TEMPLATE, x))
+                    if len(t) >= long_tokens:
+                        seen.add((EXACT, digest(line)))
                 out += [(key, *x) for x in seen]
             columns = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], [KEY, "kind", "leaf"])
