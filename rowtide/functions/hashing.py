@@ -1,4 +1,6 @@
-"""The public FarmHash Fingerprint64, which stored computed shard columns are made with.
+"""The public FarmHash Fingerprint64 (MIT licence), which stored computed shard columns are made with.
+
+Its constants and the order of its steps are fixed by the values it must give.
 
 Spark has no built-in for it; it runs as an Arrow-batched function over distinct
 values of a batch.
@@ -82,27 +84,30 @@ def _short(s: bytes, n: int) -> int:
     return _K2
 
 
+def _block(s: bytes, at: int, state: tuple, mul: int, times: int) -> tuple:
+    """Takes 64 bytes into (x, y, z, v, w)."""
+    x, y, z, v, w = state
+    x = _turn(x + y + v[0] + _u64(s, at + 8), 37) * mul & _M
+    y = _turn(y + v[1] + _u64(s, at + 48), 42) * mul & _M
+    x ^= w[1] * times & _M
+    y = (y + v[0] * times + _u64(s, at + 40)) & _M
+    z = _turn(z + w[0], 33) * mul & _M
+    v = _lane(s, at, v[1] * mul, x + w[0])
+    w = _lane(s, at + 32, z + w[1], y + _u64(s, at + 16))
+    return z, y, x, v, w
+
+
 def _long(s: bytes, n: int) -> int:
     y = (81 * _K1 + 113) & _M
-    z = _fold(y * _K2 + 113) * _K2 & _M
-    v, w = (0, 0), (0, 0)
-    x = (81 * _K2 + _u64(s, 0)) & _M
-    last = (n - 1) // 64 * 64
-    for at, mul, tail in [*((k, _K1, False) for k in range(0, last, 64)), (n - 64, None, True)]:
-        nine = 1
-        if tail:
-            mul, nine = _K1 + ((z & 0xFF) << 1), 9
-            w = (w[0] + (n - 1 & 63), w[1])
-            v = (v[0] + w[0], v[1])
-            w = (w[0] + v[0], w[1])
-        x = _turn(x + y + v[0] + _u64(s, at + 8), 37) * mul & _M
-        y = _turn(y + v[1] + _u64(s, at + 48), 42) * mul & _M
-        x ^= w[1] * nine & _M
-        y = (y + v[0] * nine + _u64(s, at + 40)) & _M
-        z = _turn(z + w[0], 33) * mul & _M
-        v = _lane(s, at, v[1] * mul, x + w[0])
-        w = _lane(s, at + 32, z + w[1], y + _u64(s, at + 16))
-        z, x = x, z
+    state = ((81 * _K2 + _u64(s, 0)) & _M, y, _fold(y * _K2 + 113) * _K2 & _M, (0, 0), (0, 0))
+    for at in range(0, (n - 1) // 64 * 64, 64):
+        state = _block(s, at, state, _K1, 1)
+    # The last 64 bytes once more, with another factor.
+    x, y, z, v, w = state
+    mul = _K1 + ((z & 0xFF) << 1)
+    low = w[0] + (n - 1 & 63)
+    first = v[0] + low
+    x, y, z, v, w = _block(s, n - 64, (x, y, z, (first, v[1]), (low + first, w[1])), mul, 9)
     return _join((_join(v[0], w[0], mul) + _fold(y) * _K0 + z) & _M, (_join(v[1], w[1], mul) + x) & _M, mul)
 
 

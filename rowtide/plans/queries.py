@@ -141,11 +141,6 @@ def computed_shard(spark, d):
     return read(spark, d, "orders").select("o_orderkey", value.alias("shard"))
 
 
-@query("SELECT * FROM orders")
-def shard_none(spark, d):
-    return read(spark, d, "orders").where(shards.NoFilter("db/`orders`").predicate())
-
-
 @query("SELECT unnest(['1-URGENT', '3-MEDIUM', '5-LOW']) AS shard")
 def shard_split(spark, d):
     return spark.createDataFrame([(v,) for v in split_shards([*PRIORITIES, None, "5-LOW"])], "shard string")
@@ -175,15 +170,25 @@ def shard_time_filter(spark, d):
     return poll.changes(rows, EVENTS, shard=shards.TimeShard("shard", "HOUR_OF_DAY", NOW, encoded=False))
 
 
-@query()
-def shard_time_hash(spark, d):
-    """The stored form, base64 of SHA-512; DuckDB has no SHA-512."""
-    return read(spark, d, "events").select("event_id", shards.shard_id(F.col("ts"), "DAY").alias("shard"))
+def _fingerprint_sql(text: str, n: int) -> str:
+    """FarmHash of ``text``, of ``n`` bytes from 17 to 32, in 128-bit arithmetic."""
+    whole, k1, k2 = 1 << 64, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F
+    big = lambda x: f"{x % whole}::UHUGEINT"
+    word = lambda at: "(" + " + ".join(f"ascii({text}[{at + i + 1}])::UHUGEINT * {256**i}::UHUGEINT" for i in range(8)) + ")"
+    w, mul = f"{whole}::UHUGEINT", big(k2 + 2 * n)
+    turn = lambda x, by: f"((({x}) >> {by}) + (({x}) * {1 << (64 - by)}::UHUGEINT) % {w})"
+    return f"""WITH p0 AS (SELECT *, {word(0)} * {big(k1)} % {w} AS a, {word(8)} AS b, {word(n - 8)} * {mul} % {w} AS c, {word(n - 16)} * {big(k2)} % {w} AS d FROM customer),
+p1 AS (SELECT *, (a + b) % {w} AS ab, (b + {big(k2)}) % {w} AS bk FROM p0),
+p2 AS (SELECT *, ({turn('ab', 43)} + {turn('c', 30)} + d) % {w} AS u, (a + {turn('bk', 18)} + c) % {w} AS v FROM p1),
+p3 AS (SELECT *, xor(u, v) * {mul} % {w} AS x FROM p2),
+p4 AS (SELECT *, xor(v, xor(x, x >> 47)) * {mul} % {w} AS y FROM p3),
+p5 AS (SELECT *, (xor(y, y >> 47) * {mul} % {w})::HUGEINT AS h FROM p4)
+SELECT c_custkey, ((CASE WHEN h >= {whole >> 1}::HUGEINT THEN h - {whole}::HUGEINT ELSE h END) % 19)::BIGINT AS shard FROM p5"""
 
 
-@query()
+@query(_fingerprint_sql("c_name", 18))
 def farm_fingerprint(spark, d):
-    """The public FarmHash; checked against published values in the tests."""
+    """The public FarmHash, against the same steps in SQL; published values are in the tests."""
     return read(spark, d, "customer").select("c_custkey", (hashing.farm_fingerprint(F.col("c_name")) % 19).alias("shard"))
 
 
@@ -236,11 +241,6 @@ def change_set_topk(spark, d):
     return changesets.changed_rows(read(spark, d, "orders"), SETS, _data(spark, d), "l_orderkey", Position(SINCE), limit=100)
 
 
-@query(f"SELECT {SET_COLUMNS} FROM lineitem WHERE l_orderkey = 33")
-def change_set_one(spark, d):
-    return _data(spark, d).where(F.col("l_orderkey") == 33)
-
-
 @query("""SELECT CASE WHEN n_nationkey < 5 THEN n_name || '*' ELSE n_name END AS n_name, n_nationkey,
 CASE WHEN n_nationkey < 5 THEN TIMESTAMP '2024-01-15 00:00:30' ELSE TIMESTAMP '2020-01-01' END AS ts FROM nation""")
 def mutation_upsert(spark, d):
@@ -327,7 +327,7 @@ def position_ties(spark, d):
 
 @query("SELECT o_orderpriority, max(o_orderdate) AS last_ts, count(*) AS n FROM orders GROUP BY o_orderpriority")
 def position_max(spark, d):
-    return read(spark, d, "orders").groupBy("o_orderpriority").agg(F.max("o_orderdate").alias("last_ts"), F.count("*").alias("n"))
+    return gauges.latest_positions(read(spark, d, "orders"), "o_orderpriority", "o_orderdate")
 
 
 @query("SELECT sum(n * s)::BIGINT AS cpu_s, sum(n * s) / 60 * 100 AS cpu_percent FROM (SELECT count(*) AS n, l_linenumber::BIGINT AS s FROM lineitem GROUP BY l_linenumber)")
@@ -349,16 +349,6 @@ def shard_assignment(spark, d):
     return spark.createDataFrame([(s, w) for w, part in enumerate(parts) for s in part], "shard long, watcher long")
 
 
-@query("""SELECT 'orders' AS "table", o_orderkey AS key, o_orderdate AS ts FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01'
-UNION ALL SELECT 'events', event_id, ts FROM events WHERE ts > TIMESTAMP '1998-01-01'""")
-def multi_table_feed(spark, d):
-    feeds = []
-    for spec in (ORDERS, EVENTS):
-        rows = poll.changes(read(spark, d, spec.ref.table), spec, Position(dt.datetime(1998, 1, 1)))
-        feeds.append(rows.select(F.lit(spec.ref.table).alias("table"), F.col(spec.primary_key[0]).alias("key"), F.col(spec.commit_ts).alias("ts")))
-    return feeds[0].unionByName(feeds[1])
-
-
 # --- codecs and messages -------------------------------------------------------------
 
 STAMP = """strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({0}) % 1000000 = 0 THEN '' ELSE '.' || lpad((epoch_us({0}) % 1000000)::VARCHAR, 6, '0') || '000' END || 'Z'"""

@@ -131,7 +131,7 @@ def write_archive(objects: DataFrame, root: str | None = None) -> int:
         import pyarrow as pa
         from pyarrow import fs
 
-        system, top = fs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
+        system, top = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}")
         for batch in batches:
             for r in batch.to_pylist():
                 name = f"{top}/{r['path']}"
@@ -145,3 +145,25 @@ def write_archive(objects: DataFrame, root: str | None = None) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     return objects.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def read_archive(paths: DataFrame, root: str) -> DataFrame:
+    """path, content and attributes of the archived messages that the column ``path`` names."""
+
+    def run(batches):
+        import json
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}")
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                with system.open_input_stream(f"{top}/{path}") as file, system.open_input_stream(f"{top}/{path}.meta") as meta:
+                    found.append((path, file.read(), list(json.loads(meta.read())["metadata"].items())))
+            columns = zip(*found) if found else ((), (), ())
+            types = (pa.string(), pa.binary(), pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["path", "content", "attributes"])
+
+    return paths.select("path").mapInArrow(run, "path string, content binary, attributes map<string,string>")
