@@ -8,7 +8,7 @@ from rowtide.llm.decontaminate import LEAST, SLACK
 
 _FAILS = f"""(length(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0 AND (NOT regexp_matches(x, '{rules.SENTENCE_MARKS}')
  OR (length(x) - length(translate(x, '{rules.MENU_MARKS}', '')) >= 3 AND (length(x) - length(translate(x, '{rules.MENU_MARKS}', ''))) * 24 > length(x))
- OR regexp_matches(x, '{rules.BOILERPLATE}')))"""
+ OR {' OR '.join(f"contains(lower(x), '{p}')" for p in rules.BOILERPLATE)}))"""
 
 QUALITY_RULES = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

@@ -6,40 +6,67 @@ boilerplate); failing lines are removed, and a document that loses more than
 whole-document counts.  It is one narrow projection: no shuffle and no Python.
 
 Defined results: a null or empty text has no words, loses nothing and fails the
-base rule (fewer than ``min_words`` words).  Equal rows give equal results, rows
+base rule (fewer than ``min_words`` words).  A very long text is judged whole.  Equal rows give equal results, rows
 never influence each other, an empty table gives an empty one.  Input columns
 named like an output column are replaced by it; others are carried along.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import SPACES, let, words
+from rowtide.llm.common import WORD, let, words
 
 SYMBOLS = "#*$%&|<>"
-#: A line that holds none of these marks is no sentence.
-SENTENCE_MARKS = r"[.!?,;:\x{2026}\x{3002}]"
+#: A line that holds none of these marks is no sentence; among them those of Arabic, Urdu, Hindi, Armenian, Ethiopic and of full width.
+SENTENCE_MARKS = r"[.!?,;:\x{2026}\x{0589}\x{060C}\x{061B}\x{061F}\x{06D4}\x{0964}\x{1362}\x{3001}\x{3002}\x{FF01}\x{FF0C}\x{FF0E}\x{FF1A}\x{FF1B}\x{FF1F}]"
 #: Marks that separate the entries of a menu or trail.
 MENU_MARKS = "|»›•·>"
+#: In lower case; a line that holds one of these is no prose.
 BOILERPLATE = (
-    r"(?i)(lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|cookie policy|"
-    r"uses cookies|enable javascript|subscribe to our|click here|sign in to|log in to|"
-    r"licensed under|permission is hereby granted|copyright \(c\))"
+    "lorem ipsum",
+    "all rights reserved",
+    "terms of use",
+    "terms of service",
+    "privacy policy",
+    "cookie policy",
+    "uses cookies",
+    "enable javascript",
+    "subscribe to our",
+    "click here",
+    "sign in to",
+    "log in to",
+    "licensed under",
+    "permission is hereby granted",
+    "copyright (c)",
+    "alle rechte vorbehalten",
+    "nutzungsbedingungen",
+    "datenschutzerklärung",
+    "hier klicken",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "cliquez ici",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "haga clic aquí",
 )
 
 
 def has_word(line: Column) -> Column:
-    return F.length(F.translate(line, SPACES, "")) > 0
+    return line.rlike(WORD)
 
 
 def line_fails(line: Column) -> Column:
     """True if a line with a word breaks one of the three rules."""
-    menu = F.length(line) - F.length(F.translate(line, MENU_MARKS, ""))
     no_sentence = ~line.rlike(SENTENCE_MARKS)
-    navigation = (menu >= 3) & (menu * 24 > F.length(line))
-    return has_word(line) & (no_sentence | navigation | line.rlike(BOILERPLATE))
+    few = f"[^{MENU_MARKS}]*[{MENU_MARKS}]"
+    # The cheap test of three marks goes first.
+    navigation = line.rlike(f"^{few}{few}{few}") & (F.regexp_count(line, F.lit(f"[{MENU_MARKS}]")) * 24 > F.length(line))
+    boilerplate = let(F.lower(line), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in BOILERPLATE]))
+    return has_word(line) & (no_sentence | navigation | boilerplate)
 
 
 def repeated_words(w: Column) -> Column:
@@ -73,19 +100,28 @@ def repeated_words(w: Column) -> Column:
 def clean_lines(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat: float = 0.5, max_loss: float = 0.5) -> DataFrame:
     """``docs`` with counts, ``clean_text`` (the lines that passed) and the verdict ``kept``."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(body, "\n")
-    worded = F.filter(lines, has_word)
-    counted = docs.withColumns(
+
+    def by_words(w: Column) -> Column:
+        return F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).alias("repeated"))
+
+    def by_lines(x: Column) -> Column:
+        passed = let(F.filter(x, lambda y: ~line_fails(y)), lambda k: F.struct(F.size(k).alias("n"), F.array_join(k, "\n").alias("text")))
+        repeats = let(F.filter(x, has_word), lambda k: F.size(k) - F.size(F.array_distinct(k)))
+        return F.struct(F.size(x).alias("n"), repeats.cast("long").alias("repeats"), passed.alias("passed"))
+
+    # Words, lines and the lines that pass are each made once a row.
+    bound = docs.withColumns({"__w": let(words(F.col(text)), by_words), "__l": let(F.split(body, "\n"), by_lines)})
+    counted = bound.withColumns(
         {
-            "n_words": F.size(words(F.col(text))).cast("long"),
-            "word_chars": F.length(F.translate(body, SPACES, "")).cast("long"),
-            "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": let(words(F.col(text)), repeated_words),
-            "n_removed_lines": F.size(F.filter(lines, line_fails)).cast("long"),
-            "clean_text": F.when(F.col(text).isNotNull(), F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n")),
+            "n_words": F.col("__w.n"),
+            "word_chars": F.col("__w.chars"),
+            "n_symbols": F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long"),
+            "n_dup_lines": F.col("__l.repeats"),
+            "n_repeat_words": F.col("__w.repeated"),
+            "n_removed_lines": (F.col("__l.n") - F.col("__l.passed.n")).cast("long"),
+            "clean_text": F.when(F.col(text).isNotNull(), F.col("__l.passed.text")),
         }
-    )
+    ).drop("__w", "__l")
     lost = F.length(body) - F.coalesce(F.length("clean_text"), F.lit(0))
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 1.0 > F.col("n_words") * F.lit(max_repeat))
     return (
