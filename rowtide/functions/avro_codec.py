@@ -1,7 +1,9 @@
 """Rows as Avro binary (no container, no schema id), from the public Avro specification.
 
-The schema is taken once from a DataFrame.  Encoding runs Arrow batch by batch; what
-the JVM does best (timestamp, date and decimal text) is done there first.
+The schema is taken once from a DataFrame.  Encoding and decoding run Arrow batch by
+batch and within it column by column, in numpy; what the JVM does best (timestamp, date
+and decimal text) is done there first.  Only arrays are decoded value by value, since
+their blocks have to be followed.
 """
 
 from __future__ import annotations
@@ -11,7 +13,9 @@ import struct
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,20 +79,6 @@ def read_long(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _sized(raw: bytes) -> bytes:
-    return write_long(len(raw)) + raw
-
-
-WRITE: dict[str, Callable[[Any], bytes]] = {
-    "null": lambda v: b"",
-    "boolean": lambda v: b"\x01" if v else b"\x00",
-    "long": lambda v: write_long(int(v)),
-    "double": lambda v: struct.pack("<d", v),
-    "bytes": lambda v: _sized(bytes(v)),
-    "string": lambda v: _sized(v.encode()),
-}
-
-
 def _read_sized(data: bytes, at: int) -> tuple[bytes, int]:
     n, at = read_long(data, at)
     return bytes(data[at : at + n]), at + n
@@ -100,7 +90,6 @@ def _read_string(data: bytes, at: int) -> tuple[str, int]:
 
 
 READ: dict[str, Callable[[bytes, int], tuple[Any, int]]] = {
-    "null": lambda d, i: (None, i),
     "boolean": lambda d, i: (d[i] == 1, i + 1),
     "long": read_long,
     "double": lambda d, i: (struct.unpack_from("<d", d, i)[0], i + 8),
@@ -109,20 +98,8 @@ READ: dict[str, Callable[[bytes, int], tuple[Any, int]]] = {
 }
 
 
-def writer(kind: Any) -> Callable[[Any], bytes]:
-    if isinstance(kind, str):
-        return WRITE[kind]
-    if isinstance(kind, list):
-        body = writer(kind[1])
-        return lambda v: b"\x00" if v is None else b"\x02" + body(v)
-    if kind["type"] == "array":
-        item = writer(kind["items"])
-        return lambda v: (write_long(len(v)) + b"".join(map(item, v)) if len(v) else b"") + b"\x00"
-    parts = [(f["name"], writer(f["type"])) for f in kind["fields"]]
-    return lambda row: b"".join([w(row[name]) for name, w in parts])
-
-
 def reader(kind: Any) -> Callable[[bytes, int], tuple[Any, int]]:
+    """Reads one value, of an array or what is in it."""
     if isinstance(kind, str):
         return READ[kind]
     if isinstance(kind, list):
@@ -133,31 +110,131 @@ def reader(kind: Any) -> Callable[[bytes, int], tuple[Any, int]]:
             return body(d, i) if branch else (None, i)
 
         return union
-    if kind["type"] == "array":
-        item = reader(kind["items"])
+    item = reader(kind["items"])
+
+    def array(d: bytes, i: int) -> tuple[Any, int]:
+        out = []
+        while True:
+            n, i = read_long(d, i)
+            if n < 0:  # a block that says its size in bytes
+                n, (_, i) = -n, read_long(d, i)
+            if not n:
+                return out, i
+            for _ in range(n):
+                v, i = item(d, i)
+                out.append(v)
+
+    return array
+
+
+# --- whole batches -----------------------------------------------------------------
 
-        def array(d: bytes, i: int) -> tuple[Any, int]:
-            out = []
-            while True:
-                n, i = read_long(d, i)
-                if n < 0:  # a block that says its size in bytes
-                    n, (_, i) = -n, read_long(d, i)
-                if not n:
-                    return out, i
-                for _ in range(n):
-                    v, i = item(d, i)
-                    out.append(v)
+#: The bytes of all rows behind each other, and how many each row has.
+Pieces = tuple[np.ndarray, np.ndarray]
 
-        return array
-    parts = [(f["name"], reader(f["type"])) for f in kind["fields"]]
 
-    def record(d: bytes, i: int) -> tuple[Any, int]:
-        out = {}
-        for name, read in parts:
-            out[name], i = read(d, i)
-        return out, i
+def varints(n: np.ndarray) -> Pieces:
+    u = ((n << 1) ^ (n >> 63)).view(np.uint64)
+    k = np.arange(10)
+    parts = u[:, None] >> (7 * k).astype(np.uint64)
+    lens = np.maximum(1, (parts > 0).sum(axis=1))
+    raw = (parts & np.uint64(0x7F)).astype(np.uint8) | np.where(k < lens[:, None] - 1, 0x80, 0).astype(np.uint8)
+    return raw[k < lens[:, None]], lens
 
-    return record
+
+def spots(first: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of every row, ``lens`` of them."""
+    return np.repeat(first - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+
+
+def woven(*pieces: Pieces) -> Pieces:
+    """The pieces of each row behind each other."""
+    total = sum(lens for _, lens in pieces)
+    out, at = np.empty(int(total.sum()), np.uint8), np.cumsum(total) - total
+    for data, lens in pieces:
+        out[spots(at, lens)] = data
+        at = at + lens
+    return out, total
+
+
+def encoded(kind: Any, column: pa.Array) -> Pieces:
+    n = len(column)
+    if isinstance(kind, list):
+        there = column.is_valid().to_numpy(zero_copy_only=False)
+        data, lens = encoded(kind[1], column.drop_null())
+        full = np.zeros(n, np.int64)
+        full[there] = lens
+        return woven((np.where(there, 2, 0).astype(np.uint8), np.ones(n, np.int64)), (data, full))
+    if column.null_count:
+        raise ValueError("null in a field that has no null")
+    if kind == "long":
+        return varints(column.cast(pa.int64()).to_numpy(zero_copy_only=False))
+    if kind == "double":
+        return np.ascontiguousarray(column.cast(pa.float64()).to_numpy(zero_copy_only=False), "<f8").view(np.uint8), np.full(n, 8)
+    if kind == "boolean":
+        return column.to_numpy(zero_copy_only=False).astype(np.uint8), np.ones(n, np.int64)
+    if isinstance(kind, dict):
+        lens = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        data, each = encoded(kind["items"], column.flatten())
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ends = np.cumsum(lens)
+        some = lens > 0
+        counts, width = varints(lens[some])
+        head = np.zeros(n, np.int64)
+        head[some] = width
+        return woven((counts, head), (data, upto[ends] - upto[ends - lens]), (np.zeros(n, np.uint8), np.ones(n, np.int64)))
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw else np.zeros(0, np.uint8)
+    return woven(varints(np.diff(offsets)), (data, np.diff(offsets)))
+
+
+def binary(kind: pa.DataType, data: np.ndarray, lens: np.ndarray) -> pa.Array:
+    """Strings or bytes of the given lengths."""
+    offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+    made = pa.Array.from_buffers(kind, len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    made.validate(full=True)
+    return made
+
+
+def read_longs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u, at, open_ = np.zeros(len(at), np.uint64), at.copy(), np.arange(len(at))
+    for k in range(10):
+        b = data[at[open_]]
+        u[open_] |= (b & 0x7F).astype(np.uint64) << np.uint64(7 * k)
+        at[open_] += 1
+        open_ = open_[b >= 0x80]
+        if not len(open_):
+            break
+    return (u >> np.uint64(1)).view(np.int64) ^ -(u & np.uint64(1)).view(np.int64), at
+
+
+def decoded(kind: Any, data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The field that begins at ``at`` in each row, and where it ends."""
+    if isinstance(kind, list):
+        branch, at = read_longs(data, at)
+        there = np.flatnonzero(branch)
+        body, ends = decoded(kind[1], data, at[there])
+        at[there] = ends
+        place = np.zeros(len(at), np.int64)
+        place[there] = np.arange(len(there))
+        return body.take(pa.array(place, mask=branch == 0)), at
+    if kind == "long":
+        n, at = read_longs(data, at)
+        return pa.array(n), at
+    if kind == "double":
+        return pa.array(data[at[:, None] + np.arange(8)].view("<f8").reshape(-1)), at + 8
+    if kind == "boolean":
+        return pa.array(data[at] == 1), at + 1
+    if isinstance(kind, dict):
+        read, whole, out, ends = reader(kind), data.tobytes(), [], at.copy()
+        for i, x in enumerate(at.tolist()):
+            v, ends[i] = read(whole, x)
+            out.append(v)
+        return pa.array(out, to_arrow_type(spark_type(kind))), ends
+    n, at = read_longs(data, at)
+    return binary(pa.string() if kind == "string" else pa.binary(), data[spots(at, n)], n), at + n
 
 
 # --- columns -----------------------------------------------------------------------
@@ -175,42 +252,43 @@ def _travelling(c: Column, kind: T.DataType) -> Column:
     return c
 
 
-def avro_payload(df: DataFrame, schema_json: str, columns: list[str] | None = None) -> Column:
-    """The rows' Avro bytes."""
-    fields = [df.schema[c] for c in (columns or df.columns)]
-    known = {f["name"] for f in json.loads(schema_json)["fields"]}
-    fields = [f for f in fields if f.name in known]
-    write = writer(json.loads(schema_json))
-    sent = [_travelling(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]
+def avro_payload(df: DataFrame, schema_json: str) -> Column:
+    """The rows' Avro bytes: the fields of the schema, column by column for a batch."""
+    kinds = {f["name"]: f["type"] for f in json.loads(schema_json)["fields"]}
+    sent = [_travelling(F.col(f"`{name}`"), df.schema[name].dataType).alias(name) for name in kinds]
 
     @F.arrow_udf("binary")
     def run(rows: pa.Array) -> pa.Array:
-        return pa.array([write(r) for r in rows.to_pylist()], pa.binary())
+        return binary(pa.binary(), *woven(*[encoded(k, c) for k, c in zip(kinds.values(), rows.flatten())]))
 
     return run(F.struct(*sent))
 
 
-def decoded_type(schema_json: str) -> T.StructType:
+def spark_type(kind: Any) -> T.DataType:
     kinds = {"boolean": T.BooleanType(), "long": T.LongType(), "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType()}
-
-    def of(kind: Any) -> T.DataType:
-        if isinstance(kind, list):
-            kind = kind[1]
-        return kinds[kind] if isinstance(kind, str) else T.ArrayType(of(kind["items"]), True)
-
-    return T.StructType([T.StructField(f["name"], of(f["type"])) for f in json.loads(schema_json)["fields"]])
+    if isinstance(kind, list):
+        kind = kind[1]
+    return kinds[kind] if isinstance(kind, str) else T.ArrayType(spark_type(kind["items"]), True)
 
 
 def avro_decoded(payload: Column, schema_json: str) -> Column:
-    """A struct of the encoded fields, in their travelling forms."""
-    read = reader(json.loads(schema_json))
-    kind = decoded_type(schema_json)
-
-    shape = to_arrow_type(kind)
-
-    @F.arrow_udf(kind)
-    def run(data: pa.Array) -> pa.Array:
-        return pa.array([None if d is None else read(d, 0)[0] for d in data.to_pylist()], shape)
+    """A struct of the encoded fields, in their travelling forms; null for null."""
+    kinds = {f["name"]: f["type"] for f in json.loads(schema_json)["fields"]}
+    shape = T.StructType([T.StructField(n, spark_type(k)) for n, k in kinds.items()])
+
+    @F.arrow_udf(shape)
+    def run(column: pa.Array) -> pa.Array:
+        there = column.is_valid().to_numpy(zero_copy_only=False)
+        own = column.drop_null()
+        at = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own)].astype(np.int64) if len(own) else np.zeros(0, np.int64)
+        raw = own.buffers()[2]
+        data, fields = np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8), []
+        for k in kinds.values():
+            field, at = decoded(k, data, at)
+            fields.append(field)
+        rows = pa.StructArray.from_arrays(fields, [*kinds])
+        place = np.cumsum(there) - 1
+        return rows if there.all() else rows.take(pa.array(place, mask=~there))
 
     return run(payload)
 
@@ -230,7 +308,7 @@ class AvroConverter:
     def encode(self, df: DataFrame, columns: list[str]) -> Column:
         if self.json is None:
             self.start(df, columns, "row")
-        return avro_payload(df, self.json, columns)
+        return avro_payload(df, self.json)
 
     def decode(self, payload: Column, schema: Any = None) -> Column:
         return avro_decoded(payload, self.json if schema is None else schema)
