@@ -3,6 +3,14 @@
 Each stage reads what its predecessor wrote; all but the last return the columns of
 ``documents``.  ``ORACLE_SQL`` is None: a trained classifier and seeded permutations
 have no SQL; the stages are tested against brute force instead.
+
+Defined results: null and empty texts have the score of the bias alone, are near copies
+of each other alone, hit no benchmark and count no words for the mix, which therefore
+takes all or none of them; a null source is a source; a null doc_id is never learnt from
+and never wins over another; very long texts are worked on whole; of repeated rows one
+passes near-dedup; an empty table gives an empty result with the same columns.  Columns
+that ``documents`` does not have are left out by the first stage, whatever their names;
+the last adds ``shard`` and ``slot``.
 """
 
 from __future__ import annotations
