@@ -57,14 +57,12 @@ def learn(docs: DataFrame, dict_bytes: int = 98_304, max_texts: int = 96, max_te
     usable = docs.where((size > 0) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     keyed = usable.select("lang", F.xxhash64("text").alias("h"), (~size.between(200, max_text_bytes)).alias("other"), F.substring("text", 1, max_text_bytes).alias("text"))
     # Repeated texts are one before they are ranked, and again when their text is fetched: no more travels than is ranked.
-    ranked = (
-        keyed.groupBy("lang", "h", "other")
-        .count()
-        .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("other", "h")))
-        .where(F.col("k") <= max_texts)
-        .select("lang", "h", "k")
-        .limit(max_texts * max_languages + 1)
-    )
+    ranked = keyed.groupBy("lang", "h", "other").count().drop("count")
+    # Ranked in parts of a language first, so that a hot one is no task's work alone.
+    for by in ([F.col("lang"), F.pmod("h", F.lit(16))], [F.col("lang")]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("other", "h"))
+        ranked = ranked.withColumn("k", rank).where(F.col("k") <= max_texts)
+    ranked = ranked.select("lang", "h", "k").limit(max_texts * max_languages + 1)
     rows = keyed.join(F.broadcast(ranked), ["lang", "h"]).groupBy("lang", "h", "k").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.lang, r.k))
     owners: dict[str, set[str]] = {}

@@ -334,3 +334,86 @@ def test_pipeline(spark, sf):
     for r in rows:
         by[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
+def brute_winners(rows):
+    """Least doc_id of each group of texts linked by a similarity of 0.8 of their five-word shingles."""
+    sets = {}
+    for r in rows:
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    at = collections.defaultdict(list)
+    for d, s in sets.items():
+        for x in s or {()}:
+            at[x].append(d)
+    shared, label = collections.Counter(), {d: d for d in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for x, ds in at.items():
+        for i, a in enumerate(ds):
+            for b in ds[:i]:
+                shared[a, b] += 1
+    for (a, b), n in shared.items():
+        union = len(sets[a]) + len(sets[b]) - (n if sets[a] else 0)
+        if not sets[a] and not sets[b] or 5 * n >= 4 * union:
+            a, b = find(a), find(b)
+            label[max(a, b)] = min(a, b)
+    return {find(d) for d in sets}
+
+
+def test_pipeline_near_dedup_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    kept = corpus_pipeline.near_dedup(spark, docs, sf).collect()
+    assert {r.doc_id for r in kept} == brute_winners(docs.collect()) and len(kept) == len({r.doc_id for r in kept})
+
+
+def test_pipeline_decontamination_and_mixing_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [decontaminate.word_list(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    windows = {tuple(w[i : i + 10]) for w in items for i in range(max(1, len(w) - 9)) if w}
+    dirty = lambda w: any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+    clean = {r.doc_id for r in docs.collect() if not dirty(decontaminate.word_list(r.text))}
+    left = corpus_pipeline.benchmark_decontamination(spark, docs, sf)
+    assert {r.doc_id for r in left.collect()} == clean and 0 < len(clean) < docs.count()
+    mixed = collections.Counter(r.doc_id for r in corpus_pipeline.source_mixing(spark, left, sf).collect())
+    size = {r.doc_id: len((r.text or "").encode().split()) for r in left.collect()}
+    by, taken = collections.Counter(), collections.Counter()
+    for r in left.collect():
+        by[r.source] += size[r.doc_id]
+        taken[r.source] += size[r.doc_id] * mixed[r.doc_id]
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    level = max(x for x in np.linspace(0, 10 * sum(by.values()), 400_001) if sum(min(3 * by[s], x * weight[s]) for s in names) <= sum(by.values()))
+    assert all(abs(taken[s] - min(3 * by[s], level * weight[s])) < 300 for s in names) and max(mixed.values()) <= 3
+
+
+@pytest.mark.parametrize("kind", ["edge", "nothing"])
+def test_pipeline_on_odd_tables(spark, edge, nothing, kind, tmp_path):
+    docs = edge if kind == "edge" else nothing
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (6, 1, 0), (None, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    assert rows.columns == [*common.DOCUMENT_COLUMNS, "shard", "slot"]
+    found = rows.collect()
+    if kind == "nothing":
+        assert found == []
+        return
+    texts = collections.Counter((r.text or "").strip() for r in found)
+    assert 5 < len(texts) and max(texts.values()) <= 3 and not any("one two" in (r.text or "") for r in found)
+    stages = {n: f for n, f in corpus_pipeline.STAGES}
+    for name, stage in stages.items():  # each by itself, on rows that no other stage has cleaned
+        got = stage(spark, docs.select(*common.DOCUMENT_COLUMNS), str(tmp_path)).collect()
+        assert len(got) > 0 and (name != "sharding" or len(got) == docs.count())
+
+
+def test_one_of_equal_rows_stays_whatever_the_order(spark):
+    kept, rows = [], [(1, "same text", f"s{k}") for k in range(9)] + [(2, "same text", "t"), (None, "same text", None)]
+    for n in (1, 4):
+        docs = spark.createDataFrame(rows[::-1] if n > 1 else rows, "doc_id long, text string, source string").repartition(n)
+        kept.append([(r.doc_id, r.source) for r in simhash.near_copies(docs).collect()])
+    assert kept[0] == kept[1] and len(kept[0]) == 1 and kept[0][0][0] == 1
