@@ -103,25 +103,30 @@ def drain(
     position: Position = EARLIEST,
     shard: Shard | None = None,
     limit: int = DEFAULT_LIMIT,
+    ahead: int = 1,
 ) -> Iterator[tuple[DataFrame, Position]]:
     """Batches until a short one, each with the position to store once it is delivered.
 
+    With ``ahead`` one scan of the table reads so many batches in advance.
+
     A full batch is followed at once; the position names the last row, so commits with
     more rows than ``limit`` are read on from where the batch ended.  ``df`` may be a
     function that opens the table anew for each poll.
     """
     while True:
         table = df() if callable(df) else df
-        batch = held(poll(table, spec, position, shard, limit))
+        rows, read = held(poll(table, spec, position, shard, limit * ahead)), 0
         try:
-            end, n = last_position(batch, spec)
-            if end is None:
-                return
-            yield batch, end
+            # The rows of one poll are few, so they may be numbered in one task.
+            number = F.row_number().over(Window.orderBy(*spec.order)) - 1
+            numbered = rows.withColumn("__batch", F.floor(number / limit)) if ahead > 1 else rows.withColumn("__batch", F.lit(0))
+            ends = numbered.groupBy("__batch").agg(F.max(F.struct(*spec.order)), F.count("*")).orderBy("__batch").collect()
+            for k, top, n in ends:
+                position, read = Position(top[0], tuple(top[1:])), read + n
+                yield (numbered.where(F.col("__batch") == k).drop("__batch") if ahead > 1 else rows), position
         finally:
-            batch.unpersist()
-        position = end
-        if n < limit:
+            rows.unpersist()
+        if read < limit * ahead:
             return
 
 

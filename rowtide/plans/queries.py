@@ -88,7 +88,7 @@ FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01'""")
 def drain_batches(spark, d):
     """The rows of a drain at limit 97, with the number of their batch."""
     orders, found = read(spark, d, "orders").select("o_orderkey", "o_orderdate"), []
-    for k, (batch, _) in enumerate(poll.drain(orders, ORDERS, Position(dt.datetime(1998, 7, 1)), limit=97)):
+    for k, (batch, _) in enumerate(poll.drain(orders, ORDERS, Position(dt.datetime(1998, 7, 1)), limit=97, ahead=16)):
         found += [(r.o_orderkey, r.o_orderdate, k) for r in batch.collect()]
     kinds = orders.schema
     return spark.createDataFrame(found, T.StructType([*kinds.fields, T.StructField("batch", T.LongType())]))

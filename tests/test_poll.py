@@ -126,3 +126,17 @@ def test_plan_choice():
     assert not per_shard_possible(many, 10) and not per_shard_possible(FixedShard("s", 1), 10)
     assert per_shard_wanted(True, False, dt.timedelta(seconds=61)) and not per_shard_wanted(True, False, dt.timedelta(seconds=60))
     assert not per_shard_wanted(False, False, dt.timedelta(hours=1)) and not per_shard_wanted(True, True, dt.timedelta(hours=1))
+
+
+@pytest.mark.parametrize("ahead", [1, 2, 7, 1000])
+def test_drain_ahead(spark, ahead):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_orderdate").where("o_orderkey < 900")
+    spec = TableSpec(TableRef("db", "orders"), "o_orderdate", ("o_orderkey",))
+    want = [tuple(r) for r in orders.orderBy("o_orderdate", "o_orderkey").collect()]
+    found, ends = [], []
+    for batch, end in poll.drain(orders, spec, limit=13, ahead=ahead):
+        rows = sorted((r.o_orderdate, r.o_orderkey) for r in batch.collect())
+        found.append(len(rows))
+        ends.append((end.ts, end.key[0]))
+        assert rows[-1] == ends[-1]
+    assert sum(found) == len(want) and set(found[:-1]) == {13} and ends[-1] == want[-1][::-1]
