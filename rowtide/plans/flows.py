@@ -168,11 +168,11 @@ def change_set_ids(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, o_orderdate AS _commit_ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate > TIMESTAMP '1998-07-01'")
 def change_set_watch(spark, d):
-    """Rows of a data table, delivered through its change sets in batches of 50 sets."""
+    """Rows of a data table, delivered through its change sets in batches of 1,000 sets."""
     folder = own_folder(spark)
     lines = lambda: read(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
     sets = lambda: read(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    w = ChangeSetWatcher(sets, ORDERS, lines, TableRef("db", "lineitem"), "l_orderkey", positions=MemoryPositionStore(SINCE), limit=50)
+    w = ChangeSetWatcher(sets, ORDERS, lines, TableRef("db", "lineitem"), "l_orderkey", positions=MemoryPositionStore(SINCE), limit=1000)
     w.on_batch(lambda ref, batch, end: batch.write.mode("append").parquet(folder))
     w.run_available()
     return spark.read.parquet(folder)
@@ -194,18 +194,18 @@ def _written(folder):
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01'")
 def watcher_batches(spark, d):
-    """Each row of a watched table once, by batches of 100, through one stored position."""
+    """Each row of a watched table once, by batches of 1,000, through one stored position."""
     folder = own_folder(spark)
     store = TablePositionStore(spark, folder, SINCE)
     for _ in range(2):  # the second one finds nothing new
-        w = TableWatcher(lambda: read(spark, d, "orders").select("o_orderkey", "o_orderdate"), ORDERS, store, limit=100)
+        w = TableWatcher(lambda: read(spark, d, "orders").select("o_orderkey", "o_orderdate"), ORDERS, store, limit=1000)
         w.on_batch(_written(f"{folder}/rows")).run_available()
     return spark.read.parquet(f"{folder}/rows/orders")
 
 
-@query("SELECT n_rows, 1 + n_rows // 100 AS polls, n_rows % 100 > 0 AS changes FROM (SELECT count(*)::BIGINT AS n_rows FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01')")
+@query("SELECT n_rows, 1 + n_rows // 1000 AS polls, n_rows % 1000 > 0 AS changes FROM (SELECT count(*)::BIGINT AS n_rows FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01')")
 def watcher_metrics(spark, d):
-    w = TableWatcher(lambda: read(spark, d, "orders").select("o_orderkey", "o_orderdate"), ORDERS, MemoryPositionStore(SINCE), limit=100)
+    w = TableWatcher(lambda: read(spark, d, "orders").select("o_orderkey", "o_orderdate"), ORDERS, MemoryPositionStore(SINCE), limit=1000)
     w.run_available()
     return spark.createDataFrame([(w.metrics["rows"], w.metrics["polls"], w.metrics["last_poll_had_changes"])], "n_rows long, polls long, changes boolean")
 
@@ -321,7 +321,7 @@ def shard_none(spark, d):
 
 def _publisher(spark, d, folder, converter, template="projects/p/topics/%database%-%table%"):
     source = lambda: read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    w = TableWatcher(source, ORDERS, MemoryPositionStore(SINCE), limit=500)
+    w = TableWatcher(source, ORDERS, MemoryPositionStore(SINCE), limit=5000)
     return Publisher(w, envelope.TopicFolder(folder, create=True), template, converter)
 
 
@@ -345,7 +345,7 @@ def publish_listeners(spark, d):
     return heard.join(p.topics.read(spark, p.topic(ORDERS.ref)), "message_id").groupBy("ts").agg(F.count("*").alias("told"), F.count_distinct("message_id").alias("ids"))
 
 
-@query("SELECT 'failed' AS state, 'TopicNotFound' AS error, count(*) AS told, NULL::TIMESTAMP AS position FROM (SELECT 1 FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01' LIMIT 500)")
+@query("SELECT 'failed' AS state, 'TopicNotFound' AS error, count(*) AS told, NULL::TIMESTAMP AS position FROM (SELECT 1 FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01' LIMIT 5000)")
 def publish_failure(spark, d):
     """A topic that goes away: listeners hear of each change, the watcher fails, no position is stored."""
     p, told = _publisher(spark, d, own_folder(spark), lambda: json_codec.INSTANCE), []
