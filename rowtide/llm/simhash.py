@@ -340,19 +340,23 @@ def links(points: DataFrame, max_bits: int, least_equal: int = 0, sized: bool =
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b) but the roots; root is its component's least node."""
+    """(node, root) for every node of ``edges`` (a, b) but the roots; root is its component's least node.
+
+    Least neighbours are written before they are joined, so that Spark splits the join of
+    a node with very many neighbours.
+    """
 
     def both(e: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
 
     def large(e: DataFrame) -> DataFrame:
         two = both(e)
-        least = two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         return two.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(down.groupBy("u").agg(F.min("v").alias("m")))
         moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
         return moved.union(least.select("u", "m")).distinct()
 
@@ -462,7 +466,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, **option
     points = cut(rows.select("fp", "sketch", "size").distinct())
     groups = grouped(points, links(points, max_bits, **options), "fp")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("first")).join(groups, "fp")
-    names = least.join(least.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    smallest = cut(least.groupBy("root").agg(F.min("first").alias("component_id")))
+    names = least.join(smallest, "root").select("fp", "component_id")
     return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
