@@ -18,8 +18,8 @@ recur, and what it lets through in vain is dropped by the counts that follow.  E
 lines are one row with a document count before places are counted, and every count is
 combined before its shuffle.  Counts are written before they are joined with the rows
 they judge, so that Spark splits the join of a hot template, line, text or of all null
-texts over tasks.  Only hashes of lines travel, and each document gets back the list of
-places it loses.
+texts over tasks.  Only hashes of lines travel, and each document that loses lines gets
+back the list of their places.
 
 Defined results: null and empty texts have no lines with tokens and lose none (null
 stays null); lines without tokens are never dropped; a line repeated in one document
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import cut, shape_with, text_batches
+from rowtide.llm.common import cut, shape_with, sieve, text_batches
 
 VARIABLE = regex.compile(rb"\S*[0-9]\S*")
 WILD = b"<*>"
@@ -143,7 +143,10 @@ def drop_templates(docs: DataFrame, least_docs: int = 8, depth: int = 3, long_to
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "clean_text")]
     keyed = docs.select(*[f"`{c}`" for c in kept]).withColumn(KEY, F.xxhash64("text"))
     lost = cut(recurring(keyed.select(KEY, "text"), least_docs, depth, long_tokens, slots))
-    joined = keyed.join(lost, KEY, "left").drop(KEY)
+    # Texts that lose nothing stay where they are.
+    loses = sieve(lost, KEY)(F.col(KEY))
+    none = F.lit(None).cast(lost.schema["__lt_places"].dataType)
+    joined = keyed.where(loses).join(lost, KEY, "left").drop(KEY).unionByName(keyed.where(~loses).drop(KEY).withColumn("__lt_places", none))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
