@@ -489,8 +489,11 @@ def near_copies(docs: DataFrame, words: int = 5, max_bits: int = 11, least_equal
     winners = firsts.groupBy("root").agg(F.min(F.struct("n", "doc_id", "th")).alias("w"))
     winners = cut(winners.select(F.col("w.doc_id").alias("__w_id"), F.col("w.th").alias("__w_th")))
     named = lambda th, doc_id: th.eqNullSafe(F.col("__w_th")) & doc_id.eqNullSafe(F.col("__w_id"))
+    # Rows that are surely none of those to go stay where they are; the others meet the winners.
+    going = rows.join(winners, named(rows["th"], rows["doc_id"]), "left_anti").select(F.xxhash64("th", "doc_id").alias("key"))
     keyed = docs.withColumn("__w_text", F.xxhash64("text"))
-    kept = keyed.join(winners, named(keyed["__w_text"], keyed["doc_id"]), "left_semi")
+    goes = sieve(going, "key")(F.xxhash64("__w_text", "doc_id"))
+    kept = keyed.where(~goes).unionByName(keyed.where(goes).join(winners, named(F.col("__w_text"), F.col("doc_id")), "left_semi"))
     if rows.join(winners, named(rows["th"], rows["doc_id"]), "left_semi").count() == winners.count():
         return kept.drop("__w_text")
     # Rows alike in id and text can't be told apart by the winner's name: the one whose columns hash least stays.
