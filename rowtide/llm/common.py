@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -11,30 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowtide.sources.shared import shared_folder
+
 #: A word: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, made ready for checkpoints.
-
-    It is the one the session names in ``spark.checkpoint.dir``.  Where that is unset,
-    a local session, whose executors are on this machine, gets a temporary folder; on a
-    cluster it is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, made ready for checkpoints; see ``shared_folder``."""
     context = spark.sparkContext
-    if not named:
-        named = context.getCheckpointDir()
-    if not named:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
+        context.setCheckpointDir(shared_folder(spark))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -57,13 +45,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
 
 
-def ascii_lower(text: bytes | str):
-    """Lower-cases A-Z only."""
-    if isinstance(text, bytes):
-        return text.lower()  # bytes.lower() touches ASCII letters alone
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-
-
 def text_batches(batch, column: str, max_bytes: int = 8 << 20):
     """Slices of an Arrow batch holding about ``max_bytes`` of ``column`` each.
 

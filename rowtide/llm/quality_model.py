@@ -153,8 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, **options) ->
                     ["doc_id", "label", "ids", "share"],
                 )
 
-    found = rows.mapInArrow(featurise, f"doc_id {kind}, label int, ids binary, share binary").toPandas().sort_values("doc_id")
-    sample = [(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32), int(y > 0)) for i, s, y in zip(found["ids"], found["share"], found["label"]) if i]
+    found = rows.mapInArrow(featurise, f"doc_id {kind}, label int, ids binary, share binary").toArrow().sort_by("doc_id")
+    parts = zip(found["ids"].to_pylist(), found["share"].to_pylist(), found["label"].to_pylist())
+    sample = [(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32), int(y > 0)) for i, s, y in parts if i]
     return train(sample, **options)
 
 
