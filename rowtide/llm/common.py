@@ -67,26 +67,33 @@ def _lengths(column):
     return pc.binary_length(column).to_pylist()
 
 
-def sieve(keys: DataFrame, column: str, bits: int = 26) -> Callable[[Column], Column]:
-    """A function of a long column: false only if the value is not in ``column`` of ``keys``.
+def bitmap(keys: DataFrame, slot: Column, bits: int) -> bytes:
+    """2^bits bits (15 at least): those at ``slot`` of some row of ``keys`` are set."""
+    held = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("k"))
+    whole = np.zeros((1 << (bits - 15), 4096), np.uint8)
+    for r in held.agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits")).collect():
+        whole[r.k] = np.frombuffer(r.bits, np.uint8)
+    return whole.tobytes()
+
+
+SIEVE_BITS = 26
 
-    2^bits bits, by hash, whatever the number of keys; so it only saves work, and what
-    passes has to be joined.
+
+def sieve(keys: DataFrame, column: str, bits: int = SIEVE_BITS) -> Callable[[Column], Column]:
+    """A function of a column: false only if the value is not in ``column`` of ``keys``.
+
+    2^bits bits (8 MB), by hash, whatever the number of keys; so it only saves work, and
+    what passes has to be joined.
     """
-    slots = 1 << bits
-    held = keys.select(F.pmod(F.xxhash64(column), F.lit(slots)).alias("slot"))
-    rows = held.groupBy(F.shiftright("slot", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits")).collect()
-    whole = np.zeros((max(1, slots >> 15), 4096), np.uint8)
-    for r in rows:
-        whole[r.k] = np.frombuffer(r.bits, np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+    slot = lambda value: F.pmod(F.xxhash64(value), F.lit(1 << bits))
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap(keys, slot(F.col(column)), bits))
 
     @F.pandas_udf("boolean")
-    def among(slot: pd.Series) -> pd.Series:
-        at = slot.to_numpy()
-        return pd.Series((shared.value[at >> 3] >> (at & 7) & 1).astype(bool))
+    def among(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool))
 
-    return lambda value: among(F.pmod(F.xxhash64(value), F.lit(slots)))
+    return lambda value: among(slot(value))
 
 
 def shape_with(df: DataFrame, more: str) -> T.StructType:

@@ -33,14 +33,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import cut, shape_with, sieve, text_batches
+from rowtide.llm.common import SIEVE_BITS, bitmap, cut, shape_with, sieve, text_batches
 
 VARIABLE = regex.compile(rb"\S*[0-9]\S*")
 WILD = b"<*>"
@@ -73,7 +72,7 @@ TEMPLATE, EXACT = 0, 1
 FOUND = f"{KEY} long, kind int, leaf long, line long, places array<int>, toks array<long>"
 
 
-def recurring(source: DataFrame, least_docs: int, depth: int, long_tokens: int, slots: int) -> DataFrame:
+def recurring(source: DataFrame, least_docs: int, depth: int, long_tokens: int, bits: int) -> DataFrame:
     """(KEY, __lt_places): what each document loses.  ``source`` has KEY and text."""
 
     def texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict[int, str | None]]:
@@ -96,23 +95,21 @@ def recurring(source: DataFrame, least_docs: int, depth: int, long_tokens: int,
 
     counts = source.mapInArrow(leaves, f"{KEY} long, kind int, leaf long").distinct().groupBy("kind", "leaf").agg(F.count("*").alias("n"), F.min(KEY).alias("first"))
     common = cut(counts.where(F.col("n") >= F.when(F.col("kind") == EXACT, 2).otherwise(least_docs)))
-    # At most ``slots`` bits.
-    passed = common.select(F.pmod("leaf", F.lit(slots)).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
-    sieve = np.zeros(slots, bool)
-    sieve[passed] = True
-    shared = source.sparkSession.sparkContext.broadcast(np.packbits(sieve))
+    slots = 1 << bits
+    shared = source.sparkSession.sparkContext.broadcast(bitmap(common, F.pmod("leaf", F.lit(slots)), bits))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value, count=slots).view(bool)
+        held = shared.value
+        wanted = lambda x: held[x % slots >> 3] >> (x & 7) & 1
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
         for some in texts(batches, 2 << 20):
             out: list[tuple] = []
             for key, t in some.items():
                 own: dict[tuple, tuple] = {}
                 for place, line, toks, x in parsed(t, depth):
-                    if wanted[x % slots]:
+                    if wanted(x):
                         own.setdefault((TEMPLATE, x, digest(b" ".join(toks))), ([], toks))[0].append(place)
-                    if len(toks) >= long_tokens and wanted[(raw := digest(line)) % slots]:
+                    if len(toks) >= long_tokens and wanted(raw := digest(line)):
                         own.setdefault((EXACT, raw, raw), ([], ()))[0].append(place)
                 out += [(key, *k, places, [digest(w) for w in toks]) for k, (places, toks) in own.items()]
             columns = zip(*out) if out else [()] * 6
@@ -138,11 +135,11 @@ def recurring(source: DataFrame, least_docs: int, depth: int, long_tokens: int,
     return lost.union(twice).groupBy(KEY).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("__lt_places"))
 
 
-def drop_templates(docs: DataFrame, least_docs: int = 8, depth: int = 3, long_tokens: int = 50, slots: int = 1 << 20) -> DataFrame:
+def drop_templates(docs: DataFrame, least_docs: int = 8, depth: int = 3, long_tokens: int = 50, bits: int = SIEVE_BITS) -> DataFrame:
     """``docs`` with ``n_lines`` (those with tokens), ``n_dropped`` and ``clean_text``."""
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "clean_text")]
     keyed = docs.select(*[f"`{c}`" for c in kept]).withColumn(KEY, F.xxhash64("text"))
-    lost = cut(recurring(keyed.select(KEY, "text"), least_docs, depth, long_tokens, slots))
+    lost = cut(recurring(keyed.select(KEY, "text"), least_docs, depth, long_tokens, bits))
     # Texts that lose nothing stay where they are.
     loses = sieve(lost, KEY)(F.col(KEY))
     none = F.lit(None).cast(lost.schema["__lt_places"].dataType)

@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import WORD, cut
+from rowtide.llm.common import WORD, cut, sieve
 
 #: Least sizes, in words, of the size classes after the first.
 CLASSES = (4096, 512, 64)
@@ -292,9 +292,11 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 11, part_rows: int = 2000
     single = rows
     if most > 1:
         repeated = table.where("n > 1").select(H, "n")
-        one = rows.join(repeated, H).groupBy(H).agg(*[F.first(c).alias(c) for c in ("source", "size", "cls", "n", ROW)])
+        maybe = sieve(repeated, H)(F.col(H))  # so that few other rows travel
+        some = rows.where(maybe)
+        one = some.join(repeated, H).groupBy(H).agg(*[F.first(c).alias(c) for c in ("source", "size", "cls", "n", ROW)])
         rest = each_copy(one, most > HOT_ROWS)
-        single = rows.join(repeated, H, "left_anti")
+        single = rows.where(~maybe).unionByName(some.join(repeated, H, "left_anti"))
     rows = single.select("source", "size", "cls", H, ROW, F.lit(0).cast("long").alias(COPY))
     if most > 1:
         rows = rows.unionByName(rest)

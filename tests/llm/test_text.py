@@ -344,14 +344,14 @@ def text_hash(t):
     return n - (1 << 64) if n >> 63 else n
 
 
-@pytest.mark.parametrize("least, depth, slots", [(3, 3, 1 << 20), (2, 1, 7)])
-def test_line_templates_against_a_plain_tree(spark, sf, least, depth, slots):
+@pytest.mark.parametrize("least, depth, bits", [(3, 3, 26), (2, 1, 15)])
+def test_line_templates_against_a_plain_tree(spark, sf, least, depth, bits):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rng = np.random.default_rng(least)
     made = ["\n".join(["user %d said hello to %s at noon" % (rng.integers(9), "abcdefgh"[rng.integers(8)]), "Home", "1 2 3", " ".join("w%s" % "xyz"[i % 3] * (i % 4 + 1) for i in range(60 + int(rng.integers(2))))][: int(rng.integers(1, 5))]) for _ in range(30)]
     docs = docs.union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(made)], "doc_id long, text string"))
     want = slow_templates({r.text or "" for r in docs.collect()}, least, depth, 50)
-    rows = line_templates.drop_templates(docs, least_docs=least, depth=depth, slots=slots).collect()
+    rows = line_templates.drop_templates(docs, least_docs=least, depth=depth, bits=bits).collect()
     assert sum(r.n_dropped > 0 for r in rows) > 20
     for r in rows:
         gone = want[r.text or ""]
