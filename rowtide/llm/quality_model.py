@@ -53,7 +53,10 @@ def slices(word: bytes, buckets: int = BUCKETS) -> Iterator[list[int]]:
 
 def features(word: bytes, buckets: int = BUCKETS) -> list[int]:
     """Buckets of a word and of its character n-grams."""
-    return [f for part in slices(word, buckets) for f in part]
+    if len(word) > LONG or not word.isascii():
+        return [f for part in slices(word, buckets) for f in part]
+    letters, digest = b"<%b>" % word, zlib.crc32  # a letter is a byte
+    return [digest(word) % buckets, *[digest(letters[i : i + n], n) % buckets for n in GRAMS for i in range(len(letters) - n + 1)]]
 
 
 def counted(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:

@@ -365,6 +365,11 @@ def test_op5(spark, sf):
     assert {r.doc_id: r.n_dropped for r in rows} == {d: len(want[t]) for d, t in docs.items()} and any(want.values())
 
 
+@pytest.mark.parametrize("word", [b"a", b"ab", b"word", "naïve".encode(), "中文".encode(), b"x" * 399, b"y" * 401, b"\xff\xfe"])
+def test_features_of_any_word(word):
+    assert sorted(quality_model.features(word)) == sorted(f for part in quality_model.slices(word) for f in part)
+
+
 def test_long_words_are_scored_whole():
     word = ("naïve" * 3000 + "end").encode()
     letters = f"<{word.decode()}>"
