@@ -62,9 +62,8 @@ def has_word(line: Column) -> Column:
 def line_fails(line: Column) -> Column:
     """True if a line with a word breaks one of the three rules."""
     no_sentence = ~line.rlike(SENTENCE_MARKS)
-    few = f"[^{MENU_MARKS}]*[{MENU_MARKS}]"
-    # The cheap test of three marks goes first.
-    navigation = line.rlike(f"^{few}{few}{few}") & (F.regexp_count(line, F.lit(f"[{MENU_MARKS}]")) * 24 > F.length(line))
+    marks = F.regexp_count(line, F.lit(f"[{MENU_MARKS}]"))
+    navigation = (marks >= 3) & (marks * 24 > F.length(line))
     boilerplate = let(F.lower(line), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in BOILERPLATE]))
     return has_word(line) & (no_sentence | navigation | boilerplate)
 
