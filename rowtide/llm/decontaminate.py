@@ -37,11 +37,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import cut, shape_with
+from rowtide.llm.common import cut, shape_with, text_batches
 
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-SEGMENT_BYTES = 6 << 20
+SEGMENT_BYTES = 2 << 20
 CANDIDATES = 1 << 19
 SLACK, LEAST = 2, 0.8
 
@@ -204,14 +204,8 @@ def names_of(shape: str) -> list[str]:
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple]]:
     """(rows of the batch, their postings) for pieces of the input of a bounded size."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        low = size = 0
-        for i in range(len(texts) + 1):
-            more = len(texts[i] or "") if i < len(texts) else 0
-            if i > low and (i == len(texts) or size + more > SEGMENT_BYTES):
-                yield batch.slice(low, i - low), postings([word_list(t) for t in texts[low:i]])
-                low, size = i, 0
-            size += more
+        for part in text_batches(batch, "text", SEGMENT_BYTES):
+            yield part, postings([word_list(t) for t in part.column("text").to_pylist()])
 
 
 def build_index(docs: DataFrame) -> DataFrame:

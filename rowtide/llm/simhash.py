@@ -53,7 +53,7 @@ from rowtide.llm.common import cut, sieve, text_batches
 
 SEED = 42
 PART = 1 << 16
-PAIRS = 1 << 21
+PAIRS = 1 << 20
 
 # --- fingerprints ----------------------------------------------------------------
 
