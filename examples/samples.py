@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from rowtide import Position, TableRef, TableSpec
 from rowtide.operators.changesets import ChangeSetWriter
 from rowtide.operators.shards import FixedShard, NotNullShard, ShardList, TimeShard
-from rowtide.sources.positions import FilePositionStore, MemoryPositionStore, PositionStore
+from rowtide.sources.positions import MemoryPositionStore, PositionStore, TablePositionStore
 from rowtide.streaming.envelope import TopicFolder, subscribe
 from rowtide.streaming.publisher import Publisher
 from rowtide.streaming.watcher import ChangeSetWatcher, DatabaseWatcher, TableWatcher
@@ -53,9 +53,9 @@ def errors(spark: SparkSession, folder: str) -> None:
 class PrintingStore(MemoryPositionStore):
     """A store of one's own."""
 
-    def _write(self, table, shard, position):
+    def _write(self, table, shard, position, version):
         print("position", table.table, position)
-        super()._write(table, shard, position)
+        return super()._write(table, shard, position, version)
 
 
 def own_store(spark: SparkSession, folder: str, store: PositionStore | None = None) -> None:
@@ -63,7 +63,7 @@ def own_store(spark: SparkSession, folder: str, store: PositionStore | None = No
 
 
 def stored_positions(spark: SparkSession, folder: str, path: str) -> None:
-    own_store(spark, folder, FilePositionStore(path, start=SINCE))
+    own_store(spark, folder, TablePositionStore(spark, path, SINCE))
 
 
 def change_sets(spark: SparkSession, work: str) -> None:

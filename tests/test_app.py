@@ -62,6 +62,7 @@ def test_samples(spark, tmp_path, capsys):
     samples.change_sets(spark, str(tmp_path / "sets"))
     samples.errors(spark, SF)
     samples.publish_and_read(spark, SF, str(tmp_path / "topics"))
-    samples.stored_positions(spark, SF, str(tmp_path / "p.json"))
+    samples.own_store(spark, SF)
+    samples.stored_positions(spark, SF, str(tmp_path / "p"))
     said = capsys.readouterr().out
-    assert "orders 1998-07-" in said and "data " in said and "failed:" in said
+    assert "orders 1998-07-" in said and "data " in said and "failed:" in said and "position orders" in said
