@@ -64,7 +64,7 @@ class PositionStore(ABC):
     """``start``: the position of what has none yet; ``"now"``, ``"earliest"`` or a timestamp.
 
     A store may be used by several threads.  ``_read`` gives a position and its version,
-    and ``_write`` is refused if the version is not the last any more, so that writers in
+    and ``_write`` gives False if the version is not the last any more, so that writers in
     other processes are not undone either; what they wrote is then looked at again.
     """
 
@@ -78,7 +78,7 @@ class PositionStore(ABC):
                 found, version = self._read(table, shard_key(shard))
                 if found is not None:
                     return found
-                if first.ts is None or self._write(table, shard_key(shard), first, version):
+                if first.ts is None or self._write(table, shard_key(shard), first, version) is not False:
                     return first
 
     def set(self, table: TableRef, position: Position, shard: Any = None) -> bool:
@@ -90,7 +90,7 @@ class PositionStore(ABC):
                     return False
                 if old is not None and not old <= position:
                     raise ValueError(f"position of {table.full_name} would go back from {old} to {position}")
-                if self._write(table, shard_key(shard), position, version):
+                if self._write(table, shard_key(shard), position, version) is not False:
                     return True
 
     def reset(self, table: TableRef, shards: list | None = None) -> None:
