@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rowtide.llm import decontaminate, language_id, line_templates, mixing, oracle, quality_model, quality_rules, sharding, simhash, token_count, warc
+from rowtide.llm import conversations, decontaminate, language_id, line_templates, mixing, oracle, quality_model, quality_rules, sharding, simhash, token_count, warc
 from rowtide.llm.common import documents, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -84,6 +84,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.digest(conversations.damage(rows), rows)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,6 +102,7 @@ QUERIES = {
         op8_token_count,
         op9_decontaminate,
         op10_warc,
+        op11_conversation_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
 

@@ -1,0 +1,174 @@
+import hashlib
+import itertools
+import random
+import zlib
+from functools import cache
+
+import pytest
+
+from rowtide.llm import conversations as C
+
+BLANK = set(" \t\n\x0b\x0c\r")
+SHAPE = "conv_id long, turn long, role string, text string, cost string, part string"
+
+
+def damaged(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        told = [" " if v is None else str(v) for v in (conv, turn)]
+        draw = zlib.crc32(":".join(told).encode()) % 20
+        role, text = (" " if v is None else v for v in (role, text))
+        text = "" if draw == 1 else text.translate({ord(c): None for c in ".!?"}) if draw == 2 else text
+        out += [(conv, turn, "user" if draw == 4 else role, text)] * (0 if draw == 0 else 2 if draw == 3 else 1)
+    return out
+
+
+def faults(rows):
+    seen, out = set(), []
+    for _, _, role, text in rows:
+        tail = [c for c in text if c not in BLANK]
+        out.append("blank" if not tail else "duplicate" if (role, text) in seen else "truncated" if tail[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def plain(rows):
+    """Every sequence of edits by a search over (row, state) with whole audits."""
+    fault = faults(rows)
+    lead = {"": "u", "s": "u", "u": "a", "a": "u"}
+
+    @cache
+    def best(i, state):
+        """Least (cost, audit, lines) from row i on."""
+        ways = [(0, "", ())] if i == len(rows) and state in ("", "a") else []
+        if i < len(rows):
+            role, text = rows[i][2:]
+            cost, audit, lines = best(i + 1, state)
+            ways.append((cost + 3, "D" + audit, lines))
+            if fault[i] not in ("blank", "duplicate"):
+                late = fault[i] == "truncated"
+                options = [(0, "K", role[:1], role)] if role[:1] == lead[state] or (role[:1] == "s" and state == "") else []
+                options.append((2, "R", lead[state], {"u": "user", "a": "assistant"}[lead[state]]))
+                for price, letter, initial, into in options:
+                    cost, audit, lines = best(i + 1, initial)
+                    ways.append((cost + price + late, letter + audit, (f"{into}:{text}", *lines)))
+        ways += [(c + 2, "I" + a, (f"{r}:", *lines)) for r, c, a, lines in inserted(i, state)]
+        return min(ways)
+
+    def inserted(i, state):
+        # Two inserts at most lead anywhere; more come back to where one was.
+        one = lead[state]
+        name = {"u": "user", "a": "assistant"}
+        found = []
+        for more in (0, 1):
+            here, lines, audit = one, [], ""
+            for _ in range(more):
+                here = lead[here]
+                lines.append(f"{name[here]}:")
+                audit += "I"
+            for c, a, rest in turn_at(i, here):
+                found.append((name[one], c + 2 * more, audit + a, (*lines, *rest)))
+        return found
+
+    def turn_at(i, state):
+        if i == len(rows):
+            return [(0, "", ())] if state == "a" else []
+        role, text = rows[i][2:]
+        out = [(c + 3, "D" + a, lines) for c, a, lines in [best(i + 1, state)]]
+        if fault[i] not in ("blank", "duplicate"):
+            late = fault[i] == "truncated"
+            if role[:1] == lead[state]:
+                c, a, lines = best(i + 1, lead[state])
+                out.append((c + late, "K" + a, (f"{role}:{text}", *lines)))
+            c, a, lines = best(i + 1, lead[state])
+            out.append((c + 2 + late, "R" + a, (f"{ {'u': 'user', 'a': 'assistant'}[lead[state]] }:{text}", *lines)))
+        return out
+
+    return best(0, "")
+
+
+def summary(rows, broken=damaged):
+    out = {}
+    by = {}
+    for r in broken(rows):
+        by.setdefault(r[0], []).append(r)
+    for conv in {r[0] for r in rows}:
+        own = sorted(by.get(conv, []), key=lambda r: (r[1] is not None, r[1] or 0, r[2], hashlib.md5(r[3].encode()).digest()))
+        turns = {r[1] for r in own} - {None}
+        fault = faults(own)
+        illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(own))
+        cost, audit, lines = plain(own)
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        out[conv] = (gaps, *(fault.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
+
+
+def ours(spark, rows, broken=C.damage, parts=None):
+    table = spark.createDataFrame([(*r, "x", "y") for r in rows], SHAPE)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        if parts:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        return {r.conv_id: tuple(r)[1:] for r in C.digest(broken(table), table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def made(seed, convs, most):
+    draw = random.Random(seed)
+    texts = ["Yes.", "No!", "why", "", " \t", "Ends here. ", "cut off,", None, "a", "b", "c.", "d?"]
+    rows = []
+    for c in range(convs):
+        turns = draw.sample(range(most * 2), draw.randint(1, most))
+        for t in turns:
+            rows.append((c, t, draw.choice(["user", "assistant", "system", "user", "assistant", "tool", None, "", "sys"]), draw.choice(texts) or None if draw.random() < 0.3 else f"text {draw.random()}{draw.choice(['.', '', '!'])}"))
+    draw.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_small_conversations(spark, seed):
+    rows = made(seed, 120, 7)
+    assert ours(spark, rows) == summary(rows)
+
+
+def test_split_over_partitions(spark):
+    """Two conversations hold nearly all turns, and lie over many partitions."""
+    draw = random.Random(5)
+    rows = [(c, t, draw.choice(["user", "assistant", "user", "system"]), f"{draw.randint(0, 60)}{draw.choice(['.', '', '?'])}") for c in (3, 4) for t in range(150)]
+    rows += made(9, 3, 4)[:6]
+    assert ours(spark, rows, parts=23) == summary(rows) == ours(spark, rows)
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, "user", "Hi."), (1, None, None, None), (None, 1, "user", "x."), (None, None, "assistant", "y."), (2, 1, "", "z."), (2, 2, "a" * 50, "q." * 40_000)]
+    rows += [(7, 1, "user", "again.")] * 500 + [(7, 2, "assistant", "ok.")] * 3 + [(8, 5, "user", " ")]
+    assert ours(spark, rows) == summary(rows)
+    same = lambda x: x
+    assert ours(spark, rows, lambda x: x) == summary([(c, t, " " if r is None else r, " " if x is None else x) for c, t, r, x in rows], same)
+
+
+def test_dropped_and_empty(spark):
+    gone = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    rows = [(gone, 0, "user", "Hello.")]
+    assert ours(spark, rows) == {gone: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())} == summary(rows)
+    assert ours(spark, []) == {}
+
+
+def test_table(spark, sf):
+    import duckdb
+
+    rows = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{sf}/conversations.parquet'").fetchall()
+    from rowtide.llm.queries import QUERIES
+
+    found = {r.conv_id: tuple(r)[1:] for r in QUERIES["op11_conversation_repair"](spark, sf).collect()}
+    assert found == summary(rows)
+
+
+def test_repaired_rows(spark):
+    table = spark.createDataFrame([(1, 0, "user", "Hi."), (1, 1, "user", "And?"), (1, 3, "assistant", "So.")], "conv_id long, turn long, role string, text string")
+    done = C.edits(table)
+    rows = sorted((r.part, r.pos, r["sub"], r.role, r.text) for r in C.repaired(done, table).collect())
+    assert [r[3:] for r in rows] == [("user", "Hi."), ("assistant", ""), ("user", "And?"), ("assistant", "So.")]
