@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rowtide.llm import conversations, decontaminate, language_id, line_templates, mixing, oracle, quality_model, quality_rules, sharding, simhash, token_count, warc
+from rowtide.llm import conversations, decontaminate, language_id, line_templates, mixing, oracle, quality_model, quality_rules, sharding, simhash, spelling, token_count, warc
 from rowtide.llm.common import documents, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -89,6 +89,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(conversations.damage(rows), rows)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(documents(spark, sf_dir), misspell=199))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -103,6 +107,7 @@ QUERIES = {
         op9_decontaminate,
         op10_warc,
         op11_conversation_repair,
+        op12_spelling_variants,
     )
 } | {"pipeline": corpus_pipeline.run}
 
