@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rowtide.llm import conversations, decontaminate, language_id, line_templates, mixing, oracle, quality_model, quality_rules, sharding, simhash, spelling, token_count, warc
+from rowtide.llm import conversations, decontaminate, embedding_graph, language_id, line_templates, mixing, oracle, quality_model, quality_rules, sharding, simhash, spelling, token_count, warc
 from rowtide.llm.common import documents, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -93,6 +93,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(documents(spark, sf_dir), misspell=199))
 
 
+def op13_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_graph.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -108,6 +112,7 @@ QUERIES = {
         op10_warc,
         op11_conversation_repair,
         op12_spelling_variants,
+        op13_embedding_graph,
     )
 } | {"pipeline": corpus_pipeline.run}
 
