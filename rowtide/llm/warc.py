@@ -17,8 +17,9 @@ sieve of repeated digests meet their response's page_id in a join.
 
 Defined results: a null html is an empty payload; rows with equal payload and the
 same smallest page_id are all responses; a null page_id is kept as null and never
-referred to; page_ids and urls may be any strings and come back as they were; a very
-long page is one record, held in memory by itself; an empty table gives no archive and
+referred to; page_ids may be of any type that Spark casts to text and back, or binary,
+and come back as they were, as urls do; a very long page is one record, held in memory
+by itself; an empty table gives no archive and
 no rows.  Columns other than page_id, url and html are left out.
 """
 
@@ -32,7 +33,7 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowtide.llm.common import cut, sieve
@@ -46,24 +47,31 @@ PAGE = "page_id {id}, payload_bytes long, payload_digest string, record_type str
 # --- records -------------------------------------------------------------------
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
-    """One gzip member with a response, or with a revisit of ``refers_to``; ids and the url are kept quoted as well."""
+def record_id(page_id: str | None, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{url}')}>"
+
+
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, first_url: str | None = None) -> bytes:
+    """One gzip member with a response, or with a revisit of ``refers_to`` at ``first_url``; ids and the url are kept quoted as well."""
     revisit = refers_to is not None
     quoted = lambda x: quote(str(x), safe="") if x is not None else None
+    address = lambda x: quote(x, safe=":/?#[]@!$&'()*+,;=%~") if x is not None else None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}/{digest}/{url}")
     head = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:uuid:{name}>",
+        "WARC-Record-ID": record_id(page_id, url, digest),
         "WARC-Date": DATE,
-        "WARC-Target-URI": quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url is not None else None,
+        "WARC-Target-URI": address(url),
         "WARC-Payload-Digest": f"sha256:{digest}",
         "Content-Type": "application/http; msgtype=response",
         "X-Page-Id": quoted(page_id),
         "X-Payload-Length": len(payload),
         "X-Target-Quoted": quoted(url),
         "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None,
+        "WARC-Refers-To": record_id(refers_to, first_url, digest) if revisit else None,
+        "WARC-Refers-To-Target-URI": address(first_url) if revisit else None,
+        "WARC-Refers-To-Date": DATE if revisit else None,
         "X-Refers-To-Page-Id": quoted(refers_to),
         "Content-Length": len(block),
     }
@@ -91,25 +99,35 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return system, path
 
 
+def id_text(column: str, kind: str) -> Column:
+    return F.base64(column) if kind == "binary" else F.col(column).cast("string")
+
+
+def id_of(column: str, kind: str) -> Column:
+    return F.unbase64(column) if kind == "binary" else F.col(column).cast(kind)
+
+
 def with_references(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """page_id, url, html, digest and, for repeated payloads, the page that holds the response."""
+    """page_id, url, html, digest and, for repeated payloads, the page that holds the response, and its url."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     large = F.octet_length("html") >= least_bytes
-    first = rows.where(large & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = rows.where(large & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
     # Written before the join, so that Spark can split the join of a hot digest.
-    first = cut(first.where("n > 1").drop("n"))
+    first = cut(first.where("n > 1").select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")))
     repeated = sieve(first, "digest")
     marked = rows.withColumn("repeats", large & repeated(F.col("digest")))
     joined = marked.where("repeats").join(first, "digest", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    found = joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
-    alone = marked.where(~F.col("repeats")).select("page_id", "url", "html", "digest", F.lit(None).cast(dict(pages.dtypes)["page_id"]).alias("refers_to"))
+    found = joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"), "first_url")
+    alone = marked.where(~F.col("repeats")).select("page_id", "url", "html", "digest", F.lit(None).cast(dict(pages.dtypes)["page_id"]).alias("refers_to"), F.lit(None).cast("string").alias("first_url"))
     return alone.union(found)
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100) -> DataFrame:
     """Writes the archives and returns their manifest (path, bytes), itself written to the shared folder."""
-    rows = with_references(pages, least_bytes)
+    kind = dict(pages.dtypes)["page_id"]
+    names = [id_text(c, kind).alias(c) for c in ("page_id", "refers_to")]
+    rows = with_references(pages, least_bytes).select(names[0], "url", "html", "digest", names[1], "first_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -121,9 +139,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100) -> Dat
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256).to_pydict()
-                for p, u, h, d, r in zip(part["page_id"], part["url"], part["html"], part["digest"], part["refers_to"]):
+                for p, u, h, d, r, f in zip(*[part[c] for c in ("page_id", "url", "html", "digest", "refers_to", "first_url")]):
                     out = out or system.open_output_stream(f"{last}.open")
-                    data = record(p, u, h.encode(), d, r)
+                    data = record(p, u, h.encode(), d, r, f)
                     out.write(data)
                     size += len(data)
         if out:
@@ -216,8 +234,6 @@ def read_archives(manifest: DataFrame, folder: str, split_bytes: int = 8 << 20,
     ranges = manifest.where("bytes > 0").select("path", F.col("bytes").alias("size"), F.explode(starts).alias("low"))
     ranges = ranges.withColumn("high", F.least(F.col("low") + split_bytes, "size"))
     tasks = ranges.repartition(max(1, min(most_tasks, ranges.count())))
-    cast = int if id_type in ("bigint", "int") else str
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = open_folder(folder)
         for batch in batches:
@@ -225,7 +241,7 @@ def read_archives(manifest: DataFrame, folder: str, split_bytes: int = 8 << 20,
                 rows, total = [], 0
                 with system.open_input_file(r["path"]) as file:
                     for data in read_range(file, r["size"], r["low"], r["high"]):
-                        rows.append(page(data, cast))
+                        rows.append(page(data))
                         total += len(data)
                         if total > 8 << 20:
                             yield table(rows)
@@ -233,23 +249,22 @@ def read_archives(manifest: DataFrame, folder: str, split_bytes: int = 8 << 20,
                 if rows:
                     yield table(rows)
 
-    kind = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
-
     def table(rows: list[tuple]) -> pa.RecordBatch:
-        types = (kind, pa.int64(), pa.string(), pa.string(), kind, pa.string(), pa.string())
+        types = (pa.string(), pa.int64(), *[pa.string()] * 5)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in PAGE.split(",")])
 
-    return tasks.mapInArrow(run, PAGE.format(id=id_type))
+    found = tasks.mapInArrow(run, PAGE.format(id="string"))
+    return found.withColumns({c: id_of(c, id_type) for c in ("page_id", "refers_to")})
 
 
-def page(data: bytes, cast=int) -> tuple:
+def page(data: bytes) -> tuple:
     fields, block = parse(data)
     payload = block.partition(b"\r\n\r\n")[2]
     revisit = fields["warc-type"] == "revisit"
     digest = fields["warc-payload-digest"].removeprefix("sha256:")
     if not revisit and hashlib.sha256(payload).hexdigest() != digest:
         raise ValueError("payload and digest differ")
-    ids = [cast(unquote(fields[k])) if k in fields else None for k in ("x-page-id", "x-refers-to-page-id")]
+    ids = [unquote(fields[k]) if k in fields else None for k in ("x-page-id", "x-refers-to-page-id")]
     url = unquote(fields["x-target-quoted"]) if "x-target-quoted" in fields else None
     size = int(fields["x-payload-length"]) if revisit else len(payload)
     return ids[0], size, digest, fields["warc-type"], ids[1], url, None if revisit else payload.decode()
