@@ -7,7 +7,8 @@ with cycle walking permutes [0, n); the image p of a row gives its shard
 without touching data, shard counts differ by one at most and slots are gapless.
 
 Numbering takes one grouped count (two hashes and a count a row are shuffled,
-combined before) and one window over small hash buckets.  Rows alike in every
+combined before) and one window over small hash buckets; the buckets' own first numbers
+come from sums over thousands of them and a window within these.  Rows alike in every
 column are interchangeable, so a group of more than ``hot_rows`` of them is kept
 as one row and its count, and made again in pieces after its numbers are known;
 no bucket grows with a hot key.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from rowtide.llm.common import cut, let
 
 ROUNDS = 6
+#: Buckets whose sizes are summed up in one step.
+RANGE = 2048
 WALKS = 40
 H1, H2, BUCKET, NUMBER = "__sh_h1", "__sh_h2", "__sh_bucket", "__sh_number"
 
@@ -71,11 +74,14 @@ def number_rows(docs: DataFrame, hot_rows: int = 50_000, bucket_rows: int = 20_0
 
     # The first number of every bucket and, after these, of every hot group.
     plain = groups.where(F.col("c") <= hot_rows).groupBy(BUCKET).agg(F.sum("c").alias("c"))
-    sizes = plain.select(BUCKET, F.lit(0).cast("long").alias(H1), F.lit(0).cast("long").alias(H2), "c", F.lit(False).alias("hot"))
+    sizes = plain.select(BUCKET, F.floor(F.col(BUCKET) / RANGE).alias("range"), F.lit(0).cast("long").alias(H1), F.lit(0).cast("long").alias(H2), "c", F.lit(False).alias("hot"))
     if n_hot:
-        sizes = sizes.unionByName(groups.where(F.col("c") > hot_rows).withColumn("hot", F.lit(True)))
-    running = Window.orderBy("hot", BUCKET, H1, H2).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("first", F.coalesce(F.sum("c").over(running), F.lit(0)))
+        sizes = sizes.unionByName(groups.where(F.col("c") > hot_rows).withColumns({"hot": F.lit(True), "range": F.pmod(F.col(H1), F.lit(-(-n_hot // RANGE)))}))
+    before = lambda window: F.coalesce(F.sum("c").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.groupBy("hot", "range").agg(F.sum("c").alias("c"))
+    ranges = ranges.select("hot", "range", before(Window.orderBy("hot", "range")).alias("base"))
+    inside = before(Window.partitionBy("hot", "range").orderBy(BUCKET, H1, H2))
+    sizes = sizes.withColumn("inside", inside).join(ranges, ["hot", "range"]).withColumn("first", F.col("base") + F.col("inside"))
 
     rows = keyed.withColumn(BUCKET, F.pmod(F.col(H1), F.lit(buckets)))
     hot = sizes.where("hot").select(H1, H2, "first", "c")
@@ -105,6 +111,11 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 7, hot_rows: int =
     return place.withColumns({"shard": shard.cast("int"), "slot": ((F.col(NUMBER) - shard) / F.lit(shards)).cast("long")}).drop(NUMBER)
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """Writes each shard, in slot order, to a folder of its own."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(sharded: DataFrame, path: str, part_rows: int = 1_000_000) -> None:
+    """Writes each shard to folders ``shard=s/part=p`` of ``part_rows`` rows each, in the order of their slots.
+
+    A task sorts one such stretch, so a shard may be larger than any task.  Columns named
+    shard and part become the folders' names; a column ``part`` of the rows is replaced.
+    """
+    parted = sharded.withColumn("part", F.floor(F.col("slot") / part_rows))
+    parted.repartition("shard", "part").sortWithinPartitions("shard", "part", "slot").write.partitionBy("shard", "part").parquet(path)
