@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from rowtide.llm.common import WORD, let, words
 
 SYMBOLS = "#*$%&|<>"
-#: A line that holds none of these marks is no sentence; among them those of Arabic, Urdu, Hindi, Armenian, Ethiopic and of full width.
-SENTENCE_MARKS = r"[.!?,;:\x{2026}\x{0589}\x{060C}\x{061B}\x{061F}\x{06D4}\x{0964}\x{1362}\x{3001}\x{3002}\x{FF01}\x{FF0C}\x{FF0E}\x{FF1A}\x{FF1B}\x{FF1F}]"
+#: A line that holds none of these marks is no sentence; among them those of Arabic, Urdu, Hindi, Armenian, Ethiopic, Burmese, Khmer and Tibetan
+#: and of full width.  Thai and Lao (U+0E00 to U+0EFF) mark no sentences, so any of their letters counts as one.
+SENTENCE_MARKS = r"[.!?,;:\x{2026}\x{0589}\x{060C}\x{061B}\x{061F}\x{06D4}\x{0964}\x{0965}\x{0E00}-\x{0EFF}\x{0F0D}-\x{0F11}\x{104A}\x{104B}\x{1362}\x{17D4}\x{17D5}\x{3001}\x{3002}\x{FF01}\x{FF0C}\x{FF0E}\x{FF1A}\x{FF1B}\x{FF1F}]"
 #: Marks that separate the entries of a menu or trail.
 MENU_MARKS = "|»›•·>"
 #: In lower case; a line that holds one of these is no prose.

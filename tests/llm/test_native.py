@@ -235,3 +235,40 @@ def test_op1(spark, sf):
         b[0], b[1], b[2] = b[0] + r["size"], b[1] + r.taken, r.target
         assert r.taken <= 3 * r["size"] and len(r.shards) == r.copies
     near_targets(by, 300)
+
+
+THAI = "ข้อความภาษาไทยไม่มีเครื่องหมายจบประโยค"
+UNMARKED = [THAI, "ຂໍ້ຄວາມພາສາລາວ ບໍ່ມີເຄື່ອງໝາຍ", "မြန်မာစာ။", "អត្ថបទ។", "བོད་ཡིག།", "हिन्दी॥"]
+
+
+def test_scripts_without_sentence_marks(spark):
+    """Lines of Thai and Lao are no fragments; Burmese, Khmer, Tibetan and Devanagari end by marks of their own."""
+    rows = [(i, "\n".join([line] * 3)) for i, line in enumerate([*UNMARKED, "no marks here", "Ελληνικά χωρίς σημεία"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lost = {r.doc_id: r.n_removed_lines for r in quality_rules.clean_lines(docs).collect()}
+    assert lost == {i: 3 * (i >= len(UNMARKED)) for i, _ in rows}
+    duck = duckdb.connect()
+    frame = docs.toPandas()
+    duck.register("documents", frame)
+    assert dict(duck.sql(f"SELECT doc_id, n_removed_lines FROM ({oracle.QUALITY_RULES})").fetchall()) == lost
+
+
+def test_numbers_over_many_ranges(spark, monkeypatch):
+    """First numbers of buckets and of hot groups come from sums over ranges of them."""
+    monkeypatch.setattr(sharding, "RANGE", 3)
+    docs = spark.range(3000).select((F.col("id") % 1000).alias("x")).unionByName(spark.range(40).select(F.lit(-1).cast("long").alias("x")))
+    for hot in (2, 50_000):
+        numbered, n = sharding.number_rows(docs, hot_rows=hot, bucket_rows=10)
+        assert n == 3040 and sorted(r[0] for r in numbered.select(sharding.NUMBER).collect()) == list(range(3040))
+
+
+def test_written_shards(spark, tmp_path, edge):
+    rows = edge.drop("size").withColumn("part", F.lit("mine"))
+    sharded = sharding.shard_rows(rows, 3)
+    sharding.write_shards(sharded, str(tmp_path / "out"), part_rows=2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == rows.count() and all(r.part == r.slot // 2 for r in back.collect())
+    for folder in tmp_path.glob("out/shard=*/part=*"):
+        own = [r.slot for r in spark.read.parquet(str(folder)).collect()]
+        assert own == sorted(own) and len(own) <= 2
+    sharding.write_shards(sharding.shard_rows(rows.limit(0), 3), str(tmp_path / "none"))
