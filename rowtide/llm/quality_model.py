@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import shape_with, text_batches
+from rowtide.llm.common import cut, shape_with, text_batches
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4)
@@ -133,8 +133,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, **options) -> tuple[np.ndarray, float]:
-    """Learns from labelled documents that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, max_bytes: int = 256 << 20, **options) -> tuple[np.ndarray, float]:
+    """Learns from labelled documents that are not held out.
+
+    These are at most ``max_train``, in the order of a hash of their ids, and as many as
+    have ``max_bytes`` of features together, which is what the driver holds.
+    """
     wanted = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -156,9 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, **options) ->
                     ["doc_id", "label", "ids", "share"],
                 )
 
-    found = rows.mapInArrow(featurise, f"doc_id {kind}, label int, ids binary, share binary").toArrow().sort_by("doc_id")
-    parts = zip(found["ids"].to_pylist(), found["share"].to_pylist(), found["label"].to_pylist())
-    sample = [(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32), int(y > 0)) for i, s, y in parts if i]
+    made = cut(rows.mapInArrow(featurise, f"doc_id {kind}, label int, ids binary, share binary"))
+    upto = F.sum(F.length("ids") + F.length("share")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over max_train rows at most
+    few = made.select("doc_id", upto.alias("upto")).where(F.col("upto") <= max_bytes).select("doc_id")
+    found = made.join(F.broadcast(few), "doc_id", "left_semi").toArrow().sort_by("doc_id")
+    view = lambda v, kind: np.frombuffer(v.as_buffer(), kind)
+    parts = zip(found["ids"], found["share"], found["label"].to_pylist())
+    sample = [(view(i, np.int32), view(s, np.float32), int(y > 0)) for i, s, y in parts if i.as_buffer().size]
     return train(sample, **options)
 
 
