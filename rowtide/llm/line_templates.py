@@ -69,7 +69,7 @@ def parsed(text: str | None, depth: int) -> Iterator[tuple[int, bytes, list[byte
 
 
 TEMPLATE, EXACT = 0, 1
-FOUND = f"{KEY} long, kind int, leaf long, line long, places array<int>, toks array<long>"
+FOUND = f"{KEY} binary, kind int, leaf long, line long, places array<int>, toks array<long>"
 
 
 def recurring(source: DataFrame, least_docs: int, depth: int, long_tokens: int, bits: int) -> DataFrame:
@@ -91,9 +91,9 @@ def recurring(source: DataFrame, least_docs: int, depth: int, long_tokens: int,
                         seen.add((EXACT, digest(line)))
                 out += [(key, *x) for x in seen]
             columns = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], [KEY, "kind", "leaf"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64()))], [KEY, "kind", "leaf"])
 
-    counts = source.mapInArrow(leaves, f"{KEY} long, kind int, leaf long").distinct().groupBy("kind", "leaf").agg(F.count("*").alias("n"), F.min(KEY).alias("first"))
+    counts = source.mapInArrow(leaves, f"{KEY} binary, kind int, leaf long").distinct().groupBy("kind", "leaf").agg(F.count("*").alias("n"), F.min(KEY).alias("first"))
     common = cut(counts.where(F.col("n") >= F.when(F.col("kind") == EXACT, 2).otherwise(least_docs)))
     slots = 1 << bits
     shared = source.sparkSession.sparkContext.broadcast(bitmap(common, F.pmod("leaf", F.lit(slots)), bits))
@@ -101,7 +101,7 @@ def recurring(source: DataFrame, least_docs: int, depth: int, long_tokens: int,
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         wanted = lambda x: held[x % slots >> 3] >> (x & 7) & 1
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        types = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
         for some in texts(batches, 2 << 20):
             out: list[tuple] = []
             for key, t in some.items():
@@ -138,7 +138,7 @@ def recurring(source: DataFrame, least_docs: int, depth: int, long_tokens: int,
 def drop_templates(docs: DataFrame, least_docs: int = 8, depth: int = 3, long_tokens: int = 50, bits: int = SIEVE_BITS) -> DataFrame:
     """``docs`` with ``n_lines`` (those with tokens), ``n_dropped`` and ``clean_text``."""
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "clean_text")]
-    keyed = docs.select(*[f"`{c}`" for c in kept]).withColumn(KEY, F.xxhash64("text"))
+    keyed = docs.select(*[f"`{c}`" for c in kept]).withColumn(KEY, F.unhex(F.md5(F.col("text").cast("binary"))))
     lost = cut(recurring(keyed.select(KEY, "text"), least_docs, depth, long_tokens, bits))
     # Texts that lose nothing stay where they are.
     loses = sieve(lost, KEY)(F.col(KEY))
