@@ -55,7 +55,9 @@ def learn(docs: DataFrame, dict_bytes: int = 98_304, max_texts: int = 96, max_te
     """Raw dictionary content by language."""
     size = F.octet_length("text")
     usable = docs.where((size > 0) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    keyed = usable.select("lang", F.xxhash64("text").alias("h"), (~size.between(200, max_text_bytes)).alias("other"), F.substring("text", 1, max_text_bytes).alias("text"))
+    # Of a longer text a stretch that its hash picks.
+    part = F.substring("text", (F.lit(1) + F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - max_text_bytes + 1, F.lit(1)))).cast("int"), F.lit(max_text_bytes))
+    keyed = usable.select("lang", F.xxhash64("text").alias("h"), (~size.between(200, max_text_bytes)).alias("other"), part.alias("text"))
     # Repeated texts are one before they are ranked, and again when their text is fetched: no more travels than is ranked.
     ranked = keyed.groupBy("lang", "h", "other").count().drop("count")
     # Ranked in parts of a language first, so that a hot one is no task's work alone.
