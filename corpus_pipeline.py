@@ -19,46 +19,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowtide.llm import decontaminate, mixing, quality_model, sharding, simhash
-from rowtide.llm.common import DOCUMENT_COLUMNS, remove, shared_dir
+from rowtide.llm import pipeline
+from rowtide.llm.common import remove, shared_dir
 
-SHARDS = 16
 ORACLE_SQL = None
 
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_model.score(docs, model).where("predicted = 1").select(*DOCUMENT_COLUMNS)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (shingles of five words, similarity 0.8)."""
-    return simhash.near_copies(docs).select(*DOCUMENT_COLUMNS)
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of ten words of any benchmark item."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.flag(docs, benchmark).where("not contaminated").select(*DOCUMENT_COLUMNS)
-
-
-def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mix(docs, shards=SHARDS).select(*DOCUMENT_COLUMNS)
-
-
-def shuffled_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and slot."""
-    return sharding.shard_rows(docs, SHARDS)
-
-
 STAGES = [
-    ("quality classifier", quality_classifier),
-    ("SimHash near-dedup", near_dedup),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("mixing sources to target weights", source_mixing),
-    ("sharding", shuffled_sharding),
+    ("quality classifier", pipeline.quality_classifier),
+    ("SimHash near-dedup", pipeline.near_dedup),
+    ("benchmark decontamination", pipeline.benchmark_decontamination),
+    ("mixing sources to target weights", pipeline.source_mixing),
+    ("sharding", pipeline.shuffled_sharding),
 ]
 
 

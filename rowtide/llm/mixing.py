@@ -283,8 +283,11 @@ def placed(table: DataFrame, plan: DataFrame, seed: int = 11) -> DataFrame:
     return place(each_copy(table, (table.agg(F.max("n")).first()[0] or 0) > HOT_ROWS), plan, seed)
 
 
-def mix(docs: DataFrame, shards: int = 16, seed: int = 11, part_rows: int = 2000, **options) -> DataFrame:
-    """The mixed rows: every column of ``docs`` plus ``mix_shard`` and ``mix_copy``, each shard shuffled."""
+def mix(docs: DataFrame, shards: int = 16, seed: int = 11, part_rows: int = 2000, in_order: bool = True, **options) -> DataFrame:
+    """The mixed rows: every column of ``docs`` plus ``mix_shard`` and ``mix_copy``, each shard shuffled.
+
+    Without ``in_order`` the rows stay where they are, for one who shuffles them next.
+    """
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("mix_shard", "mix_copy")])
     table, plan = plan_mix(docs, shards=shards, seed=seed, **options)
     n, most = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
@@ -302,6 +305,8 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 11, part_rows: int = 2000
         rows = rows.unionByName(rest)
     taken = place(rows, plan, seed).select(ROW, F.explode("places").alias("p"))
     each = taken.select(f"{ROW}.*", F.col("p.shard").alias("mix_shard"), F.col("p.copy").alias("mix_copy"), F.col("p.rank").alias("__mix_rank"))
+    if not in_order:
+        return each.drop("__mix_rank")
     # A shard is dealt out in ``parts`` stretches of its order, so it may be larger than a task.
     parts = max(1, -(-n // (shards * part_rows)))
     stretch = F.floor(F.shiftrightunsigned("__mix_rank", 1) / F.lit(2.0**63 / parts))

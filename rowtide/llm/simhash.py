@@ -419,7 +419,8 @@ def exact(groups: DataFrame, docs: DataFrame, words: int, least: float, block: i
     small = sizes.where(F.col("w") <= block).agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     blocks = F.ceil(F.col("w") / block).cast("int")
     members = groups.where("size > 0").join(sizes, "root").select("node", "root", blocks.alias("blocks"), "th", F.col("doc_id").alias("w_id"))
-    texts = texts_of(cut(members), docs)
+    # Rows alike in id and text are one again before their shingles are made, and combined where they are read.
+    texts = texts_of(cut(members), docs).groupBy("node", "root", "blocks").agg(F.any_value("text").alias("text"))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ import xxhash
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from rowtide.llm import common, decontaminate, queries, simhash, warc
+from rowtide.llm import common, decontaminate, pipeline, queries, simhash, warc
 
 
 def slow_fingerprint(text, k=3):
@@ -227,6 +228,18 @@ def test_near_copies_against_brute_force(spark):
     assert near > 20 and lost == 0
 
 
+def test_near_copies_with_many_repeated_rows(spark, monkeypatch):
+    """10,000 rows alike in id and text and one near copy: two texts come to the check."""
+    base = " ".join(f"w{i}" for i in range(120))
+    rows = [(7, base)] * 10_000 + [(8, base.replace("w60", "other"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    seen = []
+    alike = simhash.texts_of
+    monkeypatch.setattr(simhash, "texts_of", lambda wanted, docs: seen.append(alike(wanted, docs)) or seen[-1])
+    assert [r.doc_id for r in simhash.near_copies(docs).collect()] == [7]
+    assert seen[0].groupBy("node", "root", "blocks").agg(F.any_value("text")).count() == 2
+
+
 # --- WARC --------------------------------------------------------------------------
 
 
@@ -259,6 +272,25 @@ def test_warc_ids_of_any_text(spark, tmp_path):
     assert got == {(p, u): (None, "") if h == body and p != "" else (h or "", None) for p, u, h in rows}
 
 
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "int", "decimal(10,0)", "decimal(12,3)", "double", "date", "timestamp_ntz", "binary", "boolean"])
+def test_warc_ids_of_any_type(spark, tmp_path, kind):
+    made = F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")) if kind in ("date", "timestamp_ntz") else F.col("id") % 2 if kind == "boolean" else F.col("id")
+    made = F.unhex(F.hex(made)) if kind == "binary" else made.cast(kind)
+    pages = spark.range(1, 4).select(made.alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.repeat(F.lit("same "), 40).alias("html"))
+    expected = {(r.url, r.page_id) for r in pages.collect()}
+    got = written(spark, pages, str(tmp_path))
+    first = min(p for _, p in expected)
+    assert {(r.url, r.page_id) for r in got} == expected and {r.refers_to for r in got if r.record_type == "revisit"} == {first}
+
+
+def test_revisit_names_its_response():
+    """By the standard's own fields, so that other readers find it."""
+    digest = hashlib.sha256(b"abc").hexdigest()
+    unpacked = [warc.parse(zlib.decompress(warc.record(*r), 31))[0] for r in (("1", "http://x/ä", b"abc", digest, None), ("2", "http://y", b"abc", digest, "1", "http://x/ä"))]
+    assert unpacked[1]["warc-refers-to"] == unpacked[0]["warc-record-id"] and unpacked[1]["warc-refers-to-target-uri"] == unpacked[0]["warc-target-uri"]
+    assert unpacked[1]["warc-refers-to-date"] == unpacked[0]["warc-date"] and "warc-refers-to" not in unpacked[0]
+
+
 def test_sieve(spark):
     held = spark.range(0, 3000, 7).withColumn("s", F.concat(F.lit("k"), "id"))
     for bits in (15, 18, 26):
@@ -307,7 +339,7 @@ def test_every_split_owns_its_records():
 
     for step in (1, 50, 333, len(data)):
         ids = [warc.page(r)[0] for low in range(0, len(data), step) for r in warc.read_range(File(), len(data), low, min(low + step, len(data)))]
-        assert ids == list(range(9)), step
+        assert ids == [str(i) for i in range(9)], step
 
 
 # --- pipeline ----------------------------------------------------------------------
@@ -317,7 +349,7 @@ def test_pipeline(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "mixing sources to target weights", "sharding"]
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    scored = corpus_pipeline.quality_classifier(spark, docs, sf).collect()
+    scored = pipeline.quality_classifier(spark, docs, sf).collect()
     kept = {r.doc_id for r in scored}
     assert np.mean([(d in kept) == bool(y) for d, y in labels.items()]) > 0.9
     rows = corpus_pipeline.run(spark, sf).collect()
@@ -367,7 +399,7 @@ def brute_winners(rows):
 
 def test_pipeline_near_dedup_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
-    kept = corpus_pipeline.near_dedup(spark, docs, sf).collect()
+    kept = pipeline.near_dedup(spark, docs, sf).collect()
     assert {r.doc_id for r in kept} == brute_winners(docs.collect()) and len(kept) == len({r.doc_id for r in kept})
 
 
@@ -377,9 +409,9 @@ def test_pipeline_decontamination_and_mixing_against_brute_force(spark, sf):
     windows = {tuple(w[i : i + 10]) for w in items for i in range(max(1, len(w) - 9)) if w}
     dirty = lambda w: any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
     clean = {r.doc_id for r in docs.collect() if not dirty(decontaminate.word_list(r.text))}
-    left = corpus_pipeline.benchmark_decontamination(spark, docs, sf)
+    left = pipeline.benchmark_decontamination(spark, docs, sf)
     assert {r.doc_id for r in left.collect()} == clean and 0 < len(clean) < docs.count()
-    mixed = collections.Counter(r.doc_id for r in corpus_pipeline.source_mixing(spark, left, sf).collect())
+    mixed = collections.Counter(r.doc_id for r in pipeline.source_mixing(spark, left, sf).collect())
     size = {r.doc_id: len((r.text or "").encode().split()) for r in left.collect()}
     by, taken = collections.Counter(), collections.Counter()
     for r in left.collect():
