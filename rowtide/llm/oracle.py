@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rowtide.llm import quality_rules as rules
 from rowtide.llm.common import WORD
-from rowtide.llm.decontaminate import LEAST, SLACK
+from rowtide.llm.decontaminate import ITEM_WORD, LEAST, SLACK
 
 _FAILS = f"""(length(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0 AND (NOT regexp_matches(x, '{rules.SENTENCE_MARKS}')
  OR (length(x) - length(translate(x, '{rules.MENU_MARKS}', '')) >= 3 AND (length(x) - length(translate(x, '{rules.MENU_MARKS}', ''))) * 24 > length(x))
@@ -28,7 +28,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 """
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Items with a start where at least LEAST of a window's terms lie within SLACK words of their places.  By pigeonhole
 #: one of the terms found there is among the rarest of the window, so starts are taken from where those stand.
@@ -46,10 +45,10 @@ SELECT DISTINCT met.doc_id, win.item FROM met JOIN u USING (wid) JOIN win ON win
 """
 
 DECONTAMINATE = f"""
-WITH b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER}, '{_ITEM_WORD}') AS ws FROM benchmark),
+WITH b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER}, '{ITEM_WORD}') AS ws FROM benchmark),
 win AS (SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS k
   FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
-d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ITEM_WORD}') AS ws FROM documents),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{ITEM_WORD}') AS ws FROM documents),
 g AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k
   FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win))),
 hit AS (SELECT g.doc_id, g.i, g.n, win.item FROM g JOIN win ON g.n = win.n AND g.k = win.k),
