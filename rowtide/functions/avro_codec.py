@@ -2,15 +2,15 @@
 
 The schema is taken once from a DataFrame.  Encoding and decoding run Arrow batch by
 batch and within it column by column, in numpy; what the JVM does best (timestamp, date
-and decimal text) is done there first.  Only arrays are decoded value by value, since
-their blocks have to be followed.
+and decimal text) is done there first.  Arrays are decoded an element of all rows at a
+time.  A message is read within its own bytes and to their end: a cut, longer or foreign
+one raises.  Messages of another version of a schema are resolved by the rules of the
+specification, writer's against reader's; a fingerprint tells which one wrote them.
 """
 
 from __future__ import annotations
 
 import json
-import struct
-from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from rowtide.functions.text import date_text, decimal_text, timestamp_text
 
+# Fixed value: the namespace that consumers of these messages know.
 NAMESPACE = "avroNamespace"
 
 
@@ -68,65 +69,6 @@ def write_long(n: int) -> bytes:
     return bytes(out)
 
 
-def read_long(data: bytes, at: int) -> tuple[int, int]:
-    n = shift = 0
-    while True:
-        b = data[at]
-        at += 1
-        n |= (b & 0x7F) << shift
-        if b < 0x80:
-            return (n >> 1) ^ -(n & 1), at
-        shift += 7
-
-
-def _read_sized(data: bytes, at: int) -> tuple[bytes, int]:
-    n, at = read_long(data, at)
-    return bytes(data[at : at + n]), at + n
-
-
-def _read_string(data: bytes, at: int) -> tuple[str, int]:
-    raw, at = _read_sized(data, at)
-    return raw.decode(), at
-
-
-READ: dict[str, Callable[[bytes, int], tuple[Any, int]]] = {
-    "boolean": lambda d, i: (d[i] == 1, i + 1),
-    "long": read_long,
-    "double": lambda d, i: (struct.unpack_from("<d", d, i)[0], i + 8),
-    "bytes": _read_sized,
-    "string": _read_string,
-}
-
-
-def reader(kind: Any) -> Callable[[bytes, int], tuple[Any, int]]:
-    """Reads one value, of an array or what is in it."""
-    if isinstance(kind, str):
-        return READ[kind]
-    if isinstance(kind, list):
-        body = reader(kind[1])
-
-        def union(d: bytes, i: int) -> tuple[Any, int]:
-            branch, i = read_long(d, i)
-            return body(d, i) if branch else (None, i)
-
-        return union
-    item = reader(kind["items"])
-
-    def array(d: bytes, i: int) -> tuple[Any, int]:
-        out = []
-        while True:
-            n, i = read_long(d, i)
-            if n < 0:  # a block that says its size in bytes
-                n, (_, i) = -n, read_long(d, i)
-            if not n:
-                return out, i
-            for _ in range(n):
-                v, i = item(d, i)
-                out.append(v)
-
-    return array
-
-
 # --- whole batches -----------------------------------------------------------------
 
 #: The bytes of all rows behind each other, and how many each row has.
@@ -198,45 +140,165 @@ def binary(kind: pa.DataType, data: np.ndarray, lens: np.ndarray) -> pa.Array:
     return made
 
 
-def read_longs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class BadMessage(ValueError):
+    """Bytes that the schema can't have written."""
+
+
+def within(ok: np.ndarray) -> None:
+    if not ok.all():
+        raise BadMessage("a message ends inside a field, or holds none of this schema")
+
+
+def read_longs(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u, at, open_ = np.zeros(len(at), np.uint64), at.copy(), np.arange(len(at))
     for k in range(10):
+        within(at[open_] < end[open_])
         b = data[at[open_]]
         u[open_] |= (b & 0x7F).astype(np.uint64) << np.uint64(7 * k)
         at[open_] += 1
         open_ = open_[b >= 0x80]
         if not len(open_):
             break
+    within(np.full(1, not len(open_)))
     return (u >> np.uint64(1)).view(np.int64) ^ -(u & np.uint64(1)).view(np.int64), at
 
 
-def decoded(kind: Any, data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The field that begins at ``at`` in each row, and where it ends."""
+def branch_of(kind: list) -> tuple[int, Any]:
+    """Where a union of null and one type has the null, and that type."""
+    if len(kind) != 2 or "null" not in kind:
+        raise TypeError(f"union {kind} is not of null and one type")
+    return kind.index("null"), kind[1 - kind.index("null")]
+
+
+def read_arrays(items: Any, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Blocks are followed in all rows at once, one element of each row at a time."""
+    at, left, open_ = at.copy(), np.zeros(len(at), np.int64), np.arange(len(at))
+    rows, parts = [np.zeros(0, np.int64)], [pa.array([], to_arrow_type(spark_type(items)))]
+    while len(open_):
+        fresh = open_[left[open_] == 0]
+        if len(fresh):
+            n, ends = read_longs(data, at[fresh], end[fresh])
+            sized = np.flatnonzero(n < 0)  # such a block says its size in bytes, too
+            ends[sized] = read_longs(data, ends[sized], end[fresh[sized]])[1]
+            at[fresh], left[fresh] = ends, np.abs(n)
+            open_ = open_[left[open_] > 0]
+            if not len(open_):
+                break
+        values, at[open_] = decoded(items, data, at[open_], end[open_])
+        left[open_] -= 1
+        rows.append(open_)
+        parts.append(values)
+    owner = np.concatenate(rows)
+    flat = pa.concat_arrays(parts).take(pa.array(np.argsort(owner, kind="stable")))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(at)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), flat), at
+
+
+def decoded(kind: Any, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The field that begins at ``at`` in each row, which ends before ``end``, and where it ends."""
     if isinstance(kind, list):
-        branch, at = read_longs(data, at)
-        there = np.flatnonzero(branch)
-        body, ends = decoded(kind[1], data, at[there])
+        null, body_kind = branch_of(kind)
+        branch, at = read_longs(data, at, end)
+        within((branch == 0) | (branch == 1))
+        there = np.flatnonzero(branch != null)
+        body, ends = decoded(body_kind, data, at[there], end[there])
         at[there] = ends
         place = np.zeros(len(at), np.int64)
         place[there] = np.arange(len(there))
-        return body.take(pa.array(place, mask=branch == 0)), at
-    if kind == "long":
-        n, at = read_longs(data, at)
+        return body.take(pa.array(place, mask=branch == null)), at
+    if kind in ("long", "int"):
+        n, at = read_longs(data, at, end)
         return pa.array(n), at
-    if kind == "double":
-        return pa.array(data[at[:, None] + np.arange(8)].view("<f8").reshape(-1)), at + 8
+    if kind in ("double", "float"):
+        width = 8 if kind == "double" else 4
+        within(at + width <= end)
+        return pa.array(data[at[:, None] + np.arange(width)].view(f"<f{width}").reshape(-1).astype(np.float64)), at + width
     if kind == "boolean":
+        within(at < end)
+        within(data[at] < 2)
         return pa.array(data[at] == 1), at + 1
     if isinstance(kind, dict):
-        read, whole, out, ends = reader(kind), data.tobytes(), [], at.copy()
-        for i, x in enumerate(at.tolist()):
-            v, ends[i] = read(whole, x)
-            out.append(v)
-        return pa.array(out, to_arrow_type(spark_type(kind))), ends
-    n, at = read_longs(data, at)
+        return read_arrays(kind["items"], data, at, end)
+    n, at = read_longs(data, at, end)
+    within((n >= 0) & (n <= end - at))
     return binary(pa.string() if kind == "string" else pa.binary(), data[spots(at, n)], n), at + n
 
 
+# --- versions of a schema ----------------------------------------------------------
+
+#: What a writer's type may be read as.
+PROMOTED = {"int": ("long", "float", "double"), "long": ("float", "double"), "float": ("double",), "string": ("bytes",), "bytes": ("string",)}
+
+
+def readable(writer: Any, reader: Any) -> bool:
+    """Whether each value of ``writer`` that is not null can be read as ``reader``."""
+    if isinstance(writer, list) or isinstance(reader, list):
+        own = [branch_of(k)[1] if isinstance(k, list) else k for k in (writer, reader)]
+        return readable(*own)
+    if isinstance(writer, dict) and isinstance(reader, dict):
+        return readable(writer["items"], reader["items"])
+    return writer == reader or (isinstance(writer, str) and reader in PROMOTED.get(writer, ()))
+
+
+def resolved(writer: Any, reader: Any, column: pa.Array) -> pa.Array:
+    """A column that was decoded as ``writer`` in the form of ``reader``."""
+    if not isinstance(reader, list) and column.null_count:
+        raise BadMessage("null for a field that has none in the reader's schema")
+    writer, reader = (branch_of(k)[1] if isinstance(k, list) else k for k in (writer, reader))
+    if isinstance(reader, dict):
+        items = resolved(writer["items"], reader["items"], column.flatten())
+        lens = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+        made = pa.ListArray.from_arrays(pa.array(offsets), items)
+        return made if not column.null_count else made.take(pa.array(np.arange(len(column)), mask=column.is_null().to_numpy(zero_copy_only=False)))
+    return column.cast(to_arrow_type(spark_type(reader)))
+
+
+def plan_fields(writer: list[dict], reader: list[dict]) -> list[tuple[dict, int | None]]:
+    """For each field of the reader where the writer has it, by name or alias; None is to be filled by its default."""
+    at = {f["name"]: i for i, f in enumerate(writer)}
+    found = []
+    for f in reader:
+        i = next((at[n] for n in (f["name"], *f.get("aliases", ())) if n in at), None)
+        if i is None and "default" not in f:
+            raise TypeError(f"field {f['name']} is not in the writer's schema and has no default")
+        if i is not None and not readable(writer[i]["type"], f["type"]):
+            raise TypeError(f"field {f['name']}: {writer[i]['type']} cannot be read as {f['type']}")
+        found.append((f, i))
+    return found
+
+
+def canonical(kind: Any, namespace: str = "") -> str:
+    """The parsing canonical form of the specification, for the schemas that there are here."""
+    if isinstance(kind, str):
+        return json.dumps(kind)
+    if isinstance(kind, list):
+        return f"[{','.join(canonical(k, namespace) for k in kind)}]"
+    if kind["type"] == "array":
+        return f'{{"type":"array","items":{canonical(kind["items"], namespace)}}}'
+    if kind["type"] != "record":
+        return canonical(kind["type"], namespace)
+    space = kind.get("namespace", namespace)
+    name = kind["name"] if "." in kind["name"] or not space else f"{space}.{kind['name']}"
+    fields = ",".join(f'{{"name":{json.dumps(f["name"], ensure_ascii=False)},"type":{canonical(f["type"], space)}}}' for f in kind["fields"])
+    return f'{{"name":{json.dumps(name, ensure_ascii=False)},"type":"record","fields":[{fields}]}}'
+
+
+# Fixed value: the fingerprint of nothing, and the polynomial, of the specification's CRC-64.
+EMPTY = 0xC15D213AA4D7A795
+
+
+def fingerprint(schema_json: str) -> str:
+    """CRC-64-AVRO of the canonical form, in hexadecimal."""
+    fp = EMPTY
+    for byte in canonical(json.loads(schema_json)).encode():
+        low = (fp ^ byte) & 0xFF
+        for _ in range(8):
+            low = (low >> 1) ^ (EMPTY if low & 1 else 0)
+        fp = (fp >> 8) ^ low
+    return f"{fp:016x}"
+
+
 # --- columns -----------------------------------------------------------------------
 
 
@@ -265,28 +327,40 @@ def avro_payload(df: DataFrame, schema_json: str) -> Column:
 
 
 def spark_type(kind: Any) -> T.DataType:
-    kinds = {"boolean": T.BooleanType(), "long": T.LongType(), "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType()}
+    kinds = {"boolean": T.BooleanType(), "int": T.LongType(), "long": T.LongType(), "float": T.DoubleType(), "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType()}
     if isinstance(kind, list):
-        kind = kind[1]
+        kind = branch_of(kind)[1]
     return kinds[kind] if isinstance(kind, str) else T.ArrayType(spark_type(kind["items"]), True)
 
 
-def avro_decoded(payload: Column, schema_json: str) -> Column:
-    """A struct of the encoded fields, in their travelling forms; null for null."""
-    kinds = {f["name"]: f["type"] for f in json.loads(schema_json)["fields"]}
-    shape = T.StructType([T.StructField(n, spark_type(k)) for n, k in kinds.items()])
+def avro_decoded(payload: Column, schema_json: str, reader_json: str | None = None) -> Column:
+    """A struct of the encoded fields, in their travelling forms; null for null.
+
+    With ``reader_json`` the fields are those of that schema: in its order, promoted to its
+    types, its defaults where the writer had none.  Schemas that don't fit raise at once,
+    messages that don't raise where they are read.
+    """
+    writer = json.loads(schema_json)["fields"]
+    plan = plan_fields(writer, json.loads(reader_json)["fields"] if reader_json else writer)
+    shape = T.StructType([T.StructField(f["name"], spark_type(f["type"])) for f, _ in plan])
 
     @F.arrow_udf(shape)
     def run(column: pa.Array) -> pa.Array:
         there = column.is_valid().to_numpy(zero_copy_only=False)
         own = column.drop_null()
-        at = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own)].astype(np.int64) if len(own) else np.zeros(0, np.int64)
+        offsets = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64) if len(own) else np.zeros(1, np.int64)
+        at, end = offsets[:-1], offsets[1:]
         raw = own.buffers()[2]
         data, fields = np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8), []
-        for k in kinds.values():
-            field, at = decoded(k, data, at)
+        for f in writer:
+            field, at = decoded(f["type"], data, at, end)
             fields.append(field)
-        rows = pa.StructArray.from_arrays(fields, [*kinds])
+        within(at == end)
+        made = []
+        for f, i in plan:
+            kind = to_arrow_type(spark_type(f["type"]))
+            made.append(pa.array([f["default"]] * len(own), kind) if i is None else resolved(writer[i]["type"], f["type"], fields[i]))
+        rows = pa.StructArray.from_arrays(made, [f["name"] for f, _ in plan])
         place = np.cumsum(there) - 1
         return rows if there.all() else rows.take(pa.array(place, mask=~there))
 
@@ -310,5 +384,5 @@ class AvroConverter:
             self.start(df, columns, "row")
         return avro_payload(df, self.json)
 
-    def decode(self, payload: Column, schema: Any = None) -> Column:
-        return avro_decoded(payload, self.json if schema is None else schema)
+    def decode(self, payload: Column, schema: Any = None, reader: str | None = None) -> Column:
+        return avro_decoded(payload, self.json if schema is None else schema, reader)

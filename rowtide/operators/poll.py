@@ -8,9 +8,11 @@ one small result a task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from rowtide.model import EARLIEST, Position, TableSpec
@@ -91,6 +93,25 @@ def late_poll(df: DataFrame, spec: TableSpec, shards: ShardList, position: Posit
     return df.join(small, list(spec.primary_key), "inner").select(*df.columns).orderBy(*spec.order)
 
 
+@dataclass
+class Seen:
+    """What a batch turned out to hold: where it ends, and how many rows."""
+
+    end: Position | None
+    rows: int
+
+
+@contextmanager
+def watched(rows: DataFrame, spec: TableSpec) -> Iterator[tuple[DataFrame, Seen]]:
+    """The rows, held, and what was observed while they were written: no job beside the poll's own."""
+    seen = Observation()
+    observed = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.max(F.struct(*spec.order)).alias("end"))
+    with held(observed) as batch:
+        got = seen.get
+        end = Position(got["end"][0], tuple(got["end"][1:])) if got["n"] else None
+        yield batch, Seen(end, got["n"])
+
+
 def last_position(batch: DataFrame, spec: TableSpec) -> tuple[Position | None, int]:
     """Where a batch ends, and its number of rows; one aggregate, no sort."""
     top, n = batch.agg(F.max(F.struct(*spec.order)), F.count("*")).first()
@@ -107,7 +128,8 @@ def drain(
 ) -> Iterator[tuple[DataFrame, Position]]:
     """Batches until a short one, each with the position to store once it is delivered.
 
-    With ``ahead`` one scan of the table reads so many batches in advance.
+    With ``ahead`` one scan of the table reads so many batches in advance.  A batch can be
+    read until the next one is asked for.
 
     A full batch is followed at once; the position names the last row, so commits with
     more rows than ``limit`` are read on from where the batch ended.  ``df`` may be a
@@ -115,18 +137,19 @@ def drain(
     """
     while True:
         table = df() if callable(df) else df
-        rows, read = held(poll(table, spec, position, shard, limit * ahead)), 0
-        try:
-            # The rows of one poll are few, so they may be numbered in one task.
-            number = F.row_number().over(Window.orderBy(*spec.order)) - 1
-            numbered = rows.withColumn("__batch", F.floor(number / limit)) if ahead > 1 else rows.withColumn("__batch", F.lit(0))
-            ends = numbered.groupBy("__batch").agg(F.max(F.struct(*spec.order)), F.count("*")).orderBy("__batch").collect()
-            for k, top, n in ends:
-                position, read = Position(top[0], tuple(top[1:])), read + n
-                yield (numbered.where(F.col("__batch") == k).drop("__batch") if ahead > 1 else rows), position
-        finally:
-            rows.unpersist()
-        if read < limit * ahead:
+        with watched(poll(table, spec, position, shard, limit * ahead), spec) as (rows, seen):
+            if ahead == 1:
+                if seen.rows:
+                    position = seen.end
+                    yield rows, position
+            else:
+                # The rows of one poll are few, so they may be numbered in one task.
+                number = F.row_number().over(Window.orderBy(*spec.order)) - 1
+                numbered = rows.withColumn("__batch", F.floor(number / limit))
+                for k, top in numbered.groupBy("__batch").agg(F.max(F.struct(*spec.order))).orderBy("__batch").collect():
+                    position = Position(top[0], tuple(top[1:]))
+                    yield numbered.where(F.col("__batch") == k).drop("__batch"), position
+        if seen.rows < limit * ahead:
             return
 
 

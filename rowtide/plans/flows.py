@@ -9,21 +9,25 @@ from __future__ import annotations
 import base64
 import datetime as dt
 import hashlib
+import json
 import time
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowtide.functions import avro_codec, codecs, json_codec
 from rowtide.model import EARLIEST, Position, TableRef, TableSpec
 from rowtide.operators import changesets, poll, shards
-from rowtide.plans.queries import COLUMNS, EVENTS, INDEX_COLUMNS, INDEXES, NOW, ORDERS, SHAPES, STAMP, TABLES, query, read
+from rowtide.plans.queries import COLUMNS, EVENTS, IN_PRIORITIES, INDEX_COLUMNS, INDEXES, NOW, ORDERS, PRIORITIES, SHAPES, STAMP, TABLES, query, read
 from rowtide.sources import catalog
+from rowtide.sources.file_index import FileIndex
 from rowtide.sources.positions import MemoryPositionStore, TablePositionStore
-from rowtide.sources.shared import shared_folder
+from rowtide.sources.shared import Folder, shared_folder
 from rowtide.streaming import envelope
 from rowtide.streaming.publisher import Publisher
+from rowtide.streaming.subscriber import Archiver, Subscription
 from rowtide.streaming.watcher import ChangeSetWatcher, DatabaseWatcher, State, TableWatcher, follow_log, ticking
 
 SINCE = dt.datetime(1998, 7, 1)
@@ -144,7 +148,7 @@ def change_set_retry(spark, d):
             raise OSError
 
     _writer(spark, folder, ["retried", "unused"]).run(body)
-    return spark.read.parquet(f"{folder}/data").withColumn("tries", F.lit(len(tries)))
+    return _writer(spark, folder, []).read(f"{folder}/data").withColumn("tries", F.lit(len(tries)))
 
 
 @query("SELECT 'data' AS seen, count(*) AS n FROM nation UNION ALL SELECT 'marked', 0")
@@ -153,12 +157,61 @@ def change_set_marker_last(spark, d):
     folder = own_folder(spark)
     writer = _writer(spark, folder, ["whole", "half"])
     writer.write(f"{folder}/other", read(spark, d, "region"))
-    writer.plain_write(f"{folder}/data", read(spark, d, "nation").select("n_nationkey").withColumn("change_set_id", F.lit("half")))
+    writer.clock = lambda: 1 // 0  # the marker's stamp is taken when the data lie there
+    try:
+        writer.write(f"{folder}/data", read(spark, d, "nation").select("n_nationkey"))
+    except ArithmeticError:
+        pass
     data = spark.read.parquet(f"{folder}/data")
     seen = changesets.changed_rows(spark.read.parquet(f"{folder}/sets"), SETS, data, "change_set_id")
     return data.agg(F.lit("data").alias("seen"), F.count("*").alias("n")).union(seen.agg(F.lit("marked"), F.count("*")))
 
 
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'twice' ELSE 'late' END AS change_set_id,
+CASE WHEN l_linenumber = 1 THEN TIMESTAMP '2024-01-01 01:00:00' ELSE TIMESTAMP '2024-01-01 02:00:00' END AS _commit_ts, 2 AS markers FROM lineitem WHERE l_linenumber <= 2""")
+def change_set_commit_again(spark, d):
+    """A transaction that is committed twice, and one that fails between data and marker and is tried again: each row and marker once."""
+    folder, lines = own_folder(spark), read(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    writer = _writer(spark, folder, ["late"])
+    for _ in range(2):
+        writer.write(f"{folder}/data", lines.where("l_linenumber = 1"), "twice")
+    stamp, failures = writer.clock, [OSError]
+
+    def clock():
+        if failures:
+            raise failures.pop()
+        return stamp()
+
+    writer.clock = clock
+    writer.run(lambda t: t.buffer(f"{folder}/data", lines.where("l_linenumber = 2")))
+    sets = spark.read.parquet(f"{folder}/sets")
+    return changesets.changed_rows(sets, SETS, spark.read.parquet(f"{folder}/data"), "change_set_id", limit=10).crossJoin(sets.agg(F.count("*").cast("int").alias("markers")))
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderdate AS _commit_ts, true AS pruned FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey <= 300")
+def change_set_pruned(spark, d):
+    """Rows of some change sets, through an index of which files hold which; only those files are read."""
+    folder, lines = own_folder(spark), read(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    lines.repartitionByRange(12, "l_orderkey").write.parquet(f"{folder}/data")
+    index = FileIndex(spark, f"{folder}/data", f"{folder}/index", "l_orderkey")
+    ours = poll.poll(read(spark, d, "orders").where("o_orderkey <= 300"), ORDERS, limit=1000)
+    data = index.rows(ours.select("o_orderkey"))
+    fewer = len(data.inputFiles()) < len(index.listing())
+    return changesets.with_sets(data, "l_orderkey", ours, ORDERS, 1000).withColumn("pruned", F.lit(fewer))
+
+
+@query("""SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 AND o_orderkey < 200 THEN TIMESTAMP '2024-01-15 00:00:30' ELSE o_orderdate END AS o_orderdate FROM orders
+UNION ALL SELECT max(o_orderkey) + 1, 'N', TIMESTAMP '2024-01-15 00:00:30' FROM orders""")
+def bucket_upsert(spark, d):
+    """An upsert of some keys and a new one into a table in folders by key: only their folders are written."""
+    orders = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    table = changesets.KeyedTable(spark, f"{own_folder(spark)}/orders", ["o_orderkey"], "o_orderdate", buckets=16)
+    table.create(orders)
+    new = orders.agg((F.max("o_orderkey") + 1).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"))
+    table.upsert(orders.where("o_orderkey % 7 = 0 and o_orderkey < 200").select("o_orderkey", "o_orderstatus").union(new), NOW)
+    return table.read()
+
+
 @query("SELECT 1000::BIGINT AS ids, 1000::BIGINT AS distinct_ids, 1000::BIGINT AS of_version_4")
 def change_set_ids(spark, d):
     ids = spark.createDataFrame([(changesets.uuid_id(),) for _ in range(1000)], "id string")
@@ -192,6 +245,17 @@ def _written(folder):
     return lambda ref, batch, end: batch.write.mode("append").parquet(f"{folder}/{ref.table}")
 
 
+@query(f"""SELECT o_orderkey, o_orderdate, CASE WHEN n > 1000 THEN n // 1000 ELSE 0 END AS per_shard_polls FROM orders, (SELECT count(*)::BIGINT AS n FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01' AND {IN_PRIORITIES}) t
+WHERE o_orderdate > TIMESTAMP '1998-07-01' AND {IN_PRIORITIES}""")
+def watcher_behind(spark, d):
+    """A watcher over some shards that is decades behind: from its second poll on it takes the per-shard plan."""
+    folder = own_folder(spark)
+    w = TableWatcher(lambda: read(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), ORDERS, MemoryPositionStore(SINCE), shards.ShardList("o_orderpriority", PRIORITIES), limit=1000)
+    w.on_batch(_written(folder)).run_available()
+    polls = F.lit(w.metrics["per_shard_polls"]).cast("long").alias("per_shard_polls")
+    return spark.read.parquet(f"{folder}/orders").select("o_orderkey", "o_orderdate", polls)
+
+
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01'")
 def watcher_batches(spark, d):
     """Each row of a watched table once, by batches of 1,000, through one stored position."""
@@ -338,26 +402,112 @@ def topic_roundtrip(spark, d):
 @query("SELECT o_orderdate AS ts, count(*) AS told, count(*) AS ids FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01' GROUP BY o_orderdate")
 def publish_listeners(spark, d):
     """What listeners are told of every message, joined with the messages by id."""
-    p, told = _publisher(spark, d, own_folder(spark), lambda: json_codec.INSTANCE), []
-    p.on_success.append(lambda ref, ts, message_id: told.append((ts, message_id)))
+    folder = own_folder(spark)
+    p = _publisher(spark, d, f"{folder}/topics", lambda: json_codec.INSTANCE)
+    p.on_published.append(lambda ref, sent: sent.write.mode("append").parquet(f"{folder}/told"))
     p.run_available()
-    heard = spark.createDataFrame(told, "ts timestamp_ntz, message_id string")
+    heard = spark.read.parquet(f"{folder}/told")
     return heard.join(p.topics.read(spark, p.topic(ORDERS.ref)), "message_id").groupBy("ts").agg(F.count("*").alias("told"), F.count_distinct("message_id").alias("ids"))
 
 
 @query("SELECT 'failed' AS state, 'TopicNotFound' AS error, count(*) AS told, NULL::TIMESTAMP AS position FROM (SELECT 1 FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01' LIMIT 5000)")
 def publish_failure(spark, d):
     """A topic that goes away: listeners hear of each change, the watcher fails, no position is stored."""
-    p, told = _publisher(spark, d, own_folder(spark), lambda: json_codec.INSTANCE), []
-    p.on_failure.append(lambda ref, ts, error: told.append(ts))
-    p.topics.ensure = lambda *a: None
+    folder = own_folder(spark)
+    w = TableWatcher(lambda: read(spark, d, "orders").select("o_orderkey", "o_orderdate"), ORDERS, MemoryPositionStore(SINCE), limit=5000)
+    topics = envelope.TopicFolder(f"{folder}/topics", create=True)
+    w.on_batch(lambda *_: Folder(spark, topics.folder("t")).delete())
+    p, errors = Publisher(w, topics, "t", lambda: json_codec.INSTANCE), []
+    p.on_unpublished.append(lambda ref, sent, error: (errors.append(type(error).__name__), sent.write.parquet(f"{folder}/told")))
     try:
         p.run_available()
-        error = None
-    except envelope.TopicNotFound as e:
-        error = type(e).__name__
-    ts = p.watcher.positions.get(ORDERS.ref).ts
-    return spark.createDataFrame([(p.watcher.state.value, error, len(told), None if ts == SINCE else ts)], "state string, error string, told long, position timestamp_ntz")
+    except envelope.TopicNotFound:
+        pass
+    ts = w.positions.get(ORDERS.ref).ts
+    told = spark.read.parquet(f"{folder}/told").agg(F.count("*").alias("told"))
+    return told.select(F.lit(w.state.value).alias("state"), F.lit(errors[0]).alias("error"), "told", F.lit(None if ts == SINCE else ts).cast("timestamp_ntz").alias("position"))
+
+
+@query(f"""SELECT o_orderkey, 1 AS messages FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01'""")
+def publish_again(spark, d):
+    """A crash after a batch is published and before its position is stored, with another limit afterwards: each change is there once."""
+    folder = own_folder(spark)
+    store = TablePositionStore(spark, f"{folder}/at", SINCE)
+    topics = envelope.TopicFolder(f"{folder}/topics", create=True)
+
+    def publisher(limit, after=lambda *_: None):
+        w = TableWatcher(lambda: read(spark, d, "orders").select("o_orderkey", "o_orderdate"), ORDERS, store, limit=limit)
+        p = Publisher(w, topics, "t", lambda: json_codec.INSTANCE)
+        w.on_batch(after)
+        return p
+
+    try:
+        publisher(500, lambda *_: 1 // 0).run_available()
+    except ArithmeticError:
+        pass
+    publisher(1000).run_available()
+    key = F.get_json_object(F.col("value").cast("string"), "$.o_orderkey").cast("long").alias("o_orderkey")
+    return topics.read(spark, "t").select(key, "message_id").groupBy("o_orderkey").agg(F.count("*").cast("int").alias("messages"))
+
+
+def _sent(spark, d, topics, converter, low, high, columns=("o_orderkey", "o_custkey")):
+    """Publishes the orders of some days to the topic t."""
+    days = lambda: read(spark, d, "orders").select(*columns, "o_orderdate").where(F.col("o_orderdate") <= F.lit(high).cast("timestamp_ntz"))
+    Publisher(TableWatcher(days, ORDERS, MemoryPositionStore(low)), topics, "t", converter).run_available()
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderdate <= TIMESTAMP '1998-07-10' THEN 1 ELSE 2 END AS run, 1 AS times FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01'")
+def subscription_resume(spark, d):
+    """Two runs of a subscription, messages added between, and a callback that fails once: all are delivered, none twice."""
+    folder, mid = own_folder(spark), dt.datetime(1998, 7, 10)
+    topics, fails = envelope.TopicFolder(f"{folder}/topics", create=True), [OSError]
+    key = F.get_json_object(F.col("value").cast("string"), "$.o_orderkey").cast("long").alias("o_orderkey")
+
+    def received(run):
+        def take(batch, k):
+            if run == 2 and fails:
+                raise fails.pop()
+            batch.select(key, F.lit(run).alias("run")).write.mode("overwrite").parquet(f"{folder}/out/{k}")
+
+        return take
+
+    _sent(spark, d, topics, lambda: json_codec.INSTANCE, SINCE, mid)
+    Subscription(spark, topics, "t", "s", received(1)).run_available()
+    _sent(spark, d, topics, lambda: json_codec.INSTANCE, mid, NOW)
+    try:
+        Subscription(spark, topics, "t", "s", received(2)).run_available()
+    except StreamingQueryException:
+        Subscription(spark, topics, "t", "s", received(2)).run_available()
+    return spark.read.parquet(f"{folder}/out/*").groupBy("o_orderkey", "run").agg(F.count("*").cast("int").alias("times"))
+
+
+@query(f"""SELECT 'db/orders-' || {STAMP.format('o_orderdate')} AS path, o_orderkey, 0 AS others FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-25'""")
+def archive_stream(spark, d):
+    """An archiver that follows a topic, in two runs; the topic's first messages are sent again in between."""
+    folder, low, mid = own_folder(spark), dt.datetime(1998, 7, 25), dt.datetime(1998, 7, 28)
+    topics = envelope.TopicFolder(f"{folder}/topics", create=True)
+    for days in (((low, mid),), ((low, mid), (mid, NOW))):
+        for one in days:
+            _sent(spark, d, topics, lambda: json_codec.INSTANCE, *one)
+        Archiver(spark, topics, "t", f"{folder}/archive", max_files=2).run_available()
+    wanted = envelope.to_archive(topics.read(spark, "t"), F.col("message_id"))
+    names = [n for n in Folder(spark, f"{folder}/archive").names("db") if not n.endswith((".meta", ".crc"))]
+    body = envelope.read_archive(wanted, f"{folder}/archive").select(F.regexp_replace("path", "-[0-9a-f]{32}$", "").alias("path"), F.get_json_object(F.col("content").cast("string"), "$.o_orderkey").cast("long").alias("o_orderkey"))
+    return body.withColumn("others", F.lit(len(names) - wanted.count()))
+
+
+@query("""SELECT o_orderkey::DOUBLE AS o_orderkey, CASE WHEN o_orderdate > TIMESTAMP '1998-07-10' THEN o_orderstatus ELSE 'none' END AS o_orderstatus, CASE WHEN o_orderdate <= TIMESTAMP '1998-07-10' THEN o_custkey ELSE -1 END AS o_custkey
+FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01'""")
+def subscriber_versions(spark, d):
+    """A topic with messages of two versions of a table, read by a third schema: a column gone, one come, another order, whole numbers as doubles."""
+    folder, mid = own_folder(spark), dt.datetime(1998, 7, 10)
+    topics = envelope.TopicFolder(f"{folder}/topics", create=True)
+    _sent(spark, d, topics, avro_codec.AvroConverter, SINCE, mid)
+    _sent(spark, d, topics, avro_codec.AvroConverter, mid, NOW, ("o_orderstatus", "o_orderkey"))
+    optional = lambda name, kind, default=None: {"name": name, "type": [kind, "null"] if default else ["null", kind], "default": default}
+    fields = [optional("o_orderstatus", "string", "none"), optional("o_orderkey", "double"), optional("o_custkey", "long", -1)]
+    reader = json.dumps({"type": "record", "name": "orders", "fields": fields})
+    return envelope.read_as(topics.read(spark, "t"), topics.schemas(spark, "t"), reader).select("o_orderkey", "o_orderstatus", "o_custkey")
 
 
 @query(f"""SELECT 'db/orders-' || {STAMP.format('o_orderdate')} || '-' || o_orderkey AS path,

@@ -8,11 +8,11 @@ set table of ``lineitem``.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rowtide.functions import avro_codec, buckets, hashing, json_codec, text
 from rowtide.model import EARLIEST, Position, TableRef, TableSpec
@@ -20,6 +20,7 @@ from rowtide.operators import changesets, gauges, poll, shards
 from rowtide.plans import choose
 from rowtide.sources import catalog
 from rowtide.sources.positions import split_shards
+from rowtide.sources.shared import shared_folder
 from rowtide.streaming import envelope
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,11 +88,10 @@ def poll_keyset(spark, d):
 FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01'""")
 def drain_batches(spark, d):
     """The rows of a drain at limit 97, with the number of their batch."""
-    orders, found = read(spark, d, "orders").select("o_orderkey", "o_orderdate"), []
+    orders, folder = read(spark, d, "orders").select("o_orderkey", "o_orderdate"), f"{shared_folder(spark)}/drain-{uuid.uuid4().hex}"
     for k, (batch, _) in enumerate(poll.drain(orders, ORDERS, Position(dt.datetime(1998, 7, 1)), limit=97, ahead=16)):
-        found += [(r.o_orderkey, r.o_orderdate, k) for r in batch.collect()]
-    kinds = orders.schema
-    return spark.createDataFrame(found, T.StructType([*kinds.fields, T.StructField("batch", T.LongType())]))
+        batch.withColumn("batch", F.lit(k).cast("long")).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 @query("SELECT o_orderdate, count(*) AS n_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY o_orderdate")

@@ -14,9 +14,10 @@ import threading
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.model import EARLIEST, Position, TableRef
@@ -82,12 +83,14 @@ class PositionStore(ABC):
                     return first
 
     def set(self, table: TableRef, position: Position, shard: Any = None) -> bool:
-        """Stores a position that has advanced; refuses to go back."""
+        """Stores a position that has advanced; refuses to go back.  False if it was there, or was reset meanwhile."""
         with self.lock:
+            first = True
             while True:
                 old, version = self._read(table, shard_key(shard))
-                if old == position:
+                if old == position or (old is None and not first):
                     return False
+                first = False
                 if old is not None and not old <= position:
                     raise ValueError(f"position of {table.full_name} would go back from {old} to {position}")
                 if self._write(table, shard_key(shard), position, version) is not False:
@@ -181,11 +184,23 @@ class TablePositionStore(PositionStore):
         return {self.columns[f]: kind for f, kind in FIELDS.items()}
 
     def verify(self) -> None:
-        """Raises if the table has not the columns that positions need."""
+        """Raises if the table has not the columns that positions need, or holds rows that are no positions."""
         there = json.loads(self.folder.read("_columns.json"))
         for name, kind in self._shape().items():
             if there.get(name) != kind:
                 raise ValueError(f"{self.folder.path}: column {name} should be {kind} and is {there.get(name, 'missing')}")
+        if not any(n.startswith("at=") for n in self.folder.names()):
+            return
+        needed = [f"`{self.columns[f]}`" for f in FIELDS if not f.startswith("last_")]
+        shape = ", ".join(f"`{n}` string" for n in self._shape()) + ", version long, reset boolean, packed_ts array<string>, _broken string"
+        rows = self.spark.read.schema(shape).option("columnNameOfCorruptRecord", "_broken").json(f"{self.folder.path}/at=*")
+        seen = F.col(f"`{self.columns['last_seen']}`")
+        lacking = reduce(Column.__or__, [F.col(n).isNull() for n in [*needed, "version"]])
+        # Times that are no timestamps, numbers of a counter say, are kept packed alone.
+        untimed = F.col("reset").isNull() & (F.col("packed_ts").isNull() | (seen.isNotNull() & seen.try_cast("timestamp_ntz").isNull()))
+        wrong = rows.where(F.col("_broken").isNotNull() | lacking | untimed).select(F.input_file_name()).limit(1).collect()
+        if wrong:
+            raise ValueError(f"{wrong[0][0]} holds no position")
 
     @staticmethod
     def _name(table: TableRef, shard: tuple[str, str]) -> str:
@@ -198,6 +213,8 @@ class TablePositionStore(PositionStore):
         if not versions:
             return None, 0
         row = json.loads(self.folder.read(f"{name}/{versions[-1]}"))
+        if row.get("reset"):
+            return None, row["version"]
         key = row.get(self.columns["last_key"])
         ts = _unpack(row["packed_ts"])
         return Position(ts, None if key is None else tuple(map(_unpack, json.loads(key)))), int(versions[-1].split(".")[0])
@@ -215,17 +232,26 @@ class TablePositionStore(PositionStore):
         return True
 
     def _delete(self, table, shard):
-        self.folder.delete(self._name(table, shard))
+        """Leaves a last version without a position, so that a writer who read an earlier one is refused."""
+        name = self._name(table, shard)
+        while True:
+            found, version = self._read(table, shard)
+            if found is None:
+                return
+            row = dict(zip(list(self.columns.values())[:6], (table.database, table.catalog, table.schema, table.table, *shard)))
+            if self.folder.create(f"{name}/{version + 1:012d}.json", json.dumps(row | {"version": version + 1, "reset": True})):
+                return
 
     def frame(self) -> DataFrame:
         """The stored positions as a DataFrame, for gauges and joins."""
         names = self.columns.values()
-        shape = ", ".join(f"`{n}` string" for n in names) + ", version long"
+        shape = ", ".join(f"`{n}` string" for n in names) + ", version long, reset boolean"
         if not any(n.startswith("at=") for n in self.folder.names()):
             return self.spark.createDataFrame([], ", ".join(f"`{n}` {k}" for n, k in self._shape().items()))
         rows = self.spark.read.schema(shape).json(f"{self.folder.path}/at=*")
         key = [F.col(f"`{n}`") for n in list(names)[:6]]
-        last = rows.groupBy(*key).agg(F.max_by(F.struct(*[F.col(f"`{n}`") for n in list(names)[6:]]), "version").alias("last")).select(*key, "last.*")
+        last = rows.groupBy(*key).agg(F.max_by(F.struct(*[F.col(f"`{n}`") for n in list(names)[6:]], "reset"), "version").alias("last")).select(*key, "last.*")
+        last = last.where("reset is null")
         return last.select(*[F.col(f"`{n}`").cast(k).alias(n) for n, k in self._shape().items()])
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,16 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="rowtide-")
 
 
-def held(rows: DataFrame) -> DataFrame:
-    """``rows`` as they are now, to be read more than once.
+@contextmanager
+def held(rows: DataFrame) -> Iterator[DataFrame]:
+    """``rows`` as they are now, to be read more than once within the block.
 
-    With a checkpoint folder they are written there, so that a lost executor can't make
-    Spark read them again from a table that has changed meanwhile; without one they are
-    kept by the executors alone.
+    They are written to the checkpoint folder, so that a lost executor can't make Spark
+    read them again from a table that has changed meanwhile, and deleted at the block's
+    end.  A cluster without such a folder gets an error, as by ``shared_folder``.
     """
-    if rows.sparkSession.sparkContext.getCheckpointDir():
-        return rows.checkpoint(eager=True)
-    return rows.persist()
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
+    kept = rows.checkpoint(eager=True)
+    try:
+        yield kept
+    finally:
+        file = kept._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            Folder(rows.sparkSession, file.get()).delete()
 
 
 class Folder:
@@ -76,5 +86,12 @@ class Folder:
         self.system.delete(passing, False)
         return False
 
+    def replace(self, name: str, by: str) -> None:
+        """Renames a file or folder, in place of what has the new name."""
+        if self.exists(by):
+            self.delete(by)
+        if not self.system.rename(self.at(name), self.at(by)):
+            raise OSError(f"{self.path}/{name} could not be renamed to {by}")
+
     def delete(self, name: str = "") -> None:
         self.system.delete(self.at(name), True)

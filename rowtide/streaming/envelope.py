@@ -10,10 +10,13 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowtide.functions.avro_codec import avro_decoded, fingerprint
 from rowtide.functions.text import timestamp_text
 from rowtide.model import TableRef
-from rowtide.sources.shared import held
+from rowtide.sources.shared import Folder
 
+#: The attribute with the fingerprint of the schema that wrote a message.
+VERSION = "SchemaVersion"
 PLACEHOLDERS = ("project", "instance", "database", "catalog", "schema", "table")
 
 
@@ -32,24 +35,39 @@ def topic_column(template: str, **values: Column) -> Column:
     return out
 
 
-def attributes(ref: TableRef, ts: Column) -> Column:
-    pairs = {"Database": ref.database, "Catalog": ref.catalog, "Schema": ref.schema, "Table": ref.table}
+def attributes(ref: TableRef, ts: Column, version: str | None = None) -> Column:
+    """The five attributes of a message, and that which names the version of its schema, if it has one."""
+    pairs = {"Database": ref.database, "Catalog": ref.catalog, "Schema": ref.schema, "Table": ref.table} | ({VERSION: version} if version else {})
     known = [x for k, v in pairs.items() for x in (F.lit(k), F.lit(v))]
     return F.create_map(*known, F.lit("Timestamp"), timestamp_text(ts))
 
 
-def envelope(df: DataFrame, ref: TableRef, ts: str, converter: Any, topic: str, columns: list[str] | None = None, keep: Sequence[Column] = ()) -> DataFrame:
+def envelope(df: DataFrame, ref: TableRef, ts: str, converter: Any, topic: str, columns: list[str] | None = None, keep: Sequence[Column] = (), version: str | None = None) -> DataFrame:
     """topic, value, attributes and what is to be kept of every changed row."""
     columns = columns or df.columns
-    return df.select(F.lit(topic).alias("topic"), converter.encode(df, columns).alias("value"), attributes(ref, F.col(ts)).alias("attributes"), *keep)
+    return df.select(F.lit(topic).alias("topic"), converter.encode(df, columns).alias("value"), attributes(ref, F.col(ts), version).alias("attributes"), *keep)
+
+
+def message_id(ref: TableRef, ts: Column, key: Sequence[Column]) -> Column:
+    """A name that a change has however often it is sent: of its table, key and commit timestamp."""
+    told = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in (ts, *key)]
+    parts = [F.concat(F.length(t).cast("string"), t) for t in (F.lit(ref.full_name), *told)]
+    return F.substring(F.sha2(F.concat(*parts).cast("binary"), 256), 1, 32)
 
 
 class TopicNotFound(LookupError):
     pass
 
 
+MESSAGE = "value binary, attributes map<string,string>, message_id string"
+
+
 class TopicFolder:
-    """Topics as folders below a path; messages are Parquet files in them."""
+    """Topics as folders below a path, with a folder of Parquet files for each batch of messages.
+
+    A batch is written aside and becomes visible by one rename.  One of a name that is
+    there already is put in its place, so what is sent again after a failure is there once.
+    """
 
     def __init__(self, path: str, create: bool = False):
         self.path, self.create = path, create
@@ -71,18 +89,60 @@ class TopicFolder:
         where = spark._jvm.org.apache.hadoop.fs.Path(self.folder(topic))
         where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
 
-    def publish(self, messages: DataFrame, topic: str, told: Sequence[str] = ()) -> DataFrame | None:
-        """Appends messages to a topic; with ``told``, gives their ids and these columns."""
+    def publish(self, messages: DataFrame, topic: str, batch: str | None = None) -> None:
+        """Adds a batch of messages, which have ids of their own or get new ones, to a topic."""
         if not self.exists(messages, topic):
             raise TopicNotFound(topic)
-        sent = messages.withColumn("message_id", F.uuid())
-        # Ids are made once, so that what is told is what was written.
-        sent = held(sent) if told else sent
-        sent.select("value", "attributes", "message_id").write.mode("append").parquet(self.folder(topic))
-        return sent.select(*told, "message_id") if told else None
+        folder = Folder(messages.sparkSession, self.folder(topic))
+        sent = messages if "message_id" in messages.columns else messages.withColumn("message_id", F.uuid())
+        aside, name = f"_aside-{uuid.uuid4().hex}", f"b-{batch or uuid.uuid4().hex}"
+        try:
+            sent.select("value", "attributes", "message_id").write.parquet(f"{folder.path}/{aside}")
+            folder.replace(aside, name)
+        finally:
+            folder.delete(aside)
+
+    def keep_schema(self, spark: Any, topic: str, schema_json: str) -> str:
+        """Puts a schema where subscribers look it up; returns its fingerprint."""
+        version = fingerprint(schema_json)
+        folder = Folder(spark, f"{self.folder(topic)}/_schemas")
+        folder.make()
+        if not folder.exists(f"{version}.json"):
+            folder.create(f"{version}.json", schema_json)
+        return version
+
+    def schemas(self, spark: Any, topic: str) -> dict[str, str]:
+        """The schemas of a topic's messages by fingerprint."""
+        folder = Folder(spark, f"{self.folder(topic)}/_schemas")
+        return {n.removesuffix(".json"): folder.read(n) for n in folder.names() if n.endswith(".json") and not n.startswith(".")}
 
     def read(self, spark: Any, topic: str) -> DataFrame:
-        return spark.read.schema("value binary, attributes map<string,string>, message_id string").parquet(self.folder(topic))
+        folder = Folder(spark, self.folder(topic))
+        batches = [f"{folder.path}/{n}" for n in folder.names() if n.startswith("b-")]
+        return spark.read.schema(MESSAGE).parquet(*batches) if batches else spark.createDataFrame([], MESSAGE)
+
+
+class Topic:
+    """One topic of a folder, ready to be published to."""
+
+    def __init__(self, topics: TopicFolder, name: str):
+        self.topics, self.name = topics, name
+
+
+def read_as(messages: DataFrame, schemas: dict[str, str], reader_json: str) -> DataFrame:
+    """``subscribe`` for Avro messages of any of these versions, by the fields of one schema.
+
+    A message whose version is not known, or null, makes the read fail.
+    """
+    a = F.col("attributes")
+    version = a[VERSION]
+    if not schemas:
+        raise LookupError("no schemas are known")
+    # Each version's decoder sees its own messages alone.
+    row = F.coalesce(*[avro_decoded(F.when(version == name, F.col("value")), schema, reader_json) for name, schema in schemas.items()])
+    unknown = F.raise_error(F.concat(F.lit("no schema of version "), F.coalesce(version, F.lit("null"))))
+    known = F.when(F.coalesce(version.isin(*schemas), F.lit(False)), row).otherwise(unknown)
+    return messages.select(a["Database"].alias("_database"), a["Table"].alias("_table"), a["Timestamp"].alias("_timestamp"), known.alias("row")).select("_database", "_table", "_timestamp", "row.*")
 
 
 def subscribe(messages: DataFrame, converter: Any, schema: Any) -> DataFrame:
@@ -112,6 +172,7 @@ def to_archive(messages: DataFrame, event_id: Column) -> DataFrame:
     return fresh.select(object_path(a, event_id).alias("path"), "value", F.map_filter(a, lambda k, v: v.isNotNull()).alias("attributes"))
 
 
+# Fixed value: what readers of the archive expect.
 CONTENT_TYPE = "protobuf/bytes"
 
 

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from rowtide.model import EARLIEST, TableRef, TableSpec
 from rowtide.operators import changesets, poll
 from rowtide.operators.shards import NoFilter, Shard
-from rowtide.plans.choose import FALLBACK_SECONDS, planned_poll
+from rowtide.plans.choose import FALLBACK_SECONDS, planned_poll, takes_shards
 from rowtide.sources.catalog import Catalog, Selection, TableNotFound
+from rowtide.sources.file_index import FileIndex
 from rowtide.sources.positions import MemoryPositionStore, PositionStore
-from rowtide.sources.shared import held
 
 
 class State(Enum):
@@ -36,16 +36,18 @@ class State(Enum):
     FAILED = "failed"
 
 
-#: Gets (table, batch in order, position after it).
+#: Gets (table, batch, position after it); the batch can be read as long as the callback runs.
 BatchCallback = Callable[[TableRef, DataFrame, Any], None]
 #: Gets (table, row, commit timestamp), one row after the other.
 RowCallback = Callable[[TableRef, Any, Any], None]
 
 
-def row_by_row(callback: RowCallback, ts: str) -> BatchCallback:
+def row_by_row(callback: RowCallback, order: list[str]) -> BatchCallback:
+    """Calls back for every row, in ``order``, whose first column is the commit timestamp; only here is a batch sorted."""
+
     def run(table: TableRef, batch: DataFrame, position: Any) -> None:
-        for row in batch.toLocalIterator():
-            callback(table, row, row[ts])
+        for row in batch.orderBy(*order).toLocalIterator():
+            callback(table, row, row[order[0]])
 
     return run
 
@@ -148,7 +150,7 @@ class TableWatcher(Service):
         self.shard_of = shard if callable(shard) else lambda: shard
         self.fallback_seconds, self.clock = fallback_seconds, clock
         self.callbacks: list[BatchCallback] = []
-        self.metrics = {"last_poll_had_changes": False, "rows": 0, "polls": 0, "last_poll_s": 0.0}
+        self.metrics = {"last_poll_had_changes": False, "rows": 0, "polls": 0, "per_shard_polls": 0, "last_poll_s": 0.0}
         self.position = EARLIEST
         self.last_statement: str | None = None
 
@@ -158,7 +160,7 @@ class TableWatcher(Service):
         return self
 
     def on_row(self, callback: RowCallback) -> TableWatcher:
-        return self.on_batch(row_by_row(callback, self.spec.commit_ts))
+        return self.on_batch(row_by_row(callback, self.spec.order))
 
     def prepare(self) -> None:
         columns = self.table().columns
@@ -175,34 +177,50 @@ class TableWatcher(Service):
     def poll_once(self) -> bool:
         began, shard = time.monotonic(), self.shard_of()
         self.last_statement = f"{self.spec.ref.full_name} after {self.position}, {shard or 'no shard'}, limit {self.limit}"
-        rows = planned_poll(self.table(), self.spec, self.position, shard, self.limit, self.metrics["last_poll_had_changes"], self.clock(), self.fallback_seconds)
-        batch = held(rows)
-        try:
-            end, n = poll.last_position(batch, self.spec)
-            if n:
-                self.deliver(batch, end)
-                self.positions.set(self.spec.ref, end, shard.position_value if shard else None)
-                self.position = end
-        finally:
-            batch.unpersist()
-        self.metrics = {"last_poll_had_changes": n > 0, "rows": self.metrics["rows"] + n, "polls": self.metrics["polls"] + 1, "last_poll_s": time.monotonic() - began}
-        return n >= self.limit
+        how = (self.position, shard, self.limit, self.metrics["last_poll_had_changes"], self.clock(), self.fallback_seconds)
+        by_shard = takes_shards(shard, self.position, *how[2:])
+        with poll.watched(planned_poll(self.table(), self.spec, *how), self.spec) as (batch, seen):
+            if seen.rows:
+                self.deliver(batch, seen.end)
+                self.positions.set(self.spec.ref, seen.end, shard.position_value if shard else None)
+                self.position = seen.end
+        self.metrics = {
+            "last_poll_had_changes": seen.rows > 0,
+            "rows": self.metrics["rows"] + seen.rows,
+            "polls": self.metrics["polls"] + 1,
+            "per_shard_polls": self.metrics["per_shard_polls"] + by_shard,
+            "last_poll_s": time.monotonic() - began,
+        }
+        return seen.rows >= self.limit
 
 
 class ChangeSetWatcher(TableWatcher):
     """Watches a data table through its change set table.
 
     Its position counts change sets and is kept under the data table's name; callbacks
-    get the data rows with their set's timestamp in ``_commit_ts``.
+    get the data rows with their set's timestamp in ``_commit_ts``; row by row they come
+    by set and within a set by ``key``.  With ``index`` only the files that hold rows of a
+    batch's sets are read (see FileIndex); tables that a ChangeSetWriter wrote are pruned
+    to the folders of these sets.
     """
 
-    def __init__(self, change_sets: Callable[[], DataFrame], sets: TableSpec, data: Callable[[], DataFrame], ref: TableRef, data_id: str = "change_set_id", **options):
+    def __init__(
+        self,
+        change_sets: Callable[[], DataFrame],
+        sets: TableSpec,
+        data: Callable[[], DataFrame],
+        ref: TableRef,
+        data_id: str = "change_set_id",
+        key: tuple[str, ...] = (),
+        index: FileIndex | None = None,
+        **options,
+    ):
         options.setdefault("shard", NoFilter(ref.full_name))
         super().__init__(change_sets, sets, **options)
-        self.data, self.ref, self.data_id = data, ref, data_id
+        self.data, self.ref, self.data_id, self.key, self.index = data, ref, data_id, key, index
 
     def on_row(self, callback: RowCallback) -> ChangeSetWatcher:
-        self.on_batch(row_by_row(callback, changesets.COMMIT_TS))
+        self.on_batch(row_by_row(callback, [changesets.COMMIT_TS, self.data_id, *self.key]))
         return self
 
     def prepare(self) -> None:
@@ -211,7 +229,8 @@ class ChangeSetWatcher(TableWatcher):
             raise TableNotFound(f"{self.ref.full_name} has no column {self.data_id}")
 
     def deliver(self, batch: DataFrame, end: Any) -> None:
-        rows = changesets.with_sets(self.data(), self.data_id, batch, self.spec, self.limit).orderBy(changesets.COMMIT_TS, self.data_id)
+        data = self.index.rows(batch.select(self.spec.primary_key[0])) if self.index else self.data()
+        rows = changesets.with_sets(data, self.data_id, batch, self.spec, self.limit)
         for callback in self.callbacks:
             callback(self.ref, rows, end)
 

@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,12 +94,89 @@ def test_avro_matches_the_java_library(spark, wide):
         assert decoder.isEnd() and record.get("must_ts").toString() == "2020-03-31T21:21:15.120000000Z" and record.get("must_long") == -(2**63)
 
 
+def one_by_one(kind, *messages):
+    """Each message decoded, all of them in one batch."""
+    data = np.frombuffer(b"".join(messages), np.uint8)
+    end = np.cumsum([len(m) for m in messages])
+    values, at = avro_codec.decoded(kind, data, end - [len(m) for m in messages], end)
+    assert (at == end).all()
+    return values.to_pylist()
+
+
 def test_avro_numbers():
-    for n in [0, 1, -1, 63, 64, -64, -65, 2**31, 2**63 - 1, -(2**63)]:
-        assert avro_codec.read_long(avro_codec.write_long(n), 0) == (n, len(avro_codec.write_long(n)))
-    read = avro_codec.reader({"type": "array", "items": "long"})
-    blocks = avro_codec.write_long(-2) + avro_codec.write_long(2) + b"\x02\x04" + avro_codec.write_long(1) + b"\x06" + b"\x00"
-    assert read(blocks, 0)[0] == [1, 2, 3]
+    numbers = [0, 1, -1, 63, 64, -64, -65, 2**31, 2**63 - 1, -(2**63)]
+    assert one_by_one("long", *[avro_codec.write_long(n) for n in numbers]) == numbers
+    w = avro_codec.write_long
+    blocks = w(-2) + w(2) + b"\x02\x04" + w(1) + b"\x06" + b"\x00"
+    assert one_by_one({"type": "array", "items": "long"}, blocks, w(0), w(1) + w(9) + w(0)) == [[1, 2, 3], [], [9]]
+    assert one_by_one({"type": "array", "items": ["null", "string"]}, w(2) + w(0) + w(1) + w(1) + b"x" + w(0), w(0)) == [[None, "x"], []]
+    assert one_by_one("float", b"\x00\x00\xc0\x3f") == [1.5] and one_by_one(["string", "null"], w(0) + w(1) + b"y", w(1)) == ["y", None]
+    for kind, bad in (("long", b"\x80"), ("long", b"\xff" * 10), ("double", b"\x00" * 7), ("boolean", b"\x02"), ("string", w(3) + b"ab"), ("bytes", w(-1)), (["null", "long"], w(2) + w(1)), ({"type": "array", "items": "long"}, w(2) + w(1))):
+        with pytest.raises(avro_codec.BadMessage):
+            one_by_one(kind, bad, b"\x02\x04\x06\x08")
+
+
+def failing(df):
+    with pytest.raises(Exception) as caught:
+        df.collect()
+    return str(caught.value)
+
+
+@pytest.mark.parametrize("broken", [lambda v: v[:-2], lambda v: v + b"\x00", lambda v: b"", lambda v: b"\x05" + v[1:]])
+def test_a_broken_message_raises_wherever_it_stands(spark, broken):
+    """A cut message took its last bytes from the next one; any now fails, first, in the middle and last."""
+    df = spark.createDataFrame([("abc", 1), ("def", 2), ("ghi", 3)], "s string, n long").coalesce(1)
+    schema = avro_codec.avro_schema(df.schema, "T")
+    sent = [bytes(r[0]) for r in df.select(avro_codec.avro_payload(df, schema)).collect()]
+    for k in range(3):
+        got = [(broken(v) if i == k else v,) for i, v in enumerate(sent)]
+        assert "BadMessage" in failing(spark.createDataFrame(got, "v binary").coalesce(1).select(avro_codec.avro_decoded(F.col("v"), schema)))
+
+
+def record(*fields):
+    return json.dumps({"type": "record", "name": "T", "fields": [dict(zip(("name", "type", "default"), f)) for f in fields]})
+
+
+def test_schemas_are_resolved(spark):
+    """Columns added, taken away, in another order, renamed, promoted, and arrays; as the Java library reads them."""
+    df = spark.createDataFrame([(1, "x", [1, None], 2), (None, None, None, 3)], "a long, b string, c array<long>, d long")
+    writer = avro_codec.avro_schema(df.schema, "T", "")
+    optional = lambda t: ["null", t]
+    reader = record(("c", optional({"type": "array", "items": optional("double")})), ("new", optional("string"), None), ("a", optional("double")), ("kept", "long", 7))
+    reader = reader[:-2] + ', {"name": "bytes", "aliases": ["b"], "type": ["null", "bytes"]}]}'
+    sent = df.select(avro_codec.avro_payload(df, writer).alias("v"))
+    rows = [r[0].asDict() for r in sent.select(avro_codec.avro_decoded(F.col("v"), writer, reader)).collect()]
+    assert rows == [{"c": [1.0, None], "new": None, "a": 1.0, "kept": 7, "bytes": b"x"}, {"c": None, "new": None, "a": None, "kept": 7, "bytes": None}]
+    jvm = spark._jvm
+    parse = lambda s: jvm.org.apache.avro.Schema.Parser().parse(s)
+    for r, own in zip(sent.collect(), rows):
+        decoder = jvm.org.apache.avro.io.DecoderFactory.get().binaryDecoder(bytes(r.v), None)
+        said = jvm.org.apache.avro.generic.GenericDatumReader(parse(writer), parse(reader.replace('"aliases": ["b"], "type": ["null", "bytes"]', '"type": ["null", "bytes"], "default": null'))).read(None, decoder)
+        assert (said.get("a"), said.get("kept"), said.get("c") is None) == (own["a"], 7, own["c"] is None)
+    one = lambda kind: record(("a", kind))
+    decode = lambda w, r: spark.range(1).select(F.lit(b"\x02").alias("v")).select(avro_codec.avro_decoded(F.col("v"), w, r)["a"]).first()[0]
+    assert decode(one("int"), one("double")) == 1.0 and decode(one("long"), one(optional("long"))) == 1
+    for w, r in (("double", "long"), ("string", "long"), ("long", "boolean"), ({"type": "array", "items": "long"}, "long"), ("long", {"type": "array", "items": "long"})):
+        with pytest.raises(TypeError):
+            avro_codec.plan_fields(json.loads(one(w))["fields"], json.loads(one(r))["fields"])
+    with pytest.raises(TypeError):
+        avro_codec.plan_fields([], json.loads(one("long"))["fields"])
+    nulls = spark.createDataFrame([(b"\x00",)], "v binary").select(avro_codec.avro_decoded(F.col("v"), one(optional("long")), one("long")))
+    assert "null for a field" in failing(nulls)
+
+
+def test_schema_fingerprints_match_the_java_library(spark, wide):
+    parser = lambda s: spark._jvm.org.apache.avro.Schema.Parser().parse(s)
+    for schema in (avro_codec.avro_schema(wide.schema, "T"), avro_codec.avro_schema(wide.schema, "T", ""), record(("ü", "long", 3)), '"null"'):
+        theirs = spark._jvm.org.apache.avro.SchemaNormalization.parsingFingerprint64(parser(schema))
+        assert avro_codec.fingerprint(schema) == f"{theirs % (1 << 64):016x}"
+
+
+def test_long_arrays_of_many_rows(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 5 != 0, F.sequence(F.lit(0).cast("long"), F.col("id") % 70)).alias("xs"), F.transform(F.sequence(F.lit(1), (F.col("id") % 3).cast("int") + 1), lambda i: F.when(i != 2, F.concat(F.lit("s"), i))).alias("ss"))
+    schema = avro_codec.avro_schema(df.schema, "T")
+    back = df.select(avro_codec.avro_payload(df, schema).alias("v"), "xs", "ss").select(avro_codec.avro_decoded(F.col("v"), schema).alias("r"), "xs", "ss")
+    assert back.where(~F.col("r.xs").eqNullSafe(F.col("xs")) | ~F.col("r.ss").eqNullSafe(F.col("ss"))).count() == 0
 
 
 def test_avro_keeps_nan_apart_from_null(spark):

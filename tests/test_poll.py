@@ -7,7 +7,7 @@ from where import SF
 from rowtide.model import EARLIEST, Position, TableRef, TableSpec
 from rowtide.operators import poll
 from rowtide.operators.shards import FixedShard, NotNullShard, ShardList, TimeShard
-from rowtide.plans.choose import per_shard_possible, per_shard_wanted, planned_poll
+from rowtide.plans.choose import lag_of, per_shard_possible, per_shard_wanted, planned_poll
 
 SPEC = TableSpec(TableRef("db", "t"), "ts", ("a", "b"))
 T0 = dt.datetime(2024, 1, 1)
@@ -124,8 +124,11 @@ def test_plan_choice():
     many = ShardList("s", tuple(range(101)))
     assert per_shard_possible(ShardList("s", (1, 2)), 100_000) and not per_shard_possible(ShardList("s", (1, 2)), 100_001)
     assert not per_shard_possible(many, 10) and not per_shard_possible(FixedShard("s", 1), 10)
-    assert per_shard_wanted(True, False, dt.timedelta(seconds=61)) and not per_shard_wanted(True, False, dt.timedelta(seconds=60))
-    assert not per_shard_wanted(False, False, dt.timedelta(hours=1)) and not per_shard_wanted(True, True, dt.timedelta(hours=1))
+    assert per_shard_wanted(True, dt.timedelta(seconds=61)) and not per_shard_wanted(True, dt.timedelta(seconds=60))
+    assert not per_shard_wanted(False, dt.timedelta(hours=1))
+    now = dt.datetime(2024, 1, 2)
+    assert lag_of(Position(dt.date(2024, 1, 1)), now) == lag_of(Position(dt.datetime(2024, 1, 1, tzinfo=dt.UTC)), now) == dt.timedelta(days=1)
+    assert lag_of(Position(None), now) == lag_of(Position(7), now) == dt.timedelta(0)
 
 
 @pytest.mark.parametrize("ahead", [1, 2, 7, 1000])

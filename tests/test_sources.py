@@ -185,3 +185,39 @@ def test_upsert_and_gauges(spark):
     assert gauges.max_poll_latency(old, "ts", now, 1, 2) == 0 and gauges.max_poll_latency(old, "ts", now, 2, 2) == 86399
     assert gauges.position_state(new, "ts").first() == (T1, 2)
     assert [len(p) for p in gauges.divide_shards(range(37), 4)] == [10, 9, 9, 9] and sum(gauges.divide_shards([1, 2, 3], 5), []) == [1, 2, 3]
+
+
+def test_reset_refuses_a_writer_that_read_before(spark, tmp_path):
+    """One that read version n, and writes after a reset, is refused; a new one begins afresh."""
+    store = TablePositionStore(spark, str(tmp_path), "earliest")
+    ref, at = TableRef("db", "t"), dt.datetime(2024, 1, 1)
+    store.set(ref, Position(at))
+    read = store._read
+
+    def late(table, shard):
+        found = read(table, shard)
+        store._read = read
+        store.reset(table)  # between the read and the write of another
+        return found
+
+    store._read = late
+    assert store.set(ref, Position(at + dt.timedelta(1))) is False and store.get(ref) == EARLIEST and store.frame().count() == 0
+    store.reset(ref)
+    assert store.set(ref, Position(at)) is True and store.frame().count() == 1 and store.get(ref) == Position(at)
+
+
+def test_verify_looks_at_stored_rows(spark, tmp_path):
+    ref = TableRef("db", "t")
+    store = TablePositionStore(spark, str(tmp_path), "earliest")
+    store.set(ref, Position(dt.datetime(2024, 1, 1), (1, "k")))
+    store.set(TableRef("db", "u"), Position(dt.date(2024, 1, 1)), 7)
+    store.reset(TableRef("db", "u"), [7])
+    TablePositionStore(spark, str(tmp_path), "earliest")
+    (row,) = (p for p in tmp_path.glob("positions/at=*/*.json") if '"t"' in p.read_text())
+    good = row.read_text()
+    for bad in ("no json", good.replace("2024-01-01T00:00:00", "soon"), good.replace('"table"', '"tabel"'), good.replace('"version"', '"v"')):
+        row.write_text(bad)
+        for crc in row.parent.glob(".*.crc"):
+            crc.unlink()
+        with pytest.raises(ValueError, match="no position"):
+            TablePositionStore(spark, str(tmp_path), "earliest")

@@ -340,3 +340,224 @@ def test_properties(tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     assert read_properties() == {}
     assert [duration(x) for x in ("PT0.1S", "PT1M", "P1DT2H")] == [0.1, 60.0, 93600.0]
+
+
+# --- what polls leave behind, and how they are planned -------------------------------
+
+
+def checkpoints(spark):
+    import glob
+
+    return sum(map(len, (glob.glob(f"{d}/*/rdd-*") for d in [spark.conf.get("spark.checkpoint.dir")])))
+
+
+def test_polls_leave_no_checkpoints(spark):
+    t = Table(spark)
+    t.commit(1, *((i, "n") for i in range(5)))
+    before = checkpoints(spark)
+    w = TableWatcher(t, t.spec, MemoryPositionStore(start="earliest"), limit=2)
+    seen = collect(w)
+    w.run_available()
+    for _ in range(47):
+        assert not w.poll_once()
+    assert len(seen) == 5 and w.metrics["polls"] == 50 and checkpoints(spark) == before
+
+
+def test_a_failed_callback_leaves_no_checkpoint(spark):
+    t = Table(spark)
+    t.commit(1, (1, "a"))
+    before = checkpoints(spark)
+    w = TableWatcher(t, t.spec, MemoryPositionStore(start="earliest"))
+    w.on_batch(lambda *_: 1 // 0)
+    with pytest.raises(ZeroDivisionError):
+        w.run_available()
+    assert checkpoints(spark) == before
+
+
+def test_a_poll_is_one_job(spark):
+    """What the poll tells is observed while its batch is written."""
+    t = Table(spark)
+    t.commit(1, (1, "a"), (2, "b"))
+    table = t()
+    w = TableWatcher(lambda: table, t.spec, MemoryPositionStore(start="earliest"))
+    w.prepare()
+    spark.sparkContext.setJobGroup("one poll", "")
+    try:
+        w.poll_once()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("one poll")
+    # One to find the rows, one to write what was found.
+    assert w.metrics["rows"] == 2 and len(jobs) <= 2
+
+
+@pytest.mark.parametrize("limit", [1, 3, 7])
+def test_a_watcher_behind_takes_the_per_shard_plan(spark, limit):
+    t = Table(spark)
+    for h in range(4):
+        t.commit(h, *((10 * h + i, "n") for i in range(4)), shard="sz"[h % 2])
+    w = TableWatcher(t, t.spec, MemoryPositionStore(start="earliest"), ShardList("shard", ("s", "z")), limit)
+    seen = collect(w)
+    w.run_available()
+    assert [s[1] for s in seen] == sorted(t.rows) and w.metrics["per_shard_polls"] == w.metrics["polls"] - 1 > 0
+    near = TableWatcher(t, t.spec, MemoryPositionStore(start="earliest"), ShardList("shard", ("s", "z")), limit, clock=lambda: T0)
+    near.run_available()
+    assert near.metrics["per_shard_polls"] == 0 and near.metrics["rows"] == len(t.rows)
+
+
+def test_order_within_a_change_set(spark):
+    """Rows of a set come by their key, sets by their timestamp."""
+    sets = spark.createDataFrame([("b", T0), ("a", T0 + dt.timedelta(1))], "id string, ts timestamp_ntz")
+    data = spark.createDataFrame([(k, "ab"[k % 2]) for k in (5, 3, 8, 1, 2)], "k long, change_set_id string")
+    w = ChangeSetWatcher(lambda: sets, TableSpec(TableRef("db", "sets"), "ts", ("id",)), lambda: data, TableRef("db", "data"), key=("k",), positions=MemoryPositionStore(start="earliest"))
+    seen = []
+    w.on_row(lambda table, row, ts: seen.append((ts.day, row.k)))
+    w.run_available()
+    assert seen == [(1, 1), (1, 3), (1, 5), (2, 2), (2, 8)]
+
+
+def test_change_set_watcher_reads_folders_of_its_sets(spark, tmp_path):
+    from rowtide.operators.changesets import ChangeSetWriter, with_sets
+
+    hours = iter(range(24))
+    writer = ChangeSetWriter(spark, str(tmp_path / "sets"), clock=lambda: T0 + dt.timedelta(hours=next(hours)))
+    for k in range(6):
+        writer.write(str(tmp_path / "data"), spark.range(k * 10, k * 10 + 3), f"{k:03d}")
+    writer.plain_write(str(tmp_path / "data"), spark.range(900, 902).withColumn("change_set_id", F.lit("000")))
+    spec = TableSpec(TableRef("db", "sets"), "commit_timestamp", ("change_set_id",))
+    some = spark.read.parquet(str(tmp_path / "sets")).where("change_set_id in ('001', '004')")
+    found = with_sets(spark.read.parquet(str(tmp_path / "data")), "change_set_id", some, spec, 100)
+    assert sorted(r.id for r in found.collect()) == [10, 11, 12, 40, 41, 42] and "_set" not in found.columns
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_set#" in plan and "number of partitions read: 2" in plan or "_set#" in plan.split("PartitionFilters:")[1][:20]
+    seen = []
+    w = ChangeSetWatcher(lambda: spark.read.parquet(str(tmp_path / "sets")), spec, lambda: spark.read.parquet(str(tmp_path / "data")), TableRef("db", "data"), key=("id",), positions=MemoryPositionStore(start="earliest"), limit=4)
+    w.on_row(lambda table, row, ts: seen.append(row.id))
+    w.run_available()
+    assert seen == [k * 10 + i for k in range(6) for i in range(3)]
+    # A part of a transaction's second table, and two writes to one table.
+    with writer.transaction("007") as t:
+        t.buffer(str(tmp_path / "data"), spark.range(70, 72))
+        t.buffer(str(tmp_path / "data"), spark.range(72, 74))
+    w2 = spark.read.parquet(str(tmp_path / "data")).where("change_set_id = '007'")
+    assert sorted(r.id for r in w2.collect()) == [70, 71, 72, 73]
+
+
+# --- file index --------------------------------------------------------------------
+
+
+def test_file_index(spark, tmp_path):
+    from rowtide.sources.file_index import FileIndex
+
+    table = str(tmp_path / "t")
+    spark.range(1000).withColumn("x", F.col("id") * 2).repartitionByRange(10, "id").write.parquet(table)
+    index = FileIndex(spark, table, str(tmp_path / "i"), "id")
+    ids = lambda *values: spark.createDataFrame([(v,) for v in values], "k int")
+    assert index.refresh() == 10 and index.refresh() == 0
+    assert len(index.files(ids(5, 7, None))) == 1 and len(index.files(ids(5, 995))) == 2 and index.files(ids(5000)) == []
+    assert index.rows(ids(5000)).count() == 0 and index.rows(ids(5)).where("id = 5").first().x == 10
+    spark.range(1000, 1100).withColumn("x", F.col("id") * 2).coalesce(1).write.mode("append").parquet(table)
+    assert index.rows(ids(1050)).where("id = 1050").first().x == 2100 and index.refresh() == 0
+    import os
+
+    gone = index.files(ids(5))[0].removeprefix("file://")
+    os.remove(gone)
+    assert index.files(ids(5)) == [] and len(index.files(ids(1050))) == 1
+
+
+# --- keyed tables ------------------------------------------------------------------
+
+
+def test_keyed_table_writes_only_what_changes(spark, tmp_path):
+    from rowtide.operators.changesets import KeyedTable
+
+    t = KeyedTable(spark, str(tmp_path / "t"), ["k"], "ts", buckets=16)
+    t.create(spark.range(500).select(F.col("id").alias("k"), F.lit("old").alias("v"), F.lit(T0).cast("timestamp_ntz").alias("ts")))
+    before = set(spark.read.parquet(t.path).inputFiles())
+    touched = t.upsert(spark.createDataFrame([(3, "new"), (3, "newer"), (900, "new")], "k int, v string"), T0 + dt.timedelta(1))
+    after = set(spark.read.parquet(t.path).inputFiles())
+    rows = {r.k: (r.v, r.ts.day) for r in t.read().collect()}
+    assert len(rows) == 501 and rows[3] == ("newer", 2) and rows[900] == ("new", 2) and rows[4] == ("old", 1)
+    assert len(touched) <= 2 and len(before & after) == len(before) - len(touched)
+    assert t.upsert(t.read().limit(0).drop("ts"), T0) == [] and set(spark.read.parquet(t.path).inputFiles()) == after
+    t.upsert(t.read().where("k < 5").drop("ts"), T0)  # rows of the table itself
+    assert t.read().count() == 501 and {r.ts.day for r in t.read().where("k < 5").collect()} == {1}
+
+
+# --- publishing again, and subscriptions ----------------------------------------------
+
+
+def test_a_batch_appears_as_a_whole(spark, tmp_path):
+    topics = TopicFolder(str(tmp_path), create=True)
+    topics.ensure(spark, "t")
+    ok = spark.range(3).select(F.col("id").cast("string").cast("binary").alias("value"), F.create_map(F.lit("a"), F.lit("b")).alias("attributes"))
+    bad = ok.withColumn("value", F.when(F.rand() >= 0, F.raise_error(F.lit("no"))).cast("binary"))
+    with pytest.raises(Exception):
+        topics.publish(bad, "t", "one")
+    assert topics.read(spark, "t").count() == 0 and [p.name for p in tmp_path.glob("t/*")] == []
+    topics.publish(ok, "t", "one")
+    topics.publish(ok.limit(2), "t", "one")
+    topics.publish(ok, "t")
+    assert topics.read(spark, "t").count() == 5
+
+
+def test_message_ids(spark):
+    from rowtide.streaming.envelope import message_id
+
+    rows = spark.createDataFrame([(1, "1"), (11, ""), (1, None), (None, "1"), (1, "1")], "a int, b string").withColumn("ts", F.lit(T0).cast("timestamp_ntz"))
+    ids = [r[0] for r in rows.select(message_id(TableRef("db", "t"), F.col("ts"), [F.col("a"), F.col("b")])).collect()]
+    assert len(set(ids)) == 4 and ids[0] == ids[4] and rows.select(message_id(TableRef("db", "u"), F.col("ts"), [F.col("a"), F.col("b")])).first()[0] not in ids
+
+
+def test_one_ready_topic(spark, tmp_path):
+    from rowtide.streaming.envelope import Topic
+
+    t = Table(spark)
+    t.commit(1, (1, "a"))
+    topics = TopicFolder(str(tmp_path), create=True)
+    watch = lambda: TableWatcher(t, t.spec, MemoryPositionStore(start="earliest"))
+    Publisher(watch(), topic=Topic(topics, "mine")).run_available()
+    assert topics.read(spark, "mine").count() == 1
+    for wrong in ({}, {"topics": topics}, {"topics": topics, "template": "t", "topic": Topic(topics, "mine")}, {"template": "t", "topic": Topic(topics, "mine")}):
+        with pytest.raises(ValueError):
+            Publisher(watch(), **wrong)
+
+
+def test_subscriptions_have_places_of_their_own(spark, tmp_path):
+    from rowtide.streaming.subscriber import Subscription
+
+    topics = TopicFolder(str(tmp_path), create=True)
+    with pytest.raises(TopicNotFound):
+        Subscription(spark, topics, "t", "a", print)
+    topics.ensure(spark, "t")
+    message = lambda k: spark.range(k, k + 2).select(F.lit(b"x").alias("value"), F.create_map(F.lit("a"), F.lit("b")).alias("attributes"), F.col("id").cast("string").alias("message_id"))
+    seen = {"a": [], "b": []}
+    run = lambda name: Subscription(spark, topics, "t", name, lambda batch, k: seen[name].extend(sorted(r.message_id for r in batch.collect()))).run_available()
+    run("a")  # nothing is there yet
+    topics.publish(message(0), "t", "one")
+    run("a")
+    topics.publish(message(2), "t", "two")
+    run("a")
+    run("a")
+    run("b")
+    assert seen == {"a": ["0", "1", "2", "3"], "b": ["0", "1", "2", "3"]}
+    topics.publish(message(0), "t", "one")  # sent again
+    run("a")
+    assert seen["a"] == ["0", "1", "2", "3", "0", "1"]
+
+
+def test_unknown_schema_versions_raise(spark, tmp_path):
+    from rowtide.streaming.envelope import read_as
+
+    t = Table(spark)
+    t.commit(1, (1, "a"))
+    topics = TopicFolder(str(tmp_path), create=True)
+    p = Publisher(TableWatcher(t, t.spec, MemoryPositionStore(start="earliest")), topics, "t")
+    p.run_available()
+    (version, schema), *_ = topics.schemas(spark, "t").items()
+    messages = topics.read(spark, "t")
+    assert read_as(messages, {version: schema}, schema).first().id == 1
+    with pytest.raises(Exception, match="no schema of version"):
+        read_as(messages, {"0" * 16: schema}, schema).collect()
+    with pytest.raises(LookupError):
+        read_as(messages, {}, schema)
