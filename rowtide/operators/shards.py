@@ -7,8 +7,9 @@ import decimal
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowtide.functions.buckets import BUCKETS, Bucket, bucket_text, hashed
 
@@ -117,3 +118,24 @@ def shard_id(at: Column, bucket: str, encoded: bool = True) -> Column:
 def computed_shard(done: Column, value: Column, shards: int) -> Column:
     """Null for rows that are done with, else the value modulo ``shards`` with the dividend's sign."""
     return F.when(F.coalesce(done, F.lit(False)), F.lit(None)).otherwise(value % shards)
+
+
+class BucketedTable:
+    """A Parquet table in folders by the time bucket of its commits: a poll by TimeShard opens those of its buckets alone."""
+
+    def __init__(self, spark: SparkSession, path: str, commit_ts: str, bucket: str, column: str = "shard", encoded: bool = True):
+        self.spark, self.path, self.commit_ts, self.bucket, self.column, self.encoded = spark, path, commit_ts, bucket, column, encoded
+
+    def write(self, rows: DataFrame) -> None:
+        """Appends rows, with what ``shard_id`` gives in the column; each folder gets few files."""
+        placed = rows.withColumn(self.column, shard_id(F.col(self.commit_ts), self.bucket, self.encoded))
+        placed.repartition(self.column).write.mode("append").partitionBy(self.column).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        """The table; names of buckets stay text, whatever they look like."""
+        found = self.spark.read.parquet(self.path).schema
+        kinds = [T.StructField(f.name, T.StringType(), True) if f.name == self.column else f for f in found.fields]
+        return self.spark.read.schema(T.StructType(kinds)).parquet(self.path)
+
+    def shard(self, now: dt.datetime, since: dt.datetime | None = None) -> TimeShard:
+        return TimeShard(self.column, self.bucket, now, self.encoded, since)

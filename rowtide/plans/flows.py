@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from rowtide.functions import avro_codec, codecs, json_codec
 from rowtide.model import EARLIEST, Position, TableRef, TableSpec
 from rowtide.operators import changesets, poll, shards
-from rowtide.plans.queries import COLUMNS, EVENTS, IN_PRIORITIES, INDEX_COLUMNS, INDEXES, NOW, ORDERS, PRIORITIES, SHAPES, STAMP, TABLES, query, read
+from rowtide.plans.queries import COLUMNS, EVENTS, IN_PRIORITIES, KEYS, NOW, ORDERS, PRIORITIES, STAMP, known, query, read
 from rowtide.sources import catalog
 from rowtide.sources.file_index import FileIndex
 from rowtide.sources.positions import MemoryPositionStore, TablePositionStore
 from rowtide.sources.shared import Folder, shared_folder
 from rowtide.streaming import envelope
+from rowtide.streaming.poll_source import poll_stream
 from rowtide.streaming.publisher import Publisher
 from rowtide.streaming.subscriber import Archiver, Subscription
 from rowtide.streaming.watcher import ChangeSetWatcher, DatabaseWatcher, State, TableWatcher, follow_log, ticking
@@ -52,36 +53,42 @@ def position_roundtrip(spark, d):
     return store.frame().drop("last_key")
 
 
-@query("SELECT * FROM (VALUES ('now', TIMESTAMP '2024-01-15 00:00:30', true), ('timestamp', TIMESTAMP '1998-07-01', true), ('earliest', NULL, false)) t(start, first, stored)")
+@query("""SELECT 'now' AS start, TIMESTAMP '2024-01-15 00:00:30' AS first, true AS stored UNION ALL SELECT 'timestamp', min(o_orderdate), true FROM orders UNION ALL SELECT 'earliest', NULL, false""")
 def position_start(spark, d):
-    """What a table without a position begins with, and whether that is kept."""
-    rows = []
-    for name, start in (("now", "now"), ("timestamp", SINCE), ("earliest", "earliest")):
+    """What a table without a position begins with, and whether that is kept; the timestamp is the table's first."""
+    rows, since = [], read(spark, d, "orders").agg(F.min("o_orderdate")).first()[0]
+    for name, start in (("now", "now"), ("timestamp", since), ("earliest", "earliest")):
         store = TablePositionStore(spark, own_folder(spark), start, clock=lambda: NOW)
         rows.append((name, store.get(ORDERS.ref).ts, store.frame().count() == 1))
     return spark.createDataFrame(rows, "start string, first timestamp_ntz, stored boolean")
 
 
-@query("""SELECT * FROM (VALUES (1, 'advances', true), (2, 'same', false), (3, 'key advances', true), (4, 'commit ends', true), (5, 'goes back', NULL)) t(step, what, stored)""")
+@query("""SELECT event_type, max(ts) AS last_seen, 'advances true, same false, key advances true, commit ends true, goes back refused' AS steps FROM events GROUP BY event_type""")
 def position_advances(spark, d):
-    store, at, rows = TablePositionStore(spark, own_folder(spark), "earliest"), SINCE, []
-    steps = (("advances", Position(at, (1,))), ("same", Position(at, (1,))), ("key advances", Position(at, (2,))), ("commit ends", Position(at)), ("goes back", Position(at, (9,))))
-    for k, (what, position) in enumerate(steps, 1):
-        try:
-            rows.append((k, what, store.set(ORDERS.ref, position)))
-        except ValueError:
-            rows.append((k, what, None))
-    return spark.createDataFrame(rows, "step int, what string, stored boolean")
+    """For each shard of a table: steps to its first commit, within and past its last one, and back."""
+    store, rows = TablePositionStore(spark, own_folder(spark), "earliest"), []
+    for r in read(spark, d, "events").groupBy("event_type").agg(F.min("ts").alias("low"), F.max("ts").alias("high")).collect():
+        steps = (("advances", Position(r.high, (1,))), ("same", Position(r.high, (1,))), ("key advances", Position(r.high, (2,))), ("commit ends", Position(r.high)), ("goes back", Position(r.low)))
+        store.set(EVENTS.ref, Position(r.low), r.event_type)
+        told = []
+        for what, position in steps:
+            try:
+                told.append(f"{what} {store.set(EVENTS.ref, position, r.event_type)}".lower())
+            except ValueError:
+                told.append(f"{what} refused")
+        rows.append((r.event_type, store.get(EVENTS.ref, r.event_type).ts, ", ".join(told)))
+    return spark.createDataFrame(rows, "event_type string, last_seen timestamp_ntz, steps string")
 
 
-@query("SELECT * FROM (VALUES ('1'), ('3')) t(shard_value)")
+@query("SELECT event_type AS shard_value, max(ts) AS last_seen FROM events WHERE event_type <> (SELECT min(event_type) FROM events) GROUP BY event_type")
 def position_reset(spark, d):
-    """Positions left after one of three shards was reset."""
+    """The positions of a table's shards after that of the first one was reset."""
     store = TablePositionStore(spark, own_folder(spark), "earliest")
-    for s in (1, 2, 3):
-        store.set(ORDERS.ref, Position(SINCE), s)
-    store.reset(ORDERS.ref, [2])
-    return store.frame().select("shard_value")
+    last = read(spark, d, "events").groupBy("event_type").agg(F.max("ts").alias("ts")).collect()
+    for r in last:
+        store.set(EVENTS.ref, Position(r.ts), r.event_type)
+    store.reset(EVENTS.ref, [min(r.event_type for r in last)])
+    return store.frame().select("shard_value", "last_seen")
 
 
 @query("""SELECT 'array<str>' AS shard_type, string_agg(to_base64(p::BLOB), ',' ORDER BY p) AS shard_value FROM (SELECT DISTINCT o_orderpriority AS p FROM orders)
@@ -212,11 +219,16 @@ def bucket_upsert(spark, d):
     return table.read()
 
 
-@query("SELECT 1000::BIGINT AS ids, 1000::BIGINT AS distinct_ids, 1000::BIGINT AS of_version_4")
+@query("SELECT n_regionkey, count(*) AS n_rows, 1::BIGINT AS ids, true AS of_version_4 FROM nation GROUP BY n_regionkey")
 def change_set_ids(spark, d):
-    ids = spark.createDataFrame([(changesets.uuid_id(),) for _ in range(1000)], "id string")
-    four = F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
-    return ids.agg(F.count("*").alias("ids"), F.count_distinct("id").alias("distinct_ids"), F.count_if(four).alias("of_version_4"))
+    """A transaction for each region's nations: its rows share one id, which is a UUID of version 4."""
+    folder, nations = own_folder(spark), read(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    writer = changesets.ChangeSetWriter(spark, f"{folder}/sets")
+    for r in read(spark, d, "region").select("r_regionkey").collect():
+        writer.write(f"{folder}/data", nations.where(F.col("n_regionkey") == r.r_regionkey))
+    four = F.col("change_set_id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    found = changesets.changed_rows(spark.read.parquet(f"{folder}/sets"), SETS, writer.read(f"{folder}/data"), "change_set_id")
+    return found.groupBy("n_regionkey").agg(F.count("*").alias("n_rows"), F.count_distinct("change_set_id").alias("ids"), F.bool_and(four).alias("of_version_4"))
 
 
 @query("SELECT l_orderkey, l_linenumber, o_orderdate AS _commit_ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate > TIMESTAMP '1998-07-01'")
@@ -331,6 +343,20 @@ def watcher_tick(spark, d):
     return spark.read.parquet(f"{folder}/orders").select("o_orderkey")
 
 
+@query("SELECT o_orderkey, o_orderdate, CASE WHEN o_orderdate <= TIMESTAMP '1998-07-10' THEN 1 WHEN o_orderdate <= TIMESTAMP '1998-07-20' THEN 2 ELSE 3 END AS run FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01'")
+def stream_source_poll(spark, d):
+    """Polls as a stream source, stopped and started again as the table grows: its checkpoint is the position."""
+    folder, orders = own_folder(spark), read(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    ends = [SINCE, dt.datetime(1998, 7, 10), dt.datetime(1998, 7, 20), NOW]
+    orders.where(F.col("o_orderdate") <= F.lit(SINCE).cast("timestamp_ntz")).write.parquet(f"{folder}/table")
+    for run, (low, high) in enumerate(zip(ends, ends[1:]), 1):
+        new = (F.col("o_orderdate") > F.lit(low).cast("timestamp_ntz")) & (F.col("o_orderdate") <= F.lit(high).cast("timestamp_ntz"))
+        orders.where(new).write.mode("append").parquet(f"{folder}/table")
+        changes = poll_stream(spark, f"{folder}/table", "o_orderdate", SINCE.isoformat()).withColumn("run", F.lit(run))
+        changes.writeStream.format("parquet").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query("SELECT event_id, user_id FROM events")
 def log_stream(spark, d):
     """An append-only log, followed as a file stream in two files a time."""
@@ -340,18 +366,14 @@ def log_stream(spark, d):
     return spark.read.parquet(f"{folder}/out")
 
 
-METADATA = {"tables": TABLES, "columns": COLUMNS, "indexes": INDEXES, "index_columns": INDEX_COLUMNS}
-
-
 @query("""SELECT 'orders' AS "table", o_orderkey AS key, o_orderdate AS ts FROM orders WHERE o_orderdate > TIMESTAMP '1998-07-01' AND o_orderstatus = 'F'
 UNION ALL SELECT 'events', event_id, ts FROM events WHERE ts > TIMESTAMP '1998-07-01'""")
 def multi_table_feed(spark, d):
     """All tables that the catalog selects, one of them by a shard of its own, into one feed."""
     folder = own_folder(spark)
-    known = catalog.Catalog(*[spark.createDataFrame(rows, SHAPES[name]) for name, rows in METADATA.items()], "db")
     w = DatabaseWatcher.selected(
-        known,
-        catalog.Selection.all_tables(),
+        known(spark, d),
+        catalog.Selection.include("orders", "events"),
         lambda ref: read(spark, d, ref.table),
         shards={"orders": shards.FixedShard("o_orderstatus", "F")},
         positions=TablePositionStore(spark, folder, SINCE),
@@ -363,11 +385,11 @@ def multi_table_feed(spark, d):
     return spark.read.parquet(f"{folder}/feed/*")
 
 
-@query("SELECT * FROM (VALUES ('orders', 'o_orderdate', 'o_orderkey'), ('events', 'user_ts', 'event_id')) t(\"table\", commit_ts, key)")
+@query(f"""SELECT "table", CASE "table" WHEN 'events' THEN 'user_ts' ELSE min_by("column", ordinal) END AS commit_ts, k.key FROM {COLUMNS} JOIN (VALUES {', '.join(f"('{t}', '{key[0]}')" for t, key in KEYS.items())}) k("table", key) USING ("table")
+WHERE data_type LIKE 'TIMESTAMP%' GROUP BY "table", k.key""")
 def catalog_commit_column(spark, d):
-    """The commit timestamp column of each table: the flagged one, or the one that a function names."""
-    known = catalog.Catalog(*[spark.createDataFrame(rows, SHAPES[name]) for name, rows in METADATA.items()], "db")
-    specs = known.specs(catalog.Selection.all_tables(), lambda ref: "user_ts" if ref.table == "events" else None)
+    """The commit timestamp column of each table: the first that is flagged, or the one that a function names."""
+    specs = known(spark, d).specs(catalog.Selection.all_tables(), lambda ref: "user_ts" if ref.table == "events" else None)
     return spark.createDataFrame([(s.ref.table, s.commit_ts, s.primary_key[0]) for s in specs], "`table` string, commit_ts string, key string")
 
 

@@ -141,9 +141,11 @@ def computed_shard(spark, d):
     return read(spark, d, "orders").select("o_orderkey", value.alias("shard"))
 
 
-@query("SELECT unnest(['1-URGENT', '3-MEDIUM', '5-LOW']) AS shard")
+@query("SELECT DISTINCT o_orderpriority AS shard FROM orders WHERE o_orderpriority IS NOT NULL")
 def shard_split(spark, d):
-    return spark.createDataFrame([(v,) for v in split_shards([*PRIORITIES, None, "5-LOW"])], "shard string")
+    """The shards of a list that names some twice, and null."""
+    names = [r[0] for r in read(spark, d, "orders").groupBy("o_orderpriority").count().collect()]
+    return spark.createDataFrame([(v,) for v in split_shards([*names, None, *names])], "shard string")
 
 
 SHARD_TIMES = {
@@ -170,6 +172,14 @@ def shard_time_filter(spark, d):
     return poll.changes(rows, EVENTS, shard=shards.TimeShard("shard", "HOUR_OF_DAY", NOW, encoded=False))
 
 
+@query("SELECT event_id, ts, strftime(ts, '%H') AS shard FROM events WHERE strftime(ts, '%H') IN ('00', '23')")
+def shard_time_partitioned(spark, d):
+    """The same from a table in folders by the hour: two of them are read."""
+    table = shards.BucketedTable(spark, f"{shared_folder(spark)}/hours-{uuid.uuid4().hex}", "ts", "HOUR_OF_DAY", encoded=False)
+    table.write(read(spark, d, "events").select("event_id", "ts"))
+    return poll.changes(table.read(), EVENTS, shard=table.shard(NOW)).select("event_id", "ts", "shard")
+
+
 def _fingerprint_sql(text: str, n: int) -> str:
     """FarmHash of ``text``, of ``n`` bytes from 17 to 32, in 128-bit arithmetic."""
     whole, k1, k2 = 1 << 64, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F
@@ -251,64 +261,52 @@ def mutation_upsert(spark, d):
 
 # --- catalog -----------------------------------------------------------------------
 
-TABLES = [("", "", t) for t in ("region", "nation", "orders", "events", "lineitem")]
-COLUMNS = [
-    ("", "", "orders", "o_orderkey", "INT64", False, 1, False),
-    ("", "", "orders", "o_orderdate", "TIMESTAMP", True, 2, True),
-    ("", "", "orders", "o_comment", "STRING(MAX)", True, 3, False),
-    ("", "", "events", "event_id", "INT64", False, 1, False),
-    ("", "", "events", "ts", "TIMESTAMP", True, 2, True),
-    ("", "", "lineitem", "l_orderkey", "INT64", False, 1, False),
-    ("", "", "nation", "n_nationkey", "INT64", False, 1, False),
-]
-INDEXES = [("", "", t, "PRIMARY_KEY", "PRIMARY_KEY") for t in ("orders", "events", "lineitem")] + [("", "", "orders", "by_date", "INDEX")]
-INDEX_COLUMNS = [
-    ("", "", "orders", "PRIMARY_KEY", "o_orderkey", 1),
-    ("", "", "events", "PRIMARY_KEY", "event_id", 1),
-    ("", "", "lineitem", "PRIMARY_KEY", "l_orderkey", 1),
-    ("", "", "lineitem", "PRIMARY_KEY", "l_linenumber", 2),
-    ("", "", "orders", "by_date", "o_orderdate", 1),
-]
-SHAPES = {
-    "tables": "catalog string, schema string, table string",
-    "columns": "catalog string, schema string, table string, column string, type string, nullable boolean, ordinal int, commit_ts boolean",
-    "indexes": "catalog string, schema string, table string, index string, kind string",
-    "index_columns": "catalog string, schema string, table string, index string, column string, ordinal int",
-}
+KEYS = {"orders": ("o_orderkey",), "events": ("event_id",), "lineitem": ("l_orderkey", "l_linenumber"), "nation": ("n_nationkey",)}
+TABLE_NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: The columns of the given tables, as the other engine knows them.
+COLUMNS = f"""(SELECT '' AS catalog, '' AS schema, table_name AS "table", column_name AS "column", data_type, ordinal_position::INT AS ordinal FROM information_schema.columns
+WHERE table_name IN ({', '.join(f"'{t}'" for t in TABLE_NAMES)}))"""
+NAMED = 'SELECT DISTINCT catalog, schema, "table"'
 
 
-def metadata(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame({"tables": TABLES, "columns": COLUMNS, "indexes": INDEXES, "index_columns": INDEX_COLUMNS}[name], SHAPES[name])
+def known(spark: SparkSession, d: str) -> catalog.Catalog:
+    """The catalog of the given tables; their timestamps are taken for those of commits."""
+    tables = {t: read(spark, d, t) for t in TABLE_NAMES}
+    return catalog.described(tables, KEYS, lambda _, f: f.dataType.typeName().startswith("timestamp"), "db")
 
 
-def _names(*names: str) -> str:
-    return "SELECT '' AS catalog, '' AS schema, unnest([" + ", ".join(f"'{n}'" for n in names) + "]) AS \"table\""
+def _selected(name: str, selection: catalog.Selection, which: str):
+    def run(spark, d):
+        about = known(spark, d)
+        return catalog.commit_ts_tables(about.tables, about.columns, selection)
 
+    query(f"{NAMED} FROM {COLUMNS} WHERE data_type LIKE 'TIMESTAMP%' AND {which}", name)(run)
 
-def _selected(name: str, selection: catalog.Selection, *expected: str):
-    query(_names(*expected), name)(lambda spark, d: catalog.commit_ts_tables(metadata(spark, "tables"), metadata(spark, "columns"), selection))
 
+_selected("catalog_tables_all", catalog.Selection.all_tables(), "true")
+_selected("catalog_tables_include", catalog.Selection.include("orders", "region"), "\"table\" IN ('orders', 'region')")
+_selected("catalog_tables_except", catalog.Selection.all_tables().but("orders"), "\"table\" <> 'orders'")
 
-_selected("catalog_tables_all", catalog.Selection.all_tables(), "orders", "events")
-_selected("catalog_tables_include", catalog.Selection.include("orders", "region"), "orders")
-_selected("catalog_tables_except", catalog.Selection.all_tables().but("orders"), "events")
 
-
-@query(_names("lineitem"))
+@query(f"{NAMED} FROM {COLUMNS} WHERE \"column\" = 'l_orderkey' AND \"table\" <> 'orders'")
 def catalog_tables_change_set(spark, d):
-    return catalog.change_set_tables(metadata(spark, "tables"), metadata(spark, "columns"), catalog.Selection.all_tables(), "l_orderkey", "orders")
+    about = known(spark, d)
+    return catalog.change_set_tables(about.tables, about.columns, catalog.Selection.all_tables(), "l_orderkey", "orders")
+
+
+_KEYED = ", ".join(f"('{t}', '{c}', {i})" for t, key in KEYS.items() for i, c in enumerate(key, 1))
 
 
-@query("""SELECT '' AS catalog, '' AS schema, * FROM (VALUES ('orders', 'o_orderkey', 1), ('events', 'event_id', 1),
-('lineitem', 'l_orderkey', 1), ('lineitem', 'l_linenumber', 2)) t("table", "column", ordinal)""")
+@query(f"""SELECT catalog, schema, "table", "column", k.ordinal FROM {COLUMNS} c JOIN (VALUES {_KEYED}) k("table", "column", ordinal) USING ("table", "column")""")
 def catalog_pk(spark, d):
-    return catalog.primary_key(metadata(spark, "indexes"), metadata(spark, "index_columns"))
+    about = known(spark, d)
+    return catalog.primary_key(about.indexes, about.index_columns)
 
 
-@query("""SELECT * FROM (VALUES ('o_orderkey', 'INT64', FALSE, 1), ('o_orderdate', 'TIMESTAMP', TRUE, 2),
-('o_comment', 'STRING(MAX)', TRUE, 3)) t("column", type, nullable, ordinal)""")
+@query(f"""SELECT "column", CASE data_type WHEN 'BIGINT' THEN 'INT64' WHEN 'INTEGER' THEN 'INT64' WHEN 'VARCHAR' THEN 'STRING' WHEN 'DOUBLE' THEN 'FLOAT64' ELSE data_type END AS type, true AS nullable, ordinal
+FROM {COLUMNS} WHERE "table" = 'orders'""")
 def catalog_columns(spark, d):
-    return catalog.column_schema(metadata(spark, "columns"), "orders")
+    return catalog.column_schema(known(spark, d).columns, "orders")
 
 
 # --- gauges ------------------------------------------------------------------------
@@ -343,9 +341,12 @@ def latest_minute(spark, d):
     return gauges.latest_minute(events, "ts", F.lit(newest).cast("timestamp_ntz"))
 
 
-@query("SELECT (i - 18)::BIGINT AS shard, CASE WHEN i < 8 THEN 0 WHEN i < 16 THEN 1 ELSE 2 + (i - 16) // 7 END::BIGINT AS watcher FROM range(37) t(i)")
+@query("""WITH s AS (SELECT DISTINCT o_custkey % 37 - 18 AS shard FROM orders), t AS (SELECT shard, row_number() OVER (ORDER BY shard) - 1 AS i, count(*) OVER () AS n FROM s)
+SELECT shard, CASE WHEN i < (n // 5 + 1) * (n % 5) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n // 5 + 1) * (n % 5)) // (n // 5) END::BIGINT AS watcher FROM t""")
 def shard_assignment(spark, d):
-    parts = gauges.divide_shards(range(-18, 19), 5)
+    """The shards that the table has, for five watchers."""
+    shard = F.col("o_custkey") % 37 - 18
+    parts = gauges.divide_shards(sorted(r[0] for r in read(spark, d, "orders").select(shard).distinct().collect()), 5)
     return spark.createDataFrame([(s, w) for w, part in enumerate(parts) for s in part], "shard long, watcher long")
 
 

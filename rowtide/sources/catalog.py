@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowtide.model import TableRef, TableSpec
-from rowtide.sources.types import key_type_allowed
+from rowtide.sources.types import key_type_allowed, type_name
 
 NAME = ["catalog", "schema", "table"]
 
@@ -145,3 +145,21 @@ def spec_of(df: DataFrame, ref: TableRef, key: tuple[str, ...], chosen: str | No
         if not key_type_allowed(f.dataType, f.metadata):
             raise TypeError(f"column {k} can't be part of a key: {f.dataType.simpleString()}")
     return TableSpec(ref, commit_column(df, chosen), tuple(key))
+
+
+def described(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], commit_ts: Callable[[str, T.StructField], bool] | None = None, database: str = "") -> Catalog:
+    """A catalog of frames by name, from their schemas: columns, types, whether they may be null, and the keys that are given.
+
+    A column is a commit timestamp if its metadata says so, or if ``commit_ts`` does.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    flagged = commit_ts or (lambda _, f: bool(f.metadata.get("commit_timestamp")))
+    columns = [("", "", t, f.name, type_name(f.dataType, f.metadata), f.nullable, i, flagged(t, f)) for t, df in tables.items() for i, f in enumerate(df.schema.fields, 1)]
+    frame = lambda rows, shape: spark.createDataFrame(rows, f"catalog string, schema string, table string{shape}")
+    return Catalog(
+        frame([("", "", t) for t in tables], ""),
+        frame(columns, ", column string, type string, nullable boolean, ordinal int, commit_ts boolean"),
+        frame([("", "", t, "PRIMARY_KEY", "PRIMARY_KEY") for t in keys], ", index string, kind string"),
+        frame([("", "", t, "PRIMARY_KEY", c, i) for t, key in keys.items() for i, c in enumerate(key, 1)], ", index string, column string, ordinal int"),
+        database,
+    )

@@ -561,3 +561,82 @@ def test_unknown_schema_versions_raise(spark, tmp_path):
         read_as(messages, {"0" * 16: schema}, schema).collect()
     with pytest.raises(LookupError):
         read_as(messages, {}, schema)
+
+
+# --- polls as a stream source -----------------------------------------------------------
+
+
+def streamed(spark, table, at, ts="ts", start="earliest"):
+    from rowtide.streaming.poll_source import poll_stream
+
+    out = f"{at}/out"
+    poll_stream(spark, table, ts, start).writeStream.format("parquet").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "date"])
+def test_stream_source_restarts(spark, tmp_path, kind):
+    """The table grows, is rewritten, and has rows without a commit; each row of each commit comes once."""
+    table = str(tmp_path / "t")
+
+    def append(*rows):
+        spark.createDataFrame([(i, None if day is None else T0 + dt.timedelta(days=day)) for i, day in rows], "id long, ts timestamp_ntz").withColumn("ts", F.col("ts").cast(kind)).coalesce(1).write.mode("append").parquet(table)
+
+    append((1, 1), (2, 2), (3, None))
+    got = lambda start="earliest", name="a": sorted(r.id for r in streamed(spark, table, tmp_path / name, start=start).collect())
+    assert got() == [1, 2]
+    assert got() == [1, 2]
+    append((4, 2), (5, 3))  # the second of one commit that was there comes too late, as in any poll
+    append((6, 4))
+    assert got() == [1, 2, 5, 6]
+    assert got(start="2024-01-03T00:00:00", name="b") == [5, 6]
+    append((7, None))
+    assert got() == [1, 2, 5, 6]
+
+
+def test_stream_source_opens_files_of_its_commits(spark, tmp_path):
+    from rowtide.streaming.poll_source import PollReader
+
+    for day in range(5):
+        spark.range(3).withColumn("ts", F.lit(T0 + dt.timedelta(days=day)).cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    reader = PollReader(str(tmp_path), "ts", "earliest")
+    assert reader.latestOffset() == {"ts": "2024-01-05T00:00:00"}
+    parts = reader.partitions({"ts": "2024-01-02T00:00:00"}, {"ts": "2024-01-04T00:00:00"})
+    assert len(parts) == 2 and sum(b.num_rows for p in parts for b in reader.read(p)) == 6
+    (nothing,) = reader.partitions({"ts": "2024-01-05T00:00:00"}, {"ts": "2024-01-05T00:00:00"})
+    assert list(reader.read(nothing)) == []
+    assert PollReader(str(tmp_path), "ts", "2025-01-01").latestOffset() == {"ts": "2025-01-01T00:00:00"}
+
+
+# --- tables in folders by time bucket ------------------------------------------------
+
+
+@pytest.mark.parametrize("encoded", [True, False])
+def test_a_bucketed_poll_opens_its_folders(spark, tmp_path, encoded):
+    from rowtide.operators import poll, shards
+
+    table = shards.BucketedTable(spark, str(tmp_path / "t"), "ts", "HOUR_OF_DAY", encoded=encoded)
+    rows = spark.range(48).select("id", (F.lit(T0) + F.make_dt_interval(hours=F.col("id").cast("int"))).cast("timestamp_ntz").alias("ts"))
+    table.write(rows)
+    table.write(rows.where("id = 0").withColumn("id", F.lit(100).cast("long")))
+    spec = TableSpec(TableRef("db", "t"), "ts", ("id",))
+    found = poll.changes(table.read(), spec, shard=table.shard(T0.replace(minute=0, second=20)))
+    assert sorted(r.id for r in found.collect()) == [0, 23, 24, 47, 100]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "shard" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    late = poll.changes(table.read(), spec, shard=table.shard(T0.replace(hour=5), since=T0.replace(hour=2)))
+    assert {r.ts.hour for r in late.collect()} == {2, 3, 4, 5}
+
+
+def test_catalog_of_frames(spark):
+    from rowtide.sources.catalog import Selection, TableNotFound, described
+    from rowtide.sources.types import field
+    from pyspark.sql import types as T
+
+    tables = {"a": spark.createDataFrame([], T.StructType([field("id", "INT64", False), field("at", "TIMESTAMP", True, True), field("tags", "ARRAY<STRING(9)>")])), "b": spark.range(1)}
+    about = described(tables, {"a": ("id",)}, database="db")
+    (spec,) = about.specs(Selection.all_tables())
+    assert (spec.ref.table, spec.commit_ts, spec.primary_key) == ("a", "at", ("id",))
+    assert [tuple(r) for r in about.columns.where("table = 'a'").select("column", "type", "nullable").collect()] == [("id", "INT64", False), ("at", "TIMESTAMP", True), ("tags", "ARRAY<STRING>", True)]
+    with pytest.raises(TableNotFound):
+        about.specs(Selection.include("b"))
