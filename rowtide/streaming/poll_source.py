@@ -76,9 +76,10 @@ class PollReader(DataSourceStreamReader):
         with system.open_input_file(file) as source:
             about = pq.ParquetFile(source)
             place = next(i for i in range(about.metadata.num_columns) if about.metadata.schema.column(i).path == self.commit_ts)
+            old = about.metadata.schema.column(place).physical_type == "INT96"  # which has no statistics to read
             found = []
             for g in range(about.metadata.num_row_groups):
-                seen = about.metadata.row_group(g).column(place).statistics
+                seen = None if old else about.metadata.row_group(g).column(place).statistics
                 if seen is not None and seen.has_min_max:
                     found += [seen.min, seen.max]
                 elif seen is None or seen.null_count < about.metadata.row_group(g).num_rows:  # written without statistics
