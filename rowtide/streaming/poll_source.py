@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import sys
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -27,6 +28,7 @@ import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -138,5 +140,7 @@ class PollSource(DataSource):
 
 def poll_stream(spark: SparkSession, path: str, commit_ts: str, start: str = "earliest"):
     """The changes of a table as a stream; the query's checkpoint is the position."""
+    # The classes travel whole: the process that plans a stream has none of the session's Python files.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(PollSource)
     return spark.readStream.format(NAME).options(path=path, commit_ts=commit_ts, start=start).load()
