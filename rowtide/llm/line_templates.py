@@ -3,17 +3,17 @@
 Lines are parsed down a tree of fixed depth: first their number of tokens, then
 ``depth`` leading tokens (a token with a digit counts as variable from the start and
 reads ``<*>``).  A leaf gathers lines of one shape; within it every place keeps the
-tokens that at least ``least_docs`` documents share there, and any other token is a
-variable field.  What remains is the line's template.  A template found in
-``least_docs`` documents or more, with at least half its tokens constant, is
-recurring, and all its lines are dropped from the documents.
+tokens that enough documents share there, and any other token is a variable field.  What
+remains is the line's template.  A template found in enough documents, with at least
+half its tokens constant, is recurring, and its lines are dropped.
 
-A line of ``long_tokens`` tokens or more that is found unchanged in two documents or
-more is no coincidence, so it needs no ``least_docs``: it is dropped from all of them
-but one (the one whose text has the least hash).
+How many are enough depends on the number of tokens alone: documents times tokens have to
+reach ``evidence``, with two documents at least and ``least_docs`` at most.  A short line
+in a few documents is a coincidence, a long one in two is a copy.  A template that
+``least_docs`` documents have is boilerplate and goes from all of them; of one that fewer
+have, a repeated passage, the document whose text has the least hash keeps its lines.
 
-Counts stand for the whole corpus.  A first pass counts the documents of each leaf and
-each long line; a sieve of them on the executors keeps lines in place that can't
+Counts stand for the whole corpus.  A first pass counts the documents of each leaf; a sieve of them on the executors keeps lines in place that can't
 recur, and what it lets through in vain is dropped by the counts that follow.  Equal
 lines are one row with a document count before places are counted, and every count is
 combined before its shuffle.  Counts are written before they are joined with the rows
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowtide.llm.common import SIEVE_BITS, bitmap, cut, shape_with, sieve, text_batches
@@ -68,78 +68,72 @@ def parsed(text: str | None, depth: int) -> Iterator[tuple[int, bytes, list[byte
             yield place, line, t, leaf(t, depth)
 
 
-TEMPLATE, EXACT = 0, 1
-FOUND = f"{KEY} binary, kind int, leaf long, line long, places array<int>, toks array<long>"
+FOUND = f"{KEY} binary, leaf long, line long, places array<int>, toks array<long>"
 
 
-def recurring(source: DataFrame, least_docs: int, depth: int, long_tokens: int, bits: int) -> DataFrame:
+def recurring(source: DataFrame, least_docs: int, depth: int, evidence: int, bits: int) -> DataFrame:
     """(KEY, __lt_places): what each document loses.  ``source`` has KEY and text."""
 
-    def texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict[int, str | None]]:
+    def texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict[bytes | None, str | None]]:
         for batch in batches:
             for part in text_batches(batch, "text", most):
                 yield dict(zip(part.column(KEY).to_pylist(), part.column("text").to_pylist()))
 
+    def enough(docs: str, width: str = "width") -> Column:
+        return F.col(docs) >= F.greatest(F.lit(2), F.least(F.lit(least_docs), F.ceil(F.lit(evidence) / F.col(width))))
+
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in texts(batches, 8 << 20):
-            out = []
-            for key, text in own.items():
-                seen = set()
-                for _, line, t, x in parsed(text, depth):
-                    seen.add((TEMPLATE, x))
-                    if len(t) >= long_tokens:
-                        seen.add((EXACT, digest(line)))
-                out += [(key, *x) for x in seen]
+            out = [(key, *x) for key, text in own.items() for x in {(x, len(t)) for _, _, t, x in parsed(text, depth)}]
             columns = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64()))], [KEY, "kind", "leaf"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64()))], [KEY, "leaf", "width"])
 
-    counts = source.mapInArrow(leaves, f"{KEY} binary, kind int, leaf long").distinct().groupBy("kind", "leaf").agg(F.count("*").alias("n"), F.min(KEY).alias("first"))
-    common = cut(counts.where(F.col("n") >= F.when(F.col("kind") == EXACT, 2).otherwise(least_docs)))
+    counts = source.mapInArrow(leaves, f"{KEY} binary, leaf long, width long").distinct().groupBy("leaf").agg(F.count("*").alias("n"), F.max("width").alias("width"))
+    common = cut(counts.where(enough("n")).select("leaf"))
     slots = 1 << bits
     shared = source.sparkSession.sparkContext.broadcast(bitmap(common, F.pmod("leaf", F.lit(slots)), bits))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         wanted = lambda x: held[x % slots >> 3] >> (x & 7) & 1
-        types = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        types = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
         for some in texts(batches, 2 << 20):
             out: list[tuple] = []
             for key, t in some.items():
                 own: dict[tuple, tuple] = {}
-                for place, line, toks, x in parsed(t, depth):
+                for place, _, toks, x in parsed(t, depth):
                     if wanted(x):
-                        own.setdefault((TEMPLATE, x, digest(b" ".join(toks))), ([], toks))[0].append(place)
-                    if len(toks) >= long_tokens and wanted(raw := digest(line)):
-                        own.setdefault((EXACT, raw, raw), ([], ()))[0].append(place)
+                        own.setdefault((x, digest(b" ".join(toks))), ([], toks))[0].append(place)
                 out += [(key, *k, places, [digest(w) for w in toks]) for k, (places, toks) in own.items()]
-            columns = zip(*out) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [KEY, "kind", "leaf", "line", "places", "toks"])
+            columns = zip(*out) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [KEY, "leaf", "line", "places", "toks"])
 
-    by = (KEY, "kind", "leaf", "line")
+    by = (KEY, "leaf", "line")
     found = cut(source.mapInArrow(lines, FOUND).groupBy(*by).agg(F.first("places").alias("places"), F.first("toks").alias("toks")))
 
-    templates = found.where(F.col("kind") == TEMPLATE)
-    distinct = cut(templates.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("toks").alias("toks")))
+    distinct = cut(found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("toks").alias("toks")))
     each = distinct.select("leaf", "line", "n", F.size("toks").alias("width"), F.posexplode("toks").alias("pos", "tok"))
     tokened = each.where(F.col("tok") != digest(WILD))
-    frequent = cut(tokened.groupBy("leaf", "pos", "tok").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least_docs).select("leaf", "pos", "tok"))
+    shared_tokens = tokened.groupBy("leaf", "pos", "tok").agg(F.sum("n").alias("docs"), F.max("width").alias("width"))
+    frequent = cut(shared_tokens.where(enough("docs")).select("leaf", "pos", "tok"))
     constant = tokened.join(frequent, ["leaf", "pos", "tok"], "left_semi")
     shapes = constant.groupBy("leaf", "line", "n", "width").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("fixed"))
-    shapes = cut(shapes.where(F.size("fixed") * 2 >= F.col("width")).select("leaf", "line", "n", F.xxhash64("leaf", "fixed").alias("template")))
-    repeated = cut(shapes.groupBy("template").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least_docs).select("template"))
-    dropped = cut(shapes.join(repeated, "template", "left_semi").select("leaf", "line"))
-    lost = templates.join(dropped, ["leaf", "line"], "left_semi").select(KEY, "places")
-
-    copied = common.where(F.col("kind") == EXACT).select(F.col("leaf").alias("line"), "first")
-    twice = found.where(F.col("kind") == EXACT).join(copied, "line").where(F.col(KEY) != F.col("first")).select(KEY, "places")
-    return lost.union(twice).groupBy(KEY).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("__lt_places"))
-
-
-def drop_templates(docs: DataFrame, least_docs: int = 8, depth: int = 3, long_tokens: int = 50, bits: int = SIEVE_BITS) -> DataFrame:
+    shapes = cut(shapes.where(F.size("fixed") * 2 >= F.col("width")).select("leaf", "line", "n", "width", F.xxhash64("leaf", "fixed").alias("template")))
+    repeated = shapes.groupBy("template").agg(F.sum("n").alias("docs"), F.max("width").alias("width"))
+    repeated = cut(repeated.where(enough("docs")).select("template", (F.col("docs") >= least_docs).alias("everywhere")))
+    named = cut(shapes.join(repeated, "template").select("leaf", "line", "template", "everywhere"))
+    held_by = cut(found.select(KEY, "leaf", "line", "places").join(named, ["leaf", "line"]).select(KEY, "places", "template", "everywhere"))
+    first = cut(held_by.where("not everywhere").groupBy("template").agg(F.min(KEY).alias("first")))
+    passages = held_by.where("not everywhere").join(first, "template").where(F.col(KEY) != F.col("first")).select(KEY, "places")
+    lost = held_by.where("everywhere").select(KEY, "places").union(passages)
+    return lost.groupBy(KEY).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("__lt_places"))
+
+
+def drop_templates(docs: DataFrame, least_docs: int = 8, depth: int = 3, evidence: int = 100, bits: int = SIEVE_BITS) -> DataFrame:
     """``docs`` with ``n_lines`` (those with tokens), ``n_dropped`` and ``clean_text``."""
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "clean_text")]
     keyed = docs.select(*[f"`{c}`" for c in kept]).withColumn(KEY, F.unhex(F.md5(F.col("text").cast("binary"))))
-    lost = cut(recurring(keyed.select(KEY, "text"), least_docs, depth, long_tokens, bits))
+    lost = cut(recurring(keyed.select(KEY, "text"), least_docs, depth, evidence, bits))
     # Texts that lose nothing stay where they are.
     loses = sieve(lost, KEY)(F.col(KEY))
     none = F.lit(None).cast(lost.schema["__lt_places"].dataType)
