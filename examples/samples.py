@@ -11,8 +11,10 @@ from rowtide import Position, TableRef, TableSpec
 from rowtide.operators.changesets import ChangeSetWriter
 from rowtide.operators.shards import FixedShard, NotNullShard, ShardList, TimeShard
 from rowtide.sources.positions import MemoryPositionStore, PositionStore, TablePositionStore
-from rowtide.streaming.envelope import TopicFolder, subscribe
+from rowtide.streaming.envelope import TopicFolder, read_as, subscribe
+from rowtide.streaming.poll_source import poll_stream
 from rowtide.streaming.publisher import Publisher
+from rowtide.streaming.subscriber import Archiver, Subscription
 from rowtide.streaming.watcher import ChangeSetWatcher, DatabaseWatcher, TableWatcher
 
 ORDERS = TableSpec(TableRef("db", "orders"), "o_orderdate", ("o_orderkey",))
@@ -83,6 +85,23 @@ def publish_and_read(spark: SparkSession, folder: str, work: str) -> None:
     subscribe(topics.read(spark, "db-orders"), converter, converter.json).show(5)
 
 
+def follow_and_archive(spark: SparkSession, topics: TopicFolder, topic: str, root: str) -> None:
+    """A subscription that prints what is new since its last run, and an archive of the topic."""
+    Subscription(spark, topics, topic, "printer", lambda batch, k: batch.select("message_id", "attributes").show(3)).run_available()
+    Archiver(spark, topics, topic, root).run_available()
+
+
+def newer_schema(spark: SparkSession, topics: TopicFolder, topic: str, reader_json: str) -> None:
+    """Messages of any version of a table by the fields of one schema."""
+    read_as(topics.read(spark, topic), topics.schemas(spark, topic), reader_json).show(3)
+
+
+def as_a_stream(spark: SparkSession, folder: str, work: str) -> None:
+    """The changes of a table as a Structured Streaming source."""
+    changes = poll_stream(spark, f"{folder}/orders.parquet", "o_orderdate", SINCE.isoformat())
+    changes.writeStream.format("parquet").option("checkpointLocation", f"{work}/at").trigger(availableNow=True).start(f"{work}/out").awaitTermination()
+
+
 if __name__ == "__main__":
     session = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     one_table(session, sys.argv[1])

@@ -62,6 +62,11 @@ def test_samples(spark, tmp_path, capsys):
     samples.change_sets(spark, str(tmp_path / "sets"))
     samples.errors(spark, SF)
     samples.publish_and_read(spark, SF, str(tmp_path / "topics"))
+    topics = samples.TopicFolder(str(tmp_path / "topics"))
+    samples.follow_and_archive(spark, topics, "db-orders", str(tmp_path / "archive"))
+    samples.newer_schema(spark, topics, "db-orders", next(iter(topics.schemas(spark, "db-orders").values())))
+    samples.as_a_stream(spark, SF, str(tmp_path / "stream"))
+    assert len(list(tmp_path.glob("archive/db/*.meta"))) == spark.read.parquet(str(tmp_path / "stream/out")).count() > 0
     samples.own_store(spark, SF)
     samples.stored_positions(spark, SF, str(tmp_path / "p"))
     said = capsys.readouterr().out
