@@ -1,16 +1,24 @@
-"""The standalone publisher: ``python -m rowtide.app [properties file]``.
+"""The standalone publisher: ``python -m rowtide.app [properties file]``, and the archiver of what it publishes:
+``python -m rowtide.app archive TOPIC... [properties file]``.
 
 ``rowtide.source.path`` holds Parquet tables named ``<table>.parquet`` and a file
 ``tables.json`` with the commit timestamp column and the key of each:
 ``{"orders": {"commit_ts": "o_orderdate", "primary_key": ["o_orderkey"]}}``.
+
+The archiver follows the named topics below ``rowtide.topics.path``, looks for messages
+every ``rowtide.archive.interval`` seconds (10), and writes below the folder that the
+environment variable BUCKET_NAME names.  Each topic has a place of its own; a topic that
+fails ends the archiver.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import signal
 import sys
 from functools import partial
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +29,7 @@ from rowtide.sources.catalog import Catalog
 from rowtide.sources.positions import PositionStore, TablePositionStore
 from rowtide.streaming.envelope import TopicFolder
 from rowtide.streaming.publisher import Publisher
+from rowtide.streaming.subscriber import Archiver
 from rowtide.streaming.watcher import DatabaseWatcher
 
 
@@ -53,7 +62,35 @@ def publisher(spark: SparkSession, config: Config, positions: PositionStore | No
     return Publisher(watcher, topics, config.topic_format, lambda: load(config.converter), config.project, config.instance)
 
 
+def archive(spark: SparkSession, topics: TopicFolder, names: list[str], root: str | None = None, interval: str | None = None) -> list[Any]:
+    """Archives what topics have and ends, or, with an interval, starts queries that look for more that often."""
+    root = root or os.environ.get("BUCKET_NAME")
+    if not root:
+        raise ValueError("no value for BUCKET_NAME")
+    made = [Archiver(spark, topics, name, root).start(interval) for name in names]
+    if interval is None:
+        for query in made:
+            query.awaitTermination()
+    return made
+
+
+def archive_until_stopped(names: list[str], properties: dict[str, str]) -> None:
+    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    topics = TopicFolder(properties.get(f"{PREFIX}topics.path", "topics"))
+    running = archive(spark, topics, names, interval=f"{properties.get(f'{PREFIX}archive.interval', '10')} seconds")
+    signal.signal(signal.SIGTERM, lambda *_: [query.stop() for query in running])
+    try:
+        spark.streams.awaitAnyTermination()
+    finally:
+        for query in running:
+            query.stop()
+
+
 def main(args: list[str], overrides: dict[str, str] | None = None) -> None:
+    if args[:1] == ["archive"]:
+        named = args[1:]
+        file = named.pop() if named and named[-1].endswith(".properties") else None
+        return archive_until_stopped(named, read_properties(file) | (overrides or {}))
     properties = read_properties(args[0] if args else None)
     config = Config.read(properties, overrides)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()

@@ -271,11 +271,18 @@ class DatabaseWatcher(Service):
         data_id: str = "change_set_id",
         interval: float = 1.0,
         parallel: int = 1,
+        keys: dict[str, tuple[str, ...]] | None = None,
+        indexes: dict[str, FileIndex] | None = None,
         **options,
     ) -> DatabaseWatcher:
-        """Watches the tables of ``selection`` that carry the id of a change set, each through the table ``sets``."""
+        """Watches the tables of ``selection`` that carry the id of a change set, each through the table ``sets``.
+
+        ``keys`` and ``indexes`` have by table name the order of rows within a set, and
+        the index by which only the files of a batch's sets are read.
+        """
         refs = catalog.change_set_refs(selection, data_id, sets.ref.table)
-        made = [ChangeSetWatcher(partial(opened, sets.ref), sets, partial(opened, ref), ref, data_id, interval=interval, **options) for ref in refs]
+        own = lambda ref: {"key": (keys or {}).get(ref.table, ()), "index": (indexes or {}).get(ref.table)}
+        made = [ChangeSetWatcher(partial(opened, sets.ref), sets, partial(opened, ref), ref, data_id, interval=interval, **own(ref), **options) for ref in refs]
         return cls(made, interval, parallel)
 
     def _become(self, state: State) -> None:

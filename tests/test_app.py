@@ -10,6 +10,7 @@ from rowtide import app
 from rowtide.config import Config
 from rowtide.sources.catalog import TableNotFound
 from rowtide.sources.positions import MemoryPositionStore, TablePositionStore
+from rowtide.streaming.envelope import TopicNotFound
 
 SINCE = dt.datetime(1998, 7, 1)
 
@@ -54,6 +55,22 @@ def test_a_new_driver_goes_on_where_the_last_ended(spark, source):
     assert again.topics.read(spark, "db-orders").count() == n > 0
 
 
+def test_archives_topics(spark, source, monkeypatch):
+    """What the publisher sent is archived once, in two runs; a bucket must be named, and a topic be there."""
+    p = app.publisher(spark, config(source, **{"source.includedTables": "orders"}), MemoryPositionStore(SINCE))
+    p.run_available()
+    monkeypatch.delenv("BUCKET_NAME", raising=False)
+    with pytest.raises(ValueError):
+        app.archive(spark, p.topics, ["db-orders"])
+    monkeypatch.setenv("BUCKET_NAME", str(source / "bucket"))
+    with pytest.raises(TopicNotFound):
+        app.archive(spark, p.topics, ["db-events"])
+    for _ in range(2):
+        app.archive(spark, p.topics, ["db-orders"])
+    objects = [f for f in (source / "bucket/db").iterdir() if f.suffix not in (".meta", ".crc")]
+    assert len(objects) == p.topics.read(spark, "db-orders").count() > 0
+
+
 def test_samples(spark, tmp_path, capsys):
     found = importlib.util.spec_from_file_location("samples", Path(ROOT, "examples/samples.py"))
     samples = importlib.util.module_from_spec(found)

@@ -640,3 +640,23 @@ def test_catalog_of_frames(spark):
     assert [tuple(r) for r in about.columns.where("table = 'a'").select("column", "type", "nullable").collect()] == [("id", "INT64", False), ("at", "TIMESTAMP", True), ("tags", "ARRAY<STRING>", True)]
     with pytest.raises(TableNotFound):
         about.specs(Selection.include("b"))
+
+
+def test_change_sets_of_a_database_with_keys_and_indexes(spark, tmp_path):
+    from rowtide.sources.catalog import described
+    from rowtide.sources.file_index import FileIndex
+
+    sets = spark.createDataFrame([(f"s{k}", T0 + dt.timedelta(hours=k)) for k in range(4)], "change_set_id string, ts timestamp_ntz")
+    data = spark.range(40).select((39 - F.col("id")).alias("k"), F.concat(F.lit("s"), F.floor(F.col("id") / 10)).alias("change_set_id"))
+    data.repartitionByRange(4, "change_set_id").write.parquet(str(tmp_path / "a"))
+    tables = {"sets": sets, "a": spark.read.parquet(str(tmp_path / "a")), "b": data.where("k < 15")}
+    about = described(tables, {"sets": ("change_set_id",)}, lambda t, f: f.name == "ts", "db")
+    index = FileIndex(spark, str(tmp_path / "a"), str(tmp_path / "i"), "change_set_id")
+    w = DatabaseWatcher.over_change_sets(
+        about, Selection.all_tables(), lambda ref: tables[ref.table], TableSpec(TableRef("db", "sets"), "ts", ("change_set_id",)), keys={"a": ("k",), "b": ("k",)}, indexes={"a": index}, positions=MemoryPositionStore(start="earliest"), limit=2
+    )
+    seen = []
+    w.on_row(lambda table, row, ts: seen.append((table.table, ts.hour, row.k)))
+    w.run_available()
+    expected = sorted((r.change_set_id, r.k) for r in data.collect())
+    assert [(f"s{h}", k) for t, h, k in seen if t == "a"] == expected and [(f"s{h}", k) for t, h, k in seen if t == "b"] == [x for x in expected if x[1] < 15]
