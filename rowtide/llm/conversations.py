@@ -93,17 +93,18 @@ FIRST = np.searchsorted(TO, np.arange(4))
 ENDING = {START: 0, A: 0, U: 1, S: 2}
 
 
-def layers(kinds: np.ndarray, first: np.ndarray, n: np.ndarray, entries: tuple[int, ...] = (START,)) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def layers(kinds: np.ndarray, first: np.ndarray, n: np.ndarray, entries: tuple[int, ...] = (START,)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The program over runs of turns, all at once, layer by layer.
 
-    ``n`` falls.  Gives cost and rank of (run, entry, state), and for each layer the
-    parents (state + 4 * code) of the runs that are so long.
+    ``n`` falls.  Gives cost and rank of (run, entry, state), and layer after layer the
+    parents (state + 4 * code) of the runs that are so long: a byte for each of a turn's
+    ways.
     """
     cost = np.full((len(n), len(entries), 4), NEVER)
     rank = np.zeros(cost.shape, np.int64)
     for e, s in enumerate(entries):
         cost[:, e, s] = 0
-    parents = []
+    parents, at = np.empty((int(n.sum()), len(entries), 4), np.uint8), 0
     for i in range(int(n[0]) if len(n) else 0):
         k = int(np.searchsorted(-n, -i))  # runs with more than i turns
         total = np.minimum(cost[:k][:, :, FROM] + COST[kinds[first[:k] + i]][:, None, :], NEVER)
@@ -111,7 +112,8 @@ def layers(kinds: np.ndarray, first: np.ndarray, n: np.ndarray, entries: tuple[i
         cost[:k] = best >> 8
         audit = np.where(cost[:k] < NEVER, best >> 2 & 63, 63)
         rank[:k] = (audit[..., None, :] < audit[..., :, None]).sum(axis=-1)
-        parents.append((best & 3 | (audit % len(CODES)) << 2).astype(np.uint8))
+        parents[at : at + k] = best & 3 | (audit % len(CODES)) << 2
+        at += k
     return cost, rank, parents
 
 
@@ -121,14 +123,15 @@ def ending(cost: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return ((np.minimum(cost, NEVER) + INSERT * inserts) << 8 | rank << 2 | inserts).argmin(axis=-1)
 
 
-def back(parents: list[np.ndarray], n: np.ndarray, entry: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def back(parents: np.ndarray, n: np.ndarray, entry: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(state before, code) of every turn, run by run, of the paths that end in ``state``."""
     first = np.cumsum(n) - n
     before, codes = np.zeros(int(n.sum()), np.int8), np.zeros(int(n.sum()), np.int8)
-    state = state.copy()
-    for i in range(len(parents) - 1, -1, -1):
-        k = len(parents[i])
-        found = parents[i][np.arange(k), entry[:k], state[:k]]
+    state, at = state.copy(), len(parents)
+    for i in range((int(n[0]) if len(n) else 0) - 1, -1, -1):
+        k = int(np.searchsorted(-n, -i))
+        at -= k
+        found = parents[at : at + k][np.arange(k), entry[:k], state[:k]]
         state[:k] = found & 3
         before[first[:k] + i], codes[first[:k] + i] = found & 3, found >> 2
     return before, codes

@@ -172,3 +172,9 @@ def test_repaired_rows(spark):
     done = C.edits(table)
     rows = sorted((r.part, r.pos, r["sub"], r.role, r.text) for r in C.repaired(done, table).collect())
     assert [r[3:] for r in rows] == [("user", "Hi."), ("assistant", ""), ("user", "And?"), ("assistant", "So.")]
+
+
+def test_ids_and_turns_of_other_types(spark):
+    rows = [(f"c{c}", t, r, x) for c, t, r, x in made(3, 20, 5)]
+    table = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    assert {r.conv_id: tuple(r)[1:] for r in C.digest(C.damage(table), table).collect()} == summary(rows)
