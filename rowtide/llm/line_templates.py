@@ -83,7 +83,7 @@ def recurring(source: DataFrame, least_docs: int, depth: int, evidence: int, bit
         return F.col(docs) >= F.greatest(F.lit(2), F.least(F.lit(least_docs), F.ceil(F.lit(evidence) / F.col(width))))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in texts(batches, 8 << 20):
+        for own in texts(batches, 2 << 20):
             out = [(key, *x) for key, text in own.items() for x in {(x, len(t)) for _, _, t, x in parsed(text, depth)}]
             columns = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64()))], [KEY, "leaf", "width"])
@@ -111,14 +111,18 @@ def recurring(source: DataFrame, least_docs: int, depth: int, evidence: int, bit
     by = (KEY, "leaf", "line")
     found = cut(source.mapInArrow(lines, FOUND).groupBy(*by).agg(F.first("places").alias("places"), F.first("toks").alias("toks")))
 
-    distinct = cut(found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("toks").alias("toks")))
-    each = distinct.select("leaf", "line", "n", F.size("toks").alias("width"), F.posexplode("toks").alias("pos", "tok"))
-    tokened = each.where(F.col("tok") != digest(WILD))
-    shared_tokens = tokened.groupBy("leaf", "pos", "tok").agg(F.sum("n").alias("docs"), F.max("width").alias("width"))
-    frequent = cut(shared_tokens.where(enough("docs")).select("leaf", "pos", "tok"))
-    constant = tokened.join(frequent, ["leaf", "pos", "tok"], "left_semi")
-    shapes = constant.groupBy("leaf", "line", "n", "width").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("fixed"))
-    shapes = cut(shapes.where(F.size("fixed") * 2 >= F.col("width")).select("leaf", "line", "n", "width", F.xxhash64("leaf", "fixed").alias("template")))
+    # Tokens travel as a hash of leaf, place and token, beside the number of their line.
+    distinct = found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("toks").alias("toks"))
+    distinct = cut(distinct.withColumn("id", F.monotonically_increasing_id()))
+    each = distinct.select("id", "leaf", "n", F.size("toks").alias("width"), F.posexplode("toks").alias("pos", "tok")).where(F.col("tok") != digest(WILD))
+    each = each.select("id", "n", "width", F.xxhash64("leaf", "pos", "tok").alias("at"))
+    shared_tokens = each.groupBy("at").agg(F.sum("n").alias("docs"), F.max("width").alias("width"))
+    frequent = cut(shared_tokens.where(enough("docs")).select("at"))
+    constant = each.select("id", "at").join(frequent, "at", "left_semi")
+    fixed = constant.groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("fixed"))
+    lines_of = distinct.select("id", "leaf", "line", "n", F.size("toks").alias("width"))
+    shapes = fixed.join(lines_of, "id").where(F.size("fixed") * 2 >= F.col("width"))
+    shapes = cut(shapes.select("leaf", "line", "n", "width", F.xxhash64("leaf", "fixed").alias("template")))
     repeated = shapes.groupBy("template").agg(F.sum("n").alias("docs"), F.max("width").alias("width"))
     repeated = cut(repeated.where(enough("docs")).select("template", (F.col("docs") >= least_docs).alias("everywhere")))
     named = cut(shapes.join(repeated, "template").select("leaf", "line", "template", "everywhere"))
