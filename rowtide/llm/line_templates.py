@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import SIEVE_BITS, bitmap, cut, shape_with, sieve, text_batches
+from rowtide.llm.common import SIEVE_BITS, bitmap, cut, sieve, text_batches
 
 VARIABLE = regex.compile(rb"\S*[0-9]\S*")
 WILD = b"<*>"
@@ -143,16 +143,11 @@ def drop_templates(docs: DataFrame, least_docs: int = 8, depth: int = 3, evidenc
     none = F.lit(None).cast(lost.schema["__lt_places"].dataType)
     joined = keyed.where(loses).join(lost, KEY, "left").drop(KEY).unionByName(keyed.where(~loses).drop(KEY).withColumn("__lt_places", none))
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_batches(batch, "text"):
-                n, gone, texts = [], [], []
-                for t, places in zip(part.column("text").to_pylist(), part.column("__lt_places").to_pylist()):
-                    rows, drop = (t or "").split("\n"), set(places or ())
-                    n.append(sum(1 for r in rows if r.strip(" \t\n\x0b\x0c\r")))
-                    gone.append(len(drop))
-                    texts.append(None if t is None else "\n".join(r for i, r in enumerate(rows) if i not in drop) if drop else t)
-                columns = [c for c, name in zip(part.columns, part.schema.names) if name != "__lt_places"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], [*kept, "n_lines", "n_dropped", "clean_text"])
-
-    return joined.mapInArrow(clean, shape_with(joined.drop("__lt_places"), "n_lines long, n_dropped long, clean_text string"))
+    lines, places = F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), F.col("__lt_places")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(places, i)), "\n")
+    return joined.select(
+        *[f"`{c}`" for c in kept],
+        F.size(F.filter(lines, lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")) != "")).cast("long").alias("n_lines"),
+        F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(places.isNull(), F.col("text")).otherwise(left).alias("clean_text"),
+    )
