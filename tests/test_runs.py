@@ -69,3 +69,42 @@ def test_packed_objects_are_those_of_files(spark, tmp_path):
     assert {r[0]: r[1] for r in told(envelope.read_packed(objects, packs))} == {"d/a": b"2", "d/b": b"", "d/c": b"3"}
     with pytest.raises(Exception, match="no object d/x"):
         envelope.read_packed(spark.createDataFrame([("d/x",)], "path string"), packs).collect()
+
+
+# --- watchers ------------------------------------------------------------------------
+
+
+def test_a_watcher_by_shards_that_is_behind_reads_its_table_a_few_times(spark, monkeypatch):
+    rows, reads = reads_of(monkeypatch, spark, "watcher_behind", LARGER)
+    assert len(rows) > 4000 and {r.per_shard_polls for r in rows} == {len(rows) // 1000} and reads <= 3
+
+
+@pytest.mark.parametrize("limit", [1, 4, 7, 40, 100])
+def test_runs_have_the_rows_and_polls_of_batches(spark, limit):
+    t = many(spark)
+    watch = lambda table: TableWatcher(table, t.spec, MemoryPositionStore(start="earliest"), limit=limit)
+    runs, batches, (calls, table) = [], [], counted(t)
+    a, b = watch(table), watch(t)
+    a.on_run(lambda ref, run, end: runs.append((sorted(r.id for r in run.collect()), end))).run_available()
+    b.on_batch(lambda ref, batch, end: batches.append((sorted(r.id for r in batch.collect()), end))).run_available()
+    told = lambda seen: sorted(i for ids, _ in seen for i in ids)
+    assert told(runs) == told(batches) == sorted(t.rows) and runs[-1][1] == batches[-1][1] == a.position
+    assert {k: v for k, v in a.metrics.items() if k != "last_poll_s"} == {k: v for k, v in b.metrics.items() if k != "last_poll_s"}
+    assert max(len(ids) for ids, _ in batches) <= limit and len(calls) <= 4
+
+
+def test_a_run_that_fails_comes_again_and_leaves_nothing(spark):
+    t, store, seen, fails = many(spark), MemoryPositionStore(start="earliest"), [], [None, OSError()]
+
+    def take(ref, run, end):
+        ids = [r.id for r in run.collect()]
+        if fails and (error := fails.pop(0)):
+            raise error
+        seen.extend(ids)
+
+    first = TableWatcher(t, t.spec, store, limit=3).on_run(take)
+    with pytest.raises(OSError):
+        first.run_available()
+    assert len(seen) == 3
+    TableWatcher(t, t.spec, store, limit=3).on_run(take).run_available()
+    assert sorted(seen) == sorted(t.rows) and not glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/run-*")
