@@ -108,3 +108,8 @@ def test_a_run_that_fails_comes_again_and_leaves_nothing(spark):
     assert len(seen) == 3
     TableWatcher(t, t.spec, store, limit=3).on_run(take).run_available()
     assert sorted(seen) == sorted(t.rows) and not glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/run-*")
+
+
+def test_a_watcher_without_callbacks_reads_its_table_a_few_times(spark, monkeypatch):
+    rows, reads = reads_of(monkeypatch, spark, "watcher_metrics", LARGER)
+    assert rows[0].n_rows > 6000 and rows[0].polls == 1 + rows[0].n_rows // 1000 and reads <= 3
