@@ -113,3 +113,26 @@ def test_a_run_that_fails_comes_again_and_leaves_nothing(spark):
 def test_a_watcher_without_callbacks_reads_its_table_a_few_times(spark, monkeypatch):
     rows, reads = reads_of(monkeypatch, spark, "watcher_metrics", LARGER)
     assert rows[0].n_rows > 6000 and rows[0].polls == 1 + rows[0].n_rows // 1000 and reads <= 3
+
+
+def test_a_run_of_change_sets_joins_its_table_once(spark, monkeypatch):
+    rows, reads = reads_of(monkeypatch, spark, "change_set_watch", LARGER)
+    assert len(rows) > 20_000 and reads <= 7
+
+
+def test_a_run_of_more_sets_than_an_index_takes(spark, monkeypatch):
+    from rowtide.operators import changesets
+
+    monkeypatch.setattr(changesets, "BROADCAST_SETS", 3)
+    sets = spark.createDataFrame([(f"s{k}", dt.datetime(2024, 1, 1, k)) for k in range(9)], "id string, ts timestamp_ntz")
+    data = spark.createDataFrame([(k, f"s{k % 9}") for k in range(30)], "k long, change_set_id string")
+
+    class Index:
+        def rows(self, ids):
+            assert ids.count() <= 3
+            return data
+
+    seen = []
+    w = ChangeSetWatcher(lambda: sets, TableSpec(TableRef("db", "sets"), "ts", ("id",)), lambda: data, TableRef("db", "data"), index=Index(), positions=MemoryPositionStore(start="earliest"), limit=2)
+    w.on_run(lambda ref, run, end: seen.extend(r.k for r in run.collect())).run_available()
+    assert sorted(seen) == list(range(30)) and w.metrics["polls"] == 5
