@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.streaming.envelope import MESSAGE, TopicFolder, TopicNotFound, to_archive, write_archive
+from rowtide.streaming.envelope import MESSAGE, TopicFolder, TopicNotFound, pack_archive, to_archive, write_archive
 
 #: Gets (messages, batch id); a batch id comes again with the same messages if the callback failed.
 Received = Callable[[DataFrame, int], None]
@@ -53,7 +53,16 @@ class Archiver(Subscription):
     """Archives a topic's messages below ``root``, an object for each message id; replayed messages are skipped.
 
     What is delivered twice is written to the same object, so each message is there once.
+    With ``packs`` each batch's objects are rows of one pack, named by the batch id, instead
+    of files of their own.
     """
 
-    def __init__(self, spark: SparkSession, topics: TopicFolder, topic: str, root: str | None = None, name: str = "archive", **options):
-        super().__init__(spark, topics, topic, name, lambda batch, k: write_archive(to_archive(batch, F.col("message_id")), root), **options)
+    def __init__(self, spark: SparkSession, topics: TopicFolder, topic: str, root: str | None = None, name: str = "archive", packs: bool = False, **options):
+        def take(batch: DataFrame, k: int) -> None:
+            objects = to_archive(batch, F.col("message_id"))
+            if packs:
+                pack_archive(objects, root, f"{name}-{k:012d}")
+            else:
+                write_archive(objects, root)
+
+        super().__init__(spark, topics, topic, name, take, **options)

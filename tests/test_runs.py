@@ -136,3 +136,9 @@ def test_a_run_of_more_sets_than_an_index_takes(spark, monkeypatch):
     w = ChangeSetWatcher(lambda: sets, TableSpec(TableRef("db", "sets"), "ts", ("id",)), lambda: data, TableRef("db", "data"), index=Index(), positions=MemoryPositionStore(start="earliest"), limit=2)
     w.on_run(lambda ref, run, end: seen.extend(r.k for r in run.collect())).run_available()
     assert sorted(seen) == list(range(30)) and w.metrics["polls"] == 5
+
+
+def test_an_archived_topic_has_no_files_for_each_message(spark):
+    before = flow_files(spark)
+    rows = entry.queries()["archive_stream"](spark, LARGER).collect()
+    assert len(rows) > 5000 and {r.others for r in rows} == {0} and len(flow_files(spark) - before) < 500
