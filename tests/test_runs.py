@@ -142,3 +142,28 @@ def test_an_archived_topic_has_no_files_for_each_message(spark):
     before = flow_files(spark)
     rows = entry.queries()["archive_stream"](spark, LARGER).collect()
     assert len(rows) > 5000 and {r.others for r in rows} == {0} and len(flow_files(spark) - before) < 500
+
+
+@pytest.mark.parametrize("limit, ahead", [(1, 1), (4, 3), (7, 2), (40, 1), (10, 4), (100, 1)])
+def test_runs_of_a_drain(spark, limit, ahead):
+    """The same batches as of a drain, from a few reads of the table."""
+    t = many(spark)
+    calls, table = counted(t)
+    runs = [(sorted((r.batch, r.id) for r in run.collect()), end) for run, end in poll.runs(table, t.spec, EARLIEST, limit=limit, ahead=ahead)]
+    batches = [(sorted(r.id for r in b.collect()), end) for b, end in poll.drain(t, t.spec, limit=limit)]
+    assert sorted(x for run, _ in runs for x in run) == sorted((k, i) for k, (ids, _) in enumerate(batches) for i in ids)
+    assert runs[-1][1] == batches[-1][1] and len(calls) <= 3
+
+
+def test_drain_batches_is_a_few_writes(spark, monkeypatch):
+    made, runs = [], poll.runs
+    monkeypatch.setattr(poll, "runs", lambda *a, **o: (made.append(1) or r for r in runs(*a, **o)))
+    found = entry.queries()["drain_batches"](spark, LARGER).select("batch").distinct().count()
+    assert found == 74 and len(made) == 2
+
+
+def test_a_run_is_numbered_over_partitions(spark):
+    spec = TableSpec(TableRef("db", "n"), "ts", ("id",))
+    df = spark.range(5000).selectExpr("id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id div 7) AS ts").repartition(6)
+    found = {r.id: r.batch for run, _ in poll.runs(df, spec, limit=13) for r in run.collect()}
+    assert found == {i: i // 13 for i in range(5000)}
