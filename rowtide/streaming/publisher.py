@@ -16,9 +16,9 @@ from rowtide.streaming.watcher import DatabaseWatcher, State, TableWatcher
 
 
 class Publisher:
-    """Publishes every batch of a watcher that has not been started.
+    """Publishes every batch of a watcher that has not been started, many at once while it is behind.
 
-    A batch becomes visible as a whole, before its position is stored.  It is named by
+    A batch, or a run of them, becomes visible as a whole, before its position is stored.  It is named by
     where it begins, and its messages by table, key and commit timestamp; so a batch that
     is read again after a failure replaces what was sent, and subscribers find each id
     once.  (A row that has changed in between comes in its new version alone.)  An error in
@@ -53,7 +53,7 @@ class Publisher:
         self.on_success: list[Callable[[TableRef, Any, str], None]] = []
         self.on_failure: list[Callable[[TableRef, Any, Exception], None]] = []
         self.parts = watcher.watchers if isinstance(watcher, DatabaseWatcher) else [watcher]
-        watcher.on_batch(self._publish)
+        watcher.on_run(self._publish)
         prepare = watcher.prepare
 
         def checked() -> None:
@@ -84,6 +84,7 @@ class Publisher:
         made, topic = self.converters[ref], self.topic(ref)
         schema = getattr(made, "json", None)
         sent = batch.select(F.col(ts).alias("ts"), name)
+        in_order = batch.orderBy(ts, *(() if key is columns else key)).select(F.col(ts).alias("ts"), name)
         shard = w.shard_of()
         begins = hashlib.sha256(repr((ref.full_name, shard.position_value if shard else None, w.position)).encode()).hexdigest()[:32]
         try:
@@ -92,13 +93,13 @@ class Publisher:
         except Exception as error:
             for told in self.on_unpublished:
                 told(ref, sent, error)
-            for row in sent.toLocalIterator() if self.on_failure else ():
+            for row in in_order.toLocalIterator() if self.on_failure else ():
                 for told in self.on_failure:
                     told(ref, row["ts"], error)
             raise
         for told in self.on_published:
             told(ref, sent)
-        for row in sent.toLocalIterator() if self.on_success else ():
+        for row in in_order.toLocalIterator() if self.on_success else ():
             for told in self.on_success:
                 told(ref, row["ts"], row["message_id"])
 

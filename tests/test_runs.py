@@ -167,3 +167,26 @@ def test_a_run_is_numbered_over_partitions(spark):
     df = spark.range(5000).selectExpr("id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id div 7) AS ts").repartition(6)
     found = {r.id: r.batch for run, _ in poll.runs(df, spec, limit=13) for r in run.collect()}
     assert found == {i: i // 13 for i in range(5000)}
+
+
+# --- messages ------------------------------------------------------------------------
+
+
+def test_a_publisher_that_is_behind_reads_its_table_a_few_times(spark, tmp_path):
+    from rowtide.functions.json_codec import JsonConverter
+    from rowtide.streaming.publisher import Publisher
+
+    t = many(spark)
+    calls, table = counted(t)
+    p, topics, told = None, envelope.TopicFolder(str(tmp_path), create=True), []
+    p = Publisher(TableWatcher(table, t.spec, MemoryPositionStore(start="earliest"), limit=2), topics, "t", JsonConverter)
+    p.on_success.append(lambda ref, ts, message_id: told.append((ts, message_id)))
+    p.run_available()
+    sent = [r.message_id for r in topics.read(spark, "t").collect()]
+    assert len(sent) == len(set(sent)) == 40 and sorted(sent) == sorted(m for _, m in told) and [ts for ts, _ in told] == sorted(ts for ts, _ in told)
+    assert len(calls) <= 6
+
+
+def test_a_crash_after_a_publication_reads_its_table_a_few_times(spark, monkeypatch):
+    rows, reads = reads_of(monkeypatch, spark, "publish_again", LARGER)
+    assert len(rows) > 6000 and {r.messages for r in rows} == {1} and reads <= 8
