@@ -190,3 +190,8 @@ def test_a_publisher_that_is_behind_reads_its_table_a_few_times(spark, tmp_path)
 def test_a_crash_after_a_publication_reads_its_table_a_few_times(spark, monkeypatch):
     rows, reads = reads_of(monkeypatch, spark, "publish_again", LARGER)
     assert len(rows) > 6000 and {r.messages for r in rows} == {1} and reads <= 8
+
+
+def test_batches_through_one_position_read_their_table_a_few_times(spark, monkeypatch):
+    rows, reads = reads_of(monkeypatch, spark, "watcher_batches", LARGER)
+    assert len(rows) > 6000 and reads <= 5
