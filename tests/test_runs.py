@@ -195,3 +195,10 @@ def test_a_crash_after_a_publication_reads_its_table_a_few_times(spark, monkeypa
 def test_batches_through_one_position_read_their_table_a_few_times(spark, monkeypatch):
     rows, reads = reads_of(monkeypatch, spark, "watcher_batches", LARGER)
     assert len(rows) > 6000 and reads <= 5
+
+
+@pytest.mark.parametrize("name", ["watcher_tick"])
+def test_a_watcher_stops_when_it_has_caught_up(spark, name):
+    """More rows than the batches that it is asked to wait for."""
+    found = entry.queries()[name](spark, LARGEST)
+    assert found.count() == found.distinct().count() == spark.read.parquet(f"{LARGEST}/orders.parquet").where(SINCE).count() > 50_000
