@@ -197,7 +197,7 @@ def test_batches_through_one_position_read_their_table_a_few_times(spark, monkey
     assert len(rows) > 6000 and reads <= 5
 
 
-@pytest.mark.parametrize("name", ["watcher_tick"])
+@pytest.mark.parametrize("name", ["watcher_tick", "watcher_timer"])
 def test_a_watcher_stops_when_it_has_caught_up(spark, name):
     """More rows than the batches that it is asked to wait for."""
     found = entry.queries()[name](spark, LARGEST)
