@@ -204,7 +204,7 @@ def test_a_watcher_stops_when_it_has_caught_up(spark, name):
     assert found.count() == found.distinct().count() == spark.read.parquet(f"{LARGEST}/orders.parquet").where(SINCE).count() > 50_000
 
 
-@pytest.mark.parametrize("name", ["subscription_resume", "publish_listeners", "subscriber_versions"])
+@pytest.mark.parametrize("name", ["subscription_resume", "publish_listeners", "subscriber_versions", "topic_roundtrip"])
 def test_messages_of_a_table_that_is_read_a_few_times(spark, monkeypatch, name):
     rows, reads = reads_of(monkeypatch, spark, name, LARGEST)
     assert len(rows) > 1000 and reads <= 8
