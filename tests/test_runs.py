@@ -208,3 +208,13 @@ def test_a_watcher_stops_when_it_has_caught_up(spark, name):
 def test_messages_of_a_table_that_is_read_a_few_times(spark, monkeypatch, name):
     rows, reads = reads_of(monkeypatch, spark, name, LARGEST)
     assert len(rows) > 1000 and reads <= 8
+
+
+def test_tables_that_are_behind_are_read_a_few_times(spark):
+    tables, calls, seen = {n: Table(spark, n) for n in "ab"}, [], []
+    for n, t in tables.items():
+        t.commit(1, *((i, n) for i in range(20)))
+    made = {n: (lambda t=t: (calls.append(1), t())[1], t.spec) for n, t in tables.items()}
+    w = DatabaseWatcher.over(made, positions=MemoryPositionStore(start="earliest"), limit=3, parallel=2)
+    w.on_run(lambda ref, run, end: seen.extend((ref.table, r.id) for r in run.collect())).run_available()
+    assert sorted(seen) == [(n, i) for n in "ab" for i in range(20)] and len(calls) <= 8
