@@ -6,6 +6,7 @@ import os
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from test_streaming import Table
 from where import SF
 
@@ -14,6 +15,7 @@ from rowtide.model import EARLIEST, TableRef, TableSpec
 from rowtide.operators import poll
 from rowtide.plans import flows
 from rowtide.sources.positions import MemoryPositionStore
+from rowtide.sources.shared import kept
 from rowtide.streaming import envelope
 from rowtide.streaming.watcher import ChangeSetWatcher, DatabaseWatcher, TableWatcher
 
@@ -169,6 +171,13 @@ def test_a_run_is_numbered_over_partitions(spark):
     assert found == {i: i // 13 for i in range(5000)}
 
 
+def test_a_run_that_one_task_wrote_is_read_by_many(spark):
+    """A table in one row group is one task's to read; what follows, such as encoding messages, is not."""
+    with kept(spark.range(0, 4_000_000, 1, 1).select(F.xxhash64("id").alias("h"))) as run:
+        sizes = [r["count"] for r in run.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4_000_000 and max(sizes) <= 2_000_000
+
+
 # --- messages ------------------------------------------------------------------------
 
 
