@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtide.llm.common import cut, sieve, text_batches
+from rowtide.llm.common import cut, sieve, sieve_bits, text_batches
 
 SEED = 42
 PART = 1 << 16
@@ -343,7 +343,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) but the roots; root is its component's least node.
 
     Least neighbours are written before they are joined, so that Spark splits the join of
-    a node with very many neighbours.
+    a node with very many neighbours.  What a step gives is written too, as the next one
+    reads it twice; rounds end when the edges are stars, without one more that shows it.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -352,7 +353,8 @@ def components(edges: DataFrame) -> DataFrame:
     def large(e: DataFrame) -> DataFrame:
         two = both(e)
         least = cut(two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        return two.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # Repeats are at most as many as edges were; small() drops them.
+        return two.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -360,22 +362,21 @@ def components(edges: DataFrame) -> DataFrame:
         moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
         return moved.union(least.select("u", "m")).distinct()
 
-    def mark(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether every a has one b, which is no a: as a > b, b is then the least of its component."""
+        ends = e.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+        each = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return not each.agg(F.max(F.col("up") + F.col("down") > 1)).first()[0]
 
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    now = mark(edges)
-    while now[0]:
-        edges = cut(small(large(edges)))
-        before, now = now, mark(edges)
-        if now == before:
-            break
+    while not settled(edges):
+        edges = cut(small(cut(large(edges))))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """``wanted`` (th and w_id name a row of ``docs``) with the text in place of the two."""
-    passes = sieve(wanted, "th")  # so that few other texts travel
+    passes = sieve(wanted, "th", sieve_bits(wanted.count()))  # so that few other texts travel
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where(passes(F.col("th")))
     own = wanted.withColumnRenamed("th", "w_th")
     return texts.join(own, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).drop("doc_id", "th", "w_th", "w_id")
@@ -491,11 +492,12 @@ def near_copies(docs: DataFrame, words: int = 5, max_bits: int = 11, least_equal
     winners = cut(winners.select(F.col("w.doc_id").alias("__w_id"), F.col("w.th").alias("__w_th")))
     named = lambda th, doc_id: th.eqNullSafe(F.col("__w_th")) & doc_id.eqNullSafe(F.col("__w_id"))
     # Rows that are surely none of those to go stay where they are; the others meet the winners.
-    going = rows.join(winners, named(rows["th"], rows["doc_id"]), "left_anti").select(F.xxhash64("th", "doc_id").alias("key"))
+    going = cut(rows.join(winners, named(rows["th"], rows["doc_id"]), "left_anti").select(F.xxhash64("th", "doc_id").alias("key")))
+    n_going = going.count()
     keyed = docs.withColumn("__w_text", F.xxhash64("text"))
-    goes = sieve(going, "key")(F.xxhash64("__w_text", "doc_id"))
+    goes = sieve(going, "key", sieve_bits(n_going))(F.xxhash64("__w_text", "doc_id"))
     kept = keyed.where(~goes).unionByName(keyed.where(goes).join(winners, named(F.col("__w_text"), F.col("doc_id")), "left_semi"))
-    if rows.join(winners, named(rows["th"], rows["doc_id"]), "left_semi").count() == winners.count():
+    if rows.count() - n_going == winners.count():
         return kept.drop("__w_text")
     # Rows alike in id and text can't be told apart by the winner's name: the one whose columns hash least stays.
     values = [F.col(f"`{c}`") for c in docs.columns]

@@ -291,6 +291,44 @@ def test_revisit_names_its_response():
     assert unpacked[1]["warc-refers-to-date"] == unpacked[0]["warc-date"] and "warc-refers-to" not in unpacked[0]
 
 
+def jobs_of(spark, run):
+    """How many Spark jobs ``run`` starts."""
+    group = f"jobs-{run.__name__}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_components_take_few_jobs(spark):
+    """What the driver allocates grows with the jobs: stars need no round, chains no step that is made twice (22 and 73 before)."""
+    stars = spark.createDataFrame([(10 * i + j, 10 * i) for i in range(20) for j in range(1, 5)], "a long, b long")
+    chains = spark.createDataFrame([(10 * i + j, 10 * i + j + 1) for i in range(20) for j in range(6)], "a long, b long")
+
+    def of_stars():
+        assert all(r.root == r.node // 10 * 10 for r in simhash.components(stars).collect())
+
+    def of_chains():
+        found = simhash.components(chains).collect()
+        assert len(found) == 120 and all(r.root == r.node // 10 * 10 for r in found)
+
+    counts = jobs_of(spark, of_stars), jobs_of(spark, of_chains)
+    assert counts[0] <= 8 and counts[1] <= 60, counts
+
+
+def test_sieves_of_few_keys_are_small(spark, monkeypatch):
+    """Near-dedup's sieves come together on the driver: their size goes by their keys, up to 2^26 bits."""
+    assert [common.sieve_bits(n) for n in (0, 1, 1000, 1 << 19, 1 << 20, 1 << 40)] == [15, 15, 16, 26, 26, 26]
+    made, bitmap = [], common.bitmap
+    monkeypatch.setattr(common, "bitmap", lambda *a: made.append(bitmap(*a)) or made[-1])
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_copies(docs).collect()) == list(range(20))
+    assert len(made) == 2 and max(map(len, made)) == 4096
+
+
 def test_sieve(spark):
     held = spark.range(0, 3000, 7).withColumn("s", F.concat(F.lit("k"), "id"))
     for bits in (15, 18, 26):
