@@ -55,6 +55,19 @@ def test_an_archive_of_packs_has_no_files_for_each_message(spark):
     assert found > 5000 and len(flow_files(spark) - before) < 300
 
 
+def test_all_orders_are_archived_and_read_back(spark, monkeypatch, tmp_path):
+    """Early orders are not returned, but are in the archive, and one that it lost makes the query fail."""
+    orders, pack = spark.read.parquet(f"{SF}/orders.parquet"), envelope.pack_archive
+    monkeypatch.setattr(flows, "own_folder", lambda spark: str(tmp_path / "all"))
+    found = entry.queries()["archive_files"](spark, SF).count()
+    assert found == orders.where("o_orderdate > timestamp_ntz'1998-07-25'").count()
+    assert envelope.packed(spark, str(tmp_path / "all/archive")).count() == orders.count() > found
+    monkeypatch.setattr(flows, "own_folder", lambda spark: str(tmp_path / "late"))
+    monkeypatch.setattr(envelope, "pack_archive", lambda objects, root: pack(objects.where("path > 'db/orders-1998'"), root))
+    with pytest.raises(Exception, match="no object db/orders-199[0-7]"):
+        entry.queries()["archive_files"](spark, SF).count()
+
+
 def test_packed_objects_are_those_of_files(spark, tmp_path):
     rows = [("d/a", b"1", {"Table": "t"}), ("d/b", None, None), ("d/c", b"3", {})]
     objects = spark.createDataFrame(rows, "path string, value binary, attributes map<string,string>")
